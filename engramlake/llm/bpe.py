@@ -35,8 +35,10 @@ from engramlake.llm.common import text_batches
 
 BLOCK_CHARS = 1 << 16
 MEMO_WORDS = 200_000
-#: Letters, digits and marks below this code point are alike in every Unicode version.
-PLAIN = re.compile("[^\x00-ɏ]")
+#: Longer words go through the transducer and are not remembered.
+LONG_WORD = 256
+#: Characters outside this class are alike in every Unicode version, and str.split() and the vocabulary's rule agree on their blanks.
+RARE = re.compile("[^\x00-\x1b\x20-\u024f]")
 
 
 def byte_alphabet() -> list[str]:
@@ -87,6 +89,7 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
         self.lookahead = sufficient_lookahead(merges, lambda t: len(t.removesuffix(self.suffix)) if self.suffix else len(t))
+        self.packed = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
         self.alphabet = byte_alphabet()
         self.cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -95,25 +98,21 @@ class Vocabulary:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """All merges over one buffer: the lowest rank first, leftmost among equals."""
-        ranks = self.ranks
-        while len(symbols) > 1:
-            best = min(((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:]))))
-            if best[0] == 1 << 60:
-                break
-            pair, out, i = (symbols[best[1]], symbols[best[1] + 1]), [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return symbols
+        rank, none, s = self.ranks.get, 1 << 60, list(symbols)
+        ranks = [rank(pair, none) for pair in zip(s, s[1:])]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            s[i : i + 2] = [s[i] + s[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((s[i - 1], s[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((s[i], s[i + 1]), none)
+        return s
 
     def split(self, text: str) -> list[str]:
         """Words of a normalised text."""
-        if PLAIN.search(text) is None:
+        if RARE.search(text) is None:
             return self.words.findall(text.lower())
         if self._library is None:  # rarer letters: the library's own tables
             from tokenizers import Tokenizer
@@ -148,12 +147,32 @@ class Transducer:
         self.buffer = []
 
 
+class Memo(dict):
+    """Values of make(key) by key; the least recent half goes when size keys are full."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, memo_words: int = MEMO_WORDS):
-        self.v, self.memo, self.memo_words = vocabulary, {}, memo_words
+        self.v = vocabulary
+        self.words = Memo(self.word, memo_words)
+        self.parts = Memo(self.part, memo_words)
 
     def _ids(self, tokens) -> bytes:
-        return np.array([self.v.ids[t] for t in tokens], dtype="<u4").tobytes()
+        return b"".join(map(self.v.packed.__getitem__, tokens))
 
     def long_word(self, word: str) -> Iterator[bytes]:
         machine = Transducer(self.v)
@@ -163,33 +182,32 @@ class Encoder:
         yield self._ids(machine.close())
 
     def word(self, word: str) -> bytes:
-        if len(word) > 256:
-            return b"".join(self.long_word(word))
         symbols = [self.v.alphabet[b] for b in word.encode("utf-8")]
         symbols[-1] += self.v.suffix
-        ids = self._ids(self.v.merge(symbols))
-        if len(self.memo) >= self.memo_words:
-            self.memo.clear()
-        self.memo[word] = ids
-        return ids
+        return self._ids(self.v.merge(symbols))
+
+    def part(self, part: str) -> bytes:
+        """Ids of what stands between two blanks."""
+        return b"".join(map(self._word, self.v.words.findall(part)))
+
+    def _word(self, word: str) -> bytes:
+        return self.words[word] if len(word) <= LONG_WORD else b"".join(self.long_word(word))
 
     def blocks(self, text: str | None) -> Iterator[bytes]:
         """Ids as little-endian 32-bit integers, block by block."""
         if not text:
             return
-        for part in self.v.cut.split(text) if self.v.cut and "<" in text else (text,):
-            if (own := self.v.added.get(part)) is not None:
-                yield self._ids_of(own)
+        for piece in self.v.cut.split(text) if self.v.cut and "<" in text else (text,):
+            if (own := self.v.added.get(piece)) is not None:
+                yield own.to_bytes(4, "little")
                 continue
-            for block in whole_word_blocks(part):
-                known, out = self.memo.get, []
-                for w in self.v.split(block):
-                    out.append(known(w) or self.word(w))
-                yield b"".join(out)
-
-    @staticmethod
-    def _ids_of(*ids: int) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+            for block in whole_word_blocks(piece):
+                if RARE.search(block) is None:
+                    parts = block.lower().split()
+                    if max(map(len, parts), default=0) <= LONG_WORD:
+                        yield b"".join(map(self.parts.__getitem__, parts))
+                        continue
+                yield b"".join(map(self._word, self.v.split(block)))
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.blocks(text))
@@ -256,7 +274,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
 
     def one(text):
         enc = encoder(path)
-        dec, ids, decoded, n, kept = Decoder_of(path), hashlib.sha256(), hashlib.sha256(), 0, []
+        dec, ids, decoded, n, kept = decoder(path), hashlib.sha256(), hashlib.sha256(), 0, []
 
         def seen():
             nonlocal n
@@ -276,5 +294,5 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
 
 
 @lru_cache(maxsize=4)
-def Decoder_of(path: str) -> Decoder:
+def decoder(path: str) -> Decoder:
     return Decoder(encoder(path).v)

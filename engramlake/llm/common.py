@@ -61,11 +61,12 @@ def text_batches(df: DataFrame, id_col: str, text_col: str, one: Callable, schem
     return df.select(F.col(id_col), F.col(text_col), *more).mapInArrow(run, kind)
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str, parts: int | None = None) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: str, out: str, parts: int | None = None, segment: str | None = None) -> DataFrame:
     """Add out = the sum of value over all rows with a smaller order key, without one global task.
 
     Rows are dealt by range and stored with their range's number; the totals of
-    the ranges, one row each, are summed first and joined back.
+    the ranges, one row each, are summed first and joined back.  segment: a
+    column to keep the range's number in.
     """
     spark = df.sparkSession
     n = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -73,7 +74,7 @@ def running_total(df: DataFrame, order: str, value: str, out: str, parts: int |
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
     before = totals.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("_in", inside - F.col(value)).join(F.broadcast(before), "_range").withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_range", "_in", "_before")
+    return ranged.withColumn("_in", inside - F.col(value)).join(F.broadcast(before), "_range").withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).withColumnsRenamed({"_range": segment} if segment else {}).drop("_range", "_in", "_before")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
