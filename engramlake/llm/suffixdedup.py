@@ -1,2 +1,595 @@
-def remove_repeats(docs):
-    raise NotImplementedError
+"""Removal of repeated 50-byte strings with a column-wise collection suffix order.
+
+A byte goes if some 50-byte string over it also starts in a document with a
+smaller id.  What has to be found is, for every 50-byte window, the least
+document that holds it.
+
+1. Windows are dealt by content: a window's key is the least hash of its 16-byte
+   grams, so equal windows have equal keys wherever they stand, and neighbouring
+   windows mostly share one.  A first pass sends keys (6 bytes each, not texts) to
+   find those that occur in two different texts; the rest of a text is done with.
+2. Runs of windows with one shared key become strings of 50 to 113 bytes.  They
+   are dealt by key, so that all occurrences of a window meet.
+3. Where a key has different strings, their collection Burrows-Wheeler transform
+   and longest common prefixes are built column by column: each round puts one
+   more symbol in front of every string's suffix, reorders the transform and
+   updates the common prefixes (:func:`suffix_order`).  The columns go through
+   sequential files once they are large.  Intervals with a common prefix of 50
+   or more are equal windows; the least document of an interval owns it.
+4. The owners return to the blocks of documents that sent the strings, become
+   byte ranges, and meet the texts once more.
+
+Exact copies of a text are found by SHA-256 before: all of a copy goes (if it has
+50 bytes), so only the first of each takes part.  A block of documents sends a
+string once, so a passage that a third of all documents hold costs each task a
+row a block; keys with too many different strings are dealt again by single
+windows.  The rounds of step 3 are bounded by the strings' length, which is why
+the method stays linear here; over whole documents it would take as many rounds
+as the longest document has bytes.
+
+Null texts are empty.  Rows with a null id are kept whole.  Rows that share an id
+never remove each other.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import tempfile
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from engramlake.llm.common import release, small_batches, stored
+
+LENGTH = 50
+GRAM = 16
+#: Windows of one string at most.
+RUN = 64
+BLOCK_BYTES = 4 << 20
+BLOCK_PIECES = 60_000
+#: Bytes of strings whose suffixes are ordered at once, and from which a bucket is dealt again by windows.
+ORDER_BYTES = 6 << 20
+CROWDED_BYTES = 96 << 20
+#: Entries of a column from which it is kept in a file between rounds.
+FILE_ENTRIES = 32 << 20
+
+
+# ---- windows and their keys ----
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """48-bit hashes of all 16-byte grams."""
+    h, width = data.astype(np.uint64) + np.uint64(1), 1
+    while width < GRAM:
+        h = h[:-width] * np.uint64(pow(0x9E3779B97F4A7C15, width, 1 << 64)) + h[width:]
+        width *= 2
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h >> np.uint64(16)
+
+
+def window_keys(data: np.ndarray) -> np.ndarray:
+    """The least gram hash of each window."""
+    m, width, wanted = gram_hashes(data), 1, LENGTH - GRAM + 1
+    while 2 * width <= wanted:
+        m = np.minimum(m[:-width], m[width:])
+        width *= 2
+    rest = wanted - width
+    return np.minimum(m[:-rest], m[rest:]) if rest else m
+
+
+class Block:
+    """Pieces of texts in one buffer, and the runs of windows with one key."""
+
+    def __init__(self):
+        self.owners, self.bases, self.parts, self.size = [], [], [], 0
+
+    def add(self, owner: int, base: int, data: bytes) -> None:
+        self.owners.append(owner)
+        self.bases.append(base)
+        self.parts.append(data)
+        self.size += len(data)
+
+    def runs(self) -> None:
+        """starts (in the buffer), counts (windows), keys and piece numbers of the runs."""
+        self.data = np.frombuffer(b"".join(self.parts), dtype=np.uint8)
+        lens = np.array([len(p) for p in self.parts], dtype=np.int64)
+        self.offsets = np.cumsum(lens) - lens
+        empty = np.zeros(0, dtype=np.int64)
+        self.starts = self.counts = self.piece = empty
+        self.keys = empty.astype(np.uint64)
+        if len(self.data) < LENGTH:
+            return
+        keys = window_keys(self.data)
+        piece = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+        at = np.flatnonzero(piece[: len(keys)] == piece[LENGTH - 1 :][: len(keys)])  # windows inside one piece
+        if not len(at):
+            return
+        keys, piece = keys[at], piece[at]
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (piece[1:] != piece[:-1])]))
+        count = np.diff(np.append(first, len(keys)))
+        parts = -(-count // RUN)
+        inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = np.repeat(first, parts) + RUN * inside
+        self.counts = np.minimum(np.repeat(count, parts) - RUN * inside, RUN)
+        self.starts, self.keys, self.piece = at[begin], keys[begin], piece[begin].astype(np.int64)
+
+
+def pieces(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """A text in parts of at most a block, each window in exactly one of them."""
+    for at in range(0, max(1, len(data) - LENGTH + 1), BLOCK_BYTES):
+        yield at, data[at : at + BLOCK_BYTES + LENGTH - 1]
+
+
+def in_blocks(batches, rows) -> Iterator[tuple[Block, list]]:
+    """Blocks of about BLOCK_BYTES; rows(batch) gives (owner, data, more)."""
+    block, more = Block(), []
+    for batch in batches:
+        for owner, data, extra in rows(batch):
+            if len(data) < LENGTH:
+                continue
+            for base, part in pieces(data):
+                block.add(owner, base, part)
+                more.append(extra)
+                if block.size >= BLOCK_BYTES or len(more) >= BLOCK_PIECES:
+                    yield block, more
+                    block, more = Block(), []
+    if block.size:
+        yield block, more
+
+
+def pack48(keys: np.ndarray) -> bytes:
+    return (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (keys >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def unpack48(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order])) + 1
+    for own in np.split(order, edges) if len(order) else ():
+        yield int(bucket[own[0]]), own
+
+
+# ---- 1: keys that two different texts hold ----
+
+MARKS = "kind int, bucket int, keys binary, owners binary"
+SINGLE, SHARED, REPLY = 0, 1, 2
+
+
+def _rows(rows, names, types):
+    columns = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+
+def _mark_rows(rows):
+    return _rows(rows, ["kind", "bucket", "keys", "owners"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+
+def _send(kind, keys, owners, buckets, by_owner=False):
+    for bucket, own in by_bucket((owners if by_owner else keys.astype(np.int64)) % buckets):
+        yield kind, bucket, pack48(keys[own]), owners[own].astype("<i8").tobytes() if owners is not None else b""
+
+
+def send_keys(buckets: int):
+    """Each block's keys: those of one text to the key's bucket, those of more straight back to their texts."""
+
+    def run(batches):
+        rows = lambda b: zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [None] * len(b))
+        for block, _ in in_blocks(batches, rows):
+            block.runs()
+            owner = np.array(block.owners, dtype=np.int64)[block.piece]
+            order = np.lexsort((owner, block.keys))
+            keys, owner = block.keys[order], owner[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]) if len(keys) else np.zeros(0, bool)
+            keys, owner = keys[new], owner[new]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(keys)))
+            shared = np.repeat(count > 1, count)
+            out = list(_send(SINGLE, keys[~shared], owner[~shared], buckets))
+            out += _send(SHARED, keys[first[count > 1]], None, buckets)
+            out += _send(REPLY, keys[shared], owner[shared], buckets, by_owner=True)
+            yield _mark_rows(out)
+
+    return run
+
+
+def match_keys(buckets: int):
+    """Singles whose key a second text or a block's shared list holds are returned to their text."""
+
+    def flush(singles, shared):
+        if singles:
+            keys, owner = np.concatenate([unpack48(k) for k, _ in singles]), np.concatenate([np.frombuffer(o, "<i8") for _, o in singles])
+            order = np.lexsort((owner, keys))
+            keys, owner = keys[order], owner[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
+            keys, owner = keys[new], owner[new]
+            count = np.diff(np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys)))
+            both = np.repeat(count > 1, count)
+            if shared:
+                both |= np.isin(keys, np.concatenate([unpack48(k) for k in shared]))
+            if both.any():
+                yield _mark_rows(list(_send(REPLY, keys[both], owner[both], buckets, by_owner=True)))
+
+    def run(batches):
+        singles, shared, bucket = [], [], None
+        for batch in batches:
+            for kind, b, keys, owners in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == REPLY:
+                    yield _mark_rows([(kind, b, keys, owners)])
+                    continue
+                if bucket != b:
+                    yield from flush(singles, shared)
+                    singles, shared, bucket = [], [], b
+                if kind == SINGLE:
+                    singles.append((keys, owners))
+                else:
+                    shared.append(keys)
+        yield from flush(singles, shared)
+
+    return run
+
+
+def gather_keys(batches):
+    """(owner, keys) of each text that has shared keys."""
+
+    def flush(parts):
+        if parts:
+            keys, owner = np.concatenate([unpack48(k) for k, _ in parts]), np.concatenate([np.frombuffer(o, "<i8") for _, o in parts])
+            order = np.lexsort((keys, owner))
+            keys, owner = keys[order], owner[order]
+            rows = [(int(owner[own[0]]), pack48(np.unique(keys[own]))) for _, own in by_bucket(owner)]
+            yield _rows(rows, ["owner", "shared"], [pa.int64(), pa.binary()])
+
+    parts, bucket = [], None
+    for batch in batches:
+        for _, b, keys, owners in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != b:
+                yield from flush(parts)
+                parts, bucket = [], b
+            parts.append((keys, owners))
+    yield from flush(parts)
+
+
+# ---- 2: strings of windows with a shared key ----
+
+STRINGS = "kind string, bucket int, block long, ids binary, lens binary, bases binary, docs binary, keys binary, data binary"
+STRING_COLUMNS = ["kind", "bucket", "block", "ids", "lens", "bases", "docs", "keys", "data"]
+STRING_TYPES = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+
+
+def send_strings(buckets: int):
+    def run(batches):
+        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        rows = lambda b: zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
+        for number, (block, marks) in enumerate(in_blocks(batches, rows)):
+            block.runs()
+            shared = np.sort(np.concatenate([unpack48(m) | np.uint64(i) << np.uint64(48) for i, m in enumerate(marks)]))
+            mine = block.keys | block.piece.astype(np.uint64) << np.uint64(48)
+            at = np.minimum(np.searchsorted(shared, mine), len(shared) - 1)
+            run_no = np.flatnonzero(shared[at] == mine)
+            if not len(run_no):
+                continue
+            starts, counts, keys = block.starts[run_no], block.counts[run_no], block.keys[run_no]
+            piece = block.piece[run_no]
+            doc = np.array(block.owners, dtype=np.int64)[piece]
+            position = starts - block.offsets[piece] + np.array(block.bases, dtype=np.int64)[piece]
+            raw, known, ids = block.data.tobytes(), {}, np.empty(len(run_no), dtype=np.int64)
+            for i, (s, c) in enumerate(zip(starts.tolist(), counts.tolist())):
+                ids[i] = known.setdefault(raw[s : s + c + LENGTH - 1], len(known))
+            texts = list(known)
+            least = np.full(len(texts), np.iinfo(np.int64).max)
+            np.minimum.at(least, ids, doc)
+            key_of = np.zeros(len(texts), dtype=np.uint64)
+            key_of[ids] = keys
+            lens = np.array([len(t) for t in texts], dtype="<u1")
+            out = [("seen", None, task | number, ids.astype("<u4").tobytes(), lens.tobytes(), position.astype("<i8").tobytes(), doc.astype("<i8").tobytes(), least.astype("<i8").tobytes(), None)]
+            for bucket, own in by_bucket((key_of % np.uint64(buckets)).astype(np.int64)):
+                out.append(("string", bucket, task | number, own.astype("<u4").tobytes(), lens[own].tobytes(), bytes(len(own)), least[own].astype("<i8").tobytes(), key_of[own].astype("<u8").tobytes(), b"".join([texts[i] for i in own])))
+            yield _rows(out, STRING_COLUMNS, STRING_TYPES)
+
+    return run
+
+
+def split_strings(buckets: int):
+    """Strings of crowded buckets as single windows, dealt by the window's own hash."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, block, ids, lens, _, docs, _, data in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, lens, docs = np.frombuffer(ids, "<u4"), np.frombuffer(lens, "<u1").astype(np.int64), np.frombuffer(docs, "<i8")
+                at, rows = np.cumsum(lens) - lens, []
+                for i, (a, n) in enumerate(zip(at.tolist(), lens.tolist())):
+                    for o in range(n - LENGTH + 1):
+                        w = data[a + o : a + o + LENGTH]
+                        rows.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), i, o, w))
+                key = np.array([r[0] for r in rows], dtype=np.uint64)
+                out = []
+                for bucket, own in by_bucket((key % np.uint64(buckets)).astype(np.int64)):
+                    i = np.array([rows[k][1] for k in own])
+                    out.append(("string", bucket, block, ids[i].astype("<u4").tobytes(), bytes([LENGTH]) * len(own), bytes([rows[k][2] for k in own]), docs[i].astype("<i8").tobytes(), key[own].astype("<u8").tobytes(), b"".join([rows[k][3] for k in own])))
+                yield _rows(out, STRING_COLUMNS, STRING_TYPES)
+
+    return run
+
+
+# ---- 3: the suffix order of a collection of strings ----
+
+
+class Columns:
+    """Columns of one round: in memory while small, else in sequential files until the next round reads them."""
+
+    def __init__(self, folder: str | None, limit: int):
+        self.folder, self.limit, self.held = folder, limit, {}
+
+    def put(self, **columns: np.ndarray) -> None:
+        for name, c in columns.items():
+            if self.folder and len(c) > self.limit:
+                c.tofile(f"{self.folder}/{name}")
+                self.held[name] = c.dtype
+            else:
+                self.held[name] = c
+
+    def take(self, name: str) -> np.ndarray:
+        c = self.held.pop(name)
+        return c if isinstance(c, np.ndarray) else np.fromfile(f"{self.folder}/{name}", dtype=c)
+
+
+def suffix_order(data: np.ndarray, lens: np.ndarray, folder: str | None = None, limit: int = FILE_ENTRIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, suffix length, common prefix with the one before) of all suffixes in order, empty ones included.
+
+    Round j puts the j-th symbol from the right before each string's suffix of
+    length j-1.  The transform then holds, for each suffix so far, the symbol
+    before it, and a stable sort of it is the order of the suffixes one longer.
+    A common prefix that is new is one more than the least of the old ones
+    between the two suffixes that were lengthened.
+    """
+    n = len(lens)
+    ends = np.cumsum(lens)
+    files = Columns(folder, limit)
+    place = np.arange(n)  # of each string's newest suffix
+    files.put(string=np.arange(n, dtype=np.int32), depth=np.zeros(n, dtype=np.uint8), prefix=np.zeros(n, dtype=np.uint8), symbol=np.zeros(n, dtype=np.int16))
+    for j in range(1, int(lens.max(initial=0)) + 1):
+        string, depth, prefix, symbol = (files.take(c) for c in ("string", "depth", "prefix", "symbol"))
+        active = np.flatnonzero(lens >= j)
+        symbol[place[active]] = data[ends[active] - j].astype(np.int16) + 1
+        order = np.argsort(symbol, kind="stable")
+        order = order[np.searchsorted(symbol[order], 1) :]  # what has no symbol before it yet makes no suffix
+        first = symbol[order]
+        new_string = np.concatenate([np.arange(n, dtype=np.int32), string[order]])
+        new_depth = np.concatenate([np.zeros(n, dtype=np.uint8), depth[order] + np.uint8(1)])
+        fresh = new_depth == j
+        new_prefix = np.zeros(len(new_depth), dtype=np.uint8)
+        new_prefix[~fresh] = prefix
+        ask = np.flatnonzero(fresh)
+        ask = np.union1d(ask, ask[ask + 1 < len(fresh)] + 1)
+        t = ask - n
+        low, high = order[np.maximum(t - 1, 0)], order[t]
+        same = (t > 0) & (first[t] == first[np.maximum(t - 1, 0)])
+        new_prefix[ask] = 0
+        q, lo, hi = ask[same], low[same] + 1, high[same]
+        back = np.argsort(-lo, kind="stable")  # from the right, so that what lies between two ranges is never walked
+        if len(q):
+            bounds = np.empty(2 * len(q), dtype=np.int64)
+            bounds[0::2], bounds[1::2] = lo[back], hi[back] + 1
+            padded = np.append(prefix, np.uint8(0))
+            new_prefix[q[back]] = np.minimum(np.minimum.reduceat(padded, bounds)[0::2], 254) + 1
+        new_symbol = np.zeros(len(new_depth), dtype=np.int16)
+        new_symbol[~fresh] = symbol
+        at = np.flatnonzero(fresh)
+        place[new_string[at]] = at
+        files.put(string=new_string, depth=new_depth, prefix=new_prefix, symbol=new_symbol)
+    return files.take("string"), files.take("depth"), files.take("prefix")
+
+
+def window_owners(data: np.ndarray, lens: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The least document of each window of each string, string by string."""
+    with tempfile.TemporaryDirectory() as folder:
+        string, depth, prefix = suffix_order(data, lens, folder)
+    group = np.cumsum(prefix < LENGTH) - 1
+    whole = depth >= LENGTH
+    string, depth, group = string[whole], depth[whole].astype(np.int64), group[whole]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    out = np.empty(int((lens - LENGTH + 1).sum()), dtype=np.int64)
+    if len(group):
+        least = np.minimum.reduceat(docs[string], first)
+        base = np.cumsum(lens - LENGTH + 1) - (lens - LENGTH + 1)
+        out[base[string] + lens[string] - depth] = np.repeat(least, np.diff(np.append(first, len(group))))
+    return out
+
+
+def find_owners(batches):
+    """Per block: (string, first window, windows, owner) where a smaller document than the block's own holds the windows."""
+
+    def flush(parts):
+        if not parts:
+            return
+        join = lambda i, t: np.concatenate([np.frombuffer(p[i], t) for p in parts])
+        ids, lens, bases, docs, keys = join(1, "<u4"), join(2, "<u1").astype(np.int64), join(3, "<u1"), join(4, "<i8"), join(5, "<u8")
+        blocks = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), [len(p[2]) for p in parts])
+        data, at, known = b"".join(p[6] for p in parts), np.cumsum(lens) - lens, {}
+        which = np.empty(len(ids), dtype=np.int64)
+        for i, (a, n) in enumerate(zip(at.tolist(), lens.tolist())):
+            which[i] = known.setdefault(data[a : a + n], len(known))
+        texts = list(known)
+        ulens = np.array([len(t) for t in texts], dtype=np.int64)
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, docs)
+        ukeys = np.zeros(len(texts), dtype=np.uint64)
+        ukeys[which] = keys
+        windows = ulens - LENGTH + 1
+        base = np.cumsum(windows) - windows
+        owner = np.repeat(least, windows)
+        # a key with one string needs no order: its windows repeat only with the string
+        order = np.argsort(ukeys, kind="stable")
+        k = ukeys[order]
+        edge = np.concatenate([[True], k[1:] != k[:-1]])
+        alone = edge & np.concatenate([edge[1:], [True]])
+        rest = order[~alone]
+        size = np.cumsum(ulens[rest])
+        for cut in np.split(rest, _cuts(ukeys[rest], size)):
+            if len(cut):
+                found = window_owners(np.frombuffer(b"".join([texts[i] for i in cut]), dtype=np.uint8), ulens[cut], least[cut])
+                w = windows[cut]
+                target = np.repeat(base[cut] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+                owner[target] = found
+        # runs of windows with one owner, for each string that was sent
+        w = windows[which]
+        row = np.repeat(np.arange(len(ids)), w)
+        inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        value = owner[np.repeat(base[which], w) + inside]
+        hit = np.flatnonzero(value < docs[row])
+        row, inside, value = row[hit], inside[hit], value[hit]
+        if not len(row):
+            return
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (inside[1:] != inside[:-1] + 1) | (value[1:] != value[:-1])])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(row)))
+        row, start, value = row[first], inside[first] + bases[row[first]], value[first]
+        rows = []
+        for _, own in by_bucket(blocks[row]):
+            rows.append(("owner", None, int(blocks[row[own[0]]]), ids[row[own]].astype("<u4").tobytes(), count[own].astype("<u1").tobytes(), start[own].astype("<u1").tobytes(), value[own].astype("<i8").tobytes(), None, None))
+        yield _rows(rows, STRING_COLUMNS, STRING_TYPES)
+
+    parts, size, bucket = [], 0, None
+    for batch in batches:
+        for _, b, block, ids, lens, bases, docs, keys, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != bucket and size >= ORDER_BYTES:
+                yield from flush(parts)
+                parts, size = [], 0
+            bucket = b
+            parts.append((block, ids, lens, bases, docs, keys, data))
+            size += len(data)
+    yield from flush(parts)
+
+
+def _cuts(keys: np.ndarray, size: np.ndarray) -> list[int]:
+    """Where to cut, between keys, so that about ORDER_BYTES come together."""
+    if not len(keys):
+        return []
+    edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    part = (size[edges - 1] // ORDER_BYTES) if len(edges) else edges
+    return edges[np.flatnonzero(np.diff(part, prepend=0))].tolist()
+
+
+# ---- 4: back to byte ranges and texts ----
+
+
+def to_ranges(batches):
+    """(doc_id, starts, ends) of what each document loses, from its block's strings and their owners."""
+
+    def flush(seen, owners):
+        if seen is None:
+            return
+        ids, lens, position, doc, least = (np.frombuffer(x, t) for x, t in zip(seen, ("<u4", "<u1", "<i8", "<i8", "<i8")))
+        windows = lens.astype(np.int64) - LENGTH + 1
+        base = np.cumsum(windows) - windows
+        owner = np.repeat(least, windows)
+        for i, count, start, value in owners:
+            i, count, start, value = np.frombuffer(i, "<u4"), np.frombuffer(count, "<u1").astype(np.int64), np.frombuffer(start, "<u1"), np.frombuffer(value, "<i8")
+            target = np.repeat(base[i] + start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            np.minimum.at(owner, target, np.repeat(value, count))
+        w = windows[ids]
+        row = np.repeat(np.arange(len(ids)), w)
+        inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        lost = np.flatnonzero(owner[base[ids[row]] + inside] < doc[row])
+        doc, at = doc[row[lost]], position[row[lost]] + inside[lost]
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        if not len(doc):
+            return
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + LENGTH)])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc)) - 1
+        d, s, e = doc[first], at[first], at[last] + LENGTH
+        rows = [(int(d[own[0]]), s[own].astype("<i8").tobytes(), e[own].astype("<i8").tobytes()) for _, own in by_bucket(d)]
+        yield _rows(rows, ["doc_id", "starts", "ends"], [pa.int64(), pa.binary(), pa.binary()])
+
+    seen, owners, block = None, [], None
+    for batch in batches:
+        for kind, _, b, ids, lens, bases, docs, keys, _ in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != block:
+                yield from flush(seen, owners)
+                seen, owners, block = None, [], b
+            if kind == "seen":
+                seen = (ids, lens, bases, docs, keys)
+            else:
+                owners.append((ids, lens, bases, docs))
+    yield from flush(seen, owners)
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def cut_texts(batches):
+    names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    for batch in batches:
+        rows = []
+        for doc, data, first, ranges in zip(*(c.to_pylist() for c in batch.columns)):
+            spans = kept_spans(data, doc, first, ranges)
+            kept, at = hashlib.sha256(), 0
+            for s, e in spans:
+                kept.update(data[at:s])
+                at = e
+            kept.update(data[at:])
+            rows.append((doc, len(data), sum(e - s for s, e in spans), len(spans), kept.hexdigest()))
+        yield _rows(rows, names, types)
+
+
+def kept_spans(data: bytes, doc, first: bool, ranges) -> list[tuple[int, int]]:
+    """Maximal removed runs, in order."""
+    if doc is not None and not first:
+        return [(0, len(data))] if len(data) >= LENGTH else []
+    found = sorted((s, e) for r in ranges or [] for s, e in zip(np.frombuffer(r["starts"], "<i8").tolist(), np.frombuffer(r["ends"], "<i8").tolist()))
+    out: list[tuple[int, int]] = []
+    for s, e in found:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def removed_ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, info): the rows with data and content hash, and for the first row of each content its id, hash and ranges."""
+    spark = docs.sparkSession
+    small_batches(spark, 200)
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 4 * n
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")).withColumn("owner", F.xxhash64("data"))
+    first = stored(texts.where("doc_id is not null").groupBy(F.unhex(F.sha2("data", 256)).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.first("owner").alias("owner")).select("doc_id", "owner").distinct(), "firsts")
+    marks = texts.where("doc_id is not null").select("owner", "data").mapInArrow(send_keys(buckets), MARKS)
+    marks = marks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(match_keys(buckets), MARKS)
+    marks = stored(marks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(gather_keys, "owner long, shared binary"), "keys")
+    release(spark)
+    taking = first.join(marks, "owner")
+    sent = texts.join(taking.select("doc_id", "owner", "shared"), ["doc_id", "owner"]).select("doc_id", "data", "shared").mapInArrow(send_strings(buckets), STRINGS)
+    sent = stored(sent, "strings", partition_by="kind").select(*STRING_COLUMNS)
+    release(spark)
+    strings = sent.where("kind = 'string'")
+    sizes = strings.groupBy("bucket").agg(F.sum(F.octet_length("data")).alias("bytes")).where(F.col("bytes") > CROWDED_BYTES).collect()  # at most one row a bucket
+    crowded = [r["bucket"] for r in sizes]
+    dealt = strings
+    if crowded:
+        again = strings.where(F.col("bucket").isin(crowded)).mapInArrow(split_strings(16 * buckets), STRINGS)
+        dealt = strings.where(~F.col("bucket").isin(crowded)).unionByName(again.withColumn("bucket", F.col("bucket") + buckets))
+    owners = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(find_owners, STRINGS)
+    ranges = sent.where("kind = 'seen'").unionByName(owners).repartition(n, "block").sortWithinPartitions("block").mapInArrow(to_ranges, "doc_id long, starts binary, ends binary")
+    ranges = stored(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("ranges")), "ranges")
+    release(spark)
+    return texts, first.join(ranges, "doc_id", "left").withColumn("first", F.lit(True))
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    texts, info = removed_ranges(docs, id_col, text_col)
+    joined = texts.join(info, ["doc_id", "owner"], "left").select("doc_id", "data", F.coalesce("first", F.lit(False)).alias("first"), "ranges")
+    return joined.mapInArrow(cut_texts, RESULT)
