@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.bpe import LONG_WORD, RARE, Memo, whole_word_blocks
+from engramlake.llm.bpe import LONG_WORD, MEMO_WORDS, RARE, Memo, Vocabulary, byte_alphabet, whole_word_blocks
 from engramlake.llm.common import remove_stored, running_total, small_batches
 
 END_ID = 1
@@ -70,7 +70,7 @@ def merkle(keys: list[bytes]) -> bytes:
 
 
 class LibraryEncoder:
-    """Whole texts through the tokenizers library; what stands between blanks is remembered."""
+    """Whole texts through the tokenizers library; words and what stands between blanks are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -79,30 +79,26 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.parts = Memo(self._one, 300_000)
+        self.split = Vocabulary(path).words.findall
+        self.bytes = dict(enumerate(byte_alphabet()))
+        self.words = Memo(self._word, MEMO_WORDS)
+        self.parts = Memo(lambda part: b"".join(map(self.words.__getitem__, self.split(part))), MEMO_WORDS)
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
 
-    def _one(self, part: str) -> bytes:
-        return self._pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
+    def _word(self, word: str) -> bytes:
+        symbols = word.encode("utf-8").decode("latin-1").translate(self.bytes)
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(symbols)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<" in text or RARE.search(text):
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        out = []
-        for block in whole_word_blocks(text):
-            parts = block.lower().split()
-            if max(map(len, parts), default=0) > LONG_WORD:
-                return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            known, old = self.parts, self.parts.old
-            new = [p for p in set(parts) if p not in known and p not in old]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                old[p] = self._pack(e.ids)
-            out.append(b"".join(map(known.__getitem__, parts)))
-        return b"".join(out)
+        if "<" not in text and RARE.search(text) is None:
+            blocks = [block.lower().split() for block in whole_word_blocks(text)]
+            if max((len(p) for parts in blocks for p in parts), default=0) <= LONG_WORD:
+                return b"".join(b"".join(map(self.parts.__getitem__, parts)) for parts in blocks)
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
