@@ -1,14 +1,14 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-Every run of ``K`` characters is hashed; of every ``W`` consecutive hashes the
-least is chosen, the rightmost among equals, with its position.  Any passage of
-W + K - 1 characters that two texts share gives both a common hash; nothing
+Every run of ``K`` bytes of the UTF-8 text is hashed; of every ``W`` consecutive
+hashes the least is chosen, the rightmost among equals, with its position.  Any
+passage of W + K - 1 bytes that two texts share gives both a common hash; nothing
 shorter than K does.
 
-A text is cut into blocks of ``BLOCK`` window starts, each with the characters its
-windows reach, so that no expression ever walks a long text from its start for
-each position; the blocks of a text stay in its row and nothing is shuffled.  An
-edited text reuses the blocks before its first changed character.
+A text is cut into blocks of ``BLOCK`` window starts, each with the bytes its
+windows reach; the blocks of a text stay in its row and nothing is shuffled.  An
+edited text reuses the blocks before its first changed byte.  Window minima come
+from doubling (the least of 2, 4, 8, 16), one pass over a block each.
 
 Null and empty texts have no hashes; texts shorter than K have one, of the whole
 text; texts with fewer than W hashes have one window.  Likeness is the share of
@@ -27,25 +27,31 @@ BLOCK = 160
 PLACE = 4095
 
 
-def selected(text: Column, length: Column, first_block: Column | None = None) -> Column:
-    """array<array<bigint>>: for each block, the chosen hashes with their place in the low bits."""
+def _least_with(ahead: int):
+    """Each hash or the one so far ahead, whichever is less; at the end, where there is none, the hash."""
+    return lambda h: F.zip_with(h, F.slice(h, ahead + 1, F.size(h)), lambda x, y: F.least(x, y))
+
+
+def selected(data: Column, length: Column, first_block: Column | None = None) -> Column:
+    """array<array<bigint>>: for each block of the bytes, the chosen hashes with their place in the low bits."""
     hashes = F.when(length > 0, F.greatest(length - (K - 1), F.lit(1))).otherwise(0)
     windows = F.when(hashes > 0, F.greatest(hashes - (W - 1), F.lit(1))).otherwise(0)
     last = F.ceil(windows / BLOCK).cast("int") - 1
     first = F.lit(0) if first_block is None else first_block
     numbers = F.when(last >= first, F.sequence(first, F.greatest(last, first))).otherwise(F.array().cast("array<int>"))
-    pieces = F.transform(numbers, lambda b: F.substring(text, b * BLOCK + 1, BLOCK + K + W - 2))
-    hashed = F.transform(
+    pieces = F.transform(numbers, lambda b: F.substring(data, b * BLOCK + 1, BLOCK + K + W - 2))
+    least = F.transform(
         pieces,
         lambda p: F.transform(
-            F.sequence(F.lit(0), F.greatest(F.length(p) - K, F.lit(0))),
-            lambda i: F.xxhash64(F.substring(p, i + 1, K)).bitwiseAND(F.lit(~PLACE)).bitwiseOR((F.lit(PLACE) - i).cast("long")),
+            F.sequence(F.lit(1), F.greatest(F.octet_length(p) - (K - 1), F.lit(1))),
+            lambda i: F.xxhash64(F.substring(p, i, K)).bitwiseAND(F.lit(~PLACE)).bitwiseOR(F.lit(PLACE + 1) - i.cast("long")),
         ),
     )
-    return F.transform(
-        hashed,
-        lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (W - 1), F.lit(1))), lambda i: F.array_min(F.slice(h, i, W)))),
-    )
+    width = 1
+    while width < W:  # the least of the next 2, 4, 8, ... hashes
+        least = F.transform(least, _least_with(width))
+        width *= 2
+    return F.transform(least, lambda h: F.array_distinct(F.slice(h, 1, F.greatest(F.size(h) - (W - 1), F.lit(1)))))
 
 
 def hash_set(blocks: Column) -> Column:
@@ -54,7 +60,7 @@ def hash_set(blocks: Column) -> Column:
 
 
 def positions(blocks: Column, first_block: int = 0) -> Column:
-    """array<struct<hash, position>>: what was chosen, with its character position in the text."""
+    """array<struct<hash, position>>: what was chosen, with its byte position in the text."""
     return F.array_distinct(F.flatten(F.transform(blocks, lambda own, b: F.transform(own, lambda h: F.struct(F.shiftright(h, 12).alias("hash"), ((b + first_block) * BLOCK + PLACE - h.bitwiseAND(F.lit(PLACE))).cast("int").alias("position"))))))
 
 
@@ -66,8 +72,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, chosen array<struct<hash, position>>: the general form."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_col, positions(selected(text, F.char_length(text))).alias("chosen"))
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return docs.select(id_col, positions(selected(data, F.octet_length(data))).alias("chosen"))
 
 
 def _ranges(docs: DataFrame, key: str, n: int) -> tuple[list, Column]:
@@ -113,7 +119,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
 
     def add(df):
-        return df.withColumn("_n", F.char_length("_text")).withColumn("_blocks", selected(F.col("_text"), F.col("_n")))
+        data = F.col("_text").cast("binary")
+        return df.withColumn("_n", F.char_length("_text")).withColumn("_blocks", selected(data, F.octet_length(data)))
 
     rows, order = with_next(docs, add=add)
     rows = rows.select(
@@ -124,10 +131,11 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_next", F.coalesce("_next", "_text")).withColumn("_next_blocks", F.coalesce("_next_blocks", "_blocks"))
     cut = F.floor(F.col("_n") / 4).cast("int")
     keep = F.col("_n") - cut
-    rows = rows.withColumn("_keep", keep).withColumn("_edited", F.concat(F.substring(F.col("_text"), F.lit(1), keep), F.substring(F.col("_next"), F.lit(1), cut)))
+    kept = F.substring(F.col("_text"), F.lit(1), keep)
+    rows = rows.withColumn("_keep", F.octet_length(kept)).withColumn("_edited", F.concat(kept, F.substring(F.col("_next"), F.lit(1), cut)).cast("binary"))
     same = F.greatest(F.floor((F.col("_keep") - (K + W - 2)) / BLOCK).cast("int"), F.lit(0))
     rows = rows.withColumn("_same", F.least(same, F.size("_blocks")))
-    changed = selected(F.col("_edited"), F.char_length("_edited"), F.col("_same"))
+    changed = selected(F.col("_edited"), F.octet_length("_edited"), F.col("_same"))
     rows = rows.withColumn("_edited_blocks", F.concat(F.slice("_blocks", F.lit(1), F.col("_same")), changed))
     rows = rows.select("doc_id", "_n", F.sha2("_edited", 256).alias("edited_sha256"), "_blocks", "_edited_blocks", hash_set(F.col("_blocks")).alias("_a"), hash_set(F.col("_edited_blocks")).alias("_b"), hash_set(F.col("_next_blocks")).alias("_c"))
     digest = lambda c: F.sha2(F.array_join(F.transform(F.flatten(c), lambda h: F.hex(h)), ","), 256)
