@@ -136,8 +136,8 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     table = counts.orderBy((F.col("i") + F.col("o")).desc(), "kind").limit(1000).collect()
     ins, outs = sum(r["i"] for r in table), sum(r["o"] for r in table)
     weights = {r["kind"]: math.log((r["i"] + 1) / (ins + 1)) - math.log((r["o"] + 1) / (outs + 1)) for r in table}
-    # words are evidence for content, tags against it, before what was learned
-    return {k: max(0.5, w) if k == "word" else max(-8.0, min(2.0, w) - 2.0) for k, w in weights.items()}
+    # a word is worth 1 at most, so that links and other tags of a frame outweigh their few words; tags never speak for content
+    return {k: min(1.0, max(0.5, w)) if k == "word" else max(-8.0 if k == "noise" else -4.0, min(2.0, w) - 2.0) for k, w in weights.items()}
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -176,11 +176,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """page_id, text, n_chars for each page, without a shuffle."""
+    """page_id, url, text, n_chars for each page, without a shuffle."""
     weights = weights or learn_weights(pages)
 
-    def one(page):
+    def one(page, url):
         text = main_text(page, weights)
-        return text, len(text)
+        return url, text, len(text)
 
-    return text_batches(pages, "page_id", "html", one, "text string, n_chars long")
+    return text_batches(pages, "page_id", "html", one, "url string, text string, n_chars long", "url")

@@ -27,7 +27,18 @@ def test_best_run():
 
 def test_weights_tell_content_from_frame(spark):
     w = html.learn_weights(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
-    assert w["word"] > 0 and w["noise"] < w["p"] < 0 and w["nav"] < 0 if "nav" in w else True
+    assert w["word"] > 0 and w["noise"] < w["nav"] < w["p"] <= 0
+    # with no article element the scan finds the same region
+    for page in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        bare = page.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html.main_text(bare, w) == html.main_text(page.html, w) != ""
+
+
+def test_link_lists_stay_outside(spark):
+    w = html.learn_weights(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    links = "<div>" + "<a href='x'>some link</a> " * 12 + "</div>"
+    body = "<p>" + "plain words of the page " * 20 + "</p>"
+    assert html.main_text(links + body + links, w) == ("plain words of the page " * 20).strip()
 
 
 def test_whole_table(spark):
