@@ -1,16 +1,19 @@
 """Filtered nearest neighbours, hybrid scoring, multi-query merge, rerank.
 
-A query batch is small (a request has one to three texts) and is broadcast after
-``QUERY_LIMIT`` is checked; the index is scanned once with its filters pushed
-down, and each cut is a top-k that Spark keeps per task.
+A query batch is small (a request has one to three texts) and goes to the tasks
+after ``QUERY_LIMIT`` is checked; the index is scanned once with its filters pushed
+down, each task keeps its best k rows a text, and only those are shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from engramlake.functions import vector
 from engramlake.functions.text import index_keywords
 from engramlake.schema import KEYWORD_BONUS, KEYWORD_ONLY
 
@@ -40,16 +43,49 @@ def bounded(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries)
 
 
-def scored(index: DataFrame, queries: DataFrame, **where) -> DataFrame:
-    """Every filtered memory with its cosine to each query (text_no, vector)."""
-    rows = index.where(filters(**where)).select("memory_id", "embedding")
-    return rows.crossJoin(bounded(queries.select("text_no", "vector"))).select("text_no", "memory_id", F.round(vector.cosine(F.col("embedding"), F.col("vector")), DIGITS).alias("cosine"))
+def scored(index: DataFrame, queries: DataFrame, *, best: int | None = None, **where) -> DataFrame:
+    """(text_no, memory_id, cosine) of every filtered memory and each query (text_no, vector).
+
+    Filters run in the scan.  What is left goes through Arrow as one float matrix a
+    batch and is multiplied with the queries' matrix, a small fixed-size table in
+    each task.  best: each batch keeps that many rows a query, by cosine, then id.
+    """
+    batch = bounded(queries.select("text_no", "vector")).collect()  # QUERY_LIMIT rows at most
+    spark, field = index.sparkSession, index.schema["memory_id"]
+    kind = T.StructType([queries.schema["text_no"], T.StructField("memory_id", field.dataType), T.StructField("cosine", T.DoubleType())])
+    if not batch or best is not None and best <= 0:
+        return spark.createDataFrame([], kind)
+    numbers = [r["text_no"] for r in batch]
+    wanted = np.array([r["vector"] for r in batch], dtype=np.float64)
+    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+    arrow = to_arrow_schema(kind)
+
+    def score(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
+            cos = np.round(rows @ wanted.T / np.linalg.norm(rows, axis=1, keepdims=True), DIGITS) + 0.0
+            ids = b.column(0)
+            if best is None:
+                picked = [np.arange(b.num_rows)] * len(numbers)
+            else:
+                names = np.array(ids.to_pylist())
+                picked = [np.lexsort((names, -cos[:, q]))[:best] for q in range(len(numbers))]
+            columns = [
+                pa.array([n for n, p in zip(numbers, picked) for _ in range(len(p))], arrow.field(0).type),
+                ids.take(pa.array(np.concatenate(picked))).cast(arrow.field(1).type),
+                pa.array(np.concatenate([cos[p, q] for q, p in enumerate(picked)])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return index.where(filters(**where)).where("embedding is not null").select("memory_id", "embedding").mapInArrow(score, kind)
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int, **where) -> DataFrame:
     """(text_no, memory_id, cosine) of the k nearest to each query; ties by id."""
     order = Window.partitionBy("text_no").orderBy(F.col("cosine").desc(), "memory_id")
-    return scored(index, queries, **where).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(k, 0)).drop("_n")
+    return scored(index, queries, best=k, **where).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(k, 0)).drop("_n")
 
 
 def keyword_match(index: DataFrame, keyword_rows: DataFrame, words: list[str], **where) -> DataFrame:
