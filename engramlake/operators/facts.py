@@ -102,6 +102,23 @@ def stale_jobs(jobs: DataFrame, now: Column, *, preset=None, kind=None) -> DataF
     return jobs.withColumns({"status": F.when(hit, "failed").otherwise(F.col("status")), "finished_at": F.when(hit, now).otherwise(F.col("finished_at"))})
 
 
+def new_jobs(requests: DataFrame, now: Column) -> DataFrame:
+    """Pending jobs of requests (job_id, preset_id, conversation_id, kind)."""
+    return requests.select("*", F.lit("pending").alias("status"), now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"))
+
+
+def advance_jobs(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """jobs after events (job_id, status, at): running sets the start, a final status the end; the latest event of a job wins."""
+    last = latest(events.select("job_id", F.col("status").alias("_status"), F.col("at").alias("_at")), ["job_id"], F.col("_at").desc(), "_status")
+    rows = jobs.join(last, "job_id", "left")
+    final = F.col("_status").isin("completed", "partial", "failed")
+    out = rows.withColumns({
+        "started_at": F.when(F.col("_status") == "running", F.col("_at")).otherwise(F.col("started_at")), "finished_at": F.when(final, F.col("_at")).otherwise(F.col("finished_at")),
+        "updated_at": F.coalesce("_at", "updated_at"), "status": F.coalesce("_status", "status"),
+    })
+    return out.drop("_status", "_at")
+
+
 def unexpired_jobs(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where(F.unix_millis("updated_at") >= F.unix_millis(now) - JOB_DAYS * 86_400_000)
 
@@ -125,6 +142,11 @@ def migrate_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshots.where(F.forall("items", lambda i: i["final_text"].isNotNull()))
 
 
+def drop_legacy_vectors(entries: DataFrame) -> DataFrame:
+    """Vectors live in the index; those once kept with the entries are cleared."""
+    return entries.withColumns({"embedding": F.lit(None).cast(entries.schema["embedding"].dataType), "embedding_model_id": F.lit(None).cast("string")})
+
+
 def snapshot_text(items) -> Column:
     """Non-empty final texts, one a line."""
     return F.array_join(F.filter(F.transform(items, lambda i: text.trim(i["final_text"])), lambda t: t != ""), "\n")

@@ -88,6 +88,18 @@ def roll_up(states: DataFrame, manifest_missing: bool = False, unavailable: bool
     return rows.select(index_state(F.lit(manifest_missing), F.lit(unavailable), F.lit(building), F.col("s")).alias("state"), "presets", "last_error")
 
 
+def upsert_states(states: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row a preset; a changed one replaces the stored one."""
+    return states.join(changes.select("preset_id"), "preset_id", "left_anti").unionByName(changes)
+
+
+def require_ready(states: DataFrame, preset: str) -> None:
+    """Fails unless the preset's index is ready."""
+    row = states.where(F.col("preset_id") == preset).select("state", "last_error").first()
+    if row is None or row["state"] != "ready":
+        raise RuntimeError(f"index of {preset} is {row['state'] if row else 'missing'}" + (f": {row['last_error']}" if row and row["last_error"] else ""))
+
+
 def rebuild_reason(manifests: DataFrame, *, engine: str, extension: str, model: str, dimension: int, upgrade: bool = False) -> DataFrame:
     """manifests (nullable row each) with the first reason for a rebuild, or null."""
     m = F.col

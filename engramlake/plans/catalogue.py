@@ -527,6 +527,37 @@ def _(v):
     return v.job.groupBy("preset_id", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("job_lifecycle", "job", f"SELECT job_id, CASE WHEN job_id % 6 = 0 THEN 'completed' WHEN job_id % 3 = 0 THEN 'running' ELSE 'pending' END AS status, job_id % 3 = 0 AND job_id % 6 <> 0 AS started, job_id % 6 = 0 AS finished FROM job WHERE kind = 'dream'")
+def _(v):
+    jobs = facts.new_jobs(v.job.where("kind = 'dream'").select("job_id", "preset_id", "conversation_id", "kind"), now())
+    minutes = lambda n: F.expr(f"timestamp '{NOW}' + interval {n} minutes")
+    running = jobs.where("job_id % 3 = 0").select("job_id", F.lit("running").alias("status"), minutes(1).alias("at"))
+    done = jobs.where("job_id % 6 = 0").select("job_id", F.lit("completed").alias("status"), minutes(2).alias("at"))
+    return facts.advance_jobs(jobs, running.unionByName(done)).select("job_id", "status", F.col("started_at").isNotNull().alias("started"), F.col("finished_at").isNotNull().alias("finished"))
+
+
+@query("state_upsert", "", "SELECT * FROM (VALUES ('a', 'ready'), ('b', 'building'), ('c', 'ready'), ('d', 'dirty')) AS t(preset_id, state)")
+def _(v):
+    rows = v.spark.createDataFrame(STATES, "preset_id string, state string, last_error string")
+    changes = v.spark.createDataFrame([("b", "building", None), ("d", "dirty", None)], rows.schema)
+    return index.upsert_states(rows, changes).select("preset_id", "state")
+
+
+@query("migrate_embeddings", "mem", "SELECT memory_id, TRUE AS cleared FROM mem")
+def _(v):
+    out = facts.drop_legacy_vectors(v.mem.withColumn("embedding_model_id", F.lit("m0")))
+    return out.select("memory_id", (F.col("embedding").isNull() & F.col("embedding_model_id").isNull()).alias("cleared"))
+
+
+@query("extraction_trigger", "msglog", "SELECT conversation_id, seq AS up_to, CAST(12 AS BIGINT) AS messages, 'run' AS action FROM msglog WHERE seq % 12 = 0")
+def _(v):
+    from engramlake.streaming import trigger
+
+    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    done = v.msglog.select("conversation_id", F.lit("message").alias("kind"), "seq", (2 * F.col("seq")).alias("order"))
+    return trigger.runs(done.unionByName(done.where("seq % 12 = 0").withColumns({"kind": F.lit("done"), "order": F.col("order") + 1})), window=12)
+
+
 @query("latest_snapshot", "job", "SELECT preset_id, conversation_id, job_id FROM (SELECT *, row_number() OVER (PARTITION BY preset_id, conversation_id ORDER BY created_at DESC, job_id DESC) AS n FROM job) WHERE n = 1")
 def _(v):
     return facts.latest(v.job, ["preset_id", "conversation_id"], F.col("created_at").desc(), F.col("job_id").desc()).select("preset_id", "conversation_id", "job_id")

@@ -78,3 +78,16 @@ def test_stream_equals_table_and_readmits_evicted_keys(spark, tmp_path):
     got = spark.sql("select message_key, seq from log order by seq").collect()
     # c pushed a out, so a comes in again
     assert [(r.message_key, r.seq) for r in got] == [("a", 1), ("b", 2), ("c", 3), ("a", 4), ("d", 5)]
+
+
+def test_extraction_retries_then_skips(spark):
+    from engramlake.streaming import trigger
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = ["message"] * 3 + ["failed", "failed", "message", "failed", "message", "message", "done"]
+    rows, seq = [], 0
+    for n, k in enumerate(kinds):
+        seq += k == "message"
+        rows.append(("c", k, seq, n))
+    got = trigger.runs(spark.createDataFrame(rows, "conversation_id string, kind string, seq long, order int"), 3).collect()
+    assert [(r.up_to, r.messages, r.action) for r in got] == [(3, 3, "run"), (3, 3, "run"), (3, 3, "run"), (3, 3, "skip"), (6, 3, "run")]
