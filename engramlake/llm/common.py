@@ -87,23 +87,22 @@ def running_total(df: DataFrame, order: str, value: str, out: str, parts: int |
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): root is the least node of the component; nodes without an edge do not appear.
 
-    Each round links every node to its least neighbour's root and then halves the
-    chains.  Labels are checkpointed each round; edges inside a finished
-    component drop out, so the work falls quickly.
+    Each round links every node to its least neighbour's root, lets a root learn the
+    least label of its members, and halves the chains.  Labels are written as a
+    table each round.  Unlike a checkpoint, a table does not carry its partitioning
+    on, so both sides of a join are shuffled and Spark can split a node with very
+    many edges.
     """
-    shared_dir(edges.sparkSession)
     both = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v")
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).withColumnRenamed("u", "node").checkpoint()
+    both = stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    labels = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).withColumnRenamed("u", "node"), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v").groupBy("u").agg(F.min("rv").alias("near"))
-        # every root learns the least label seen by any of its members
         stepped = labels.join(near, labels.node == near.u, "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
         best = stepped.groupBy("root").agg(F.min("low").alias("best"))
         hooked = stepped.join(best, "root").select("node", F.col("root").alias("old"), F.least("low", "best").alias("root"))
-        # a jump: the root's own label
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = hooked.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
+        new = stored(hooked.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
         moved = new.where("root <> old").limit(1).count()
         labels = new.select("node", "root")
         if not moved:
