@@ -76,17 +76,19 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(id_col, positions(selected(data, F.octet_length(data))).alias("chosen"))
 
 
-def _ranges(docs: DataFrame, key: str, n: int) -> tuple[list, Column]:
-    """n - 1 boundaries of about equal ranges of key, and the number of a row's range."""
-    marks = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000).alias("m")).first()["m"] or []
+def _in_ranges(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with _range, the number of the row's range among about n equal ranges of key; null keys are in the first.
+
+    The boundaries, fewer than n, travel as one broadcast row: every step-th to find the part, then the part.
+    """
+    marks = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000).alias("m")).first()["m"] or []
     marks = sorted(set(marks))
-    coarse = marks[:: max(1, int(len(marks) ** 0.5))] or []
-    if not marks:
-        return marks, F.lit(0)
     step = max(1, int(len(marks) ** 0.5))
-    group = F.greatest(F.size(F.filter(F.array(*map(F.lit, coarse)), lambda m: m < F.col(key))) - 1, F.lit(0))
-    inside = F.slice(F.array(*map(F.lit, marks)), group * step + 1, step)
-    return marks, F.coalesce(group * step + F.size(F.filter(inside, lambda m: m < F.col(key))), F.lit(0))
+    kind = f"array<{rows.schema[key].dataType.simpleString()}>"
+    bounds = rows.sparkSession.createDataFrame([(marks, marks[::step])], f"_marks {kind}, _coarse {kind}")
+    part = F.greatest(F.size(F.filter("_coarse", lambda m: m < F.col(key))) - 1, F.lit(0)) * step
+    inside = F.size(F.filter(F.slice("_marks", part + 1, step), lambda m: m < F.col(key)))
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("_range", F.coalesce(part + inside, F.lit(0)).cast("int")).drop("_marks", "_coarse")
 
 
 def with_next(docs: DataFrame, *, ranges: int | None = None, add=lambda df: df, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:
@@ -96,19 +98,14 @@ def with_next(docs: DataFrame, *, ranges: int | None = None, add=lambda df: df,
     copies marked in _ghost, and the window in which lead() sees the next row.
     """
     n = ranges or max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    _, number = _ranges(rows, id_col, n)
-    rows = rows.withColumn("_range", number.cast("int"))
+    rows = _in_ranges(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), id_col, n)
     heads = rows.groupBy("_range").agg(F.min(id_col).alias("head")).orderBy("_range").collect()  # n rows at most
     heads = [r for r in heads if r["head"] is not None]
-    follows = {heads[i]["head"]: heads[i - 1]["_range"] for i in range(len(heads))}  # the first row follows the last range
-    own = F.struct(F.col("_range"), F.lit(0).alias("_ghost"))
-    if follows:
-        lookup = F.create_map(*[x for k, v in follows.items() for x in (F.lit(k), F.lit(v))])
-        also = F.struct(lookup[F.col(id_col)].alias("_range"), F.lit(1).alias("_ghost"))
-        both = F.when(F.col(id_col).isin(list(follows)), F.array(own, also)).otherwise(F.array(own))
-    else:
-        both = F.array(own)
+    follows = [(heads[i]["head"], heads[i - 1]["_range"]) for i in range(len(heads))]  # the first row follows the last range
+    after = docs.sparkSession.createDataFrame(follows, f"_head {docs.schema[id_col].dataType.simpleString()}, _after int")
+    own, also = F.struct("_range", F.lit(0).alias("_ghost")), F.struct(F.col("_after").alias("_range"), F.lit(1).alias("_ghost"))
+    both = F.when(F.col("_after").isNotNull(), F.array(own, also)).otherwise(F.array(own))
+    rows = rows.join(F.broadcast(after), F.col(id_col) == F.col("_head"), "left")
     dealt = rows.select(id_col, "_text", F.explode(both).alias("_at")).select(id_col, "_text", "_at.*")
     order = ["_range", "_ghost", id_col]
     dealt = add(dealt.repartition(max(2, n // 2), "_range").sortWithinPartitions(*order))
