@@ -4,7 +4,7 @@ A byte goes if some 50-byte string over it also starts in a document with a
 smaller id.  What has to be found is, for every 50-byte window, the least
 document that holds it.
 
-1. Windows are dealt by content: a window's key is the least hash of its 16-byte
+1. Windows are dealt by content: a window's key is the least hash of its 24-byte
    grams, so equal windows have equal keys wherever they stand, and neighbouring
    windows mostly share one.  A first pass sends keys (6 bytes each, not texts) to
    find those that occur in two different texts; the rest of a text is done with.
@@ -46,13 +46,13 @@ from pyspark.sql import functions as F
 from engramlake.llm.common import release, small_batches, stored
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 #: Windows of one string at most.
 RUN = 64
 BLOCK_BYTES = 4 << 20
 BLOCK_PIECES = 60_000
 #: Bytes of strings whose suffixes are ordered at once, and from which a bucket is dealt again by windows.
-ORDER_BYTES = 6 << 20
+ORDER_BYTES = 1 << 20
 CROWDED_BYTES = 96 << 20
 #: Entries of a column from which it is kept in a file between rounds.
 FILE_ENTRIES = 32 << 20
@@ -62,14 +62,24 @@ FILE_ENTRIES = 32 << 20
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """48-bit hashes of all 16-byte grams."""
-    h, width = data.astype(np.uint64) + np.uint64(1), 1
-    while width < GRAM:
-        h = h[:-width] * np.uint64(pow(0x9E3779B97F4A7C15, width, 1 << 64)) + h[width:]
+    """48-bit hashes of all grams of GRAM bytes, put together from those of powers of two."""
+    power = lambda n: np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64))
+    h, width, out, done = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        if GRAM & width:
+            if out is None:
+                out = h
+            else:  # these bytes first, then what is done
+                size = len(data) - done - width + 1
+                out = h[:size] * power(done) + out[width : width + size]
+            done += width
+        if 2 * width > GRAM:
+            break
+        h = h[:-width] * power(width) + h[width:]
         width *= 2
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h >> np.uint64(16)
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out >> np.uint64(16)
 
 
 def window_keys(data: np.ndarray) -> np.ndarray:
@@ -355,11 +365,16 @@ def suffix_order(data: np.ndarray, lens: np.ndarray, folder: str | None = None,
     ends = np.cumsum(lens)
     files = Columns(folder, limit)
     place = np.arange(n)  # of each string's newest suffix
-    files.put(string=np.arange(n, dtype=np.int32), depth=np.zeros(n, dtype=np.uint8), prefix=np.zeros(n, dtype=np.uint8), symbol=np.zeros(n, dtype=np.int16))
+    # symbols in as few bits as their number allows: 0 stands for none
+    used = np.flatnonzero(np.bincount(data, minlength=256)) if len(data) else np.zeros(0, dtype=np.int64)
+    code = np.zeros(256, dtype=np.uint8 if len(used) < 256 else np.int16)
+    code[used] = np.arange(1, len(used) + 1)
+    data = code[data]
+    files.put(string=np.arange(n, dtype=np.int32), depth=np.zeros(n, dtype=np.uint8), prefix=np.zeros(n, dtype=np.uint8), symbol=np.zeros(n, dtype=data.dtype))
     for j in range(1, int(lens.max(initial=0)) + 1):
         string, depth, prefix, symbol = (files.take(c) for c in ("string", "depth", "prefix", "symbol"))
         active = np.flatnonzero(lens >= j)
-        symbol[place[active]] = data[ends[active] - j].astype(np.int16) + 1
+        symbol[place[active]] = data[ends[active] - j]
         order = np.argsort(symbol, kind="stable")
         order = order[np.searchsorted(symbol[order], 1) :]  # what has no symbol before it yet makes no suffix
         first = symbol[order]
@@ -368,8 +383,10 @@ def suffix_order(data: np.ndarray, lens: np.ndarray, folder: str | None = None,
         fresh = new_depth == j
         new_prefix = np.zeros(len(new_depth), dtype=np.uint8)
         new_prefix[~fresh] = prefix
-        ask = np.flatnonzero(fresh)
-        ask = np.union1d(ask, ask[ask + 1 < len(fresh)] + 1)
+        near = fresh.copy()
+        near[1:] |= fresh[:-1]
+        near[:n] = False
+        ask = np.flatnonzero(near)
         t = ask - n
         low, high = order[np.maximum(t - 1, 0)], order[t]
         same = (t > 0) & (first[t] == first[np.maximum(t - 1, 0)])
@@ -381,7 +398,7 @@ def suffix_order(data: np.ndarray, lens: np.ndarray, folder: str | None = None,
             bounds[0::2], bounds[1::2] = lo[back], hi[back] + 1
             padded = np.append(prefix, np.uint8(0))
             new_prefix[q[back]] = np.minimum(np.minimum.reduceat(padded, bounds)[0::2], 254) + 1
-        new_symbol = np.zeros(len(new_depth), dtype=np.int16)
+        new_symbol = np.zeros(len(new_depth), dtype=data.dtype)
         new_symbol[~fresh] = symbol
         at = np.flatnonzero(fresh)
         place[new_string[at]] = at
