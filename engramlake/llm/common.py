@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable
 
@@ -46,9 +47,14 @@ def remove_stored(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Twice: the first turn frees Python's handles, the second what they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_batches(df: DataFrame, id_col: str, text_col: str, one: Callable, schema: str, *more: str) -> DataFrame:
