@@ -355,9 +355,11 @@ class Columns:
 def suffix_order(data: np.ndarray, lens: np.ndarray, folder: str | None = None, limit: int = FILE_ENTRIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, suffix length, common prefix with the one before) of all suffixes in order, empty ones included.
 
-    Round j puts the j-th symbol from the right before each string's suffix of
-    length j-1.  The transform then holds, for each suffix so far, the symbol
-    before it, and a stable sort of it is the order of the suffixes one longer.
+    Strings end their rounds together: one that is shorter than the longest by d
+    joins at round d+1, so that few rounds carry its suffixes.  A round puts one more
+    symbol before the newest suffix of each string that has joined.  The transform
+    then holds, for each suffix so far, the symbol before it, and a stable sort of
+    it is the order of the suffixes one longer.
     A common prefix that is new is one more than the least of the old ones
     between the two suffixes that were lengthened.
     """
@@ -365,23 +367,26 @@ def suffix_order(data: np.ndarray, lens: np.ndarray, folder: str | None = None,
     ends = np.cumsum(lens)
     files = Columns(folder, limit)
     place = np.arange(n)  # of each string's newest suffix
+    rounds = int(lens.max(initial=0))
+    delay = (rounds - lens).astype(np.uint8)
     # symbols in as few bits as their number allows: 0 stands for none
     used = np.flatnonzero(np.bincount(data, minlength=256)) if len(data) else np.zeros(0, dtype=np.int64)
     code = np.zeros(256, dtype=np.uint8 if len(used) < 256 else np.int16)
     code[used] = np.arange(1, len(used) + 1)
     data = code[data]
-    files.put(string=np.arange(n, dtype=np.int32), depth=np.zeros(n, dtype=np.uint8), prefix=np.zeros(n, dtype=np.uint8), symbol=np.zeros(n, dtype=data.dtype))
-    for j in range(1, int(lens.max(initial=0)) + 1):
-        string, depth, prefix, symbol = (files.take(c) for c in ("string", "depth", "prefix", "symbol"))
-        active = np.flatnonzero(lens >= j)
-        symbol[place[active]] = data[ends[active] - j]
+    files.put(string=np.arange(n, dtype=np.int32), round=delay, prefix=np.zeros(n, dtype=np.uint8), symbol=np.zeros(n, dtype=data.dtype))
+    for j in range(1, rounds + 1):
+        string, since, prefix, symbol = (files.take(c) for c in ("string", "round", "prefix", "symbol"))
+        active = np.flatnonzero(delay < j)
+        symbol[place[active]] = data[ends[active] - (j - delay[active].astype(np.int64))]
         order = np.argsort(symbol, kind="stable")
         order = order[np.searchsorted(symbol[order], 1) :]  # what has no symbol before it yet makes no suffix
         first = symbol[order]
         new_string = np.concatenate([np.arange(n, dtype=np.int32), string[order]])
-        new_depth = np.concatenate([np.zeros(n, dtype=np.uint8), depth[order] + np.uint8(1)])
-        fresh = new_depth == j
-        new_prefix = np.zeros(len(new_depth), dtype=np.uint8)
+        new_since = np.concatenate([delay, since[order] + np.uint8(1)])
+        fresh = new_since == j
+        fresh[:n] = False
+        new_prefix = np.zeros(len(new_since), dtype=np.uint8)
         new_prefix[~fresh] = prefix
         near = fresh.copy()
         near[1:] |= fresh[:-1]
@@ -398,12 +403,13 @@ def suffix_order(data: np.ndarray, lens: np.ndarray, folder: str | None = None,
             bounds[0::2], bounds[1::2] = lo[back], hi[back] + 1
             padded = np.append(prefix, np.uint8(0))
             new_prefix[q[back]] = np.minimum(np.minimum.reduceat(padded, bounds)[0::2], 254) + 1
-        new_symbol = np.zeros(len(new_depth), dtype=data.dtype)
+        new_symbol = np.zeros(len(new_since), dtype=data.dtype)
         new_symbol[~fresh] = symbol
         at = np.flatnonzero(fresh)
         place[new_string[at]] = at
-        files.put(string=new_string, depth=new_depth, prefix=new_prefix, symbol=new_symbol)
-    return files.take("string"), files.take("depth"), files.take("prefix")
+        files.put(string=new_string, round=new_since, prefix=new_prefix, symbol=new_symbol)
+    string = files.take("string")
+    return string, files.take("round") - delay[string], files.take("prefix")
 
 
 def window_owners(data: np.ndarray, lens: np.ndarray, docs: np.ndarray) -> np.ndarray:
