@@ -585,12 +585,12 @@ def removed_ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     spark = docs.sparkSession
     small_batches(spark, 200)
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = 4 * n
+    buckets, key_buckets = 4 * n, 2 * n  # a block sends each key bucket one row of a kind
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")).withColumn("owner", F.xxhash64("data"))
     first = stored(texts.where("doc_id is not null").groupBy(F.unhex(F.sha2("data", 256)).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.first("owner").alias("owner")).select("doc_id", "owner").distinct(), "firsts")
-    marks = texts.where("doc_id is not null").select("owner", "data").mapInArrow(send_keys(buckets), MARKS)
-    marks = marks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(match_keys(buckets), MARKS)
+    marks = texts.where("doc_id is not null").select("owner", "data").mapInArrow(send_keys(key_buckets), MARKS)
+    marks = marks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(match_keys(key_buckets), MARKS)
     marks = stored(marks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(gather_keys, "owner long, shared binary"), "keys")
     release(spark)
     taking = first.join(marks, "owner")
