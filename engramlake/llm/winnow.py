@@ -17,6 +17,8 @@ common hashes (Jaccard), 1 for two texts without hashes.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,16 +81,16 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def _in_ranges(rows: DataFrame, key: str, n: int) -> DataFrame:
     """rows with _range, the number of the row's range among about n equal ranges of key; null keys are in the first.
 
-    The boundaries, fewer than n, travel as one broadcast row: every step-th to find the part, then the part.
+    The boundaries, fewer than n, are one constant in the plan: every step-th finds the part, then the part is searched.
     """
     marks = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000).alias("m")).first()["m"] or []
     marks = sorted(set(marks))
     step = max(1, int(len(marks) ** 0.5))
     kind = f"array<{rows.schema[key].dataType.simpleString()}>"
-    bounds = rows.sparkSession.createDataFrame([(marks, marks[::step])], f"_marks {kind}, _coarse {kind}")
-    part = F.greatest(F.size(F.filter("_coarse", lambda m: m < F.col(key))) - 1, F.lit(0)) * step
-    inside = F.size(F.filter(F.slice("_marks", part + 1, step), lambda m: m < F.col(key)))
-    return rows.crossJoin(F.broadcast(bounds)).withColumn("_range", F.coalesce(part + inside, F.lit(0)).cast("int")).drop("_marks", "_coarse")
+    constant = lambda values: F.from_json(F.lit(json.dumps(values, default=str)), kind)
+    part = F.greatest(F.size(F.filter(constant(marks[::step]), lambda m: m < F.col(key))) - 1, F.lit(0)) * step
+    inside = F.size(F.filter(F.slice(constant(marks), part + 1, step), lambda m: m < F.col(key)))
+    return rows.withColumn("_range", F.coalesce(part + inside, F.lit(0)).cast("int"))
 
 
 def with_next(docs: DataFrame, *, ranges: int | None = None, add=lambda df: df, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:
