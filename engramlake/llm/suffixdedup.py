@@ -590,8 +590,8 @@ def removed_ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")).withColumn("owner", F.xxhash64("data"))
     first = stored(texts.where("doc_id is not null").groupBy(F.unhex(F.sha2("data", 256)).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.first("owner").alias("owner")).select("doc_id", "owner").distinct(), "firsts")
     marks = texts.where("doc_id is not null").select("owner", "data").mapInArrow(send_keys(key_buckets), MARKS)
-    marks = marks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(match_keys(key_buckets), MARKS)
-    marks = stored(marks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(gather_keys, "owner long, shared binary"), "keys")
+    marks = marks.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(match_keys(key_buckets), MARKS)
+    marks = stored(marks.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(gather_keys, "owner long, shared binary"), "keys")
     release(spark)
     taking = first.join(marks, "owner")
     sent = texts.join(taking.select("doc_id", "owner", "shared"), ["doc_id", "owner"]).select("doc_id", "data", "shared").mapInArrow(send_strings(buckets), STRINGS)
