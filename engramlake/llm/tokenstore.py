@@ -20,6 +20,7 @@ Null and empty texts hold the end id alone.  Equal recipes are resolved once.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from functools import lru_cache
 
@@ -32,6 +33,8 @@ from engramlake.llm.bpe import LONG_WORD, MEMO_WORDS, RARE, Memo, Vocabulary, by
 from engramlake.llm.common import remove_stored, running_total, small_batches
 
 END_ID = 1
+#: Parts between blanks that a task remembers, about 150 bytes each.
+MEMO_PARTS = 600_000
 WINDOW = 8
 #: Chunks have 256 ids on average.
 MASK = np.uint64(0xFF)
@@ -82,10 +85,15 @@ class LibraryEncoder:
         self.split = Vocabulary(path).words.findall
         self.bytes = dict(enumerate(byte_alphabet()))
         self.words = Memo(self._word, MEMO_WORDS)
-        self.parts = Memo(lambda part: b"".join(map(self.words.__getitem__, self.split(part))), MEMO_WORDS)
+        self.parts = Memo(self._part, MEMO_PARTS)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():  # one word, whose letters stand for themselves
+            return self._pack([t.id for t in self.tokenizer.model.tokenize(part)])
+        return b"".join(map(self.words.__getitem__, self.split(part)))
 
     def _word(self, word: str) -> bytes:
         symbols = word.encode("utf-8").decode("latin-1").translate(self.bytes)
@@ -96,7 +104,7 @@ class LibraryEncoder:
             return b""
         if "<" not in text and RARE.search(text) is None:
             blocks = [block.lower().split() for block in whole_word_blocks(text)]
-            if max((len(p) for parts in blocks for p in parts), default=0) <= LONG_WORD:
+            if max((max(map(len, parts), default=0) for parts in blocks), default=0) <= LONG_WORD:
                 return b"".join(b"".join(map(self.parts.__getitem__, parts)) for parts in blocks)
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
