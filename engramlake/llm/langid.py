@@ -9,8 +9,10 @@ between the first two flags the text as ambiguous.
 
 The model is a fixed-size table (buckets x bits).  Rows with null text or
 language teach nothing.  A text that is null or has no letter is ``und`` with
-score 0, as is every text where nothing was learned.  Repeated n-grams of one
-text count at most ``REPEATS`` times, so no single text outweighs the rest.
+score 0, as is every text where nothing was learned.  All n-grams of a text
+count, by their share in it, so a mixture scores alike at every length.  In
+training a text weighs as much as it has n-grams, ``WEIGHT`` at most, spread over
+all of them by their shares, so no single text outweighs the rest.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from engramlake.llm.common import small_batches, text_batches
 
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
-REPEATS = 50
+WEIGHT = 10_000
+#: Training weights are added up as integers, so that sums do not depend on their order.
+UNIT = 1 << 16
 #: Bytes of a text counted at once; bounds memory on very long texts.
 CHUNK = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -54,6 +58,12 @@ def grams(text: str) -> np.ndarray:
     return counts
 
 
+def weighed(counts: np.ndarray) -> np.ndarray:
+    """What a text teaches: its n-gram shares times its bounded weight, in units."""
+    total = max(1, int(counts.sum()))
+    return np.rint(counts * (UNIT * min(total, WEIGHT) / total)).astype(np.int64)
+
+
 def codewords(n: int) -> np.ndarray:
     """(languages, bits): every split in two for up to 5 languages, else seeded dense random codes."""
     if n <= 1:
@@ -85,7 +95,7 @@ class Model:
             return UNDETERMINED, 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
-        counts = np.minimum(grams(text), REPEATS)
+        counts = grams(text)
         margin = np.clip((counts @ self.weights / max(1, counts.sum()) - self.middle) / self.half, -3, 3)
         trust = self.half / self.half.sum()
         loss = np.log1p(np.exp(-2 * self.code * margin)) @ trust
@@ -106,7 +116,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.minimum(grams(text), REPEATS)
+                own = weighed(grams(text))
                 sums[lang] = sums[lang] + own if lang in sums else own
         for lang, own in sums.items():
             at = np.flatnonzero(own)
@@ -118,7 +128,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     freq = np.full((len(langs), BUCKETS), 0.5)
     for i, lang in enumerate(langs):
         own = table[table["lang"] == lang]
-        freq[i, own["bucket"].to_numpy()] += own["n"].to_numpy()
+        freq[i, own["bucket"].to_numpy()] += own["n"].to_numpy() / UNIT
     freq /= freq.sum(axis=1, keepdims=True)
     code = codewords(len(langs))
     if len(langs) < 2:

@@ -52,3 +52,16 @@ def test_only_text_counts(spark):
     a = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
     b = {r.doc_id - 7: r.lang_pred for r in langid.identify(df.withColumns({"lang": F.lit("xx"), "source": F.lit("y"), "doc_id": F.col("doc_id") + 7}), model).collect()}
     assert a == b
+
+
+def test_a_mixture_scores_alike_at_every_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and n_chars > 300")
+    model, texts = queries.trained(docs), {}
+    for r in docs.where(langid.held_out()).orderBy("doc_id").collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    for lang in sorted(texts):
+        others = " ".join(" ".join(t[:3]) for o, t in sorted(texts.items()) if o != lang)
+        own = " ".join(texts[lang])
+        mixture = own + " " + (others * (len(own) // len(others) + 1))[: len(own) // 9] + " "
+        short, long = model.predict(mixture), model.predict(mixture * (2_000_000 // len(mixture) + 1))
+        assert short[0] == long[0] == lang and short[2] == long[2] and abs(short[1] - long[1]) < 0.01
