@@ -4,8 +4,10 @@ A page is a sequence of words and tags.  Words score positive, tags negative or
 positive by a weight learned from labelled pages: pages whose markup names one
 article label each of their tokens as inside or outside of it, and a token
 kind's weight is the log-ratio of the two shares.  One linear scan finds the
-contiguous run of tokens with the greatest sum; where the page has article or
-main elements the run is widened or cut to the best of them.  Menus, headers,
+contiguous run of tokens with the greatest sum.  Where article or main elements
+hold words they bound it: only their words score, the one with most words keeps
+its tags free of cost, and the run is widened to all of each element it reaches
+and cut to them.  Elements nested in one belong to it.  Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments never
 count, inside the run or outside.
 
@@ -62,7 +64,7 @@ def noisy(attrs: str) -> bool:
 
 
 def tokens(page: str):
-    """(kind, value, body): kind 'word' with a text, 'open', 'close' or 'noise' with a tag; body: number of the article or main around, or 0."""
+    """(kind, value, body): kind 'word' with a text, 'open', 'close' or 'noise' with a tag; body: number of the outermost article or main around, or 0."""
     stack: list[tuple[str, bool, int]] = []  # tag, skipped, body
     at, bodies, size = 0, 0, len(page)
     while at < size:
@@ -95,7 +97,7 @@ def tokens(page: str):
                     break
             skipped, body = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         skip = skipped or tag in SKIPPED or tag not in ("html", "body") and noisy(m["attrs"])
-        if tag in BODY and not skip:
+        if tag in BODY and not skip and not body:
             bodies += 1
             body = bodies
         yield ("noise" if skip else "open", tag, body)
@@ -162,7 +164,9 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             bodies[body] = bodies.get(body, 0.0) + len(value.split())
     if bodies and max(bodies.values()) > 0:
         most = max(bodies, key=lambda b: (bodies[b], -b))
-        chosen = [t for t in kept if t[2] == most]
+        a, b = best_run([max(s, 0.0) if t[2] == most else s if t[2] else min(s, 0.0) for t, s in zip(kept, scores)])
+        reached = {t[2] for t in kept[a:b]} - {0}
+        chosen = [t for t in kept if t[2] in reached]
     else:
         a, b = best_run(scores)
         chosen = kept[a:b]

@@ -56,3 +56,17 @@ def test_odd_rows(spark):
     rows = html.extract(df, W).collect()
     assert len(rows) == 5 and {r.n_chars for r in rows if r.page_id in (1, 2)} == {0}
     assert html.extract(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<main><h1>Heading here</h1><p>The intro has words.</p><article><p>And the long nested article has many more words than that.</p></article></main>", "Heading here The intro has words. And the long nested article has many more words than that."),
+    ("<article><p>One part of the outer article.</p><article><p>A nested article with rather more words inside than the outer one.</p></article><p>Its end.</p></article>", "One part of the outer article. A nested article with rather more words inside than the outer one. Its end."),
+    ("<div><article><p>The first part of a text in two articles.</p></article><article><p>The second part of the same text, a bit longer.</p></article></div>", "The first part of a text in two articles. The second part of the same text, a bit longer."),
+    ("<article><p>The long text of the page has these words.</p></article>" + "<div><a>x</a></div>" * 9 + "<article><a>Other thing</a></article>", "The long text of the page has these words."),
+])
+def test_article_elements_bound_the_run(page, text):
+    assert html.main_text(page, W) == text
+
+
+def test_nested_article_is_labelled():
+    assert html.label_counts("<p>a</p><main>b c<article>d</article></main>")[("word", True)] == 3
