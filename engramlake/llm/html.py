@@ -9,7 +9,9 @@ hold words they bound it: only their words score, the one with most words keeps
 its tags free of cost, and the run is widened to all of each element it reaches
 and cut to them.  Elements nested in one belong to it.  Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments never
-count, inside the run or outside.
+count, inside the run or outside; such a box costs one bounded penalty, and none
+between words of its own container.  A box that only its class or id tells, with
+``MOST`` of the page's words and no article or main outside it, is no such box.
 
 Character references are decoded, white space becomes one blank, blocks are
 joined by one blank in page order; nothing else is dropped.  Null, empty and
@@ -48,33 +50,74 @@ NOISE = re.compile(
     r"|related|recommend\w*|share|sharing|social|comments?|disqus|respond|replies|reply|discussion|newsletter|subscri\w*|signup|login|footer|foot|header|masthead|topbar|toolbar|pagination|pager|toc|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Elements whose words are those of the container around them.
+FLOW = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot caption tr td th figure".split())
+MOST = 0.75
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 
-def noisy(attrs: str) -> bool:
+def noisy(attrs: str) -> str:
+    """What tells that an element is noise: 'sure' or only its 'name' (class or id); else ''."""
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return False
+        return ""
+    found = ""
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and NOISE.search(value) or name == "role" and value.lower() in ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        if name in ("class", "id") and NOISE.search(value):
+            found = "name"
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return "sure"
+    return found
 
 
 def tokens(page: str):
-    """(kind, value, body): kind 'word' with a text, 'open', 'close' or 'noise' with a tag; body: number of the outermost article or main around, or 0."""
-    stack: list[tuple[str, bool, int]] = []  # tag, skipped, body
-    at, bodies, size = 0, 0, len(page)
+    """(kind, value, body, home) of each token that is in no skipped box.
+
+    kind: 'word' with a text, 'open', 'close', 'noise' for a skipped box or 'gap'
+    for its end with a tag.  body: number of the outermost article or main around,
+    or 0.  home: number of the container around.
+    """
+    return [t[:4] for t in parsed(page, spared(page)) if t[0] != "inner"]
+
+
+def spared(page: str) -> frozenset[int]:
+    """Where the boxes start that class or id alone would skip, but that hold most of the page's words."""
+    total, loose, open_boxes, words, bodies = 0, 0, [], {}, {}
+    for kind, value, body, _, at in parsed(page, None):
+        if kind == "box":
+            if value:
+                open_boxes.append((at, total, loose))
+            else:
+                start, before, outside = open_boxes.pop()
+                words[start], bodies[start] = total - before, loose - outside
+        elif kind == "word":
+            n = len(value.split())
+            total += n
+            loose += n if body else 0
+    for start, before, outside in open_boxes:
+        words[start], bodies[start] = total - before, loose - outside
+    return frozenset(s for s, n in words.items() if n >= MOST * total > 0 and bodies[s] == loose)
+
+
+def parsed(page: str, spare: frozenset[int] | None):
+    """Tokens as above and their place, and as 'inner' those in skipped boxes; spare: boxes not to skip, None: skip none by name but report ('box', 1 at its start and 0 at its end)."""
+    stack: list[tuple[str, bool, int, int, bool]] = []  # tag, skipped, body, home, reported box
+    at, bodies, homes, size = 0, 0, 0, len(page)
+
+    def cut(k):
+        boxes = sum(e[4] for e in stack[k:])
+        del stack[k:]
+        return [("box", 0, 0, 0, at)] * boxes
+
     while at < size:
+        start = at
         m = TOKEN.match(page, at)
         if m is None:
             break
         at = m.end()
-        skipped, body = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        _, skipped, body, home, _ = stack[-1] if stack else ("", False, 0, 0, False)
         if (text := m["text"] or m["cdata"]) is not None:
-            yield ("noise" if skipped else "word", text if m["cdata"] else entities.unescape(text), body)
+            yield ("inner", "", body, home, start) if skipped else ("word", text if m["cdata"] else entities.unescape(text), body, home, start)
             continue
         if (tag := m["tag"]) is None:
             continue
@@ -82,37 +125,47 @@ def tokens(page: str):
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    yield from cut(k)
                     break
                 if tag in LOOSE and stack[k][0] not in LOOSE:
                     break
-            yield ("close", tag, body)
+            yield ("inner" if stack and stack[-1][1] else "gap" if skipped else "close", tag, body, home, start)
             continue
         if tag in LOOSE and tag not in INLINE:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    yield from cut(k)
                     break
                 if stack[k][0] not in LOOSE:
                     break
-            skipped, body = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        skip = skipped or tag in SKIPPED or tag not in ("html", "body") and noisy(m["attrs"])
+            _, skipped, body, home, _ = stack[-1] if stack else ("", False, 0, 0, False)
+        why = "sure" if tag in SKIPPED else noisy(m["attrs"]) if tag not in ("html", "body") else ""
+        named = why == "name" and not skipped
+        skip = skipped or why == "sure" or named and spare is not None and start not in spare
+        stays = tag not in RAW and tag not in VOID and not m["attrs"].endswith("/")
         if tag in BODY and not skip and not body:
             bodies += 1
             body = bodies
-        yield ("noise" if skip else "open", tag, body)
+        yield ("inner", "", body, home, start) if skipped else ("noise" if skip else "open", tag, body, home, start)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else size
-        elif tag not in VOID and not m["attrs"].endswith("/"):
-            stack.append((tag, skip, body))
+        elif stays:
+            box = named and spare is None
+            if box:
+                yield ("box", 1, body, home, start)
+            if tag not in FLOW:
+                homes += 1
+                home = homes
+            stack.append((tag, skip, body, home, box))
 
 
 def label_counts(page: str | None) -> Counter:
     """(kind, inside) of the tokens of a page whose markup names one article; else nothing."""
     seen, out = [], Counter()
-    for kind, value, body in tokens(page or ""):
-        seen.append(("word" if kind == "word" else value if kind != "noise" else f"noise", body, len(value.split()) if kind == "word" else 1))
+    page = page or ""
+    for kind, value, body, _, _ in parsed(page, spared(page)):
+        seen.append(("word" if kind == "word" else value if kind != "noise" and value else "noise", body, len(value.split()) if kind == "word" else 1))
     bodies = {b for _, b, _ in seen if b}
     if len(bodies) == 1:
         for kind, body, n in seen:
@@ -154,12 +207,24 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return out
 
 
+def costs(kept: list[tuple], noise: float) -> list[float]:
+    """The penalty of each skipped box: none if words of its container stand on both sides."""
+    out, behind = [], Counter(t[3] for t in kept if t[0] == "word" and t[1].strip())
+    before: set[int] = set()
+    for kind, value, _, home in kept:
+        if kind == "word" and value.strip():
+            before.add(home)
+            behind[home] -= 1
+        out.append(noise if kind == "noise" and not (home in before and behind[home]) else 0.0)
+    return out
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    kept = list(tokens(page or ""))
-    word, tag, noise = weights.get("word", 0.5), -1.5, weights.get("noise", -8.0)
-    scores = [word * len(v.split()) if k == "word" else noise if k == "noise" else weights.get(v, tag) for k, v, _ in kept]
+    kept = tokens(page or "")
+    word, tag, noise = weights.get("word", 1.0), -1.5, max(-8.0, weights.get("noise", -8.0))
+    scores = [word * len(t[1].split()) if t[0] == "word" else c if t[0] in ("noise", "gap") else weights.get(t[1], tag) for t, c in zip(kept, costs(kept, noise))]
     bodies: dict[int, float] = {}
-    for (kind, value, body), _ in zip(kept, scores):
+    for kind, value, body, _ in kept:
         if body and kind == "word":
             bodies[body] = bodies.get(body, 0.0) + len(value.split())
     if bodies and max(bodies.values()) > 0:
@@ -171,7 +236,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         a, b = best_run(scores)
         chosen = kept[a:b]
     out = []
-    for kind, value, _ in chosen:
+    for kind, value, _, _ in chosen:
         if kind == "word":
             out.append(value)
         elif kind != "noise" and value not in INLINE:

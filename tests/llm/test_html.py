@@ -70,3 +70,31 @@ def test_article_elements_bound_the_run(page, text):
 
 def test_nested_article_is_labelled():
     assert html.label_counts("<p>a</p><main>b c<article>d</article></main>")[("word", True)] == 3
+
+
+def article(words, start=0):
+    return " ".join(f"w{i}" for i in range(start, start + words))
+
+
+@pytest.mark.parametrize("box", [
+    "<aside>" + "<ul><li><a>text</a></li></ul>" * 6 + "</aside>", "<div class='related'>" + "<p><a>text</a></p>" * 6 + "</div>",
+    "".join(f"<div class='ad'><b>{i}</b></div>" for i in range(9)),
+])
+def test_a_skipped_box_costs_once(box):
+    a, b = article(30), article(12, 30)
+    # paragraphs of one container, and of two
+    assert html.main_text(f"<div><p>{a}</p>{box}<p>{b}</p></div>", W) == f"{a} {b}"
+    if box.count("class='ad'") < 2:
+        assert html.main_text(f"<div><p>{a}</p></div>{box}<div><p>{article(15, 30)}</p></div>", W) == f"{a} {article(15, 30)}"
+
+
+def test_a_container_with_the_words_of_the_page_is_no_noise():
+    a = article(40)
+    assert html.main_text(f"<div class='page with sidebar'><p>{a}</p><div class='sidebar'>five words of the frame</div></div>", W) == a
+    assert html.main_text(f"<p>{article(20)}</p><div class='comments'>{article(30, 50)}</div>", W) == article(20)
+    assert html.main_text(f"<article>{article(5)}</article><div class='comments'>{article(60, 50)}</div>", W) == article(5)
+    assert html.main_text(f"<div hidden class='menu'>{a}</div><p>{article(5)}</p>", W) == article(5)
+
+
+def test_short_paragraphs_stay_without_labels():
+    assert html.main_text("<div><p>Five words are in it.</p><p>" + article(30) + "</p><p>And five are in this.</p></div>", {}) == f"Five words are in it. {article(30)} And five are in this."
