@@ -1,16 +1,15 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by MinHash containment search, signatures as deep as each item's size needs.
 
 Items and documents are sets of five-word shingles (lower case, ASCII punctuation
-as blanks; fewer than five words: the whole sequence).  Items are partitioned by
-the size of their set, in powers of two.  An item's signature is the bottom of
-its MinHash order, as deep as its partition needs: a document that holds a share
+as blanks; fewer than five words: the whole sequence).  An item's signature is
+the bottom of its MinHash order, as deep as its own size needs: a document that holds a share
 t of an item's n shingles misses at most floor((1-t)n) of them, so it holds at
 least one of the floor((1-t)n)+1 least.  Looking up every shingle of a document
 among these signatures thus finds every item it may contain, however long the
 document; candidates are then verified on the shingles themselves.
 
 The items of one block (``BLOCK_SHINGLES`` shingles) are broadcast; more items
-make more blocks, each a pass over the documents.  Null and blank items are
+make more blocks, each a pass over the rows with what they were found to contain.  Null and blank items are
 skipped; null and blank documents contain nothing.
 """
 
@@ -60,23 +59,20 @@ def needed(n: int, share: float = CONTAINED) -> int:
 
 
 class Index:
-    """Signatures of one block of items, by partition of their sizes."""
+    """Signatures of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]], share: float = CONTAINED):
-        self.share, self.sets, signature, self.partitions = share, {}, defaultdict(set), defaultdict(list)
+        self.share, self.sets, signature = share, {}, defaultdict(set)
         for item, text in items:
             joined, starts, ends = spans(words_of(text))
             shingles = {joined[s:e] for s, e in zip(starts.tolist(), ends.tolist())}
             if not shingles:
                 continue
             self.sets[item] = shingles
-            self.partitions[len(shingles).bit_length()].append(item)
-        for size in sorted(self.partitions):
-            for item in self.partitions[size]:
-                own = self.sets[item]
-                order = sorted(xxhash.xxh3_64_intdigest(s) for s in own)
-                for h in order[: len(own) - needed(len(own), share) + 1]:
-                    signature[h].add(item)
+        for item, own in self.sets.items():
+            order = sorted(xxhash.xxh3_64_intdigest(s) for s in own)
+            for h in order[: len(own) - needed(len(own), share) + 1]:
+                signature[h].add(item)
         self.keys = np.array(sorted(signature), dtype=np.uint64)
         self.items = [sorted(signature[int(k)]) for k in self.keys]
         #: One bit for each 20-bit prefix that some key has: most shingles end here.
@@ -115,20 +111,17 @@ def blocks(items: DataFrame, id_col: str, text_col: str, size: int = BLOCK_SHING
 
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = CONTAINED) -> DataFrame:
     """(id_col, items array<long>, max_containment): one row for each row of docs; no item: an empty array and 0."""
-    parts = []
-    for block in blocks(items, item_id, item_text):
+    found = "items array<long>, max_containment double"
+    out, carried, every = docs.select(F.col(id_col), F.col(text_col).alias("_text")), (), blocks(items, item_id, item_text)
+    for left, block in zip(range(len(every) - 1, -1, -1), every):
         index = docs.sparkSession.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in block.collect()], share))
 
-        def one(text, index=index):
-            found = index.value.search(text)
-            return [i for i, _ in found], max((c for _, c in found), default=0.0)
+        def one(text, before=(), most=0.0, index=index, left=left):
+            own = index.value.search(text)
+            return *([text] if left else []), sorted([*before, *(i for i, _ in own)]), max([most, *(c for _, c in own)])
 
-        parts.append(text_batches(docs, id_col, text_col, one, "items array<long>, max_containment double"))
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.unionByName(other)
-    if len(parts) > 1:
-        out = out.groupBy(id_col).agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.max("max_containment").alias("max_containment"))
+        out = text_batches(out, id_col, "_text", one, f"_text string, {found}" if left else found, *carried)
+        carried = ("items", "max_containment")
     return out
 
 

@@ -57,3 +57,14 @@ def test_odd_rows(spark):
     assert out.columns == odd(spark).columns and out.count() == len(odd_rows()) - 4
     none = items.where("false")
     assert decontam.without_contaminated(odd(spark), none).count() == len(odd_rows()) and decontam.contaminated(empty(spark), items).count() == 0
+
+
+def test_blocks_give_a_row_for_each_row(spark, monkeypatch):
+    items = spark.createDataFrame([(i, words(30, 31 * i)) for i in range(40)], "item_id long, text string")
+    held = f"{words(30, 31 * 3)} and {words(30, 31 * 17)}"
+    docs = spark.createDataFrame([(1, held), (1, held), (1, "nothing"), (None, held), (None, "nothing"), (None, None)], "doc_id long, text string")
+    real = decontam.blocks
+    monkeypatch.setattr(decontam, "blocks", lambda d, i, t: real(d, i, t, 500))
+    assert len(decontam.blocks(items, "item_id", "text")) > 1
+    got = sorted((r.doc_id or 0, list(r["items"]), r.max_containment) for r in decontam.contaminated(docs, items).collect())
+    assert got == [(0, [], 0.0), (0, [], 0.0), (0, [3, 17], 1.0), (1, [], 0.0), (1, [3, 17], 1.0), (1, [3, 17], 1.0)]
