@@ -3,8 +3,9 @@
 A record's slot is the hash of its id modulo ``SLOTS``; it never changes.  Bytes
 and rows are summed by slot, and a small versioned map sends slots to shards.
 Version 1 deals slots out largest first to the emptiest shard; ``slot_map`` makes
-a later version of a given one by moving slots from the fullest shards to the emptiest until the sizes are
-near equal.  ``assign`` gives it none: its version is always 1.  The map has SLOTS rows whatever the input, so it is worked out on
+a later version of a given one by moving slots from the fullest shards to the
+emptiest until the sizes are near equal.  ``assign`` gives it none: its version
+is always 1.  The map has SLOTS rows whatever the input, so it is worked out on
 the driver and broadcast.
 
 Null ids share one slot; null texts have no bytes.  Rows with equal ids stay
