@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Callable
 
@@ -13,53 +11,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of an Arrow batch: with texts of 100 kB a batch stays near 50 MB.
-BATCH_ROWS = 500
+#: Bytes of an Arrow batch on its way to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+_BY_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Python workers get a few hundred whole texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def by_bytes(spark: SparkSession) -> None:
+    """Python workers get a few megabytes of whole rows at a time; one setting for all operators, which changes no result."""
+    if spark.conf.get(_BY_BYTES, None) != str(BATCH_BYTES):
+        spark.conf.set(_BY_BYTES, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the session has none."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "/tmp/checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
+    """The folder all executors share, as the session names it; where it names none, one in the warehouse, which is shared as well."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_tables"
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+class Tables:
+    """The intermediate tables of one run of an operator, in a folder of their own within the shared one.
+
+    A table cuts lineage and survives lost executors.  :meth:`result` writes the
+    last one beside the folder and removes all others.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        return _written(df, f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}", partition_by)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        out = _written(df, f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
+        remove(self.spark, self.folder)
+        return out
+
+
+def _written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_stored(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more.
-
-    Twice: the first turn frees Python's handles, the second what they held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def text_batches(df: DataFrame, id_col: str, text_col: str, one: Callable, schema: str, *more: str) -> DataFrame:
     """Apply one(text, *more) -> tuple to each row, in Arrow batches, next to id_col."""
-    small_batches(df.sparkSession)
+    by_bytes(df.sparkSession)
     fields = T._parse_datatype_string(schema).fields
     kind = T.StructType([df.schema[id_col], *fields])
     arrow = to_arrow_schema(kind)
@@ -74,7 +75,7 @@ def text_batches(df: DataFrame, id_col: str, text_col: str, one: Callable, schem
     return df.select(F.col(id_col), F.col(text_col), *more).mapInArrow(run, kind)
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str, parts: int | None = None, segment: str | None = None) -> DataFrame:
+def running_total(df: DataFrame, tables: Tables, order: str, value: str, out: str, parts: int | None = None, segment: str | None = None) -> DataFrame:
     """Add out = the sum of value over all rows with a smaller order key, without one global task.
 
     Rows are dealt by range and stored with their range's number; the totals of
@@ -83,14 +84,14 @@ def running_total(df: DataFrame, order: str, value: str, out: str, parts: int |
     """
     spark = df.sparkSession
     n = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = stored(df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()), "ranged")
+    ranged = tables.stored(df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
     before = totals.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return ranged.withColumn("_in", inside - F.col(value)).join(F.broadcast(before), "_range").withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).withColumnsRenamed({"_range": segment} if segment else {}).drop("_range", "_in", "_before")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
     """(node, root): root is the least node of the component; nodes without an edge do not appear.
 
     Each round links every node to its least neighbour's root, lets a root learn the
@@ -100,15 +101,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     many edges.
     """
     both = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v")
-    both = stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).withColumnRenamed("u", "node"), "labels")
+    both = tables.stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    labels = tables.stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).withColumnRenamed("u", "node"), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v").groupBy("u").agg(F.min("rv").alias("near"))
         stepped = labels.join(near, labels.node == near.u, "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
         best = stepped.groupBy("root").agg(F.min("low").alias("best"))
         hooked = stepped.join(best, "root").select("node", F.col("root").alias("old"), F.least("low", "best").alias("root"))
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = stored(hooked.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
+        new = tables.stored(hooked.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
         moved = new.where("root <> old").limit(1).count()
         labels = new.select("node", "root")
         if not moved:

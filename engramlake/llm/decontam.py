@@ -129,9 +129,9 @@ def without_contaminated(docs: DataFrame, items: DataFrame, **names) -> DataFram
     """The rows of docs that contain no item; columns unchanged."""
     import pyarrow as pa
 
-    from engramlake.llm.common import small_batches
+    from engramlake.llm.common import by_bytes
 
-    small_batches(docs.sparkSession)
+    by_bytes(docs.sparkSession)
     at = docs.columns.index("text")
     for block in blocks(items, "item_id", "text"):
         index = docs.sparkSession.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in block.collect()]))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import small_batches, text_batches
+from engramlake.llm.common import by_bytes, text_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -175,7 +175,7 @@ def label_counts(page: str | None) -> Counter:
 
 def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     """Weight of each token kind, from all labelled pages; the table has one row for each tag name."""
-    small_batches(pages.sparkSession)
+    by_bytes(pages.sparkSession)
 
     def count(batches):
         total: Counter = Counter()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import small_batches, text_batches
+from engramlake.llm.common import by_bytes, text_batches
 
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -110,7 +110,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     Each task adds up its own rows; sums meet by (language, bucket), and only the
     finished table of languages x buckets comes to the driver.
     """
-    small_batches(labelled.sparkSession)
+    by_bytes(labelled.sparkSession)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -154,7 +154,7 @@ def held_out(id_col: str = "doc_id"):
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose language can be told; texts without a letter go."""
-    small_batches(docs.sparkSession)
+    by_bytes(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

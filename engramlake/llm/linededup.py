@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import stored
+from engramlake.llm.common import Tables
 
 RATIO = 0.08
 MIN_PAGES = 4
@@ -42,7 +42,7 @@ def boilerplate(docs: DataFrame, *, host_col: str, text_col: str, ratio: float =
 
 def drop_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with the boilerplate lines cut from text_col; adds _n_lines and _n_dropped."""
-    found = stored(boilerplate(docs, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages), "boilerplate").withColumnRenamed("_host", "_bhost")
+    found = Tables(docs.sparkSession).result(boilerplate(docs, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages), "boilerplate").withColumnRenamed("_host", "_bhost")
     size = found.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0)).alias("n")).first()["n"]
     joined = docs.join(F.broadcast(found) if size <= BROADCAST_LINES else found, docs[host_col].eqNullSafe(F.col("_bhost")), "left")
     lines = F.split(text_col, "\n")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import connected_components, stored, text_batches
+from engramlake.llm.common import Tables, connected_components, text_batches
 
 WORDS = 3
 BITS = 3
@@ -71,22 +71,22 @@ def _near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, tables: Tables) -> DataFrame:
     """Edges (a, b) between different fingerprints that give the components of all links at 3 bits or fewer."""
     keys = variants(fps)
-    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
+    shared = tables.stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     twos = shared.where("n = 2").where(_near("a", "b")).select("a", "b").distinct()
-    members = stored(keys.join(shared.where("n > 2").select("key", "n"), "key"), "members")
+    members = tables.stored(keys.join(shared.where("n > 2").select("key", "n"), "key"), "members")
     few = members.where(F.col("n") <= CROWD).select("key", "fp")
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").where(_near("a", "b")).select("a", "b").distinct()
-    return twos.unionByName(pairs).unionByName(crowd_links(members.where(F.col("n") > CROWD).select("fp").distinct()))
+    return twos.unionByName(pairs).unionByName(crowd_links(members.where(F.col("n") > CROWD).select("fp").distinct(), tables))
 
 
-def crowd_links(fps: DataFrame) -> DataFrame:
+def crowd_links(fps: DataFrame, tables: Tables) -> DataFrame:
     """Edges among fingerprints of crowded variants, by the points between them."""
     bit = F.explode(F.sequence(F.lit(0), F.lit(63)))
     one = fps.select("fp", bit.alias("i")).selectExpr("fp", "fp ^ shiftleft(1L, i) as p").unionByName(fps.selectExpr("fp", "fp as p"))
-    least = stored(one.groupBy("p").agg(F.min("fp").alias("m")), "points")
+    least = tables.stored(one.groupBy("p").agg(F.min("fp").alias("m")), "points")
     near = one.join(least, "p").where("fp <> m").selectExpr("m as a", "fp as b").distinct()
     two = fps.select("fp", bit.alias("i")).select("fp", "i", bit.alias("j")).where("i < j").selectExpr("fp", "fp ^ shiftleft(1L, i) ^ shiftleft(1L, j) as p")
     far = two.join(least, "p").where("fp <> m").selectExpr("least(m, fp) as a", "greatest(m, fp) as b").distinct()
@@ -95,13 +95,14 @@ def crowd_links(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id): one row for each document; component_id is the least id of its component."""
-    rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
+    tables = Tables(docs.sparkSession)
+    rows = tables.stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     heads = rows.groupBy("fp").agg(F.min(id_col).alias("head"))
-    roots = connected_components(links(heads.select("fp")))
+    roots = connected_components(links(heads.select("fp"), tables), tables)
     joined = heads.join(roots, heads.fp == roots.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("head").alias("component_id"))
     named = joined.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    return tables.result(rows.join(named, "fp").select(id_col, "fp", "component_id"), "components")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

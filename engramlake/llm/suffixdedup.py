@@ -6,26 +6,32 @@ document that holds it.
 
 1. Windows are dealt by content: a window's key is the least hash of its 24-byte
    grams, so equal windows have equal keys wherever they stand, and neighbouring
-   windows mostly share one.  A first pass sends keys (6 bytes each, not texts) to
-   find those that occur in two different texts; the rest of a text is done with.
-2. Runs of windows with one shared key become strings of 50 to 113 bytes.  They
-   are dealt by key, so that all occurrences of a window meet.
+   windows mostly share one.  A first pass sends (key, text's hash), not texts, to
+   find the keys of two or more different texts; the rest of a text is done with.
+2. Runs of windows with one shared key become strings of 50 to 113 bytes, one row
+   each.  They are dealt by key, so that all occurrences of a window meet.
 3. Where a key has different strings, their collection Burrows-Wheeler transform
    and longest common prefixes are built column by column: each round puts one
    more symbol in front of every string's suffix, reorders the transform and
    updates the common prefixes (:func:`suffix_order`).  The columns go through
    sequential files once they are large.  Intervals with a common prefix of 50
    or more are equal windows; the least document of an interval owns it.
-4. The owners return to the blocks of documents that sent the strings, become
-   byte ranges, and meet the texts once more.
-
-Exact copies of a text are found by SHA-256 before: all of a copy goes (if it has
-50 bytes), so only the first of each takes part.  A block of documents sends a
-string once, so a passage that a third of all documents hold costs each task a
-row a block; keys with too many different strings are dealt again by single
-windows.  The rounds of step 3 are bounded by the strings' length, which is why
-the method stays linear here; over whole documents it would take as many rounds
-as the longest document has bytes.
+4. Each string's row carries where its text holds it, so the owners turn into byte
+   ranges at once, which meet the texts once more.
+
+Memory: a block of ``BLOCK_BYTES`` of texts, or strings of about ``ORDER_BYTES``,
+is all a task holds at a time; keys and strings are plain rows that Spark sorts
+and spills, so nothing depends on the number of partitions.
+
+Hot content: exact copies of a text are found by SHA-256 before: all of a copy
+goes (if it has 50 bytes), so only the first of each takes part.  A block sends a
+string once, with the block's least document; its other documents lose the string
+at once.  A key that several texts of a block hold is sent as one marker, and goes
+to those texts under keys of their own.  A key with over ``CROWDED_BYTES`` of
+strings is resolved by grouping its single windows in Spark.  The rounds of step 3
+are bounded by the strings' length, which is why the method stays linear here;
+over whole documents it would take as many rounds as the longest document has
+bytes.
 
 Null texts are empty.  Rows with a null id are kept whole.  Rows that share an id
 never remove each other.
@@ -39,23 +45,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import release, small_batches, stored
+from engramlake.llm.common import Tables, by_bytes
 
 LENGTH = 50
 GRAM = 24
 #: Windows of one string at most.
 RUN = 64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_PIECES = 60_000
-#: Bytes of strings whose suffixes are ordered at once, and from which a bucket is dealt again by windows.
+#: Bytes of strings whose suffixes are ordered at once, and of rows taken up at once.
 ORDER_BYTES = 1 << 20
-CROWDED_BYTES = 96 << 20
+TAKEN_BYTES = 2 << 20
+#: Bytes of one key's strings from which its windows are grouped by Spark instead.
+CROWDED_BYTES = 4 << 20
 #: Entries of a column from which it is kept in a file between rounds.
-FILE_ENTRIES = 32 << 20
+FILE_ENTRIES = 4 << 20
+KEY_BITS = (1 << 48) - 1
 
 
 # ---- windows and their keys ----
@@ -98,7 +106,7 @@ class Block:
     def __init__(self):
         self.owners, self.bases, self.parts, self.size = [], [], [], 0
 
-    def add(self, owner: int, base: int, data: bytes) -> None:
+    def add(self, owner, base: int, data: bytes) -> None:
         self.owners.append(owner)
         self.bases.append(base)
         self.parts.append(data)
@@ -152,182 +160,112 @@ def in_blocks(batches, rows) -> Iterator[tuple[Block, list]]:
         yield block, more
 
 
-def pack48(keys: np.ndarray) -> bytes:
-    return (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (keys >> np.uint64(32)).astype("<u2").tobytes()
+def edges_of(*columns: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows of sorted columns starts."""
+    if not len(columns[0]):
+        return np.zeros(0, dtype=np.int64)
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def unpack48(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+# ---- 1: keys that two different texts hold ----
 
 
-def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order])) + 1
-    for own in np.split(order, edges) if len(order) else ():
-        yield int(bucket[own[0]]), own
+def block_keys(batches):
+    """(key, owner) once a block: keys of one text as they are; keys of more as (key, null), and for each of those texts under a negative key of its own."""
+    rows = lambda b: zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [None] * len(b))
+    for block, _ in in_blocks(batches, rows):
+        block.runs()
+        owner = np.array(block.owners, dtype=np.int64)[block.piece]
+        order = np.lexsort((owner, block.keys))
+        keys, owner = block.keys[order], owner[order]
+        new = edges_of(keys, owner)
+        keys, owner = keys[new], owner[new]
+        first = edges_of(keys)
+        count = np.diff(np.append(first, len(keys)))
+        several = np.repeat(count > 1, count)
+        marked = keys[first[count > 1]]
+        own = keys[several] | (owner[several].astype(np.uint64) & np.uint64(0x7FFF)) << np.uint64(48) | np.uint64(1 << 63)
+        owners = np.concatenate([owner[~several], np.zeros(len(marked), dtype=np.int64), owner[several]])
+        unnamed = np.zeros(len(owners), dtype=bool)
+        unnamed[(~several).sum() : (~several).sum() + len(marked)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[~several], marked, own]).view(np.int64)), pa.array(owners, mask=unnamed)], names=["key", "owner"])
 
 
-# ---- 1: keys that two different texts hold ----
-
-MARKS = "kind int, bucket int, keys binary, owners binary"
-SINGLE, SHARED, REPLY = 0, 1, 2
-
-
-def _rows(rows, names, types):
-    columns = list(zip(*rows)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-
-def _mark_rows(rows):
-    return _rows(rows, ["kind", "bucket", "keys", "owners"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
-
-
-def _send(kind, keys, owners, buckets, by_owner=False):
-    for bucket, own in by_bucket((owners if by_owner else keys.astype(np.int64)) % buckets):
-        yield kind, bucket, pack48(keys[own]), owners[own].astype("<i8").tobytes() if owners is not None else b""
-
-
-def send_keys(buckets: int):
-    """Each block's keys: those of one text to the key's bucket, those of more straight back to their texts."""
-
-    def run(batches):
-        rows = lambda b: zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [None] * len(b))
-        for block, _ in in_blocks(batches, rows):
-            block.runs()
-            owner = np.array(block.owners, dtype=np.int64)[block.piece]
-            order = np.lexsort((owner, block.keys))
-            keys, owner = block.keys[order], owner[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]) if len(keys) else np.zeros(0, bool)
-            keys, owner = keys[new], owner[new]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(keys)))
-            shared = np.repeat(count > 1, count)
-            out = list(_send(SINGLE, keys[~shared], owner[~shared], buckets))
-            out += _send(SHARED, keys[first[count > 1]], None, buckets)
-            out += _send(REPLY, keys[shared], owner[shared], buckets, by_owner=True)
-            yield _mark_rows(out)
-
-    return run
-
-
-def match_keys(buckets: int):
-    """Singles whose key a second text or a block's shared list holds are returned to their text."""
-
-    def flush(singles, shared):
-        if singles:
-            keys, owner = np.concatenate([unpack48(k) for k, _ in singles]), np.concatenate([np.frombuffer(o, "<i8") for _, o in singles])
-            order = np.lexsort((owner, keys))
-            keys, owner = keys[order], owner[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
-            keys, owner = keys[new], owner[new]
-            count = np.diff(np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys)))
-            both = np.repeat(count > 1, count)
-            if shared:
-                both |= np.isin(keys, np.concatenate([unpack48(k) for k in shared]))
-            if both.any():
-                yield _mark_rows(list(_send(REPLY, keys[both], owner[both], buckets, by_owner=True)))
-
-    def run(batches):
-        singles, shared, bucket = [], [], None
-        for batch in batches:
-            for kind, b, keys, owners in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == REPLY:
-                    yield _mark_rows([(kind, b, keys, owners)])
-                    continue
-                if bucket != b:
-                    yield from flush(singles, shared)
-                    singles, shared, bucket = [], [], b
-                if kind == SINGLE:
-                    singles.append((keys, owners))
-                else:
-                    shared.append(keys)
-        yield from flush(singles, shared)
-
-    return run
-
-
-def gather_keys(batches):
-    """(owner, keys) of each text that has shared keys."""
-
-    def flush(parts):
-        if parts:
-            keys, owner = np.concatenate([unpack48(k) for k, _ in parts]), np.concatenate([np.frombuffer(o, "<i8") for _, o in parts])
-            order = np.lexsort((keys, owner))
-            keys, owner = keys[order], owner[order]
-            rows = [(int(owner[own[0]]), pack48(np.unique(keys[own]))) for _, own in by_bucket(owner)]
-            yield _rows(rows, ["owner", "shared"], [pa.int64(), pa.binary()])
-
-    parts, bucket = [], None
-    for batch in batches:
-        for _, b, keys, owners in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket != b:
-                yield from flush(parts)
-                parts, bucket = [], b
-            parts.append((keys, owners))
-    yield from flush(parts)
+def shared_keys(texts: DataFrame) -> DataFrame:
+    """(owner, shared array<long>): the keys of each text that another text holds too."""
+    group = Window.partitionBy("key")
+    keys = texts.select("owner", "data").mapInArrow(block_keys, "key long, owner long")
+    seen = keys.select("key", "owner", F.min("owner").over(group).alias("least"), F.max("owner").over(group).alias("most"), F.max(F.col("owner").isNull()).over(group).alias("marked"))
+    found = seen.where("owner is not null and (key < 0 or marked or least <> most)")
+    return found.groupBy("owner").agg(F.collect_set(F.col("key").bitwiseAND(F.lit(KEY_BITS))).alias("shared"))
 
 
 # ---- 2: strings of windows with a shared key ----
 
-STRINGS = "kind string, bucket int, block long, ids binary, lens binary, bases binary, docs binary, keys binary, data binary"
-STRING_COLUMNS = ["kind", "bucket", "block", "ids", "lens", "bases", "docs", "keys", "data"]
-STRING_TYPES = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
-
-
-def send_strings(buckets: int):
-    def run(batches):
-        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        rows = lambda b: zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
-        for number, (block, marks) in enumerate(in_blocks(batches, rows)):
-            block.runs()
-            shared = np.sort(np.concatenate([unpack48(m) | np.uint64(i) << np.uint64(48) for i, m in enumerate(marks)]))
-            mine = block.keys | block.piece.astype(np.uint64) << np.uint64(48)
-            at = np.minimum(np.searchsorted(shared, mine), len(shared) - 1)
-            run_no = np.flatnonzero(shared[at] == mine)
-            if not len(run_no):
-                continue
-            starts, counts, keys = block.starts[run_no], block.counts[run_no], block.keys[run_no]
-            piece = block.piece[run_no]
-            doc = np.array(block.owners, dtype=np.int64)[piece]
-            position = starts - block.offsets[piece] + np.array(block.bases, dtype=np.int64)[piece]
-            raw, known, ids = block.data.tobytes(), {}, np.empty(len(run_no), dtype=np.int64)
-            for i, (s, c) in enumerate(zip(starts.tolist(), counts.tolist())):
-                ids[i] = known.setdefault(raw[s : s + c + LENGTH - 1], len(known))
-            texts = list(known)
-            least = np.full(len(texts), np.iinfo(np.int64).max)
-            np.minimum.at(least, ids, doc)
-            key_of = np.zeros(len(texts), dtype=np.uint64)
-            key_of[ids] = keys
-            lens = np.array([len(t) for t in texts], dtype="<u1")
-            out = [("seen", None, task | number, ids.astype("<u4").tobytes(), lens.tobytes(), position.astype("<i8").tobytes(), doc.astype("<i8").tobytes(), least.astype("<i8").tobytes(), None)]
-            for bucket, own in by_bucket((key_of % np.uint64(buckets)).astype(np.int64)):
-                out.append(("string", bucket, task | number, own.astype("<u4").tobytes(), lens[own].tobytes(), bytes(len(own)), least[own].astype("<i8").tobytes(), key_of[own].astype("<u8").tobytes(), b"".join([texts[i] for i in own])))
-            yield _rows(out, STRING_COLUMNS, STRING_TYPES)
-
-    return run
-
-
-def split_strings(buckets: int):
-    """Strings of crowded buckets as single windows, dealt by the window's own hash."""
-
-    def run(batches):
-        for batch in batches:
-            for _, _, block, ids, lens, _, docs, _, data in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, lens, docs = np.frombuffer(ids, "<u4"), np.frombuffer(lens, "<u1").astype(np.int64), np.frombuffer(docs, "<i8")
-                at, rows = np.cumsum(lens) - lens, []
-                for i, (a, n) in enumerate(zip(at.tolist(), lens.tolist())):
-                    for o in range(n - LENGTH + 1):
-                        w = data[a + o : a + o + LENGTH]
-                        rows.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), i, o, w))
-                key = np.array([r[0] for r in rows], dtype=np.uint64)
-                out = []
-                for bucket, own in by_bucket((key % np.uint64(buckets)).astype(np.int64)):
-                    i = np.array([rows[k][1] for k in own])
-                    out.append(("string", bucket, block, ids[i].astype("<u4").tobytes(), bytes([LENGTH]) * len(own), bytes([rows[k][2] for k in own]), docs[i].astype("<i8").tobytes(), key[own].astype("<u8").tobytes(), b"".join([rows[k][3] for k in own])))
-                yield _rows(out, STRING_COLUMNS, STRING_TYPES)
-
-    return run
+PARTS = "kind string, key long, doc_id long, owner long, positions array<long>, data binary, start long, end long"
+NAMES = ["kind", "key", "doc_id", "owner", "positions", "data", "start", "end"]
+TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
+
+
+def _parts(kind: str, n: int, **columns):
+    """A batch of PARTS with what is given."""
+    filled = [columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(NAMES[1:], TYPES[1:])]
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.string()).take(pa.array(np.zeros(n, dtype=np.int32))), *filled], names=NAMES)
+
+
+def block_strings(batches):
+    """'string' rows: each different string of a block with the block's least document and its positions there; 'range' rows: what the block's other documents lose to that one."""
+
+    def rows(batch):
+        shared = batch.column(3)
+        values, at = shared.flatten().to_numpy(), shared.offsets.to_numpy() - shared.offsets[0].as_py()
+        for i, (doc, owner, data) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+            yield (doc, owner), data, values[at[i] : at[i + 1]]
+
+    for block, marks in in_blocks(batches, rows):
+        block.runs()
+        shared = np.sort(np.concatenate([m.astype(np.uint64) | np.uint64(i << 48) for i, m in enumerate(marks)]))
+        mine = block.keys | block.piece.astype(np.uint64) << np.uint64(48)
+        at = np.minimum(np.searchsorted(shared, mine), len(shared) - 1)
+        run_no = np.flatnonzero(shared[at] == mine) if len(shared) else np.zeros(0, dtype=np.int64)
+        if not len(run_no):
+            continue
+        starts, counts, keys, piece = (c[run_no] for c in (block.starts, block.counts, block.keys, block.piece))
+        named = np.array(block.owners, dtype=np.int64)
+        doc, owner = named[piece, 0], named[piece, 1]
+        position = starts - block.offsets[piece] + np.array(block.bases, dtype=np.int64)[piece]
+        raw, known, ids = block.data.tobytes(), {}, np.empty(len(run_no), dtype=np.int64)
+        for i, (s, c) in enumerate(zip(starts.tolist(), counts.tolist())):
+            ids[i] = known.setdefault(raw[s : s + c + LENGTH - 1], len(known))
+        texts = np.array(list(known), dtype=object)
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, ids, doc)
+        lost = doc > least[ids]
+        if lost.any():
+            yield _ranges(doc[lost], owner[lost], position[lost], position[lost] + counts[lost] + LENGTH - 1)
+        own = np.flatnonzero(~lost)
+        own = own[np.lexsort((position[own], owner[own], ids[own]))]
+        first = edges_of(ids[own], owner[own])
+        head = own[first]
+        yield _parts(
+            "string", len(first), key=pa.array(keys[head].view(np.int64)), doc_id=pa.array(doc[head]), owner=pa.array(owner[head]), data=pa.array(texts[ids[head]].tolist(), pa.binary()),
+            positions=pa.ListArray.from_arrays(pa.array(np.append(first, len(own)).astype(np.int32)), pa.array(position[own])),
+        )
+
+
+def _ranges(doc: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """'range' rows, those that touch as one; ranges that start later must not end earlier."""
+    order = np.lexsort((start, owner, doc))
+    doc, owner, start, end = doc[order], owner[order], start[order], end[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    return _parts("range", len(first), doc_id=pa.array(doc[first]), owner=pa.array(owner[first]), start=pa.array(start[first]), end=pa.array(end[last]))
 
 
 # ---- 3: the suffix order of a collection of strings ----
@@ -428,69 +366,77 @@ def window_owners(data: np.ndarray, lens: np.ndarray, docs: np.ndarray) -> np.nd
     return out
 
 
+FOUND = "doc_id long, owner long, start long, end long"
+
+
 def find_owners(batches):
-    """Per block: (string, first window, windows, owner) where a smaller document than the block's own holds the windows."""
+    """'range' rows of the documents that lose windows of their strings; rows come sorted by key."""
 
-    def flush(parts):
-        if not parts:
-            return
-        join = lambda i, t: np.concatenate([np.frombuffer(p[i], t) for p in parts])
-        ids, lens, bases, docs, keys = join(1, "<u4"), join(2, "<u1").astype(np.int64), join(3, "<u1"), join(4, "<i8"), join(5, "<u8")
-        blocks = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), [len(p[2]) for p in parts])
-        data, at, known = b"".join(p[6] for p in parts), np.cumsum(lens) - lens, {}
-        which = np.empty(len(ids), dtype=np.int64)
-        for i, (a, n) in enumerate(zip(at.tolist(), lens.tolist())):
-            which[i] = known.setdefault(data[a : a + n], len(known))
+    def resolve(rows: pa.Table):
+        keys, docs, owners = (rows.column(c).to_numpy() for c in ("key", "doc_id", "owner"))
+        positions = rows.column("positions").combine_chunks()
+        known: dict[bytes, int] = {}
+        which = np.fromiter((known.setdefault(t, len(known)) for t in rows.column("data").to_pylist()), dtype=np.int64, count=len(rows))
         texts = list(known)
         ulens = np.array([len(t) for t in texts], dtype=np.int64)
         least = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(least, which, docs)
-        ukeys = np.zeros(len(texts), dtype=np.uint64)
+        ukeys = np.zeros(len(texts), dtype=np.int64)
         ukeys[which] = keys
         windows = ulens - LENGTH + 1
         base = np.cumsum(windows) - windows
         owner = np.repeat(least, windows)
         # a key with one string needs no order: its windows repeat only with the string
         order = np.argsort(ukeys, kind="stable")
-        k = ukeys[order]
-        edge = np.concatenate([[True], k[1:] != k[:-1]])
-        alone = edge & np.concatenate([edge[1:], [True]])
-        rest = order[~alone]
-        size = np.cumsum(ulens[rest])
-        for cut in np.split(rest, _cuts(ukeys[rest], size)):
+        edge = np.zeros(len(order) + 1, dtype=bool)
+        edge[edges_of(ukeys[order])] = edge[-1] = True
+        rest = order[~(edge[:-1] & edge[1:])]
+        for cut in np.split(rest, _cuts(ukeys[rest], np.cumsum(ulens[rest]))):
             if len(cut):
-                found = window_owners(np.frombuffer(b"".join([texts[i] for i in cut]), dtype=np.uint8), ulens[cut], least[cut])
                 w = windows[cut]
                 target = np.repeat(base[cut] - (np.cumsum(w) - w), w) + np.arange(w.sum())
-                owner[target] = found
-        # runs of windows with one owner, for each string that was sent
+                owner[target] = window_owners(np.frombuffer(b"".join([texts[i] for i in cut]), dtype=np.uint8), ulens[cut], least[cut])
+        # the runs of windows that a row's document loses
         w = windows[which]
-        row = np.repeat(np.arange(len(ids)), w)
-        inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        value = owner[np.repeat(base[which], w) + inside]
-        hit = np.flatnonzero(value < docs[row])
-        row, inside, value = row[hit], inside[hit], value[hit]
+        row = np.repeat(np.arange(len(which), dtype=np.int32), w)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
+        hit = np.flatnonzero(owner[np.repeat(base[which], w) + inside] < docs[row])
+        row, inside = row[hit], inside[hit]
         if not len(row):
             return
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (inside[1:] != inside[:-1] + 1) | (value[1:] != value[:-1])])
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (inside[1:] != inside[:-1] + 1)
         first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(row)))
-        row, start, value = row[first], inside[first] + bases[row[first]], value[first]
-        rows = []
-        for _, own in by_bucket(blocks[row]):
-            rows.append(("owner", None, int(blocks[row[own[0]]]), ids[row[own]].astype("<u4").tobytes(), count[own].astype("<u1").tobytes(), start[own].astype("<u1").tobytes(), value[own].astype("<i8").tobytes(), None, None))
-        yield _rows(rows, STRING_COLUMNS, STRING_TYPES)
-
-    parts, size, bucket = [], 0, None
+        row, start, count = row[first], inside[first], np.diff(np.append(first, len(row)))
+        offsets = positions.offsets.to_numpy() - positions.offsets[0].as_py()
+        times = (offsets[1:] - offsets[:-1])[row]
+        spread = np.repeat(np.arange(len(row)), times)
+        place = positions.flatten().to_numpy()[np.repeat(offsets[row] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        begin = place + start[spread]
+        yield _ranges(docs[row][spread], owners[row][spread], begin, begin + count[spread] + LENGTH - 1).select(["doc_id", "owner", "start", "end"])
+
+    held, size = [], 0
     for batch in batches:
-        for _, b, block, ids, lens, bases, docs, keys, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != bucket and size >= ORDER_BYTES:
-                yield from flush(parts)
-                parts, size = [], 0
-            bucket = b
-            parts.append((block, ids, lens, bases, docs, keys, data))
-            size += len(data)
-    yield from flush(parts)
+        keys = batch.column(0).to_numpy()
+        if size >= TAKEN_BYTES:
+            last = int(np.searchsorted(keys, held[-1].column(0)[-1].as_py(), side="right")) if len(keys) else 0
+            if last < len(keys):  # what is held, up to the end of its last key
+                yield from resolve(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                batch, held, size = batch.slice(last), [], 0
+        if len(batch):
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield from resolve(pa.Table.from_batches(held))
+
+
+def crowded_ranges(strings: DataFrame) -> DataFrame:
+    """The same ranges from single windows, grouped by Spark; one range a lost window."""
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("data") - LENGTH)).alias("at")
+    single = strings.select("doc_id", "owner", "positions", "data", at).select("doc_id", "owner", "positions", "at", F.expr(f"substring(data, at + 1, {LENGTH})").alias("piece"))
+    least = single.groupBy("piece").agg(F.min("doc_id").alias("least"))
+    lost = single.join(least, "piece").where("least < doc_id").select("doc_id", "owner", "at", F.explode("positions").alias("place"))
+    return lost.select("doc_id", "owner", (F.col("place") + F.col("at")).alias("start"), (F.col("place") + F.col("at") + LENGTH).alias("end"))
 
 
 def _cuts(keys: np.ndarray, size: np.ndarray) -> list[int]:
@@ -502,51 +448,7 @@ def _cuts(keys: np.ndarray, size: np.ndarray) -> list[int]:
     return edges[np.flatnonzero(np.diff(part, prepend=0))].tolist()
 
 
-# ---- 4: back to byte ranges and texts ----
-
-
-def to_ranges(batches):
-    """(doc_id, starts, ends) of what each document loses, from its block's strings and their owners."""
-
-    def flush(seen, owners):
-        if seen is None:
-            return
-        ids, lens, position, doc, least = (np.frombuffer(x, t) for x, t in zip(seen, ("<u4", "<u1", "<i8", "<i8", "<i8")))
-        windows = lens.astype(np.int64) - LENGTH + 1
-        base = np.cumsum(windows) - windows
-        owner = np.repeat(least, windows)
-        for i, count, start, value in owners:
-            i, count, start, value = np.frombuffer(i, "<u4"), np.frombuffer(count, "<u1").astype(np.int64), np.frombuffer(start, "<u1"), np.frombuffer(value, "<i8")
-            target = np.repeat(base[i] + start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            np.minimum.at(owner, target, np.repeat(value, count))
-        w = windows[ids]
-        row = np.repeat(np.arange(len(ids)), w)
-        inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        lost = np.flatnonzero(owner[base[ids[row]] + inside] < doc[row])
-        doc, at = doc[row[lost]], position[row[lost]] + inside[lost]
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        if not len(doc):
-            return
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + LENGTH)])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
-        d, s, e = doc[first], at[first], at[last] + LENGTH
-        rows = [(int(d[own[0]]), s[own].astype("<i8").tobytes(), e[own].astype("<i8").tobytes()) for _, own in by_bucket(d)]
-        yield _rows(rows, ["doc_id", "starts", "ends"], [pa.int64(), pa.binary(), pa.binary()])
-
-    seen, owners, block = None, [], None
-    for batch in batches:
-        for kind, _, b, ids, lens, bases, docs, keys, _ in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != block:
-                yield from flush(seen, owners)
-                seen, owners, block = None, [], b
-            if kind == "seen":
-                seen = (ids, lens, bases, docs, keys)
-            else:
-                owners.append((ids, lens, bases, docs))
-    yield from flush(seen, owners)
-
+# ---- 4: back to the texts ----
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -563,14 +465,15 @@ def cut_texts(batches):
                 at = e
             kept.update(data[at:])
             rows.append((doc, len(data), sum(e - s for s, e in spans), len(spans), kept.hexdigest()))
-        yield _rows(rows, names, types)
+        columns = list(zip(*rows)) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
 def kept_spans(data: bytes, doc, first: bool, ranges) -> list[tuple[int, int]]:
     """Maximal removed runs, in order."""
     if doc is not None and not first:
         return [(0, len(data))] if len(data) >= LENGTH else []
-    found = sorted((s, e) for r in ranges or [] for s, e in zip(np.frombuffer(r["starts"], "<i8").tolist(), np.frombuffer(r["ends"], "<i8").tolist()))
+    found = sorted((r["start"], r["end"]) for r in ranges or [])
     out: list[tuple[int, int]] = []
     for s, e in found:
         if out and s <= out[-1][1]:
@@ -580,39 +483,30 @@ def kept_spans(data: bytes, doc, first: bool, ranges) -> list[tuple[int, int]]:
     return out
 
 
-def removed_ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def removed_ranges(docs: DataFrame, tables: Tables, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(texts, info): the rows with data and content hash, and for the first row of each content its id, hash and ranges."""
-    spark = docs.sparkSession
-    small_batches(spark, 200)
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets, key_buckets = 4 * n, 2 * n  # a block sends each key bucket one row of a kind
+    by_bytes(docs.sparkSession)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")).withColumn("owner", F.xxhash64("data"))
-    first = stored(texts.where("doc_id is not null").groupBy(F.unhex(F.sha2("data", 256)).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.first("owner").alias("owner")).select("doc_id", "owner").distinct(), "firsts")
-    marks = texts.where("doc_id is not null").select("owner", "data").mapInArrow(send_keys(key_buckets), MARKS)
-    marks = marks.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(match_keys(key_buckets), MARKS)
-    marks = stored(marks.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(gather_keys, "owner long, shared binary"), "keys")
-    release(spark)
-    taking = first.join(marks, "owner")
-    sent = texts.join(taking.select("doc_id", "owner", "shared"), ["doc_id", "owner"]).select("doc_id", "data", "shared").mapInArrow(send_strings(buckets), STRINGS)
-    sent = stored(sent, "strings", partition_by="kind").select(*STRING_COLUMNS)
-    release(spark)
-    strings = sent.where("kind = 'string'")
-    sizes = strings.groupBy("bucket").agg(F.sum(F.octet_length("data")).alias("bytes")).where(F.col("bytes") > CROWDED_BYTES).collect()  # at most one row a bucket
-    crowded = [r["bucket"] for r in sizes]
-    dealt = strings
-    if crowded:
-        again = strings.where(F.col("bucket").isin(crowded)).mapInArrow(split_strings(16 * buckets), STRINGS)
-        dealt = strings.where(~F.col("bucket").isin(crowded)).unionByName(again.withColumn("bucket", F.col("bucket") + buckets))
-    owners = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(find_owners, STRINGS)
-    ranges = sent.where("kind = 'seen'").unionByName(owners).repartition(n, "block").sortWithinPartitions("block").mapInArrow(to_ranges, "doc_id long, starts binary, ends binary")
-    ranges = stored(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("ranges")), "ranges")
-    release(spark)
-    return texts, first.join(ranges, "doc_id", "left").withColumn("first", F.lit(True))
+    known = texts.where("doc_id is not null")
+    first = tables.stored(known.groupBy(F.unhex(F.sha2("data", 256)).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.first("owner").alias("owner")).select("doc_id", "owner").distinct(), "firsts")
+    shared = tables.stored(shared_keys(known), "keys")
+    taking = first.join(shared, "owner").select("doc_id", "owner", "shared")
+    parts = tables.stored(texts.join(taking, ["doc_id", "owner"]).select("doc_id", "owner", "data", "shared").mapInArrow(block_strings, PARTS), "strings", partition_by="kind")
+    strings = parts.where("kind = 'string'").select("key", "doc_id", "owner", "positions", "data")
+    crowded = tables.stored(strings.groupBy("key").agg(F.sum(F.octet_length("data")).alias("bytes")).where(F.col("bytes") > CROWDED_BYTES).select("key"), "crowded")
+    ranges = parts.where("kind = 'range'").select("doc_id", "owner", "start", "end")
+    if not crowded.isEmpty():
+        ranges = ranges.unionByName(crowded_ranges(strings.join(crowded, "key", "left_semi")))
+        strings = strings.join(crowded, "key", "left_anti")
+    found = strings.repartition("key").sortWithinPartitions("key").mapInArrow(find_owners, FOUND)
+    ranges = ranges.unionByName(found).groupBy("doc_id", "owner").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    return texts, first.join(ranges, ["doc_id", "owner"], "left").withColumn("first", F.lit(True))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    texts, info = removed_ranges(docs, id_col, text_col)
+    tables = Tables(docs.sparkSession)
+    texts, info = removed_ranges(docs, tables, id_col, text_col)
     joined = texts.join(info, ["doc_id", "owner"], "left").select("doc_id", "data", F.coalesce("first", F.lit(False)).alias("first"), "ranges")
-    return joined.mapInArrow(cut_texts, RESULT)
+    return tables.result(joined.mapInArrow(cut_texts, RESULT), "kept")

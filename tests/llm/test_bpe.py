@@ -43,7 +43,7 @@ def test_transducer_memory_is_constant():
     machine = bpe.Transducer(ENC.v)
     held = 0
     for _ in range(50):
-        list(machine.push(list("ther" * 64)))
+        machine.push(ENC.v.symbols("ther" * 64))
         held = max(held, len(machine.buffer))
     assert held <= 5 * ENC.v.lookahead + 256
 
@@ -59,30 +59,71 @@ def test_lookahead_is_sufficient():
     rng = random.Random(5)
     for _ in range(200):
         word = "".join(rng.choice("therinsaoul") for _ in range(400))
-        whole = v.merge([*word[:-1], word[-1] + v.suffix])
-        cut = v.merge(list(word[:300]))
+        symbols = v.symbols(word)
+        whole = v.merge([*symbols[:-1], v.last_symbol[symbols[-1]]])
+        cut = v.merge(symbols[:300])
         done, stable = 0, []
         for t in cut:
-            if done + len(t) > 300 - v.lookahead:
+            if done + v.length[t] > 300 - v.lookahead:
                 break
             stable.append(t)
-            done += len(t)
+            done += v.length[t]
         assert whole[: len(stable)] == stable
 
 
 def test_memo_never_changes_ids():
-    small = bpe.Encoder(ENC.v, memo_words=3)
+    small = bpe.Encoder(ENC.v, memo=3)
     for text in ("the cat the dog the bird a b c d e", "the the dog"):
         assert small.encode(text) == ENC.encode(text)
 
 
 def test_decoding_in_pieces():
     text = "Ünïcode and 中文 text, split anywhere!"
-    data, dec = ENC.encode(text), bpe.decoder(PATH)
+    data = ENC.encode(text)
     pieces = [data[i : i + 4] for i in range(0, len(data), 4)]
-    assert "".join(dec.text(iter(pieces))) == LIBRARY.decode(np.frombuffer(data, "<u4").tolist(), skip_special_tokens=False)
-    assert "".join(dec.plain(iter(pieces))).split() == "".join(dec.plain(iter([data]))).split()
-    assert "中文" in "".join(dec.plain(iter(pieces)))
+    for form in ("joined", "plain"):
+        dec = bpe.Decoder(ENC.v, form)
+        apart = "".join(map(dec.push, pieces)) + dec.close()
+        assert apart == dec.push(data) + dec.close()
+        assert "中文" in apart if form == "plain" else apart == LIBRARY.decode(np.frombuffer(data, "<u4").tolist(), skip_special_tokens=False)
+
+
+def test_a_split_character_waits():
+    dec = bpe.Decoder(ENC.v, "plain")
+    whole = [ENC.v.ids[ENC.v.alphabet[b]].to_bytes(4, "little") for b in "é中".encode()]
+    assert [dec.push(x) for x in whole] == ["", "é", "", "", "中"] and dec.close() == ""
+    assert dec.push(whole[0]) + dec.close() == "\ufffd"
+
+
+@pytest.mark.parametrize("text", ["中文字符" * 60, "line\none\n" * 40, "a" * 500, "=-" * 200, "12" * 200, "x'sy't" * 60, "aéİb" * 80, "e\u0301" * 150, "한국어" * 80 + "\u1100\u1161" * 50, "中 文" * 50, "ab=cd12" * 60])
+def test_blocks_without_blanks_stay_small(text, monkeypatch):
+    monkeypatch.setattr(bpe.word_blocks, "__defaults__", (20,))
+    blocks = list(bpe.word_blocks(text))
+    assert "".join(b for b, _ in blocks) == text
+    if not set(text) & set("'İ\u0301\u1161"):
+        assert len(text) < 100 or max(len(b) for b, _ in blocks) <= 60
+    assert ids(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abeIİ'streΣσ中文é\u0301=.<|1234 \u1100\u1161"), max_size=60))
+def test_cuts_inside_words_change_nothing(text):
+    before = bpe.word_blocks.__defaults__
+    bpe.word_blocks.__defaults__ = (4,)
+    try:
+        assert ids(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    finally:
+        bpe.word_blocks.__defaults__ = before
+
+
+def test_every_word_goes_through_the_transducer(monkeypatch):
+    class Broken(bpe.Transducer):
+        def close(self):
+            raise RuntimeError("used")
+
+    monkeypatch.setattr(bpe, "Transducer", Broken)
+    with pytest.raises(RuntimeError, match="used"):
+        bpe.Encoder(ENC.v).encode("word")
 
 
 def test_documents(spark):

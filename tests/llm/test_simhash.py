@@ -37,11 +37,12 @@ def components(fps):
 
 
 def check(spark, fps):
-    from engramlake.llm.common import connected_components
+    from engramlake.llm.common import Tables, connected_components
 
     fps = np.unique(fps)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    found = {r.node: r.root for r in connected_components(simhash.links(df)).collect()}
+    tables = Tables(spark)
+    found = {r.node: r.root for r in connected_components(simhash.links(df, tables), tables).collect()}
     got = [found.get(int(x), int(x)) for x in fps.view(np.int64)]
     want = components(fps)
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))

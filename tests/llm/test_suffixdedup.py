@@ -68,6 +68,30 @@ def test_crowded_buckets_equal_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in sd.remove_repeats(df).collect()) == brute(rows)
 
 
+def test_small_blocks_and_batches_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(sd, "TAKEN_BYTES", 300)
+    monkeypatch.setattr(sd, "ORDER_BYTES", 200)
+    rows = passages(random.Random(10), 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in sd.remove_repeats(df).collect()) == brute(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = "a" * 10 + "".join(f"one{i} " for i in range(30)), "".join(f"two{i} " for i in range(40)), "".join(f"two{i} " for i in range(20)) + "zz"
+    got = sd.remove_repeats(spark.createDataFrame([(5, a), (5, b), (5, c), (9, c), (9, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == sorted([(5, len(a), 0), (5, len(b), 0), (5, len(c), 0), (9, len(c), len(c)), (9, len(b), len(b))])
+
+
+def test_no_table_but_the_result_stays(spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in folder.iterdir()}
+    out = sd.remove_repeats(spark.createDataFrame(passages(random.Random(11), 20), "doc_id long, text string"))
+    assert out.count() == 20 and [n for n in {p.name for p in folder.iterdir()} - before if n.startswith("run-")] == []
+
+
 def test_long_texts_are_cut_without_loss(monkeypatch):
     monkeypatch.setattr(sd, "BLOCK_BYTES", 300)
     data = bytes(random.Random(1).choice(b"ab") for _ in range(2000))

@@ -19,13 +19,15 @@ def stream(text):
 def test_cuts_cover_and_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 40_000, 20_000).astype("<u2")
-    ends = tokenstore.cuts(ids)
+    cut = lambda x: tokenstore.cuts(len(x), tokenstore.marks(x).tolist())
+    ends = cut(ids)
     assert ends[-1] == len(ids) and all(b - a <= tokenstore.MOST for a, b in zip([0, *ends], ends)) and len(ends) > 30
-    moved = tokenstore.cuts(np.concatenate([ids[:100], ids]))
+    longer = np.concatenate([ids[:100], ids])
+    moved = cut(longer)
     chunks = lambda x, e: {x[a:b].tobytes() for a, b in zip([0, *e], e)}
-    assert len(chunks(ids, ends) & chunks(np.concatenate([ids[:100], ids]), moved)) > 0.9 * len(ends)
-    assert tokenstore.cuts(ids[:0]) == [] and tokenstore.cuts(ids[:5]) == [5]
-    assert tokenstore.cuts(np.zeros(10_000, "<u2"))[-1] == 10_000
+    assert len(chunks(ids, ends) & chunks(longer, moved)) > 0.9 * len(ends)
+    assert cut(ids[:0]) == [] and cut(ids[:5]) == [5]
+    assert cut(np.zeros(10_000, "<u2"))[-1] == 10_000
 
 
 def test_joined_crc():
@@ -49,7 +51,7 @@ def test_round_trip(spark, tmp_path):
     assert ids == {4: stream("word"), 6: stream(rows[5][1])}
     chunks = spark.read.parquet(f"{folder}/chunks")
     assert chunks.count() == chunks.select("chunk").distinct().count()
-    order = spark.read.parquet(f"{folder}/manifest").orderBy("first_id").collect()
+    order = spark.read.parquet(f"{folder}/manifest").where("page = -1 and segment >= 0").orderBy("first_id").collect()
     assert all(a.last_id < b.first_id for a, b in zip(order, order[1:]))
 
 
@@ -65,6 +67,29 @@ def test_damage_is_found(spark, tmp_path):
         tokenstore.read_store(spark, folder).collect()
 
 
+@pytest.mark.parametrize("what", ["lost", "swapped", "root"])
+def test_changed_recipes_are_found(spark, tmp_path, what, monkeypatch):
+    monkeypatch.setattr(tokenstore, "PAGE", 2)
+    folder = str(tmp_path / "store")
+    tokenstore.store(odd(spark), PATH, folder)
+    assert tokenstore.read_store(spark, folder).count() == 14
+    rows = spark.read.parquet(f"{folder}/recipes")
+    if what == "lost":  # one of the files
+        import glob
+        import os
+
+        os.remove(max(glob.glob(f"{folder}/recipes/part*"), key=os.path.getsize))
+    else:
+        changed = rows.withColumn("n_tokens", rows.n_tokens + (rows.doc_id == 6).cast("int")) if what == "swapped" else rows.where("segment >= 0 and (doc_id is null or doc_id <> 4)")
+        changed.write.parquet(f"{folder}/new")
+        import shutil
+
+        shutil.rmtree(f"{folder}/recipes")
+        shutil.move(f"{folder}/new", f"{folder}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        tokenstore.read_store(spark, folder)
+
+
 def test_empty_table(spark, tmp_path):
     tokenstore.store(empty(spark), PATH, str(tmp_path / "store"))
     assert tokenstore.read_store(spark, str(tmp_path / "store")).count() == 0
