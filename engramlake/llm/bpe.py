@@ -48,8 +48,9 @@ from engramlake.llm.common import by_bytes
 BLOCK_CHARS = 1 << 16
 #: Characters whose parts are looked up together.
 TOGETHER = 1 << 23
-#: Parts, and words, that a worker remembers, about 150 bytes each; twice as many when both halves are full.
-MEMO = 400_000
+#: Parts that a worker remembers, about 40 bytes each, and words, about 150 bytes each and up to twice as many.
+MEMO = 1_000_000
+MEMO_WORDS = 300_000
 #: Longer parts and words are not remembered.
 LONG_WORD = 256
 ID_BITS = 24
@@ -61,6 +62,7 @@ RARE = re.compile("[^\x00-\x1b\x20-\u024f]")
 BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
 #: Signs that are one kind to the vocabulary's rule and stand in none of its contractions and no added token.
 SIGNS = frozenset('!"#$%&()*+,-./:;=?@[\\]^_`{}~')
+ENDS = "".join(sorted(SIGNS))
 
 
 def byte_alphabet() -> list[str]:
@@ -205,10 +207,15 @@ class Parted:
     order; split(part): the words of one part; word(word): the packed ids of one word.
     """
 
-    def __init__(self, memo: int = MEMO):
-        self.parts, self.words = Memo(self.part, memo), Memo(self.word, memo)
+    def __init__(self, memo: int = MEMO, memo_words: int = MEMO_WORDS):
+        self.memo, self.words = memo, Memo(self.word, memo_words)
+        self.known, self.packed = pa.array([], pa.string()), pa.array([], pa.binary())
 
     def part(self, part: str) -> bytes:
+        if len(part) <= LONG_WORD:
+            letters = part.rstrip(ENDS)
+            if letters.isascii() and letters.isalpha():  # one word, and one of signs behind it
+                return self.words[letters] + self.words[part[len(letters) :]] if len(letters) < len(part) else self.words[letters]
         return b"".join([self.words[w] if len(w) <= LONG_WORD else self.word(w) for w in self.split(part)])
 
     def stream(self, texts: Iterable[str | None]) -> Iterator[tuple[int, bytes]]:
@@ -226,8 +233,17 @@ class Parted:
     def _dealt(self, held: list) -> Iterator[tuple[int, bytes]]:
         parts = pc.utf8_split_whitespace(pa.array([p for _, p in held if isinstance(p, str)], pa.string()))
         coded = parts.flatten().dictionary_encode()
-        packed = pa.array([self.parts[p] if len(p) <= LONG_WORD else self.part(p) for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], pa.binary())
-        taken = packed.take(coded.indices)
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        fresh = coded.dictionary.filter(pc.is_null(place))
+        packed = pa.concat_arrays([self.packed, pa.array(map(self.part, fresh.to_numpy(zero_copy_only=False).tolist()), pa.binary())])
+        place = place.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        place[place < 0] = len(self.known) + np.arange(len(fresh))
+        taken = packed.take(pa.array(place[coded.indices.to_numpy()]))
+        short = pc.less_equal(pc.binary_length(coded.dictionary), LONG_WORD)
+        if len(packed) <= self.memo and pc.all(short, min_count=0).as_py():
+            self.known, self.packed = pa.concat_arrays([self.known, fresh]), packed
+        else:  # only what this text needed is kept, and nothing long
+            self.known, self.packed = coded.dictionary.filter(short), packed.take(pa.array(place)).filter(short)
         ends, at = np.frombuffer(taken.buffers()[1], dtype=np.int32) if len(taken) else np.zeros(1, np.int32), parts.offsets.to_numpy()
         data, i = taken.buffers()[2] if len(taken) else b"", 0
         for k, piece in held:
@@ -260,9 +276,9 @@ def plain(block: str) -> bool:
 class Encoder(Parted):
     """The transducer's ids, 4 bytes each, little-endian."""
 
-    def __init__(self, vocabulary: Vocabulary, memo: int = MEMO):
+    def __init__(self, vocabulary: Vocabulary, memo: int = MEMO, memo_words: int = MEMO_WORDS):
         self.v, self.split = vocabulary, vocabulary.words.findall
-        super().__init__(memo)
+        super().__init__(memo, memo_words)
 
     def word(self, word: str) -> bytes:
         machine = Transducer(self.v)

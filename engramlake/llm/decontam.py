@@ -1,16 +1,20 @@
-"""Benchmark decontamination by MinHash containment search, signatures as deep as each item's size needs.
+"""Benchmark decontamination by size-partitioned MinHash containment search.
 
 Items and documents are sets of five-word shingles (lower case, ASCII punctuation
-as blanks; fewer than five words: the whole sequence).  An item's signature is
-the bottom of its MinHash order, as deep as its own size needs: a document that holds a share
-t of an item's n shingles misses at most floor((1-t)n) of them, so it holds at
-least one of the floor((1-t)n)+1 least.  Looking up every shingle of a document
-among these signatures thus finds every item it may contain, however long the
-document; candidates are then verified on the shingles themselves.
+as blanks; fewer than five words: the whole sequence).  Items are partitioned by
+size: 1, 2-3, 4-7, ... shingles.  Each partition is an index of its own with one
+signature length: the bottom-k MinHash of an item, with k such that even the
+partition's largest item keeps the guarantee.  A document that holds a share t of
+an item's n shingles misses at most floor((1-t)n) of them, so it holds at least one
+of the floor((1-t)n)+1 least.  Documents are not sampled: a short item is lost in
+a long document's MinHash, so all of a document's shingle hashes are looked up in
+every partition.  Candidates are then verified on the shingles themselves.
 
 The items of one block (``BLOCK_SHINGLES`` shingles) are broadcast; more items
-make more blocks, each a pass over the rows with what they were found to contain.  Null and blank items are
-skipped; null and blank documents contain nothing.
+make more blocks, each a pass over the rows with what they were found to contain.
+Null and blank items are skipped; null and blank documents contain nothing.  Rows of
+items that share an id are items of their own, and the id is listed once; an item
+without an id is listed as null, after the others.
 """
 
 from __future__ import annotations
@@ -58,47 +62,63 @@ def needed(n: int, share: float = CONTAINED) -> int:
     return -int(-(Fraction(str(share)) * n) // 1)
 
 
+class Partition:
+    """The signatures of items of size low to 2 * low - 1."""
+
+    def __init__(self, low: int, share: float):
+        self.length = (2 * low - 1) - needed(2 * low - 1, share) + 1
+        self.signatures: dict[int, set[int]] = defaultdict(set)
+
+    def add(self, number: int, shingles: set[bytes]) -> None:
+        for h in sorted(map(xxhash.xxh3_64_intdigest, shingles))[: self.length]:
+            self.signatures[h].add(number)
+
+    def close(self) -> None:
+        self.keys = np.array(sorted(self.signatures), dtype=np.uint64)
+        self.items = [sorted(self.signatures[int(k)]) for k in self.keys]
+        del self.signatures
+
+    def lookup(self, h: np.ndarray) -> set[int]:
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return {i for k in np.unique(at[self.keys[at] == h]).tolist() for i in self.items[k]}
+
+
 class Index:
-    """Signatures of one block of items."""
+    """The partitions of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = CONTAINED):
-        self.share, self.sets, signature = share, {}, defaultdict(set)
+    def __init__(self, items: list[tuple[int | None, str]], share: float = CONTAINED):
+        self.share, self.ids, self.sets, self.partitions = share, [], [], {}
         for item, text in items:
             joined, starts, ends = spans(words_of(text))
             shingles = {joined[s:e] for s, e in zip(starts.tolist(), ends.tolist())}
             if not shingles:
                 continue
-            self.sets[item] = shingles
-        for item, own in self.sets.items():
-            order = sorted(xxhash.xxh3_64_intdigest(s) for s in own)
-            for h in order[: len(own) - needed(len(own), share) + 1]:
-                signature[h].add(item)
-        self.keys = np.array(sorted(signature), dtype=np.uint64)
-        self.items = [sorted(signature[int(k)]) for k in self.keys]
+            low = 1 << (len(shingles).bit_length() - 1)
+            self.partitions.setdefault(low, Partition(low, share)).add(len(self.ids), shingles)
+            self.ids.append(item)
+            self.sets.append(shingles)
         #: One bit for each 20-bit prefix that some key has: most shingles end here.
         self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        for part in self.partitions.values():
+            part.close()
+            self.seen[(part.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def search(self, text: str | None) -> list[tuple[int, float]]:
-        """(item, containment) of the items that the text contains."""
+    def search(self, text: str | None) -> list[tuple[int | None, float]]:
+        """(item's id, containment) of the items that the text contains; the greatest where an id stands for several."""
         words = words_of(text)
-        if not words or not len(self.keys):
+        if not words or not self.sets:
             return []
         joined, starts, ends = spans(words)
-        found: set[int] = set()
         h = hashes(joined, starts, ends)
         h = h[self.seen[(h >> np.uint64(44)).astype(np.int64)]]
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        for k in np.unique(at[self.keys[at] == h]).tolist():
-            found.update(self.items[k])
-        out, own = [], None
-        for item in sorted(found):
-            if own is None:
-                own = {joined[s:e] for s, e in zip(starts.tolist(), ends.tolist())}
-            n = len(self.sets[item] & own)
-            if n >= needed(len(self.sets[item]), self.share):
-                out.append((item, n / len(self.sets[item])))
-        return out
+        found = set().union(*(part.lookup(h) for part in self.partitions.values())) if len(h) else ()
+        out: dict[int | None, float] = {}
+        own = {joined[s:e] for s, e in zip(starts.tolist(), ends.tolist())} if found else set()
+        for number in found:
+            n, size = len(self.sets[number] & own), len(self.sets[number])
+            if n >= needed(size, self.share):
+                out[self.ids[number]] = max(out.get(self.ids[number], 0.0), n / size)
+        return sorted(out.items(), key=lambda x: (x[0] is None, x[0]))
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, size: int = BLOCK_SHINGLES) -> list[DataFrame]:
@@ -118,7 +138,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
         def one(text, before=(), most=0.0, index=index, left=left):
             own = index.value.search(text)
-            return *([text] if left else []), sorted([*before, *(i for i, _ in own)]), max([most, *(c for _, c in own)])
+            return *([text] if left else []), sorted({*before, *(i for i, _ in own)}, key=lambda i: (i is None, i)), max([most, *(c for _, c in own)])
 
         out = text_batches(out, id_col, "_text", one, f"_text string, {found}" if left else found, *carried)
         carried = ("items", "max_containment")

@@ -9,7 +9,9 @@ between the first two flags the text as ambiguous.
 
 The model is a fixed-size table (buckets x bits).  Rows with null text or
 language teach nothing.  A text that is null or has no letter is ``und`` with
-score 0, as is every text where nothing was learned.  All n-grams of a text
+score 0, as is every text where nothing was learned.  Repeated rows teach as often as they
+stand; each row has its own prediction, the same for the same text; equal losses go to
+the language that sorts first.  All n-grams of a text
 count, by their share in it, so a mixture scores alike at every length.  In
 training a text weighs as much as it has n-grams, ``WEIGHT`` at most, spread over
 all of them by their shares, so no single text outweighs the rest.
@@ -17,7 +19,6 @@ all of them by their shares, so no single text outweighs the rest.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,12 +35,16 @@ WEIGHT = 10_000
 UNIT = 1 << 16
 #: Bytes of a text counted at once; bounds memory on very long texts.
 CHUNK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 #: All ASCII but letters reads as a blank.
 BLANKED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter to Unicode (categories L*)."""
+    return any(map(str.isalpha, text))
+
+
 def grams(text: str) -> np.ndarray:
     """Counts of hashed byte n-grams over the whole text."""
     data = b" " + b" ".join(text.lower().encode("utf-8").translate(BLANKED).split()) + b" "
@@ -91,7 +96,7 @@ class Model:
     ambiguous: float = 0.2
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not self.langs or LETTER.search(text) is None:
+        if text is None or not self.langs or not has_letter(text):
             return UNDETERMINED, 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False

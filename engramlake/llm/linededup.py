@@ -11,7 +11,8 @@ travel as one array a host; that table is broadcast only below ``BROADCAST_LINES
 lines, else Spark joins (and splits a hot host) by itself.
 
 Null texts stay null; a null host is a host of its own; a host with fewer than
-min_pages pages keeps everything.  Extra columns pass through.
+min_pages pages keeps everything.  Extra columns pass through, whatever their
+names, but for ``_n_lines`` and ``_n_dropped``, which are the operator's own and raise.
 """
 
 from __future__ import annotations
@@ -42,16 +43,19 @@ def boilerplate(docs: DataFrame, *, host_col: str, text_col: str, ratio: float =
 
 def drop_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with the boilerplate lines cut from text_col; adds _n_lines and _n_dropped."""
+    if clash := {"_n_lines", "_n_dropped"} & set(docs.columns):
+        raise ValueError(f"columns of the input are named like the result's: {sorted(clash)}")
     found = Tables(docs.sparkSession).result(boilerplate(docs, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages), "boilerplate").withColumnRenamed("_host", "_bhost")
     size = found.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0)).alias("n")).first()["n"]
-    joined = docs.join(F.broadcast(found) if size <= BROADCAST_LINES else found, docs[host_col].eqNullSafe(F.col("_bhost")), "left")
-    lines = F.split(text_col, "\n")
-    bad = F.coalesce("_lines", F.array().cast("array<bigint>"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(bad, _hash(x)))
-    out = joined.withColumn("_kept", kept).withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("_n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n_lines")).cast("long"))
-    out = out.withColumn("_n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n_lines") - F.size("_kept")).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))).select(*docs.columns, "_n_lines", "_n_dropped")
+    # the caller's columns travel as one, so that no name of theirs can clash
+    rows = docs.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+    joined = rows.join(F.broadcast(found) if size <= BROADCAST_LINES else found, F.col("_host").eqNullSafe(F.col("_bhost")), "left")
+    lines, bad = F.split("_text", "\n"), F.coalesce("_lines", F.array().cast("array<bigint>"))
+    counted = joined.select("_row", "_text", F.coalesce(F.size(lines), F.lit(0)).alias("_all"), F.filter(lines, lambda x: ~F.array_contains(bad, _hash(x))).alias("_kept"))
+    counted = counted.withColumn("_n_lines", F.when(F.col("_text").isNull(), 0).otherwise(F.col("_all")).cast("long"))
+    counted = counted.withColumn("_n_dropped", F.when(F.col("_text").isNull(), 0).otherwise(F.col("_n_lines") - F.size("_kept")).cast("long"))
+    text = F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col("_text"))
+    return counted.select(*((text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns), "_n_lines", "_n_dropped")
 
 
 def digest(docs: DataFrame) -> DataFrame:

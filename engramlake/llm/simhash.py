@@ -73,7 +73,8 @@ def _near(a: str, b: str):
 
 def links(fps: DataFrame, tables: Tables) -> DataFrame:
     """Edges (a, b) between different fingerprints that give the components of all links at 3 bits or fewer."""
-    keys = variants(fps)
+    # dealt anew, so that a few tasks with the small table of fingerprints do not explode it alone
+    keys = variants(fps.repartition("fp"))
     shared = tables.stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     twos = shared.where("n = 2").where(_near("a", "b")).select("a", "b").distinct()
     members = tables.stored(keys.join(shared.where("n > 2").select("key", "n"), "key"), "members")

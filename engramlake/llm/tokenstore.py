@@ -29,8 +29,8 @@ come first.
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -95,15 +95,12 @@ class LibraryEncoder(Parted):
         self.width = id_width(self.tokenizer)
         vocabulary = Vocabulary(path)
         self.split, self.added = vocabulary.words.findall, list(vocabulary.added)
-        self.bytes = dict(enumerate(byte_alphabet()))
+        self.bytes, self.model, self.code = dict(enumerate(byte_alphabet())), self.tokenizer.model, "H" if self.width == 2 else "I"
         super().__init__()
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
-
     def word(self, word: str) -> bytes:
         symbols = word if word.isascii() and word.isalpha() else word.encode("utf-8").decode("latin-1").translate(self.bytes)
-        return self._pack([t.id for t in self.tokenizer.model.tokenize(symbols)])
+        return array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def pieces(self, text: str):
         if all(plain(block) for block, _ in word_blocks(text)) and not any(a in text for a in self.added):
@@ -112,7 +109,7 @@ class LibraryEncoder(Parted):
                     break
             else:
                 return (block.lower() for block, _ in word_blocks(text))
-        return (self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids),)
+        return (array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes(),)
 
 
 def id_width(tokenizer) -> int:
@@ -186,7 +183,7 @@ def store(docs: DataFrame, tokenizer: str, folder: str, **names) -> None:
     n, order = max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), [F.col("doc_id").asc_nulls_first(), F.col("root")]
     placed = rows.where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "recipe").repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(in_segments, SEGMENTS)
     placed.write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    manifest(spark.read.parquet(f"{folder}/recipes")).coalesce(1).write.parquet(f"{folder}/manifest")
+    manifest(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
     remove(spark, staged)
 
 
@@ -277,13 +274,15 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     def look(batches):
         for batch in batches:
-            keys, n, crc = batch.column(0).to_pylist(), [], []
-            for key, payload in zip(keys, batch.column(1).to_pylist()):
+            payloads, n, crc, at = batch.column(1).to_pylist(), [], [], 0
+            wide = memoryview(np.frombuffer(b"".join(payloads), dtype=f"<u{width}").astype("<u4")).cast("B")
+            for key, payload in zip(batch.column(0).to_pylist(), payloads):
                 if hashlib.sha256(payload).digest()[:KEY] != key:
                     raise ValueError(f"chunk {key.hex()} does not have its content")
-                ids = np.frombuffer(payload, dtype=f"<u{width}").astype("<u4")
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
+                own = len(payload) // width
+                n.append(own)
+                crc.append(zlib.crc32(wide[4 * at : 4 * (at + own)]))
+                at += own
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["chunk", "n", "crc"])
 
     chunks = spark.read.parquet(f"{folder}/chunks").select("chunk", "payload").mapInArrow(look, "chunk binary, n long, crc long")

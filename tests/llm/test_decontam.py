@@ -68,3 +68,19 @@ def test_blocks_give_a_row_for_each_row(spark, monkeypatch):
     assert len(decontam.blocks(items, "item_id", "text")) > 1
     got = sorted((r.doc_id or 0, list(r["items"]), r.max_containment) for r in decontam.contaminated(docs, items).collect())
     assert got == [(0, [], 0.0), (0, [], 0.0), (0, [3, 17], 1.0), (1, [], 0.0), (1, [3, 17], 1.0), (1, [3, 17], 1.0)]
+
+
+def test_items_that_share_an_id_or_have_none(spark):
+    items = spark.createDataFrame([(1, words(9, 1)), (1, words(9, 500)), (None, words(9, 900)), (2, words(9, 1))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, words(9, 1)), (2, words(9, 500)), (3, words(9, 900)), (4, f"{words(9, 1)} and {words(9, 500)}")], "doc_id long, text string")
+    got = {r.doc_id: list(r["items"]) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {1: [1, 2], 2: [1], 3: [None], 4: [1, 2]}
+
+
+def test_partitions_by_size_have_their_own_length():
+    index = decontam.Index([(n, words(n + 4, 1000 * n)) for n in (1, 2, 3, 4, 7, 8, 100)])
+    assert sorted(index.partitions) == [1, 2, 4, 8, 64]
+    for low, part in index.partitions.items():
+        assert part.length == (2 * low - 1) - decontam.needed(2 * low - 1) + 1 and max(map(len, part.items)) >= 1
+    index.partitions.clear()
+    assert index.search(words(11, 7000)) == []  # nothing is found but through a partition

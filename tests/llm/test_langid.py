@@ -65,3 +65,42 @@ def test_a_mixture_scores_alike_at_every_length(spark):
         mixture = own + " " + (others * (len(own) // len(others) + 1))[: len(own) // 9] + " "
         short, long = model.predict(mixture), model.predict(mixture * (2_000_000 // len(mixture) + 1))
         assert short[0] == long[0] == lang and short[2] == long[2] and abs(short[1] - long[1]) < 0.01
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    model = langid.train(spark.createDataFrame([("one two three", "en"), ("un deux trois", "fr")], "text string, lang string"))
+    assert {model.predict(t)[0] for t in ("½ ²", "Ⅷ ①", "12 ٣", "!? _", "😀")} == {"und"}
+    assert "und" not in {model.predict(t)[0] for t in ("½ x", "中", "ª", "1é")}
+    assert model.predict("½ ²")[1] == 0.0
+
+
+def test_predictions_equal_the_definition(spark):
+    """Margins, losses and scores worked out row by row with plain dictionaries."""
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = queries.trained(docs)
+
+    def bucket(gram):
+        h = len(gram)
+        for b in gram:
+            h = (h * 257 + b) & 0xFFFFFFFF
+        return (h * 2654435761 & 0xFFFFFFFF) >> 19
+
+    rows = docs.where("text is not null").orderBy("doc_id").collect()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    for r in rows[:60]:
+        if not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        data = b" " + b" ".join(bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in r.text.lower().encode()).split()) + b" "
+        counts = Counter(bucket(data[i : i + n]) for n in (1, 2, 3) for i in range(len(data) - n + 1))
+        total, loss = sum(counts.values()), []
+        trust = [h / sum(model.half) for h in model.half]
+        margin = [max(-3, min(3, (sum(c * float(model.weights[g, b]) for g, c in counts.items()) / total - model.middle[b]) / model.half[b])) for b in range(model.code.shape[1])]
+        for word in model.code:
+            loss.append(sum(t * math.log1p(math.exp(-2 * int(w) * m)) for t, w, m in zip(trust, word, margin)))
+        chance = [math.exp(-4 * (x - min(loss))) for x in loss]
+        best = loss.index(min(loss))
+        assert got[r.doc_id][0] == model.langs[best] and abs(got[r.doc_id][1] - chance[best] / sum(chance)) < 1e-6

@@ -1,5 +1,6 @@
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from engramlake.llm import linededup, queries, sharding
@@ -34,12 +35,21 @@ def test_odd_lines(spark):
     assert linededup.digest(empty(spark)).count() == 0
 
 
+def test_clashing_columns_pass_through(spark):
+    names = ["_host", "_lines", "_kept", "_page", "_text", "_bhost", "_row", "_all"]
+    rows = pages(spark).select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    got = {r.doc_id: r for r in linededup.drop_lines(rows).collect()}
+    assert got[3].text == "body 3\n" and all(got[3][n] == f"own {n}" for n in names)
+    with pytest.raises(ValueError, match="_n_lines"):
+        linededup.drop_lines(rows.withColumn("_n_lines", F.lit(1)))
+
+
 def test_shards(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op9_sharding(spark, d).toPandas()
     docs = spark.read.parquet(f"{d}/documents.parquet").toPandas()
     want = {r.doc_id: (len(r.text.encode()) + 8, zlib.crc32(r.text.encode())) for r in docs.itertuples()}
-    assert {r.doc_id: (r.size, r.text_crc32) for r in got.itertuples()} == {k: v for k, v in want.items()} or all((got.loc[i, "size"], got.loc[i, "text_crc32"]) == want[got.loc[i, "doc_id"]] for i in got.index)
+    assert len(got) == len(docs) and dict(zip(got["doc_id"], zip(got["size"], got["text_crc32"]))) == want
     for _, own in got.groupby("shard"):
         assert sorted(own["slot"]) == list(range(len(own)))
     sizes = got.groupby("shard")["size"].sum()
