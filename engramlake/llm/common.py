@@ -58,6 +58,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder; nothing if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def text_batches(df: DataFrame, id_col: str, text_col: str, one: Callable, schema: str, *more: str) -> DataFrame:
     """Apply one(text, *more) -> tuple to each row, in Arrow batches, next to id_col."""
     by_bytes(df.sparkSession)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import public_tokenizers
@@ -33,6 +34,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store itself stays: it is what the operator is for."""
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokenstore.store(table(spark, sf_dir, "documents"), TOKENIZER, folder)
     return tokenstore.read_store(spark, folder)
@@ -61,7 +63,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    """Each folder of tables has a map of its own, so another run over it takes up the map's newest version."""
+    folder = f"{shared_dir(spark)}/slot-maps-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return sharding.assign(table(spark, sf_dir, "documents"), folder)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

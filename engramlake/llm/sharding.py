@@ -1,24 +1,29 @@
 """Sharding by fixed virtual slots, with DataFrame functions only.
 
 A record's slot is the hash of its id modulo ``SLOTS``; it never changes.  Bytes
-and rows are summed by slot, and a small versioned map sends slots to shards.
-Version 1 deals slots out largest first to the emptiest shard; ``slot_map`` makes
-a later version of a given one by moving slots from the fullest shards to the
-emptiest until the sizes are near equal.  ``assign`` gives it none: its version
-is always 1.  The map has SLOTS rows whatever the input, so it is worked out on
-the driver and broadcast.
-
-Null ids share one slot; null texts have no bytes.  Rows with equal ids stay
-together.  An empty table gives an empty result.
+and rows are summed by slot, and a small versioned map sends slots to shards.  The
+map is a table of its own, one folder a version: version 1 deals slots out largest
+first to the emptiest shard and evens them out; each later version is the newest
+one edited by moving slots from the fullest shards to the emptiest until the sizes
+are near equal.  While the records stay as they are, the newest version is used as
+it is.  The map has SLOTS rows whatever the input, so it is worked out on the
+driver and broadcast.
+
+Equal texts are not kept together: their ids spread them over the slots, so that a
+text with very many copies fills no slot.  Null ids share one slot; null texts have
+no bytes.  Rows with equal ids stay together.  An empty table gives an empty result
+and a map of empty slots.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engramlake.llm.common import names
+
 SLOTS = 4096
 SHARDS = 24
 #: Bytes that each record takes besides its text.
@@ -96,10 +101,27 @@ def slot_map(sizes: DataFrame, shards: int = SHARDS, previous: DataFrame | None
     return spark.createDataFrame(out, "version int, vslot int, shard int, bytes long, rows long, first_row long")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, size, text_crc32, law, shard, slot (place in the shard, from 0), grown_shard, vslot, map_version."""
+def newest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest complete version of the map in the folder."""
+    versions = [int(name.removeprefix("version-")) for name in names(spark, folder) if name.startswith("version-") and "_SUCCESS" in names(spark, f"{folder}/{name}")]
+    return spark.read.parquet(f"{folder}/version-{max(versions)}") if versions else None
+
+
+def kept_map(sizes: DataFrame, folder: str, shards: int = SHARDS) -> DataFrame:
+    """The newest version of the folder's map if it fits these sizes, else the version after it, written and read back."""
+    spark = sizes.sparkSession
+    before = newest(spark, folder)
+    after = slot_map(sizes, shards, before)
+    facts = lambda df: sorted(tuple(r) for r in df.drop("version").collect())  # noqa: E731  SLOTS rows
+    if before is None or facts(before) != facts(after):
+        after.coalesce(1).write.parquet(f"{folder}/version-{after.first()['version']}")
+    return newest(spark, folder)
+
+
+def assign(docs: DataFrame, folder: str, shards: int = SHARDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, size, text_crc32, law, shard, slot (place in the shard, from 0), grown_shard, vslot, map_version; folder: where the map's versions are kept."""
     records = sized(docs, id_col=id_col, text_col=text_col)
-    plan = slot_map(slot_sizes(records), shards)
+    plan = kept_map(slot_sizes(records), folder, shards)
     place = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col(id_col), "size", "text_crc32"))
     return (
         records.withColumn("_n", place)

@@ -67,12 +67,27 @@ def test_rebalancing_edits_the_map(spark):
     assert sum(a[s] == b[s] for s in a) > 0.8 * len(a)
 
 
-def test_odd_shards(spark):
-    got = sharding.assign(odd(spark)).collect()
-    assert len(got) == len(odd_rows()) and {r.size for r in got if r.doc_id in (1, 2)} == {8} and sharding.assign(empty(spark)).count() == 0
+def test_the_map_is_kept_and_edited(spark, tmp_path):
+    d, folder = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), str(tmp_path / "map")
+    show = lambda df: {r.doc_id: (r.shard, r.map_version) for r in df.collect()}
+    first = show(sharding.assign(d.where("doc_id < 600"), folder))
+    assert show(sharding.assign(d.where("doc_id < 600"), folder)) == first and {v for _, v in first.values()} == {1}
+    grown = sharding.assign(d, folder)
+    second = show(grown)
+    assert {v for _, v in second.values()} == {2} and sum(second[i][0] == s for i, (s, _) in first.items()) > 0.8 * len(first)
+    sizes = [r["n"] for r in grown.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) < 0.1 * max(sizes)
+    assert sorted(sharding.names(spark, folder)) == ["version-1", "version-2"]
+    (tmp_path / "map" / "version-2" / "_SUCCESS").unlink()  # a version that was not finished is no version
+    assert sharding.newest(spark, folder).first().version == 1
+
+
+def test_odd_shards(spark, tmp_path):
+    got = sharding.assign(odd(spark), str(tmp_path / "a")).collect()
+    assert len(got) == len(odd_rows()) and {r.size for r in got if r.doc_id in (1, 2)} == {8} and sharding.assign(empty(spark), str(tmp_path / "b")).count() == 0
     assert {r.text_crc32 for r in got if r.doc_id == 1} == {0}
 
 
-def test_plans_are_native(spark):
-    plan = sharding.assign(odd(spark))._jdf.queryExecution().toString()
+def test_plans_are_native(spark, tmp_path):
+    plan = sharding.assign(odd(spark), str(tmp_path / "a"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
