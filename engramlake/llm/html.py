@@ -15,7 +15,11 @@ between words of its own container.  A box that only its class or id tells, with
 
 Character references are decoded, white space becomes one blank, blocks are
 joined by one blank in page order; nothing else is dropped.  Null, empty and
-text-free pages give the empty string.  Unclosed tags end with their parent.
+text-free pages give the empty string.  Unclosed tags end with their parent.  Quotes
+count in an attribute's value only where they begin it.  Each row has its own text,
+repeated rows the same; of equal runs the first is taken, of articles with equally
+many words the first.  Inside an article or main some words of a class or id are
+noise only in plain company (``related-posts``, not ``related-work``).
 """
 
 from __future__ import annotations
@@ -33,10 +37,10 @@ from engramlake.llm.common import by_bytes, text_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S,
 )
-ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements by kind.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 SKIPPED = frozenset("head nav header footer aside form script style noscript template iframe svg canvas object embed button select option textarea input label dialog menu title xmp noembed noframes audio video map".split())
@@ -50,20 +54,38 @@ NOISE = re.compile(
     r"|related|recommend\w*|share|sharing|social|comments?|disqus|respond|replies|reply|discussion|newsletter|subscri\w*|signup|login|footer|foot|header|masthead|topbar|toolbar|pagination|pager|toc|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Inside an article or main these words name noise only in a name that has no word but PLAIN_WORDS beside them, or never; ids of sections, headings and paragraphs are anchors there.
+PLAIN_WORDS = frozenset("box boxes list lists section block area wrapper wrap container inner outer content contents item items link links bar buttons button form text top bottom left right main post posts page pages site article articles fixed sticky thread holder group panel row col".split())
+WEAK = re.compile(r"related|recommend\w*|notices?|alerts?|reply|replies|skip|foot|overlay|consent", re.I)
+FRAME_ONLY = frozenset("side legal discussion disclaimer header".split())
+ANCHORED = frozenset("section h1 h2 h3 h4 h5 h6 p figure table dl ul ol li dt dd blockquote".split())
 #: Elements whose words are those of the container around them.
 FLOW = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot caption tr td th figure".split())
+KNOWN = FLOW | SKIPPED | VOID | RAW | frozenset("html body div section article main hgroup address details summary fieldset legend figcaption picture center dir search slot".split())
 MOST = 0.75
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 
-def noisy(attrs: str) -> str:
-    """What tells that an element is noise: 'sure' or only its 'name' (class or id); else ''."""
+def named_noise(name: str, value: str, tag: str, inside: bool) -> bool:
+    """Whether a class or id names noise."""
+    if not inside:
+        return NOISE.search(value) is not None
+    if name == "id" and tag in ANCHORED:
+        return False
+    words = ([w for w in re.split(r"[-_]|(?<=[a-z])(?=[A-Z])", token) if w] for token in value.split())
+    tells = lambda w: w.lower() not in FRAME_ONLY and NOISE.search(w) is not None
+    plain = lambda w: tells(w) or w.isdigit() or w.lower() in PLAIN_WORDS
+    return any(any(tells(w) and (WEAK.fullmatch(w) is None or all(map(plain, own))) for w in own) for own in words)
+
+
+def noisy(attrs: str, tag: str, inside: bool) -> str:
+    """What tells that an element is noise: 'sure' or only its 'name' (class or id); else ''.  inside: within an article or main."""
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
         return ""
     found = ""
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and NOISE.search(value):
+        if name in ("class", "id") and named_noise(name, value, tag, inside):
             found = "name"
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return "sure"
@@ -139,7 +161,7 @@ def parsed(page: str, spare: frozenset[int] | None):
                 if stack[k][0] not in LOOSE:
                     break
             _, skipped, body, home, _ = stack[-1] if stack else ("", False, 0, 0, False)
-        why = "sure" if tag in SKIPPED else noisy(m["attrs"]) if tag not in ("html", "body") else ""
+        why = "sure" if tag in SKIPPED else noisy(m["attrs"], tag, body > 0) if tag not in ("html", "body") else ""
         named = why == "name" and not skipped
         skip = skipped or why == "sure" or named and spare is not None and start not in spare
         stays = tag not in RAW and tag not in VOID and not m["attrs"].endswith("/")
@@ -160,12 +182,17 @@ def parsed(page: str, spare: frozenset[int] | None):
             stack.append((tag, skip, body, home, box))
 
 
+def kind_of(tag: str) -> str:
+    """A known element's name; all other names are one kind, so that the table of kinds is as small for every input."""
+    return tag if tag in KNOWN else "other"
+
+
 def label_counts(page: str | None) -> Counter:
     """(kind, inside) of the tokens of a page whose markup names one article; else nothing."""
     seen, out = [], Counter()
     page = page or ""
     for kind, value, body, _, _ in parsed(page, spared(page)):
-        seen.append(("word" if kind == "word" else value if kind != "noise" and value else "noise", body, len(value.split()) if kind == "word" else 1))
+        seen.append(("word" if kind == "word" else kind_of(value) if kind != "noise" and value else "noise", body, len(value.split()) if kind == "word" else 1))
     bodies = {b for _, b, _ in seen if b}
     if len(bodies) == 1:
         for kind, body, n in seen:
@@ -174,7 +201,7 @@ def label_counts(page: str | None) -> Counter:
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Weight of each token kind, from all labelled pages; the table has one row for each tag name."""
+    """Weight of each token kind, from all labelled pages."""
     by_bytes(pages.sparkSession)
 
     def count(batches):
@@ -183,12 +210,11 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
             for page in batch.column(0).to_pylist():
                 total.update(label_counts(page))
         rows = sorted(total.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[:40] for (k, _), _ in rows], pa.string()), pa.array([i for (_, i), _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], names=["kind", "inside", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.string()), pa.array([i for (_, i), _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], names=["kind", "inside", "n"])
 
     counts = pages.select(html_col).mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o"))
-    # names beyond the thousand most used get the weight of an unknown tag
-    table = counts.orderBy((F.col("i") + F.col("o")).desc(), "kind").limit(1000).collect()
+    table = counts.collect()  # a row for each of KNOWN, 'word', 'noise' and 'other' at most
     ins, outs = sum(r["i"] for r in table), sum(r["o"] for r in table)
     weights = {r["kind"]: math.log((r["i"] + 1) / (ins + 1)) - math.log((r["o"] + 1) / (outs + 1)) for r in table}
     # a word is worth 1 at most, so that links and other tags of a frame outweigh their few words; tags never speak for content
@@ -222,7 +248,7 @@ def costs(kept: list[tuple], noise: float) -> list[float]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     kept = tokens(page or "")
     word, tag, noise = weights.get("word", 1.0), -1.5, max(-8.0, weights.get("noise", -8.0))
-    scores = [word * len(t[1].split()) if t[0] == "word" else c if t[0] in ("noise", "gap") else weights.get(t[1], tag) for t, c in zip(kept, costs(kept, noise))]
+    scores = [word * len(t[1].split()) if t[0] == "word" else c if t[0] in ("noise", "gap") else weights.get(kind_of(t[1]), tag) for t, c in zip(kept, costs(kept, noise))]
     bodies: dict[int, float] = {}
     for kind, value, body, _ in kept:
         if body and kind == "word":

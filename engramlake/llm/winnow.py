@@ -12,7 +12,8 @@ from doubling (the least of 2, 4, 8, 16), one pass over a block each.
 
 Null and empty texts have no hashes; texts shorter than K have one, of the whole
 text; texts with fewer than W hashes have one window.  Likeness is the share of
-common hashes (Jaccard), 1 for two texts without hashes.
+common hashes (Jaccard), 1 for two texts without hashes.  Rows that share an id follow
+each other in the order of their texts; rows with a null id come first.
 """
 
 from __future__ import annotations
@@ -109,9 +110,9 @@ def with_next(docs: DataFrame, *, ranges: int | None = None, add=lambda df: df,
     both = F.when(F.col("_after").isNotNull(), F.array(own, also)).otherwise(F.array(own))
     rows = rows.join(F.broadcast(after), F.col(id_col) == F.col("_head"), "left")
     dealt = rows.select(id_col, "_text", F.explode(both).alias("_at")).select(id_col, "_text", "_at.*")
-    order = ["_range", "_ghost", id_col]
-    dealt = add(dealt.repartition(max(2, n // 2), "_range").sortWithinPartitions(*order))
-    return dealt, Window.partitionBy("_range").orderBy("_ghost", id_col)
+    order = ["_range", "_ghost", id_col, "_text"]
+    dealt = add(dealt.repartitionById(n, "_range").sortWithinPartitions(*order))
+    return dealt, Window.partitionBy("_range").orderBy("_ghost", id_col, "_text")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import html as entities
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +50,11 @@ def test_whole_table(spark):
     pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract("url", r"/(\d+)", 1).cast("long").alias("doc_id"))
     joined = got.join(pages, "page_id").join(docs, "doc_id")
     assert got.columns == ["page_id", "url", "text", "n_chars"] and joined.count() == got.count()
-    assert joined.where(~F.expr("endswith(text, want)")).count() == 0 and joined.where("n_chars <> char_length(text)").count() == 0
+    # a page's article is its title and the document's text
+    titles = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract("html", r"<h1>(.*?)</h1>", 1).alias("title"))
+    for r in joined.join(titles, "page_id").collect():
+        assert r.text == " ".join(f"{entities.unescape(r.title)} {r.want}".split())
+    assert joined.where("n_chars <> char_length(text)").count() == 0
 
 
 def test_odd_rows(spark):
@@ -98,3 +104,48 @@ def test_a_container_with_the_words_of_the_page_is_no_noise():
 
 def test_short_paragraphs_stay_without_labels():
     assert html.main_text("<div><p>Five words are in it.</p><p>" + article(30) + "</p><p>And five are in this.</p></div>", {}) == f"Five words are in it. {article(30)} And five are in this."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p title=O'Brien>First part</p><p>Second part it's here</p></article>", "First part Second part it's here"),
+    ("<article><p title=\"it's\" data-x='a>b'>One</p><p title = 'q\"'>Two</p></article>", "One Two"),
+    ("<article><p>Body words here.</p><section id='legal'><p>On the legal side.</p></section></article>", "Body words here. On the legal side."),
+    ("<article><p>Body words here.</p><div class='related-work'><p>Others did that.</p></div><div class='side'><p>A side note.</p></div></article>", "Body words here. Others did that. A side note."),
+    ("<article><p>Body words here.</p><div class='related-posts'><p>x</p></div><div id='comments'><p>y</p></div><section class='comments-section'>z</section><div class='ShareBar'>s</div></article>", "Body words here."),
+])
+def test_quotes_and_names_inside_an_article(page, text):
+    assert html.main_text(page, W) == text
+
+
+def test_unknown_tags_are_one_kind(spark):
+    pages = spark.createDataFrame([(f"<div>a</div><article><x-{i}-{'y' * 60}>w w w</x-{i}-{'y' * 60}></article>",) for i in range(1500)], "html string")
+    weights = html.learn_weights(pages)
+    assert "other" in weights and len(weights) <= len(html.KNOWN) + 3 and not any(k.startswith("x-") for k in weights)
+
+
+def brute(page_tokens, score):
+    """The greatest sum over all contiguous runs, by trying each."""
+    best = (0.0, 0, 0)
+    for i in range(len(page_tokens)):
+        total = 0.0
+        for j in range(i, len(page_tokens)):
+            total += score[j]
+            if total > best[0] + 1e-12:
+                best = (total, i, j + 1)
+    return best
+
+
+def test_runs_equal_all_runs_tried():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        scores = [rng.choice([-3, -1, -0.5, 0.5, 1, 2]) for _ in range(rng.randint(0, 25))]
+        total, _, _ = brute(scores, scores)
+        a, b = html.best_run(scores)
+        assert abs(sum(scores[a:b]) - total) < 1e-9
+
+
+def test_the_scan_decides(spark, monkeypatch):
+    monkeypatch.setattr(html, "best_run", lambda scores: (0, 0))
+    assert html.main_text("<article><p>Some words</p></article>", W) == "" and html.main_text("<p>Some words</p>", W) == ""
