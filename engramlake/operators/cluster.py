@@ -1,8 +1,9 @@
 """Neighbour graph and capacity-bounded groups of memories.
 
-The graph is exact.  Rows of a preset are dealt into blocks; each task multiplies
-one block with another and keeps its best q for each row, so a task holds two
-blocks and no pair is ever emitted that is not among some block's best.  Groups
+The graph is exact (:func:`knn_graph`) or searched by cells (:func:`near_graph`).
+Each task multiplies one block of rows with another and keeps its best q for each
+row, so a task holds two blocks and no pair is ever emitted that is not among some
+block's best.  Groups
 are cut by repeated halving.  A preset of up to ``SINGLE`` rows is halved in one
 task; a larger one is first cut by Spark jobs along its principal split until its
 pieces are that small, so no task ever holds an unbounded preset.  Each piece has
@@ -24,6 +25,9 @@ from engramlake.schema import GRAPH_NEIGHBOURS, GROUP_CAPACITY
 BLOCK = 2048
 SINGLE = 8192
 DIGITS = 6
+#: Rows that centres are fitted on, and cells that a row looks into.
+SAMPLE = 32_768
+PROBES = 8
 # Start and passes of the halving and the refinement.
 SEED, HALVING_ROUNDS, PASSES, NEAR_GROUPS, NEAR_PARTNERS, VISITS = 7, 3, 3, 3, 4, 100
 
@@ -33,34 +37,92 @@ def _unit(vectors) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def knn_graph(index: DataFrame, q: int = GRAPH_NEIGHBOURS, block: int = BLOCK) -> DataFrame:
-    """(preset_id, memory_id, neighbour, score, rank): the q nearest active rows of the same preset; ties by id."""
-    rows = index.where("status = 'active'").select("preset_id", "memory_id", "embedding")
-    sizes = rows.groupBy("preset_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    rows = rows.join(sizes, "preset_id").withColumn("_b", F.pmod(F.xxhash64("memory_id"), F.col("_blocks")).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = rows.withColumn("_o", each).select("preset_id", F.col("_b").alias("a"), F.col("_o").alias("b"), F.lit(0).alias("side"), "memory_id", "embedding")
-    right = rows.withColumn("_o", each).select("preset_id", F.col("_o").alias("a"), F.col("_b").alias("b"), F.lit(1).alias("side"), "memory_id", "embedding")
+def _best_pairs(blocks: DataFrame, keys: list[str], q: int, kind: str, both: bool) -> DataFrame:
+    """(preset_id, memory_id, neighbour, score): in each group of keys, the best q of side 1 for each row of side 0; both: and the other way where the two sides are different blocks."""
 
-    def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = rows[rows["side"] == 0], rows[rows["side"] == 1].sort_values("memory_id")
-        if x.empty or y.empty:
-            return pd.DataFrame({"preset_id": [], "memory_id": [], "neighbour": [], "score": []})
-        ids, other = x["memory_id"].to_numpy(), y["memory_id"].to_numpy()
-        s = np.round(np.clip(_unit(x["embedding"]) @ _unit(y["embedding"]).T, -1, 1), DIGITS)
-        s[ids[:, None] == other[None, :]] = -np.inf
+    def nearest(preset, s, ids, other):
         k = min(q, s.shape[1])
         top = np.argsort(-s, axis=1, kind="stable")[:, :k]
         score = np.take_along_axis(s, top, axis=1)
         keep = score.ravel() > -np.inf
-        return pd.DataFrame({"preset_id": key[0], "memory_id": np.repeat(ids, k)[keep], "neighbour": other[top].ravel()[keep], "score": score.ravel()[keep]})
+        return pd.DataFrame({"preset_id": preset, "memory_id": np.repeat(ids, k)[keep], "neighbour": other[top].ravel()[keep], "score": score.ravel()[keep]})
 
-    kind = index.schema["memory_id"].dataType.simpleString()
-    found = left.unionByName(right).groupBy("preset_id", "a", "b").applyInPandas(best, f"preset_id string, memory_id {kind}, neighbour {kind}, score double")
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = (rows[rows["side"] == side].sort_values("memory_id") for side in (0, 1))
+        if x.empty or y.empty:
+            return pd.DataFrame({"preset_id": [], "memory_id": [], "neighbour": [], "score": []})
+        preset, ids, other = rows["preset_id"].iloc[0], x["memory_id"].to_numpy(), y["memory_id"].to_numpy()
+        s = np.round(np.clip(_unit(x["embedding"]) @ _unit(y["embedding"]).T, -1, 1), DIGITS)
+        s[ids[:, None] == other[None, :]] = -np.inf
+        found = [nearest(preset, s, ids, other)]
+        if both and rows["a"].iloc[0] != rows["b"].iloc[0]:
+            found.append(nearest(preset, s.T, other, ids))
+        return pd.concat(found)
+
+    return blocks.groupBy(*keys).applyInPandas(best, f"preset_id string, memory_id {kind}, neighbour {kind}, score double")
+
+
+def _ranked(found: DataFrame, q: int) -> DataFrame:
     order = Window.partitionBy("preset_id", "memory_id").orderBy(F.col("score").desc(), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= q)
 
 
+def knn_graph(index: DataFrame, q: int = GRAPH_NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+    """(preset_id, memory_id, neighbour, score, rank): the q nearest active rows of the same preset; ties by id.
+
+    Two blocks meet once and serve both.  A row travels to (blocks of its preset + 1)
+    tasks, so rows shuffled and work grow with the square of a preset; for large
+    presets see :func:`near_graph`.
+    """
+    rows = index.where("status = 'active'").select("preset_id", "memory_id", "embedding")
+    sizes = rows.groupBy("preset_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    rows = rows.join(sizes, "preset_id").withColumn("_b", F.pmod(F.xxhash64("memory_id"), F.col("_blocks")).cast("int"))
+    left = rows.withColumn("b", F.explode(F.sequence(F.col("_b"), F.col("_blocks") - 1))).select("preset_id", F.col("_b").alias("a"), "b", F.lit(0).alias("side"), "memory_id", "embedding")
+    right = rows.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("_b")))).select("preset_id", "a", F.col("_b").alias("b"), F.lit(1).alias("side"), "memory_id", "embedding")
+    return _ranked(_best_pairs(left.unionByName(right), ["preset_id", "a", "b"], q, index.schema["memory_id"].dataType.simpleString(), both=True), q)
+
+
+def centroids(index: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 10) -> np.ndarray:
+    """Unit centres of cells, fitted on the sample rows with the least hashes."""
+    rows = index.select("memory_id", "embedding").orderBy(F.xxhash64("memory_id"), "memory_id").limit(sample).collect()  # sample rows
+    unit = _unit([r["embedding"] for r in rows]) if rows else np.zeros((1, 1))
+    centre = unit[np.linspace(0, len(unit) - 1, min(cells, len(unit))).astype(int)]
+    for _ in range(rounds):
+        home = np.argmax(unit @ centre.T, axis=1)
+        sums = np.zeros_like(centre)
+        np.add.at(sums, home, unit)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centre = np.where(size > 0, sums / np.maximum(size, 1e-12), centre)
+    return centre
+
+
+def near_graph(index: DataFrame, q: int = GRAPH_NEIGHBOURS, *, cells: int | None = None, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+    """knn_graph by cells: every row lies in the cell of its nearest centre and looks into its probes nearest cells; scores are exact.
+
+    A row travels to probes + 1 cells, whatever the preset's size; crowded cells are
+    dealt into blocks that meet in tasks of their own.  With one cell it is exact.
+    """
+    rows = index.where("status = 'active'").select("preset_id", "memory_id", "embedding")
+    cells = cells or max(1, min(SAMPLE // 32, rows.count() // block))
+    centre = index.sparkSession.sparkContext.broadcast(centroids(rows, cells))  # SAMPLE / 32 vectors at most
+
+    def assign(batches):
+        for frame in batches:
+            if frame.empty:
+                continue
+            order = np.argsort(-(_unit(frame["embedding"]) @ centre.value.T), axis=1, kind="stable")[:, :probes]
+            yield frame.assign(cells=list(order.astype(np.int32)))
+
+    placed = rows.mapInPandas(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", cells array<int>")
+    sides = placed.select("preset_id", "memory_id", "embedding", F.explode("cells").alias("cell"), F.lit(0).alias("side")).unionByName(placed.select("preset_id", "memory_id", "embedding", F.element_at("cells", 1).alias("cell"), F.lit(1).alias("side")))
+    parts = lambda side: F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == side) / block)).cast("int")
+    sides = sides.join(sides.groupBy("preset_id", "cell").agg(parts(0).alias("_l"), parts(1).alias("_r")), ["preset_id", "cell"])
+    own = lambda n: F.pmod(F.xxhash64("memory_id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spread = sides.withColumn("a", F.explode(F.when(F.col("side") == 0, F.array(own("_l"))).otherwise(every("_l")))).withColumn("b", F.explode(F.when(F.col("side") == 1, F.array(own("_r"))).otherwise(every("_r"))))
+    return _ranked(_best_pairs(spread.select("preset_id", "cell", "a", "b", "side", "memory_id", "embedding"), ["preset_id", "cell", "a", "b"], q, index.schema["memory_id"].dataType.simpleString(), both=False), q)
+
+
 def edges(graph: DataFrame) -> DataFrame:
     """(preset_id, a, b, weight), a < b: each linked pair once, weights over 0 only."""
     pairs = graph.select("preset_id", F.least("memory_id", "neighbour").alias("a"), F.greatest("memory_id", "neighbour").alias("b"), F.greatest(F.lit(0.0), "score").alias("weight"))
@@ -147,7 +209,9 @@ def pieces(index: DataFrame, single: int = SINGLE) -> DataFrame:
         sizes = rows.groupBy("preset_id", "piece").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > single)
         if not sizes.limit(1).count():
             return rows
-        rows.sparkSession.sparkContext.getCheckpointDir() or rows.sparkSession.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        context = rows.sparkSession.sparkContext
+        if not context.getCheckpointDir():  # the session's own folder, else one in the warehouse, which is shared as well
+            context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{rows.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
         big = rows.join(sizes, ["preset_id", "piece"])
         parts = big.select("preset_id", "piece", F.posexplode("embedding").alias("_d", "_x"))
         spread = parts.groupBy("preset_id", "piece", "_d").agg(F.stddev("_x").alias("_s"), F.percentile_approx("_x", 0.5).alias("_m"))
@@ -156,7 +220,7 @@ def pieces(index: DataFrame, single: int = SINGLE) -> DataFrame:
         flat = F.col("_axis._s") < 1e-9
         side = F.when(flat, F.pmod(F.xxhash64("memory_id", "piece"), F.lit(2))).otherwise((x > F.col("_axis._m")).cast("long"))
         rows = rows.join(axis, ["preset_id", "piece"], "left").withColumn("piece", F.when(F.col("_axis").isNull(), F.col("piece")).otherwise(2 * F.col("piece") + side)).drop("_axis").checkpoint()
-    return rows
+    raise RuntimeError("a preset is still over the size of a piece after 64 cuts")
 
 
 def groups(index: DataFrame, capacity: int = GROUP_CAPACITY, single: int = SINGLE) -> DataFrame:

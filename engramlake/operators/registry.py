@@ -89,9 +89,9 @@ def merge_profiles(profiles: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def render_profiles(asked: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(request, rendered): profiles of the asked keys (request, place, speaker_key), in order of first mention."""
-    first = asked.groupBy("request", "speaker_key").agg(F.min("place").alias("place"))
-    rows = first.join(profiles.where(text.trim("content") != ""), "speaker_key").select("request", "place", F.concat("speaker_label", F.lit("的人物画像：\n"), "content").alias("block"))
+    """(request, rendered): profiles of the asked keys (request, place, preset_id, speaker_key), in order of first mention."""
+    first = asked.groupBy("request", "preset_id", "speaker_key").agg(F.min("place").alias("place"))
+    rows = first.join(profiles.where(text.trim("content") != ""), ["preset_id", "speaker_key"]).select("request", "place", F.concat("speaker_label", F.lit("的人物画像：\n"), "content").alias("block"))
     return rows.groupBy("request").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "block"))), lambda x: x["block"]), "\n\n").alias("rendered"))
 
 

@@ -48,38 +48,42 @@ def scored(index: DataFrame, queries: DataFrame, *, best: int | None = None, **w
 
     Filters run in the scan.  What is left goes through Arrow as one float matrix a
     batch and is multiplied with the queries' matrix, a small fixed-size table in
-    each task.  best: each batch keeps that many rows a query, by cosine, then id.
+    each task.  Vectors of another length, with no length or with values that are no
+    numbers have no cosine and are left out.  best: each batch keeps that many rows a
+    query, by cosine, then id.
     """
     batch = bounded(queries.select("text_no", "vector")).collect()  # QUERY_LIMIT rows at most
     spark, field = index.sparkSession, index.schema["memory_id"]
     kind = T.StructType([queries.schema["text_no"], T.StructField("memory_id", field.dataType), T.StructField("cosine", T.DoubleType())])
     if not batch or best is not None and best <= 0:
         return spark.createDataFrame([], kind)
-    numbers = [r["text_no"] for r in batch]
+    numbers = pa.array([r["text_no"] for r in batch], to_arrow_schema(kind).field(0).type)
     wanted = np.array([r["vector"] for r in batch], dtype=np.float64)
     wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
     arrow = to_arrow_schema(kind)
 
     def score(batches):
         for b in batches:
-            if not b.num_rows:
+            rows = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, wanted.shape[1]).astype(np.float64)
+            size = np.linalg.norm(rows, axis=1, keepdims=True)
+            usable = np.flatnonzero(np.isfinite(size[:, 0]) & (size[:, 0] > 0))
+            if not len(usable):
                 continue
-            rows = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-            cos = np.round(rows @ wanted.T / np.linalg.norm(rows, axis=1, keepdims=True), DIGITS) + 0.0
-            ids = b.column(0)
+            cos = np.round(rows[usable] @ wanted.T / size[usable], DIGITS) + 0.0
+            ids = b.column(0).take(pa.array(usable))
             if best is None:
-                picked = [np.arange(b.num_rows)] * len(numbers)
+                picked = [np.arange(len(usable))] * len(numbers)
             else:
                 names = np.array(ids.to_pylist())
                 picked = [np.lexsort((names, -cos[:, q]))[:best] for q in range(len(numbers))]
             columns = [
-                pa.array([n for n, p in zip(numbers, picked) for _ in range(len(p))], arrow.field(0).type),
+                numbers.take(pa.array(np.repeat(np.arange(len(picked)), [len(p) for p in picked]))),
                 ids.take(pa.array(np.concatenate(picked))).cast(arrow.field(1).type),
                 pa.array(np.concatenate([cos[p, q] for q, p in enumerate(picked)])),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return index.where(filters(**where)).where("embedding is not null").select("memory_id", "embedding").mapInArrow(score, kind)
+    return index.where(filters(**where)).where(F.size("embedding") == wanted.shape[1]).select("memory_id", "embedding").mapInArrow(score, kind)
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int, **where) -> DataFrame:
@@ -97,17 +101,22 @@ def keyword_match(index: DataFrame, keyword_rows: DataFrame, words: list[str], *
 
 
 def hybrid(index: DataFrame, keyword_rows: DataFrame, queries: DataFrame, words: list[str], k: int, min_similarity: float = 0.0, **where) -> DataFrame:
-    """(text_no, memory_id, cosine, match_count, boosted): one scoring pass, one cut a text.
+    """(text_no, memory_id, cosine, match_count, boosted): the best k of a text.
 
     Cosine at or over the threshold: cosine plus a bonus a match.  Under it, with
     matches: cosine counts 0, matches count more.  Neither: dropped.  Without
     keywords a threshold of 0 is none at all, so negative cosines stay.
+
+    Rows without a match rank by their cosine alone, so each task keeps its best k of
+    them; only rows with a match are scored in full.  Together they hold the best k.
     """
     words = [w for w in (x.strip() for x in words) if w]
-    rows = scored(index, queries, **where)
     if words:
-        rows = rows.join(keyword_match(index, keyword_rows, words, **where), "memory_id", "left")
+        matches = keyword_match(index, keyword_rows, words, **where)
+        plain = scored(index.join(matches, "memory_id", "left_anti"), queries, best=k, **where).withColumn("match_count", F.lit(0).cast("long"))
+        rows = plain.unionByName(scored(index.join(matches, "memory_id", "left_semi"), queries, **where).join(matches, "memory_id"))
     else:
+        rows = scored(index, queries, best=k, **where)
         rows = rows.withColumn("match_count", F.lit(0).cast("long"))
     n = F.coalesce("match_count", F.lit(0))
     near = F.col("cosine") >= min_similarity

@@ -41,7 +41,10 @@ class Views:
         e, d = self.table("embeddings"), self.table("documents").select("doc_id", "text")
         i = F.col("vec_id")
         kind = F.element_at(F.array(*map(F.lit, ("identity", "preference", "fact", "plan", "context", "other"))), (i % 6 + 1).cast("int"))
-        rows = e.join(d, F.col("doc_id") == i % 200)
+        count = F.broadcast(d.agg((F.max("doc_id") + 1).alias("_docs")))  # one row
+        rows = e.crossJoin(count).join(d, F.col("doc_id") == i % F.col("_docs"))
+        # the shortest words of the whole text stand for its keywords
+        words = F.transform(F.array_sort(F.array_distinct(F.transform(F.split("text", " "), lambda w: F.struct(F.length(text.trim(w)).alias("n"), text.trim(w).alias("w"))))), lambda x: x["w"])
         return rows.select(
             i.alias("memory_id"), F.concat(F.lit("preset-"), (i % 4).cast("string")).alias("preset_id"),
             F.when(i % 5 != 0, F.concat(F.lit("conv-"), (i % 20).cast("string"))).alias("source_conversation_id"),
@@ -49,10 +52,10 @@ class Views:
             F.when(i % 11 != 0, (i % 10).cast("double") / F.lit(10.0)).alias("importance"),
             (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), i.cast("int"))).alias("updated_at"),
             (F.lit("2023-12-01").cast("timestamp") + F.make_dt_interval(F.lit(0), (i % 97).cast("int"))).alias("created_at"),
-            F.col("text").alias("content"), F.when(i % 3 != 0, F.substring("text", 1, 40)).alias("summary"), F.when(i % 4 != 0, "calm").otherwise("glad").alias("sentiment"),
+            F.col("text").alias("content"), F.when(i % 3 != 0, F.element_at(F.split("text", "\n"), -1)).alias("summary"), F.when(i % 4 != 0, "calm").otherwise("glad").alias("sentiment"),
             F.when(i % 3 != 1, F.concat(F.lit("label-"), (i % 2).cast("string"))).alias("source_label"),
             text.speaker_keys(F.array(F.concat(F.lit("u"), (i % 15).cast("string")), F.concat(F.lit("u"), (i % 23).cast("string")))).alias("speaker_keys"),
-            text.keywords(F.slice(F.split("text", " "), 1, 12)).alias("keywords"), "embedding",
+            text.keywords(words).alias("keywords"), "embedding",
         )
 
     @cached_property
@@ -123,18 +126,18 @@ def sql_trim(x: str) -> str:
 
 VIEW_SQL = {
     "mem": f"""mem0 AS (
-  SELECT e.*, d.text, list_filter(list_transform(string_split(d.text, ' ')[1:12], lambda x: {sql_trim('x')}), lambda x: x <> '') AS kw0
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % 200),
+  SELECT e.*, d.text, list_filter(list_transform(list_sort(list_distinct(list_transform(list_transform(string_split(d.text, ' '), lambda x: {sql_trim('x')}), lambda t: {{'n': length(t), 'w': t}}))), lambda s: s.w), lambda x: x <> '') AS kw0
+  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % (SELECT max(doc_id) + 1 FROM documents)),
 mem AS (
   SELECT vec_id AS memory_id, 'preset-' || (vec_id % 4) AS preset_id, CASE WHEN vec_id % 5 <> 0 THEN 'conv-' || (vec_id % 20) END AS source_conversation_id,
     CASE WHEN vec_id % 7 = 0 THEN 'archived' ELSE 'active' END AS status,
     CASE vec_id % 6 WHEN 0 THEN 'identity' WHEN 1 THEN 'preference' WHEN 2 THEN 'fact' WHEN 3 THEN 'plan' WHEN 4 THEN 'context' ELSE 'other' END AS type,
     CASE WHEN vec_id % 11 <> 0 THEN CAST(vec_id % 10 AS DOUBLE) / CAST(10 AS DOUBLE) END AS importance,
     TIMESTAMP '2024-01-01' + to_hours(CAST(vec_id AS INTEGER)) AS updated_at, TIMESTAMP '2023-12-01' + to_hours(CAST(vec_id % 97 AS INTEGER)) AS created_at,
-    text AS content, CASE WHEN vec_id % 3 <> 0 THEN substr(text, 1, 40) END AS summary, CASE WHEN vec_id % 4 <> 0 THEN 'calm' ELSE 'glad' END AS sentiment,
+    text AS content, CASE WHEN vec_id % 3 <> 0 THEN string_split(text, chr(10))[-1] END AS summary, CASE WHEN vec_id % 4 <> 0 THEN 'calm' ELSE 'glad' END AS sentiment,
     CASE WHEN vec_id % 3 <> 1 THEN 'label-' || (vec_id % 2) END AS source_label,
     list_sort(list_distinct(['u' || (vec_id % 15), 'u' || (vec_id % 23)])) AS speaker_keys,
-    list_filter(kw0, lambda x, i: list_position(kw0, x) = i) AS keywords, embedding
+    kw0[1:12] AS keywords, embedding
   FROM mem0)""",
     "mem_kw": f"mem_kw AS (SELECT DISTINCT memory_id, lower({sql_trim('k.w')}) AS keyword FROM mem, unnest(keywords) AS k(w))",
     "mem_speaker": "mem_speaker AS (SELECT preset_id, s.k AS speaker_key, memory_id FROM mem, unnest(speaker_keys) AS s(k) WHERE status = 'active')",
