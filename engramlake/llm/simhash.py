@@ -73,11 +73,12 @@ def _near(a: str, b: str):
 
 def links(fps: DataFrame, tables: Tables) -> DataFrame:
     """Edges (a, b) between different fingerprints that give the components of all links at 3 bits or fewer."""
-    # dealt anew, so that a few tasks with the small table of fingerprints do not explode it alone
-    keys = variants(fps.repartition("fp"))
+    # dealt by number, so that a few tasks with the small table of fingerprints do not explode it alone
+    keys = variants(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     shared = tables.stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     twos = shared.where("n = 2").where(_near("a", "b")).select("a", "b").distinct()
-    members = tables.stored(keys.join(shared.where("n > 2").select("key", "n"), "key"), "members")
+    # both sides are dealt by key at every size: the shared variants grow with the fingerprints
+    members = tables.stored(keys.join(shared.where("n > 2").select("key", "n").hint("merge"), "key"), "members")
     few = members.where(F.col("n") <= CROWD).select("key", "fp")
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").where(_near("a", "b")).select("a", "b").distinct()
     return twos.unionByName(pairs).unionByName(crowd_links(members.where(F.col("n") > CROWD).select("fp").distinct(), tables))
