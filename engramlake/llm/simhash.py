@@ -99,7 +99,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id_col, fp, component_id): one row for each document; component_id is the least id of its component."""
     tables = Tables(docs.sparkSession)
     rows = tables.stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    heads = rows.groupBy("fp").agg(F.min(id_col).alias("head"))
+    heads = tables.stored(rows.groupBy("fp").agg(F.min(id_col).alias("head")), "heads")
     roots = connected_components(links(heads.select("fp"), tables), tables)
     joined = heads.join(roots, heads.fp == roots.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("head").alias("component_id"))
