@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from engramlake.llm import decontam, linededup, simhash
+from engramlake.llm import decontam, linededup
 from cases import empty, odd
+from test_similar import components
 
 D = "/root/testdata/sf0.01"
 
@@ -27,9 +28,8 @@ def test_stages_against_brute_force(spark):
         bad = {x for x in pages[r.text] if x and (n := sum(x in p for p in pages.values())) >= 4 and n > linededup.RATIO * len(pages)}
         want = "\n".join(x for x in r.text.split("\n") if x.strip(" ") not in bad)
         assert lines[i].text == want and lines[i].n_chars == (len(want) if want != r.text else r.n_chars)
-    fps = {i: simhash.fingerprint(r.text) & (2**64 - 1) for i, r in lines.items()}
-    for i in near:
-        assert not any((fps[i] ^ fps[j]).bit_count() <= 3 for j in near if j < i)
+    root = components({i: r.text for i, r in lines.items()})
+    assert set(near) == {i for i in lines if root[i] == i}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
     grams = lambda t: {tuple(w[k : k + 5]) for w in [decontam.words_of(t)] for k in range(max(1, len(w) - 4))}
     sets = [grams(t) for _, t in items]
