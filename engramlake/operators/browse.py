@@ -47,6 +47,11 @@ def list_memories(entries: DataFrame, page=None, size=None, **where) -> DataFram
     return paginate(entries.where(memory_filter(**where)), [F.col("updated_at").desc(), "memory_id"], page, size)
 
 
+def list_total(entries: DataFrame, **where) -> DataFrame:
+    """(total): all rows that :func:`list_memories` pages through."""
+    return entries.where(memory_filter(**where)).agg(F.count(F.lit(1)).alias("total"))
+
+
 def facets(entries: DataFrame) -> DataFrame:
     """(status, type, n) for every status and 'all', every type and 'all', zero-filled; filters never apply."""
     spark = entries.sparkSession

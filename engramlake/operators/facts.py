@@ -23,11 +23,14 @@ def append(entries: DataFrame, extracted: DataFrame, now: Column) -> DataFrame:
     return entries.join(new.select("memory_id"), "memory_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-PATCHABLE = ("type", "status", "content", "summary", "sentiment", "importance")
+PATCHABLE = ("type", "status", "content", "summary", "sentiment", "importance", "keywords", "speaker_keys")
 
 
 def apply_patch(entries: DataFrame, patch: DataFrame, now: Column) -> DataFrame:
-    """entries with each patched field that is not null; content_changed tells whether a vector is due."""
+    """entries with each patched field that is not null; content_changed tells whether a vector is due.
+
+    Keywords and speakers are normalised as on creation; the links of the new rows are ``index.speaker_rows``.
+    """
     p = patch.select("memory_id", *[F.col(c).alias(f"_{c}") for c in PATCHABLE if c in patch.columns], F.lit(True).alias("_hit"))
     rows = entries.join(p, "memory_id", "left")
     fields = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in PATCHABLE if c in patch.columns}
@@ -36,6 +39,9 @@ def apply_patch(entries: DataFrame, patch: DataFrame, now: Column) -> DataFrame:
         changed = F.coalesce(text.trim("_content") != F.col("content"), F.lit(False))
     else:
         changed = F.lit(False)
+    for name, clean in (("keywords", text.keywords), ("speaker_keys", text.speaker_keys)):
+        if name in fields:
+            fields[name] = F.when(F.col(f"_{name}").isNotNull(), clean(f"_{name}")).otherwise(F.col(name))
     out = rows.withColumn("content_changed", changed).withColumns(fields)
     return out.withColumn("updated_at", F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))).select(*entries.columns, "content_changed")
 
@@ -54,6 +60,16 @@ def split(entries: DataFrame, parts: DataFrame) -> DataFrame:
     return parts.join(enough, "parent_id", "left_semi").join(parents, "parent_id").withColumn("status", F.lit("active"))
 
 
+def archive_split(entries: DataFrame, parts: DataFrame, now: Column) -> DataFrame:
+    """entries with the parents of :func:`split` archived."""
+    return archive(entries, split(entries, parts).select(F.col("parent_id").alias("memory_id")), now)
+
+
+def archive_merged(entries: DataFrame, groups: DataFrame, now: Column) -> DataFrame:
+    """entries with the parents of :func:`merge` archived."""
+    return archive(entries, merge(entries, groups).select(F.explode("parents").alias("memory_id")), now)
+
+
 def _all_equal(c: Column) -> Column:
     """Every value the same, nulls equal to each other."""
     return (F.count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))) == 1
@@ -148,6 +164,14 @@ def drop_legacy_vectors(entries: DataFrame) -> DataFrame:
     return entries.withColumns({"embedding": F.lit(None).cast(entries.schema["embedding"].dataType), "embedding_model_id": F.lit(None).cast("string")})
 
 
+def delete_snapshots(snapshots: DataFrame, *, id=None, conversation=None, preset=None) -> DataFrame:
+    """snapshots without the one named, or those of a conversation or of a preset; rows without that field stay."""
+    gone = [F.col(c).eqNullSafe(F.lit(x)) for c, x in (("id", id), ("conversation_id", conversation), ("preset_id", preset)) if x is not None]
+    if len(gone) != 1:
+        raise ValueError("name an id, a conversation or a preset")
+    return snapshots.where(~gone[0])
+
+
 def snapshot_text(items) -> Column:
     """Non-empty final texts, one a line."""
     return F.array_join(F.filter(F.transform(items, lambda i: text.trim(i["final_text"])), lambda t: t != ""), "\n")

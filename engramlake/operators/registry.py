@@ -78,6 +78,13 @@ def reconcile_speakers(speakers: DataFrame, identities: DataFrame) -> DataFrame:
     return out.select("preset_id", F.col("key").alias("speaker_key"), F.col("label").alias("speaker_label"), text.aliases(names).alias("speaker_aliases"), "created_at", F.coalesce("merged_keys", F.array().cast("array<string>")).alias("merged_keys"))
 
 
+def mark_reviewed(profiles: DataFrame, reviewed: DataFrame, now: Column) -> DataFrame:
+    """profiles with sources and time of reviewed(profile_id, source_memory_ids) renewed; contents stay."""
+    rows = profiles.join(reviewed.select("profile_id", F.col("source_memory_ids").alias("_sources")), "profile_id", "left")
+    hit = F.col("_sources").isNotNull()
+    return rows.withColumns({"updated_at": F.when(hit, now).otherwise(F.col("updated_at")), "source_memory_ids": F.coalesce("_sources", "source_memory_ids")}).select(*profiles.columns)
+
+
 def merge_profiles(profiles: DataFrame, keys: DataFrame) -> DataFrame:
     """(preset_id, speaker_key, profile_id, content, source_memory_ids): of all profiles of a merged speaker (keys: speaker_key, old_key) the freshest, with all sources."""
     rows = profiles.join(keys.select("preset_id", F.col("speaker_key").alias("_new"), F.col("old_key").alias("speaker_key")), ["preset_id", "speaker_key"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,6 +176,11 @@ def _(v):
     return _listed(browse.list_memories(v.mem, page=3, size=25, status="active"))
 
 
+@query("list_total", "mem", f"SELECT count(*) AS total FROM mem WHERE type = 'fact' AND status = 'active' AND list_contains(speaker_keys, 'u2') AND {KEYWORD_HIT}")
+def _(v):
+    return browse.list_total(v.mem, type="fact", status="active", speaker="u2", keyword=" The ")
+
+
 @query("list_jobs", "job", "SELECT job_id, kind, status, (epoch_us(created_at) // 1000) AS created_ms FROM job WHERE kind = 'extract' AND status = 'failed' ORDER BY created_at DESC, job_id LIMIT 50")
 def _(v):
     return browse.paginate(v.job.where("kind = 'extract' and status = 'failed'"), [F.col("created_at").desc(), "job_id"], 1, 50).select("job_id", "kind", "status", ms("created_at").alias("created_ms"))
@@ -462,6 +468,42 @@ def _(v):
     return facts.apply_patch(v.mem, patch, now()).select("memory_id", "content", "type", "importance", ms("updated_at").alias("updated_ms"), "content_changed")
 
 
+@query("patch_lists", "mem", """p AS (SELECT memory_id, preset_id, status, CASE WHEN memory_id % 4 = 1 THEN ['k' || memory_id, 'b'] ELSE keywords END AS keywords, CASE WHEN memory_id % 4 = 2 THEN ['a1', 'z' || memory_id] ELSE speaker_keys END AS speaker_keys FROM mem)
+SELECT memory_id, array_to_string(keywords, ',') AS keywords, array_to_string(speaker_keys, ',') AS speaker_keys, CASE WHEN status = 'active' THEN len(speaker_keys) ELSE 0 END AS links FROM p""")
+def _(v):
+    i = F.col("memory_id")
+    patch = v.mem.where("memory_id % 4 in (1, 2)").select("memory_id", F.when(i % 4 == 1, F.array(F.concat(F.lit(" k"), i.cast("string")), F.lit("b"), F.lit("b "))).alias("keywords"), F.when(i % 4 == 2, F.array(F.concat(F.lit("z"), i.cast("string")), F.lit(" a1"), F.lit(""))).alias("speaker_keys"))
+    out = facts.apply_patch(v.mem, patch, now())
+    links = index.speaker_rows(out).groupBy("memory_id").agg(F.count(F.lit(1)).alias("links"))
+    return out.join(links, "memory_id", "left").select("memory_id", F.array_join("keywords", ",").alias("keywords"), F.array_join("speaker_keys", ",").alias("speaker_keys"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+@query("split_archives", "mem", f"SELECT memory_id, CASE WHEN memory_id % 6 = 2 THEN 'archived' ELSE status END AS status, CASE WHEN memory_id % 6 = 2 AND status = 'active' THEN epoch_ms({NOW_SQL}) ELSE epoch_ms(updated_at) END AS updated_ms FROM mem")
+def _(v):
+    parts = v.mem.where("memory_id % 6 in (1, 2)").select(F.col("memory_id").alias("parent_id"), F.explode(F.sequence(F.lit(1), (F.col("memory_id") % 6).cast("int"))).alias("part")).withColumn("content", F.lit("x"))
+    return facts.archive_split(v.mem, parts, now()).select("memory_id", "status", ms("updated_at").alias("updated_ms"))
+
+
+@query("merge_archives", "mem", f"""g AS (SELECT memory_id // 8 AS group_id, preset_id FROM mem WHERE status = 'active' AND memory_id % 4 <> 3), d AS (SELECT group_id, preset_id FROM g GROUP BY ALL HAVING count(*) >= 2)
+SELECT memory_id, CASE WHEN d.group_id IS NOT NULL AND memory_id % 4 <> 3 THEN 'archived' ELSE status END AS status FROM mem LEFT JOIN d ON d.group_id = memory_id // 8 AND d.preset_id = mem.preset_id""")
+def _(v):
+    groups = v.mem.where("memory_id % 4 <> 3").select(F.expr("memory_id div 8").alias("group_id"), "memory_id")
+    return facts.archive_merged(v.mem, groups, now()).select("memory_id", "status")
+
+
+@query("snapshot_delete", "", "SELECT * FROM (VALUES ('id', 's2'), ('id', 's3'), ('conversation', 's3'), ('preset', 's1')) AS t(way, id)")
+def _(v):
+    rows = v.spark.createDataFrame([("s1", "p1", "c1"), ("s2", "p2", "c1"), ("s3", "p2", None)], "id string, preset_id string, conversation_id string")
+    left = [("id", facts.delete_snapshots(rows, id="s1")), ("conversation", facts.delete_snapshots(rows, conversation="c1")), ("preset", facts.delete_snapshots(rows, preset="p2"))]
+    return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(way).alias("way"), "id") for way, df in left])
+
+
+@query("profile_reviewed", "profile", f"SELECT profile_id, content, CASE WHEN profile_id % 4 = 0 THEN '7,9' ELSE array_to_string(source_memory_ids, ',') END AS sources, CASE WHEN profile_id % 4 = 0 THEN epoch_ms({NOW_SQL}) ELSE epoch_ms(updated_at) END AS updated_ms FROM profile")
+def _(v):
+    reviewed = v.profile.where("profile_id % 4 = 0").select("profile_id", F.array(F.lit(7).cast("long"), F.lit(9).cast("long")).alias("source_memory_ids"))
+    return registry.mark_reviewed(v.profile, reviewed, now()).select("profile_id", "content", F.array_join("source_memory_ids", ",").alias("sources"), ms("updated_at").alias("updated_ms"))
+
+
 @query("archive", "mem", f"SELECT memory_id, CASE WHEN memory_id % 3 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN memory_id % 3 = 0 AND status = 'active' THEN epoch_ms({NOW_SQL}) ELSE epoch_ms(updated_at) END AS updated_ms FROM mem")
 def _(v):
     return facts.archive(v.mem, v.mem.where("memory_id % 3 = 0"), now()).select("memory_id", "status", ms("updated_at").alias("updated_ms"))
