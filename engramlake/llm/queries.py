@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over a folder of tables."""
+"""The thirteen operators and the pipeline as queries over a folder of tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import bpe, decontam, html, langid, linededup, sharding, simhash, suffixdedup, tokenstore, winnow
+from engramlake.llm import audit, bpe, decontam, html, langid, lexical, linededup, sharding, simhash, similar, suffixdedup, tokenstore, winnow
 from engramlake.llm.common import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -73,18 +73,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.array_join("items", ",").alias("item_ids"), "max_containment")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.components(table(spark, sf_dir, "documents"), 4)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     return {
         "op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "op3_token_store": op3_token_store, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup,
         "op6_winnowing": op6_winnowing, "op7_main_text": op7_main_text, "op8_line_dedup": op8_line_dedup, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination,
+        "op11_source_audit": op11_source_audit, "op12_minhash": op12_minhash, "op13_lexical_search": op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": linededup.SQL, "op10_decontamination": DECONTAMINATION_SQL}
+    return {"op8_line_dedup": linededup.SQL, "op10_decontamination": DECONTAMINATION_SQL, "op11_source_audit": audit.SQL, "op12_minhash": similar.SQL, "op13_lexical_search": lexical.SQL}
 
 
 DECONTAMINATION_SQL = """

@@ -112,21 +112,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs with the least doc_id of their group; columns unchanged.
 
     Groups are the components of texts with a five-word similarity of 0.8 or more.
-    Fingerprints within 3 bits are candidates like the MinHash bands of
+    Fingerprints within 3 bits are candidates like the bands of registers of
     :mod:`similar`, which find the pairs that deletion variants cannot; all are verified.
     Rows without an id stay; rows that share an id stay or go together.
     """
     tables = Tables(docs.sparkSession)
     known = docs.where("doc_id is not null")
     one = lambda t: (fingerprint(t), *similar.signature(t))
-    rows = tables.stored(text_batches(known, "doc_id", "text", one, "fp long, digest binary, n long, keys array<long>"), "signatures")
-    texts = tables.stored(rows.groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts")
-    fps = tables.stored(texts.groupBy("fp").agg(F.min("head").alias("first")), "heads")
+    rows = tables.stored(text_batches(known, "doc_id", "text", one, f"fp long, {similar.SIGNATURE}"), "signatures")
+    texts = similar.different(rows, tables)
+    fps = tables.stored(texts.groupBy("fp").agg(F.min("node").alias("first")), "heads")
     near = links(fps.select("fp"), tables)
-    ends = near.join(fps.selectExpr("fp as a", "first as x"), "a").join(fps.selectExpr("fp as b", "first as y"), "b").selectExpr("least(x, y) as a", "greatest(x, y) as b")
-    same = texts.join(fps.hint("merge"), "fp").where("head <> first").selectExpr("first as a", "head as b")
-    roots = connected_components(similar.links(texts, known, ends.unionByName(same), tables), tables)
-    dropped = roots.where("node <> root").select(F.col("node").alias("head"))
-    kept = texts.join(dropped, "head", "left_anti").select(F.col("head").alias("doc_id"))
-    found = tables.result(kept, "kept")
-    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    ends = near.join(fps.selectExpr("fp as a", "first as x"), "a").join(fps.selectExpr("fp as b", "first as y"), "b").selectExpr("x as a", "y as b")
+    same = texts.join(fps.hint("merge"), "fp").where("node <> first").selectExpr("first as a", "node as b")
+    roots = similar.links(texts, known.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), tables, more=ends.unionByName(same))
+    joined = texts.select("node", "head").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = tables.stored(joined.groupBy("root").agg(F.min("head").alias("doc_id")).select("doc_id").distinct(), "kept")
+    out = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return tables.result(out, "one-of-each")

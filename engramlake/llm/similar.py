@@ -1,121 +1,330 @@
-"""Texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
-
-Words and lower case are those of the SimHash operator; fewer than five words give
-one shingle, the whole sequence, and no words an empty set, which equals itself only.
-
-Candidates come from MinHash bands: 192 minima in 32 bands of 6.  Two texts at
-similarity 0.8 share no band with probability 0.738 ** 32 = 6e-5, less above it.
-Up to ``CROWD`` texts of a band are paired up.  A larger band is not: every text
-in it is held against the band's first one, its hub.  Those that are similar to
-the hub are done with in this band; the rest is dealt again by the band together
-with each of the next ``DEALT`` bands, and so on until nothing is left, so a band
-that a common passage fills comes apart.  What can be lost is a link from a text
-that is similar to the hub to one that is not, if the hub is in every band the two
-share; components keep it as soon as one band without the hub, or one more text
-between them, has it.  Each candidate pair is verified on the whole shingle sets.
-Of rows that share an id the least text is verified.
+"""Near copies by word shingles: HyperMinHash registers, banded, estimated, verified.
+
+Words and lower case are those of the SimHash operator.  A text is the set of its
+different shingles of ``words`` words; fewer words give one shingle, the whole
+sequence, and no words an empty set.  Two sets are linked if 100 * common >= 80 * union.
+
+**Registers.**  A shingle's hash falls in one of ``BUCKETS`` buckets.  A bucket keeps
+its least remaining hash as 16 bits: the number of leading zeros and the next ten
+bits.  For the bands only, an empty bucket borrows another one's register.
+
+**Bands.**  ``BANDS`` keys of ``ROWS`` registers; two sets at similarity 0.8 share no
+key with probability (1 - 0.8 ** 7) ** 52 = 5e-6, less above it.
+
+**Candidates.**  A key's texts are not paired up.  All of them are held against one hub,
+the text that the most others share keys with, and what is verified gives components.
+Then only texts outside the hub's component (the rest) have open pairs: rest against
+rest and rest against the others.  These meet in tiles of ``TILE`` by ``TILE`` registers, and a
+pair of different components whose estimate is not clearly too low is verified.  A tile
+with very many such pairs first sends stars around its most connected texts; another round follows, when
+most of the pairs lie within components.  No pair is given up, whatever a key's
+size; the work grows with rest x texts of a key.
+
+**Estimate.**  Equal registers over filled ones, less the expected chance collisions.  Only what is
+five standard errors below 0.8 is discarded.  What is left is verified on the whole sets;
+of a pair only the second set travels to the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import Tables, text_batches
+from engramlake.llm.common import Tables, connected_components, text_batches
 from engramlake.llm.decontam import hashes, spans
 
 WORDS = 5
-SIMILAR = 0.8
-BANDS, ROWS = 32, 6
-CROWD = 8
-DEALT = 4
-#: Shingles multiplied at once; bounds memory on very long texts.
-CHUNK = 4096
+SIMILAR = 80
+BANDS, ROWS = 52, 7
+BUCKETS = BANDS * ROWS
+MANTISSA = 10
+TILE = 256
+#: Pairs that a tile may send for each of its texts before it sends stars instead.
+PAIRS_A_TEXT = 4
+STAR_ROUNDS = 3
+ERRORS = 5.0
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-_seeds = np.random.default_rng(5)
-_TIMES = _seeds.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_PLUS = _seeds.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+_EMPTY = np.iinfo(np.uint64).max
+_HOPS = np.random.default_rng(5).integers(0, BUCKETS, (64, BUCKETS))
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").translate(LOWER).split()
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
+def shingles(words: list[bytes], k: int = WORDS) -> np.ndarray:
     """The different shingles' hashes, in order."""
-    return np.unique(hashes(*spans(words, WORDS)))
+    return np.unique(hashes(*spans(words, k)))
+
+
+def registers(h: np.ndarray) -> np.ndarray:
+    """uint16 a bucket: 1 + leading zeros above, ten bits below; 0 where no hash fell."""
+    mixed = h * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    least = np.full(BUCKETS, _EMPTY, dtype=np.uint64)
+    np.minimum.at(least, ((h >> np.uint64(32)) * np.uint64(BUCKETS) >> np.uint64(32)).astype(np.int64), mixed)
+    part, exponent = np.frexp(least.astype(np.float64))
+    out = ((np.minimum(65 - exponent, 62) + 1) << MANTISSA) | ((2 * part - 1) * (1 << MANTISSA)).astype(np.int64)
+    return np.where(least == _EMPTY, 0, out).astype(np.uint16)
 
 
-def bands(h: np.ndarray) -> list[int]:
+def filled(own: np.ndarray) -> np.ndarray:
+    """The registers with each empty one borrowed from a bucket that depends on its place only."""
+    out, left = own.copy(), np.flatnonzero(own == 0)
+    for hop in _HOPS:
+        if not len(left):
+            return out
+        out[left] = own[hop[left]]
+        left = left[out[left] == 0]
+    some = np.flatnonzero(own)
+    out[left] = own[some[np.searchsorted(some, left) % len(some)]]
+    return out
+
+
+def bands(own: np.ndarray) -> list[int]:
     """One key a band, as signed 64-bit integers; none for an empty set."""
-    if not len(h):
+    if not own.any():
         return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(h), CHUNK):
-        least = np.minimum(least, (h[at : at + CHUNK, None] * _TIMES + _PLUS).min(axis=0))
-    keys = [xxhash.xxh3_64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+    rows = filled(own).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
 
 
-def signature(text: str | None) -> tuple[bytes, int, list[int]]:
-    """The words' digest, how many different shingles, and the bands' keys."""
-    words = words_of(text)
-    h = shingles(words)
-    return xxhash.xxh3_128_digest(b" ".join(words)), len(h), bands(h)
+def signature(text: str | None, k: int = WORDS) -> tuple[bytes, int, bytes, list[int]]:
+    """The set's digest, its size, its registers and the bands' keys."""
+    h = shingles(words_of(text), k)
+    own = registers(h)
+    return xxhash.xxh3_128_digest(h.tobytes()), len(h), own.tobytes(), bands(own)
 
 
-def _close(a: str, b: str):
-    """What similar sets' sizes allow."""
-    return F.least(a, b) >= F.greatest(a, b) * F.lit(SIMILAR)
+SIGNATURE = "digest binary, n long, regs binary, keys array<long>"
 
 
-def links(texts: DataFrame, docs: DataFrame, more: DataFrame, tables: Tables, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): similar pairs that give the components of all of them.
+def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Of register arrays (..., BUCKETS) and set sizes: which pairs' estimated similarity is not clearly below the threshold."""
+    some = np.count_nonzero(a | b, axis=-1)
+    same = np.count_nonzero((a == b) & (a != 0), axis=-1)
+    chance = some * 0.17 / (1 << MANTISSA) * 4.0 * na * nb / np.maximum((na + nb) ** 2, 1)
+    return same - chance + ERRORS * np.sqrt(0.16 * some) >= SIMILAR / 100 * some
 
-    texts (head, n, keys): one row for each different text, head its least id;
-    docs: where the text of a head is read; more (a, b): other candidates among heads.
-    """
-    key = F.posexplode("keys").alias("band", "key")
-    rows, extra, level, out = texts.select("head", "n", key), more.select("a", "b"), 0, None
-    sets = None
-    while True:
-        sizes = tables.stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("head").alias("hub")).where("c > 1"), "bands")
-        # both sides are dealt by key, so that Spark can split a hot band
-        members = tables.stored(rows.join(sizes.hint("merge"), "key"), "members")
-        few = members.where(F.col("c") <= CROWD)
-        left, right = few.select("key", F.col("head").alias("a"), F.col("n").alias("na")), few.select("key", F.col("head").alias("b"), F.col("n").alias("nb"))
-        pairs = left.join(right, "key").where("a < b").where(_close("na", "nb")).select("a", "b")
-        many = members.where((F.col("c") > CROWD) & (F.col("hub") < F.col("head")))
-        pairs = tables.stored(pairs.unionByName(many.selectExpr("hub as a", "head as b")).unionByName(extra).distinct(), "pairs")
-        # every text of a later round was held against a hub in the first one
-        sets = shingle_sets(pairs, docs, tables, id_col, text_col) if sets is None else sets
-        found = verified(pairs, sets, tables)
-        out = found if out is None else out.unionByName(found)
-        rest = tables.stored(many.join(found.selectExpr("a as hub", "b as head"), ["hub", "head"], "left_anti").select("head", "n", "band", "key"), "rest")
-        if rest.isEmpty():
-            return out.distinct()
-        step = range(level * DEALT + 1, level * DEALT + DEALT + 1)
-        if step[-1] < BANDS:
-            again = F.explode(F.array(*[F.xxhash64("key", F.lit(d), F.element_at("keys", F.pmod(F.col("band") + d, F.lit(BANDS)).cast("int") + 1)) for d in step])).alias("key")
-            rows = rest.join(texts.select("head", "keys"), "head").select("head", "n", "band", again)
-        else:
-            rows = rest
-        rows, extra, level = tables.stored(rows, "dealt"), more.limit(0).select("a", "b"), level + 1
-
-
-def shingle_sets(pairs: DataFrame, docs: DataFrame, tables: Tables, id_col: str, text_col: str) -> DataFrame:
-    """(_id, set): the shingles of the texts that the pairs name."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_id")
-    wanted = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
-    return tables.stored(text_batches(wanted, "_id", "_text", lambda t: (shingles(words_of(t)).view(np.int64),), "set array<long>"), "sets")
+
+def _arrow(rows: list, kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
+
+
+def estimated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose estimate allows a link."""
+    own = texts.select("node", "n", "regs")
+    both = pairs.join(own.withColumnsRenamed({"node": "b", "n": "nb", "regs": "rb"}).hint("merge"), "b").join(own.withColumnsRenamed({"node": "a", "n": "na", "regs": "ra"}).hint("merge"), "a")
+    both = both.where(100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
+
+    def keep(batches: Iterator[pa.RecordBatch]):
+        for x in batches:
+            if len(x):
+                ok = plausible(_matrix(x.column("ra")), _matrix(x.column("rb")), *(x.column(c).to_numpy().astype(float) for c in ("na", "nb")))
+                yield x.select(["a", "b"]).filter(pa.array(ok))
+
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(keep, "a long, b long")
+
+
+def open_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, first: np.ndarray, hub: int, most: float) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one tile to verify, between texts marked first and the others (no others: among the first), and whether some are left for another round, as where there are over most pairs a text."""
+    rows = np.flatnonzero(first)
+    columns = rows if first.all() else np.flatnonzero(~first)
+    near = np.zeros((len(rows), len(columns)), dtype=bool)
+    for i, r in enumerate(rows):
+        fit = (comp[columns] != comp[r]) & (node[columns] != hub) & (100 * np.minimum(n[columns], n[r]) >= SIMILAR * np.maximum(n[columns], n[r]))
+        if columns is rows:
+            fit[: i + 1] = False
+        at = np.flatnonzero(fit)
+        if len(at):
+            near[i, at] = plausible(regs[columns[at]], regs[r], n[columns[at]].astype(float), float(n[r]))
+    if near.sum() <= most * len(node):
+        return [(int(node[rows[i]]), int(node[columns[j]])) for i, j in zip(*np.nonzero(near))], False
+    out, size = [], len(node)
+    graph = np.zeros((size, size), dtype=bool)
+    graph[np.ix_(rows, columns)] = near
+    graph |= graph.T
+    while graph.any():
+        centre = int(graph.sum(axis=1).argmax())
+        around = np.flatnonzero(graph[centre])
+        out += [(int(node[centre]), int(node[x])) for x in around]
+        gone = np.append(around, centre)
+        graph[gone, :] = False
+        graph[:, gone] = False
+    return out, True
+
+
+def _tiled(most: float):
+    """Rows sorted by tile in; (a, b, open) out.  A tile may go over several batches."""
+    keys = ["key", "part", "i", "j"]
+    kinds = [("a", pa.int64()), ("b", pa.int64()), ("open", pa.bool_())]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        def done(table: pa.Table) -> list:
+            node, comp, n, hub = (table.column(c).to_numpy() for c in ("node", "comp", "n", "hub"))
+            found, left = open_pairs(node, comp, n, _matrix(table.column("regs")), table.column("first").to_numpy(), int(hub[0]), most)
+            return [(a, b, left) for a, b in found]
+
+        held: list[pa.Table] = []
+        for x in batches:
+            if not len(x):
+                continue
+            table, rows = pa.Table.from_batches([x]), []
+            ids = np.stack([table.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+            for s, e in zip(cuts, cuts[1:]):
+                if held and s == 0 and [held[-1].column(c)[-1].as_py() for c in keys] != [table.column(c)[0].as_py() for c in keys]:
+                    rows += done(pa.concat_tables(held))
+                    held = []
+                if s and held:
+                    rows += done(pa.concat_tables(held))
+                    held = []
+                held.append(table.slice(s, e - s))
+            yield _arrow(rows, kinds)
+        if held:
+            yield _arrow(done(pa.concat_tables(held)), kinds)
+
+    return run
+
+
+class Sets:
+    """Whole shingle sets of the texts that are to be verified, each worked out once."""
+
+    def __init__(self, texts: DataFrame, docs: DataFrame, tables: Tables, k: int):
+        self.texts, self.docs, self.tables, self.k, self.known = texts, docs, tables, k, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(node, set) of at least the pairs' nodes."""
+        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self.known is not None:
+            ids = ids.join(self.known.select("node"), "node", "left_anti")
+        wanted = self.texts.select("node", "head", "digest").join(ids, "node")
+        rows = self.docs.join(wanted, self.docs["_id"] == wanted["head"]).select("node", "_text", "digest")
+        k = self.k
+
+        def one(text, digest):
+            h = shingles(words_of(text), k)
+            return (h.view(np.int64) if xxhash.xxh3_128_digest(h.tobytes()) == bytes(digest) else None,)  # else another text of the same id
+
+        got = self.tables.stored(text_batches(rows, "node", "_text", one, "set array<long>", "digest").where("set is not null").dropDuplicates(["node"]), "sets")
+        self.known = got if self.known is None else self.known.unionByName(got)
+        return self.known
 
 
 def verified(pairs: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
-    """Those of the pairs of ids whose texts are similar."""
-    both = pairs.join(sets.selectExpr("_id as a", "set as sa").hint("merge"), "a").join(sets.selectExpr("_id as b", "set as sb").hint("merge"), "b")
+    """Those of the pairs of nodes whose texts are similar."""
+    # the second set goes to the first: a hub's own set is shuffled once, not once a pair
+    held = pairs.join(sets.selectExpr("node as b", "set as sb").hint("merge"), "b")
+    both = held.join(sets.selectExpr("node as a", "set as sa").hint("merge"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     total = F.size("sa") + F.size("sb") - common
-    return tables.stored(both.where(common >= total * F.lit(SIMILAR)).select("a", "b"), "similar")
+    return tables.stored(both.where(100 * common >= SIMILAR * total).select("a", "b"), "similar")
+
+
+def links(texts: DataFrame, docs: DataFrame, tables: Tables, k: int = WORDS, more: DataFrame | None = None) -> DataFrame:
+    """(node, root): the components of similar texts; a node without a link does not appear.
+
+    texts (node, head, digest, n, regs, keys): one row for each different set; docs (_id, _text): where
+    the text of a head is read; more (a, b): other candidates among nodes.
+    """
+    keys = texts.select("node", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # both sides are dealt by key, so that Spark can split a hot band
+    members = tables.stored(keys.join(shared.hint("merge"), "key"), "members")
+    known = members.groupBy("node").agg(F.sum("c").alias("pop"))
+    hubs = tables.stored(members.join(known.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("pop", -F.col("node"))).alias("top")).select("key", (-F.col("top.col2")).alias("hub")), "hubs")
+    star = members.join(hubs.hint("merge"), "key").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = star if more is None else star.unionByName(more.select("a", "b")).distinct()
+    sets = Sets(texts, docs, tables, k)
+    pairs = tables.stored(estimated(pairs, texts), "pairs")
+    found = verified(pairs, sets.of(pairs), tables)
+    roots = connected_components(found, tables)
+    crowds = members.where("c > 2").join(hubs.hint("merge"), "key")
+    for step in range(STAR_ROUNDS + 1):
+        label = lambda of, out: roots.select(F.col("node").alias(of), F.col("root").alias(out))
+        named = crowds.join(label("node", "comp").hint("merge"), "node", "left").join(label("hub", "own").hint("merge"), "hub", "left")
+        named = named.select("key", "hub", "node", "c", F.coalesce("comp", "node").alias("comp"), F.coalesce("own", "hub").alias("own"))
+        rest = named.where("comp <> own").groupBy("key").agg(F.count(F.lit(1)).alias("r"))
+        named = tables.stored(named.join(rest.hint("merge"), "key").where("c - r > 1 or r > 1"), "named")
+        named = named.join(texts.select("node", "n", "regs").hint("merge"), "node")
+        pairs = tables.stored(named.transform(_dealt).mapInArrow(_tiled(np.inf if step == STAR_ROUNDS else PAIRS_A_TEXT), "a long, b long, open boolean").groupBy("a", "b").agg(F.max("open").alias("open")), "pairs")
+        if pairs.isEmpty():
+            return roots
+        again = verified(pairs.select("a", "b"), sets.of(pairs), tables)
+        found = found.unionByName(again)
+        roots = connected_components(found, tables)
+        if pairs.where("open").isEmpty():
+            return roots
+    return roots
+
+
+def _dealt(named: DataFrame) -> DataFrame:
+    """Each text once for every tile it is in, sorted by tile: part 0, the rest's blocks i <= j; part 1, the rest's block i and the others' block j."""
+    count = lambda n: F.ceil(F.expr(n) / TILE).cast("int")
+    named = named.withColumn("nr", count("r")).withColumn("no", count("c - r")).withColumn("first", F.expr("comp <> own"))
+    named = named.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("first"), F.col("nr")).otherwise(F.greatest("no", F.lit(1)))).cast("int"))
+    upto = lambda n: F.expr(f"case when {n} > 0 then sequence(0, {n} - 1) else cast(array() as array<int>) end")
+    tile = lambda part, i, j, first: F.struct(F.lit(part).alias("part"), i.alias("i"), j.alias("j"), first.alias("first"))
+    own = F.col("block")
+    among = F.transform(upto("nr"), lambda x: tile(0, F.least(own, x), F.greatest(own, x), own <= x))
+    among = F.when(F.col("r") > 1, among).otherwise(F.slice(among, 1, 0))
+    across = F.transform(upto("no"), lambda x: tile(1, own, x, F.lit(True)))
+    others = F.transform(upto("nr"), lambda x: tile(1, x, own, F.lit(False)))
+    tiles = named.select("key", "hub", "node", "comp", "n", "regs", F.explode(F.when(F.col("first"), F.concat(among, across)).otherwise(others)).alias("t"))
+    order = ["key", "part", "i", "j"]
+    return tiles.select("key", "t.*", "hub", "node", "comp", "n", "regs").repartition(*order).sortWithinPartitions(*order)
+
+
+def different(rows: DataFrame, tables: Tables) -> DataFrame:
+    """(node, head, digest, n, regs, keys ...): one row for each different set of the signatures (doc_id, digest, n, regs, keys ...); head is its least id."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "digest")]
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("head"), *(F.first(c).alias(c) for c in rest))
+    return tables.stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")  # numbers hold because they are written
+
+
+def components(docs: DataFrame, k: int = WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id, kept), one row for each row of docs.
+
+    component_id is the least id of the row's component, kept whether that is the row's own.
+    Rows with an empty set are linked with nothing.  Rows without an id take no part: their component_id is
+    null and they are kept.  Rows that share an id are documents of their own.  Other columns are ignored.
+    """
+    tables = Tables(docs.sparkSession)
+    rows = tables.stored(text_batches(docs, id_col, text_col, lambda t: signature(t, k), SIGNATURE).withColumnRenamed(id_col, "doc_id"), "signatures")
+    texts = different(rows.where("doc_id is not null and n > 0"), tables)
+    roots = links(texts, docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), tables, k)
+    joined = texts.select("node", "digest", "head").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = joined.groupBy("root").agg(F.min("head").alias("least"))
+    named = joined.join(least.hint("merge"), "root").select("digest", "least")
+    whole = rows.select("doc_id", "n", "digest").join(named.hint("merge"), "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
+    out = whole.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return tables.result(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "near")
+
+
+SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s
+  FROM words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN size USING (doc_id) JOIN least USING (doc_id)
+"""
