@@ -12,21 +12,22 @@ bits.  For the bands only, an empty bucket borrows another one's register.
 key with probability (1 - 0.8 ** 7) ** 52 = 5e-6, less above it.
 
 **Candidates.**  A key's texts are not paired up.  All of them are held against one hub,
-the text that the most others share keys with, and what is verified gives components.
-Then only texts outside the hub's component (the rest) have open pairs: rest against
-rest and rest against the others.  These meet in tiles of ``TILE`` by ``TILE`` registers, and a
-pair of different components whose estimate is not clearly too low is verified.  A tile
-with very many such pairs first sends stars around its most connected texts; another round follows, when
-most of the pairs lie within components.  No pair is given up, whatever a key's
-size; the work grows with rest x texts of a key.
+the text that the most others share keys with; what the registers allow is verified on the whole sets,
+and of a pair only the second set travels to the first.  That gives components.
+
+**The rest.**  Only texts of a hub's keys that are outside its component have open pairs: rest against
+rest, and rest against the others.  They meet by hub, in tiles of ``TILE`` by ``TILE`` texts.  Each
+text brings only its difference from the hub, x ^ h; since |x ^ y| = |x ^ h| + |y ^ h| - 2 |(x ^ h) & (y ^ h)|,
+a tile decides its pairs exactly and sends a spanning forest of the links, fewer than it has
+texts.  No pair is given up, whatever a key's size; the work grows with rest x texts of a hub.
 
 **Estimate.**  Equal registers over filled ones, less the expected chance collisions.  Only what is
-five standard errors below 0.8 is discarded.  What is left is verified on the whole sets;
-of a pair only the second set travels to the first.
+five standard errors below 0.8 is discarded before it is verified.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +45,8 @@ BANDS, ROWS = 52, 7
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
 TILE = 256
-#: Pairs that a tile may send for each of its texts before it sends stars instead.
-PAIRS_A_TEXT = 4
-STAR_ROUNDS = 3
+#: Common elements of a tile's differences that are counted at once.
+COUNTED = 1 << 20
 ERRORS = 5.0
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EMPTY = np.iinfo(np.uint64).max
@@ -112,11 +112,6 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     return same - chance + ERRORS * np.sqrt(0.16 * some) >= SIMILAR / 100 * some
 
 
-def _arrow(rows: list, kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[] for _ in kinds]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
 
@@ -136,65 +131,85 @@ def estimated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(keep, "a long, b long")
 
 
-def open_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, first: np.ndarray, hub: int, most: float) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of one tile to verify, between texts marked first and the others (no others: among the first), and whether some are left for another round, as where there are over most pairs a text."""
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of left has in common with each of right."""
+    out = np.zeros(len(left) * len(right), dtype=np.int64)
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+    (a, of_a), (b, of_b) = flat(left), flat(right)
+    order = np.argsort(b, kind="stable")
+    b, of_b = b[order], of_b[order]
+    first, last = np.searchsorted(b, a), np.searchsorted(b, a, side="right")
+    hit = last > first
+    of_a, first, size = of_a[hit], first[hit], (last - first)[hit]
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED, side="right")))
+        n = size[at:to]
+        place = np.repeat(first[at:to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(np.repeat(of_a[at:to], n) * len(right) + of_b[place], minlength=len(out))
+        at = to
+    return out.reshape(len(left), len(right))
+
+
+def forest(node: np.ndarray, comp: np.ndarray, n: np.ndarray, apart: list[np.ndarray], first: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a tile that join its components: between texts marked first and the others, or among the first where there are no others."""
     rows = np.flatnonzero(first)
     columns = rows if first.all() else np.flatnonzero(~first)
-    near = np.zeros((len(rows), len(columns)), dtype=bool)
-    for i, r in enumerate(rows):
-        fit = (comp[columns] != comp[r]) & (node[columns] != hub) & (100 * np.minimum(n[columns], n[r]) >= SIMILAR * np.maximum(n[columns], n[r]))
-        if columns is rows:
-            fit[: i + 1] = False
-        at = np.flatnonzero(fit)
-        if len(at):
-            near[i, at] = plausible(regs[columns[at]], regs[r], n[columns[at]].astype(float), float(n[r]))
-    if near.sum() <= most * len(node):
-        return [(int(node[rows[i]]), int(node[columns[j]])) for i, j in zip(*np.nonzero(near))], False
-    out, size = [], len(node)
-    graph = np.zeros((size, size), dtype=bool)
-    graph[np.ix_(rows, columns)] = near
-    graph |= graph.T
-    while graph.any():
-        centre = int(graph.sum(axis=1).argmax())
-        around = np.flatnonzero(graph[centre])
-        out += [(int(node[centre]), int(node[x])) for x in around]
-        gone = np.append(around, centre)
-        graph[gone, :] = False
-        graph[:, gone] = False
-    return out, True
-
-
-def _tiled(most: float):
-    """Rows sorted by tile in; (a, b, open) out.  A tile may go over several batches."""
-    keys = ["key", "part", "i", "j"]
-    kinds = [("a", pa.int64()), ("b", pa.int64()), ("open", pa.bool_())]
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        def done(table: pa.Table) -> list:
-            node, comp, n, hub = (table.column(c).to_numpy() for c in ("node", "comp", "n", "hub"))
-            found, left = open_pairs(node, comp, n, _matrix(table.column("regs")), table.column("first").to_numpy(), int(hub[0]), most)
-            return [(a, b, left) for a, b in found]
-
-        held: list[pa.Table] = []
-        for x in batches:
-            if not len(x):
-                continue
-            table, rows = pa.Table.from_batches([x]), []
-            ids = np.stack([table.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
-            for s, e in zip(cuts, cuts[1:]):
-                if held and s == 0 and [held[-1].column(c)[-1].as_py() for c in keys] != [table.column(c)[0].as_py() for c in keys]:
-                    rows += done(pa.concat_tables(held))
-                    held = []
-                if s and held:
-                    rows += done(pa.concat_tables(held))
-                    held = []
-                held.append(table.slice(s, e - s))
-            yield _arrow(rows, kinds)
-        if held:
-            yield _arrow(done(pa.concat_tables(held)), kinds)
-
-    return run
+    if not len(rows) or not len(columns):
+        return []
+    size = np.array([len(x) for x in apart])
+    unlike = size[rows][:, None] + size[columns][None, :] - 2 * common([apart[i] for i in rows], [apart[j] for j in columns])
+    total = n[rows][:, None] + n[columns][None, :]
+    # |x & y| = (|x| + |y| - |x ^ y|) / 2, |x | y| = (|x| + |y| + |x ^ y|) / 2
+    near = (100 * (total - unlike) >= SIMILAR * (total + unlike)) & (comp[rows][:, None] != comp[columns][None, :])
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(near)):
+        x, y = find(int(comp[rows[i]])), find(int(comp[columns[j]]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(node[rows[i]]), int(node[columns[j]])))
+    return out
+
+
+def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile in, (a, b) out.  A tile may go over several batches."""
+    keys = ["hub", "part", "i", "j"]
+
+    def done(table: pa.Table) -> list:
+        node, comp, n, first = (table.column(c).to_numpy() for c in ("node", "comp", "n", "first"))
+        apart = [np.asarray(x.values) for c in table.column("apart").chunks for x in c]
+        return forest(node, comp, n, apart, first)
+
+    held: list[pa.Table] = []
+    same = lambda a, b: all(a.column(c)[-1].as_py() == b.column(c)[0].as_py() for c in keys)
+    for x in batches:
+        if not len(x):
+            continue
+        table, rows = pa.Table.from_batches([x]), []
+        ids = np.stack([table.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+        for s, e in itertools.pairwise(cuts):
+            part = table.slice(s, e - s)
+            if held and not same(held[-1], part):
+                rows += done(pa.concat_tables(held))
+                held = []
+            held.append(part)
+        yield _links(rows)
+    if held:
+        yield _links(done(pa.concat_tables(held)))
+
+
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["a", "b"])
 
 
 class Sets:
@@ -221,14 +236,17 @@ class Sets:
         return self.known
 
 
+def _both_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with sa and sb; the second set goes to the first, so a hub's own set is shuffled once, not once a pair."""
+    held = pairs.join(sets.selectExpr("node as b", "set as sb").hint("merge"), "b")
+    return held.join(sets.selectExpr("node as a", "set as sa").hint("merge"), "a")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
     """Those of the pairs of nodes whose texts are similar."""
-    # the second set goes to the first: a hub's own set is shuffled once, not once a pair
-    held = pairs.join(sets.selectExpr("node as b", "set as sb").hint("merge"), "b")
-    both = held.join(sets.selectExpr("node as a", "set as sa").hint("merge"), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    total = F.size("sa") + F.size("sb") - common
-    return tables.stored(both.where(100 * common >= SIMILAR * total).select("a", "b"), "similar")
+    both = F.size(F.array_intersect("sa", "sb"))
+    total = F.size("sa") + F.size("sb") - both
+    return tables.stored(_both_sets(pairs, sets).where(100 * both >= SIMILAR * total).select("a", "b"), "similar")
 
 
 def links(texts: DataFrame, docs: DataFrame, tables: Tables, k: int = WORDS, more: DataFrame | None = None) -> DataFrame:
@@ -243,36 +261,32 @@ def links(texts: DataFrame, docs: DataFrame, tables: Tables, k: int = WORDS, mor
     members = tables.stored(keys.join(shared.hint("merge"), "key"), "members")
     known = members.groupBy("node").agg(F.sum("c").alias("pop"))
     hubs = tables.stored(members.join(known.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("pop", -F.col("node"))).alias("top")).select("key", (-F.col("top.col2")).alias("hub")), "hubs")
-    star = members.join(hubs.hint("merge"), "key").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = star if more is None else star.unionByName(more.select("a", "b")).distinct()
+    star = members.join(hubs.hint("merge"), "key").where("hub <> node").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("c").alias("c"))
+    star = tables.stored(star, "stars")
+    pairs = star.select("a", "b") if more is None else star.select("a", "b").unionByName(more.select("a", "b")).distinct()
     sets = Sets(texts, docs, tables, k)
     pairs = tables.stored(estimated(pairs, texts), "pairs")
     found = verified(pairs, sets.of(pairs), tables)
     roots = connected_components(found, tables)
-    crowds = members.where("c > 2").join(hubs.hint("merge"), "key")
-    for step in range(STAR_ROUNDS + 1):
-        label = lambda of, out: roots.select(F.col("node").alias(of), F.col("root").alias(out))
-        named = crowds.join(label("node", "comp").hint("merge"), "node", "left").join(label("hub", "own").hint("merge"), "hub", "left")
-        named = named.select("key", "hub", "node", "c", F.coalesce("comp", "node").alias("comp"), F.coalesce("own", "hub").alias("own"))
-        rest = named.where("comp <> own").groupBy("key").agg(F.count(F.lit(1)).alias("r"))
-        named = tables.stored(named.join(rest.hint("merge"), "key").where("c - r > 1 or r > 1"), "named")
-        named = named.join(texts.select("node", "n", "regs").hint("merge"), "node")
-        pairs = tables.stored(named.transform(_dealt).mapInArrow(_tiled(np.inf if step == STAR_ROUNDS else PAIRS_A_TEXT), "a long, b long, open boolean").groupBy("a", "b").agg(F.max("open").alias("open")), "pairs")
-        if pairs.isEmpty():
-            return roots
-        again = verified(pairs.select("a", "b"), sets.of(pairs), tables)
-        found = found.unionByName(again)
-        roots = connected_components(found, tables)
-        if pairs.where("open").isEmpty():
-            return roots
-    return roots
-
-
-def _dealt(named: DataFrame) -> DataFrame:
+    label = lambda of, out: roots.select(F.col("node").alias(of), F.col("root").alias(out)).hint("merge")
+    # a key of two texts has no pair but the hub's
+    crowd = star.where("c > 2").join(label("b", "comp"), "b", "left").join(label("a", "own"), "a", "left")
+    crowd = crowd.select("a", "b", F.coalesce("comp", "b").alias("comp"), F.coalesce("own", "a").alias("own"))
+    rest = crowd.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.expr("comp <> own")).alias("r")).where("r > 0 and c > 1")
+    crowd = tables.stored(crowd.join(rest.hint("merge"), "a"), "crowd")
+    if crowd.isEmpty():
+        return roots
+    sizes = texts.select(F.col("node").alias("b"), "n").hint("merge")
+    apart = _both_sets(crowd, sets.of(crowd)).select("a", "b", "comp", "own", "c", "r", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("apart")).join(sizes, "b")
+    more_links = tables.stored(_dealt(tables.stored(apart, "apart")).mapInArrow(_tiled, "a long, b long"), "links")
+    return connected_components(found.unionByName(more_links), tables)
+
+
+def _dealt(crowd: DataFrame) -> DataFrame:
     """Each text once for every tile it is in, sorted by tile: part 0, the rest's blocks i <= j; part 1, the rest's block i and the others' block j."""
     count = lambda n: F.ceil(F.expr(n) / TILE).cast("int")
-    named = named.withColumn("nr", count("r")).withColumn("no", count("c - r")).withColumn("first", F.expr("comp <> own"))
-    named = named.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("first"), F.col("nr")).otherwise(F.greatest("no", F.lit(1)))).cast("int"))
+    crowd = crowd.withColumn("nr", count("r")).withColumn("no", count("c - r")).withColumn("first", F.expr("comp <> own"))
+    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("b"), F.when(F.col("first"), F.col("nr")).otherwise(F.greatest("no", F.lit(1)))).cast("int"))
     upto = lambda n: F.expr(f"case when {n} > 0 then sequence(0, {n} - 1) else cast(array() as array<int>) end")
     tile = lambda part, i, j, first: F.struct(F.lit(part).alias("part"), i.alias("i"), j.alias("j"), first.alias("first"))
     own = F.col("block")
@@ -280,9 +294,9 @@ def _dealt(named: DataFrame) -> DataFrame:
     among = F.when(F.col("r") > 1, among).otherwise(F.slice(among, 1, 0))
     across = F.transform(upto("no"), lambda x: tile(1, own, x, F.lit(True)))
     others = F.transform(upto("nr"), lambda x: tile(1, x, own, F.lit(False)))
-    tiles = named.select("key", "hub", "node", "comp", "n", "regs", F.explode(F.when(F.col("first"), F.concat(among, across)).otherwise(others)).alias("t"))
-    order = ["key", "part", "i", "j"]
-    return tiles.select("key", "t.*", "hub", "node", "comp", "n", "regs").repartition(*order).sortWithinPartitions(*order)
+    tiles = crowd.select(F.col("a").alias("hub"), F.col("b").alias("node"), "comp", "n", "apart", F.explode(F.when(F.col("first"), F.concat(among, across)).otherwise(others)).alias("t"))
+    order = ["hub", "part", "i", "j"]
+    return tiles.select("hub", "t.*", "node", "comp", "n", "apart").repartition(*order).sortWithinPartitions(*order)
 
 
 def different(rows: DataFrame, tables: Tables) -> DataFrame:

@@ -105,9 +105,8 @@ def test_large_mixed_groups(spark):
 
 
 def test_a_group_of_hundreds(spark, monkeypatch):
-    """600 copies around one text, from like to unlike it, in several tiles; many pairs a tile go by stars first."""
+    """600 copies around one text, from like to unlike it, in several tiles."""
     monkeypatch.setattr(similar, "TILE", 64)
-    monkeypatch.setattr(similar, "PAIRS_A_TEXT", 1)
     rng, texts = random.Random(13), {}
     base = words(150, 7)
     for _ in range(600):
@@ -145,6 +144,14 @@ def test_recall_at_the_threshold():
     assert hit == n and low <= 2
 
 
+def test_common_counts_in_parts(monkeypatch):
+    monkeypatch.setattr(similar, "COUNTED", 7)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(0, 20))) for _ in range(12)]
+    got = similar.common(sets[:5], sets[5:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+
+
 def test_components_query(spark):
     """op12's columns by brute force, four words, with odd rows."""
     rows = [(r[0], r[1]) for r in odd_rows()]
