@@ -5,10 +5,11 @@ Each task multiplies one block of rows with another and keeps its best q for eac
 row, so a task holds two blocks and no pair is ever emitted that is not among some
 block's best.  Groups
 are cut by repeated halving.  A preset of up to ``SINGLE`` rows is halved in one
-task; a larger one is first cut by Spark jobs along its principal split until its
-pieces are that small, so no task ever holds an unbounded preset.  Each piece has
-ceil(n/30) groups, so a preset in p pieces has at most p-1 groups over the least
-possible number.  Refinement trades members between groups of one piece.
+task; a larger one is first cut by Spark jobs until its pieces are that small, so no
+task ever holds an unbounded preset.  Those cuts lie at multiples of the capacity, by exact
+rank, so a preset of n rows has ceil(n/30) groups at any size.  Refinement trades
+members inside a piece in one task, then between all groups of a preset in rounds of
+trades that share no group.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramlake.functions import vector
-from engramlake.operators.search import bounded
+from engramlake.operators.search import scored
 from engramlake.schema import GRAPH_NEIGHBOURS, GROUP_CAPACITY
+from engramlake.sources.kept import Kept
 
 BLOCK = 2048
 SINGLE = 8192
@@ -28,6 +29,8 @@ DIGITS = 6
 #: Rows that centres are fitted on, and cells that a row looks into.
 SAMPLE = 32_768
 PROBES = 8
+#: Rounds of trades over a whole preset of several pieces, at most.
+WIDE_ROUNDS = 12
 # Start and passes of the halving and the refinement.
 SEED, HALVING_ROUNDS, PASSES, NEAR_GROUPS, NEAR_PARTNERS, VISITS = 7, 3, 3, 3, 4, 100
 
@@ -198,28 +201,50 @@ def halved(unit: np.ndarray, capacity: int = GROUP_CAPACITY) -> np.ndarray:
     return labels
 
 
-def pieces(index: DataFrame, single: int = SINGLE) -> DataFrame:
-    """index with piece: presets over single rows are cut in two at the median of the widest coordinate until all pieces are small.
+def _axes(rows: DataFrame) -> DataFrame:
+    """(preset_id, piece, axis): the coordinate of the greatest spread; sums are formed in the tasks, a row a piece and batch."""
 
-    Each round is one aggregation for all oversized pieces; their number of rounds
-    is the logarithm of the largest preset.  Equal rows beyond the size are dealt by hash.
+    def sums(batches):
+        for part in batches:
+            for (preset, piece), own in part.groupby(["preset_id", "piece"]):
+                m = np.vstack([np.asarray(v, dtype=np.float64) for v in own["embedding"]])
+                yield pd.DataFrame({"preset_id": [preset], "piece": [piece], "n": [len(m)], "s": [m.sum(axis=0).tolist()], "ss": [(m * m).sum(axis=0).tolist()]})
+
+    part = rows.select("preset_id", "piece", "embedding").mapInPandas(sums, "preset_id string, piece long, n long, s array<double>, ss array<double>")
+    flat = part.select("preset_id", "piece", "n", F.posexplode(F.arrays_zip("s", "ss")).alias("_d", "_x"))
+    spread = flat.groupBy("preset_id", "piece", "_d").agg((F.sum("_x.ss") / F.sum("n") - F.pow(F.sum("_x.s") / F.sum("n"), 2)).alias("_v"))
+    return spread.groupBy("preset_id", "piece").agg(F.max_by("_d", F.struct(F.round("_v", DIGITS), -F.col("_d"))).alias("axis"))
+
+
+def _placed(rows: DataFrame, keys: list[str], order: list[str], kept: Kept) -> DataFrame:
+    """rows with place, from 1: the exact rank within keys by order.  Ranges of the order are sorted in tasks of their own; their counts give where each begins."""
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = kept.table(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))  # at most parts + keys rows
+    before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_c")).drop("_c")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return ranged.withColumn("_in", inside).join(before, [*keys, "_part"]).withColumn("place", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
+def pieces(index: DataFrame, single: int = SINGLE, capacity: int = GROUP_CAPACITY) -> DataFrame:
+    """index with piece: presets over single rows are cut in two along their widest coordinate until all pieces are small.
+
+    A piece that makes g groups is cut after the floor(g/2) * capacity least rows, by exact rank
+    (ties by id): the left part fills its groups, so the parts' groups add up to g.  Each round
+    works on all oversized pieces at once; there are as many as the logarithm of the largest preset.
     """
-    rows = index.withColumn("piece", F.lit(1).cast("long"))
-    for _ in range(64):
-        sizes = rows.groupBy("preset_id", "piece").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > single)
-        if not sizes.limit(1).count():
-            return rows
-        context = rows.sparkSession.sparkContext
-        if not context.getCheckpointDir():  # the session's own folder, else one in the warehouse, which is shared as well
-            context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{rows.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-        big = rows.join(sizes, ["preset_id", "piece"])
-        parts = big.select("preset_id", "piece", F.posexplode("embedding").alias("_d", "_x"))
-        spread = parts.groupBy("preset_id", "piece", "_d").agg(F.stddev("_x").alias("_s"), F.percentile_approx("_x", 0.5).alias("_m"))
-        axis = spread.groupBy("preset_id", "piece").agg(F.max_by(F.struct("_d", "_m", "_s"), F.struct(F.col("_s"), -F.col("_d"))).alias("_axis"))
-        x = F.element_at("embedding", F.col("_axis._d") + 1)
-        flat = F.col("_axis._s") < 1e-9
-        side = F.when(flat, F.pmod(F.xxhash64("memory_id", "piece"), F.lit(2))).otherwise((x > F.col("_axis._m")).cast("long"))
-        rows = rows.join(axis, ["preset_id", "piece"], "left").withColumn("piece", F.when(F.col("_axis").isNull(), F.col("piece")).otherwise(2 * F.col("piece") + side)).drop("_axis").checkpoint()
+    rows, kept, cuts = index.withColumn("piece", F.lit(1).cast("long")), Kept(index.sparkSession), 0
+    for cuts in range(64):
+        sizes = rows.groupBy("preset_id", "piece").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(single, capacity))
+        if sizes.isEmpty():
+            return kept.result(rows, "pieces") if cuts else rows
+        keys = ["preset_id", "piece"]
+        big = rows.join(sizes, keys)
+        big = big.join(_axes(big), keys).withColumn("_x", F.element_at("embedding", F.col("axis") + 1))
+        ranked = _placed(big, keys, ["_x", "memory_id"], kept)
+        left = F.floor(F.ceil(F.col("_n") / capacity) / 2) * capacity
+        halves = ranked.withColumn("piece", 2 * F.col("piece") + (F.col("place") > left).cast("long")).select(*rows.columns)
+        rows = kept.table(rows.join(sizes, keys, "left_anti").unionByName(halves))
     raise RuntimeError("a preset is still over the size of a piece after 64 cuts")
 
 
@@ -232,7 +257,7 @@ def groups(index: DataFrame, capacity: int = GROUP_CAPACITY, single: int = SINGL
         labels = halved(_unit(rows["embedding"]), capacity)
         return pd.DataFrame({"preset_id": rows["preset_id"], "memory_id": rows["memory_id"], "label": [f"{p}-{x}" for p, x in zip(rows["piece"], labels)]})
 
-    rows = pieces(index.where("status = 'active'").select("preset_id", "memory_id", "embedding"), single)
+    rows = pieces(index.where("status = 'active'").select("preset_id", "memory_id", "embedding"), single, capacity)
     return rows.groupBy("preset_id", "piece").applyInPandas(cut, f"preset_id string, memory_id {kind}, label string")
 
 
@@ -298,7 +323,7 @@ class _Trade:
         return self.label
 
 
-def refined(labels: DataFrame, edge_rows: DataFrame, capacity: int = GROUP_CAPACITY, q: int = GRAPH_NEIGHBOURS) -> DataFrame:
+def traded(labels: DataFrame, edge_rows: DataFrame, capacity: int = GROUP_CAPACITY, q: int = GRAPH_NEIGHBOURS) -> DataFrame:
     """(preset_id, memory_id, label) after trading members between groups of one piece; the objective never falls."""
     kind = labels.schema["memory_id"].dataType.simpleString()
     piece = F.element_at(F.split("label", "-"), 1)
@@ -323,6 +348,73 @@ def refined(labels: DataFrame, edge_rows: DataFrame, capacity: int = GROUP_CAPAC
     return nodes.groupBy("preset_id", "piece").cogroup(both.groupBy("_preset", "_piece")).applyInPandas(trade, f"preset_id string, memory_id {kind}, label string")
 
 
+def _proposals(labels: DataFrame, both: DataFrame, capacity: int, kept: Kept) -> DataFrame:
+    """(preset_id, u, home, to, v, gain): each row's best change that raises the weight inside groups; v null: a move, else a swap with v.
+
+    both (preset_id, a, b, weight) has every edge in both directions.  Partners are the members of
+    a group that most want to go to the row's own group, and those that hold on to theirs least.
+    """
+    at = labels.select("preset_id", F.col("memory_id").alias("b"), F.col("label").alias("to"))
+    pull = both.join(at, ["preset_id", "b"]).groupBy("preset_id", F.col("a").alias("u"), "to").agg(F.sum("weight").alias("w"))
+    mine = labels.select("preset_id", F.col("memory_id").alias("u"), F.col("label").alias("home"))
+    own = mine.join(pull.withColumnRenamed("to", "home"), ["preset_id", "u", "home"], "left").select("preset_id", "u", "home", F.coalesce("w", F.lit(0.0)).alias("stay"))
+    own = kept.table(own)
+    wish = kept.table(pull.join(own, ["preset_id", "u"]).where("to <> home").withColumn("base", F.col("w") - F.col("stay")))
+    sizes = labels.groupBy("preset_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    near = wish.withColumn("_r", F.row_number().over(Window.partitionBy("preset_id", "u").orderBy(F.desc("w"), "to"))).where(F.col("_r") <= NEAR_GROUPS)
+    near = near.join(sizes.select("preset_id", F.col("label").alias("to"), F.col("n").alias("n_to")), ["preset_id", "to"]).join(sizes.select("preset_id", F.col("label").alias("home"), F.col("n").alias("n_home")), ["preset_id", "home"])
+    moves = near.where((F.col("n_to") < capacity) & (F.col("n_home") > 1)).select("preset_id", "u", "home", "to", F.lit(None).cast(labels.schema["memory_id"].dataType).alias("v"), F.col("base").alias("gain"))
+    few = lambda df, keys, by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), "v"))).where(F.col("_r") <= NEAR_PARTNERS).drop("_r")
+    # who in group `to` would come to group `home`, and who in `to` would be missed least anywhere
+    eager = few(wish.select("preset_id", F.col("home").alias("to"), F.col("to").alias("home"), F.col("u").alias("v"), F.col("base").alias("own")), ["preset_id", "to", "home"], "own")
+    loose = few(own.select("preset_id", F.col("home").alias("to"), F.col("u").alias("v"), (-F.col("stay")).alias("own")), ["preset_id", "to"], "own")
+    asked = near.select("preset_id", "u", "home", "to", "base")
+    # a loose member with a wish for `home` is worth more than its stay alone; the greater value is the true one
+    swaps = asked.join(eager, ["preset_id", "to", "home"]).unionByName(asked.join(loose, ["preset_id", "to"])).groupBy("preset_id", "u", "home", "to", "base", "v").agg(F.max("own").alias("own"))
+    shared = both.select("preset_id", F.col("a").alias("u"), F.col("b").alias("v"), "weight")
+    swaps = swaps.join(shared, ["preset_id", "u", "v"], "left").withColumn("gain", F.col("base") + F.col("own") - 2 * F.coalesce("weight", F.lit(0.0)))
+    every = moves.unionByName(swaps.select(*moves.columns)).where(F.col("gain") > 1e-9)
+    return every.groupBy("preset_id", "u").agg(F.max_by(F.struct("home", "to", "v", "gain"), F.struct("gain", F.col("v").isNull(), "to")).alias("_b")).select("preset_id", "u", "_b.*")
+
+
+def rounds(labels: DataFrame, edge_rows: DataFrame, capacity: int = GROUP_CAPACITY, most: int = WIDE_ROUNDS) -> DataFrame:
+    """labels after rounds of trades between any two groups of a preset, as joins over all edges.
+
+    Of the rows' proposals those go through that have the greatest gain in both groups
+    they touch.  They share no group, so their gains add up and the objective rises in every round
+    by exactly that; it ends when nothing is proposed, or after so many rounds.
+    """
+    kept = Kept(labels.sparkSession)
+    both = kept.table(edge_rows.select("preset_id", "a", "b", "weight").unionByName(edge_rows.select("preset_id", F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    labels = kept.table(labels.select("preset_id", "memory_id", "label"))
+    for _ in range(most):
+        asked = kept.table(_proposals(labels, both, capacity, kept).withColumn("rank", F.struct("gain", F.xxhash64("u"), "u")))
+        if asked.isEmpty():
+            break
+        touched = asked.select("preset_id", F.explode(F.array("home", "to")).alias("g"), "rank").groupBy("preset_id", "g").agg(F.max("rank").alias("top"))
+        side = lambda g: touched.select("preset_id", F.col("g").alias(g), F.col("top").alias(f"_{g}"))
+        taken = asked.join(side("home"), ["preset_id", "home"]).join(side("to"), ["preset_id", "to"]).where("rank = _home and rank = _to")
+        there = taken.select("preset_id", F.col("u").alias("memory_id"), F.col("to").alias("_new"))
+        back = taken.where("v is not null").select("preset_id", F.col("v").alias("memory_id"), F.col("home").alias("_new"))
+        labels = kept.table(labels.join(there.unionByName(back), ["preset_id", "memory_id"], "left").select("preset_id", "memory_id", F.coalesce("_new", "label").alias("label")))
+    return kept.result(labels, "groups")
+
+
+def refined(labels: DataFrame, edge_rows: DataFrame, capacity: int = GROUP_CAPACITY, q: int = GRAPH_NEIGHBOURS, most: int = WIDE_ROUNDS) -> DataFrame:
+    """(preset_id, memory_id, label) after trades; the objective never falls and no edge is left out.
+
+    Pieces are refined in one task each.  Presets of several pieces go on with :func:`rounds` over all their edges.
+    """
+    kept = Kept(labels.sparkSession)
+    out = kept.table(traded(labels, edge_rows, capacity, q))
+    several = out.groupBy("preset_id").agg(F.countDistinct(F.element_at(F.split("label", "-"), 1)).alias("_p")).where("_p > 1").select("preset_id")
+    several = kept.table(several)
+    if several.isEmpty():
+        return kept.result(out, "groups")
+    wide = rounds(out.join(several, "preset_id", "left_semi"), edge_rows.join(several, "preset_id", "left_semi"), capacity, most)
+    return kept.result(out.join(several, "preset_id", "left_anti").unionByName(wide), "groups")
+
+
 # ---- accounting ----
 
 
@@ -331,10 +423,17 @@ def seed_neighbours(index: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
 
     seeds (seed, preset_id, vector) are one batch of new memories.
     """
-    rows = index.where("status = 'active'").join(seeds.select(F.col("seed").alias("memory_id")), "memory_id", "left_anti")
-    pairs = rows.join(bounded(seeds), "preset_id").select("seed", "memory_id", F.round(vector.cosine(F.col("embedding"), F.col("vector")), DIGITS).alias("cosine"))
-    order = Window.partitionBy("seed").orderBy(F.col("cosine").desc(), "memory_id")
-    return pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    rows = index.join(seeds.select(F.col("seed").alias("memory_id")), "memory_id", "left_anti")
+    texts = seeds.select(F.col("seed").alias("text_no"), F.col("vector"), "preset_id")
+    # a preset at a time: a seed is held against its own preset's rows only, and a task sends its best k of each
+    out = None
+    for row in texts.select("preset_id").distinct().collect():  # as many presets as a batch of seeds has
+        own = scored(rows, texts.where(F.col("preset_id").eqNullSafe(F.lit(row["preset_id"]))), best=k, preset=row["preset_id"])
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        return rows.select(F.col("memory_id").alias("seed"), "memory_id", F.lit(0.0).alias("cosine")).limit(0)
+    order = Window.partitionBy("text_no").orderBy(F.col("cosine").desc(), "memory_id")
+    return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select(F.col("text_no").alias("seed"), "memory_id", "cosine")
 
 
 def eligible(entries: DataFrame, least: int = GROUP_CAPACITY) -> DataFrame:

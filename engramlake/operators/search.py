@@ -36,33 +36,34 @@ def filters(*, preset=None, status="active", types=None, conversation=None, excl
     return out
 
 
-def bounded(queries: DataFrame) -> DataFrame:
-    n = queries.limit(QUERY_LIMIT + 1).count()
-    if n > QUERY_LIMIT:
+def batch_of(queries: DataFrame) -> tuple[list, np.ndarray]:
+    """The texts' numbers and unit vectors; one job, which also checks the limit."""
+    rows = queries.select("text_no", "vector").limit(QUERY_LIMIT + 1).collect()
+    if len(rows) > QUERY_LIMIT:
         raise ValueError(f"a query batch has at most {QUERY_LIMIT} texts; send more in blocks")
-    return F.broadcast(queries)
+    wanted = np.array([r["vector"] for r in rows], dtype=np.float64)
+    return [r["text_no"] for r in rows], wanted / np.linalg.norm(wanted, axis=1, keepdims=True) if rows else wanted
 
 
-def scored(index: DataFrame, queries: DataFrame, *, best: int | None = None, **where) -> DataFrame:
-    """(text_no, memory_id, cosine) of every filtered memory and each query (text_no, vector).
+def scored(index: DataFrame, queries: DataFrame, *, best: int | None = None, matches: DataFrame | None = None, **where) -> DataFrame:
+    """(text_no, memory_id, cosine, match_count) of filtered memories and each query (text_no, vector).
 
     Filters run in the scan.  What is left goes through Arrow as one float matrix a
     batch and is multiplied with the queries' matrix, a small fixed-size table in
     each task.  Vectors of another length, with no length or with values that are no
-    numbers have no cosine and are left out.  best: each batch keeps that many rows a
-    query, by cosine, then id.
+    numbers have no cosine and are left out.  matches (memory_id, match_count) is joined on,
+    0 where there is none.  best: rows without a match are only the task's best so many a query, by
+    cosine, then id.
     """
-    batch = bounded(queries.select("text_no", "vector")).collect()  # QUERY_LIMIT rows at most
+    texts, wanted = batch_of(queries)
     spark, field = index.sparkSession, index.schema["memory_id"]
-    kind = T.StructType([queries.schema["text_no"], T.StructField("memory_id", field.dataType), T.StructField("cosine", T.DoubleType())])
-    if not batch or best is not None and best <= 0:
+    kind = T.StructType([queries.schema["text_no"], T.StructField("memory_id", field.dataType), T.StructField("cosine", T.DoubleType()), T.StructField("match_count", T.LongType())])
+    if not texts or best is not None and best <= 0:
         return spark.createDataFrame([], kind)
-    numbers = pa.array([r["text_no"] for r in batch], to_arrow_schema(kind).field(0).type)
-    wanted = np.array([r["vector"] for r in batch], dtype=np.float64)
-    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
     arrow = to_arrow_schema(kind)
 
     def score(batches):
+        kept = None  # (text, id, cosine) of the best rows without a match so far
         for b in batches:
             rows = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, wanted.shape[1]).astype(np.float64)
             size = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -70,34 +71,47 @@ def scored(index: DataFrame, queries: DataFrame, *, best: int | None = None, **w
             if not len(usable):
                 continue
             cos = np.round(rows[usable] @ wanted.T / size[usable], DIGITS) + 0.0
-            ids = b.column(0).take(pa.array(usable))
-            if best is None:
-                picked = [np.arange(len(usable))] * len(numbers)
-            else:
-                names = np.array(ids.to_pylist())
-                picked = [np.lexsort((names, -cos[:, q]))[:best] for q in range(len(numbers))]
-            columns = [
-                numbers.take(pa.array(np.repeat(np.arange(len(picked)), [len(p) for p in picked]))),
-                ids.take(pa.array(np.concatenate(picked))).cast(arrow.field(1).type),
-                pa.array(np.concatenate([cos[p, q] for q, p in enumerate(picked)])),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    return index.where(filters(**where)).where(F.size("embedding") == wanted.shape[1]).select("memory_id", "embedding").mapInArrow(score, kind)
+            ids, hits = b.column(0).take(pa.array(usable)), b.column(2).to_numpy()[usable]
+            every = np.flatnonzero(hits > 0) if best is not None else np.arange(len(usable))
+            if len(every):
+                yield batch(np.repeat(np.arange(len(texts)), len(every)), ids.take(pa.array(np.tile(every, len(texts)))), cos[every].T.ravel(), np.tile(hits[every], len(texts)))
+            if best is not None:
+                rest = np.flatnonzero(hits == 0)
+                new = (np.repeat(np.arange(len(texts)), len(rest)), np.tile(np.array(ids.to_pylist(), dtype=object)[rest], len(texts)), cos[rest].T.ravel())
+                q, i, c = new if kept is None else tuple(np.concatenate(x) for x in zip(kept, new))
+                order = np.lexsort((np.array(i.tolist()), -c, q))
+                q = q[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                kept = q[place < best], i[order][place < best], c[order][place < best]
+        if kept is not None:
+            q, i, c = kept
+            yield batch(q, pa.array(i.tolist(), arrow.field(1).type), c, np.zeros(len(q), dtype=np.int64))
+
+    def batch(q, ids, cos, hits):
+        numbers = pa.array(texts, arrow.field(0).type).take(pa.array(q))
+        return pa.RecordBatch.from_arrays([numbers, ids.cast(arrow.field(1).type), pa.array(cos), pa.array(hits)], schema=arrow)
+
+    rows = index.where(filters(**where)).where(F.size("embedding") == wanted.shape[1]).select("memory_id", "embedding")
+    rows = rows.withColumn("match_count", F.lit(0).cast("long")) if matches is None else rows.join(matches, "memory_id", "left").fillna({"match_count": 0})
+    return rows.select("memory_id", "embedding", "match_count").mapInArrow(score, kind)
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int, **where) -> DataFrame:
     """(text_no, memory_id, cosine) of the k nearest to each query; ties by id."""
     order = Window.partitionBy("text_no").orderBy(F.col("cosine").desc(), "memory_id")
-    return scored(index, queries, best=k, **where).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(k, 0)).drop("_n")
+    return scored(index, queries, best=k, **where).drop("match_count").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(k, 0)).drop("_n")
+
+
+def matched(keyword_rows: DataFrame, words: list[str]) -> DataFrame:
+    """(memory_id, match_count) of the memories that have any of the words."""
+    wanted = keyword_rows.sparkSession.createDataFrame([(words,)], "w array<string>").select(index_keywords("w").alias("w")).first()["w"]
+    hits = keyword_rows.where(F.col("keyword").isin(wanted)) if wanted else keyword_rows.where(F.lit(False))
+    return hits.groupBy("memory_id").agg(F.count(F.lit(1)).alias("match_count"))
 
 
 def keyword_match(index: DataFrame, keyword_rows: DataFrame, words: list[str], **where) -> DataFrame:
     """(memory_id, match_count) of the filtered memories that have any of the words."""
-    spark = index.sparkSession
-    wanted = spark.createDataFrame([(words,)], "w array<string>").select(index_keywords("w").alias("w")).first()["w"]
-    hits = keyword_rows.where(F.col("keyword").isin(wanted)) if wanted else keyword_rows.where(F.lit(False))
-    return hits.join(index.where(filters(**where)).select("memory_id"), "memory_id").groupBy("memory_id").agg(F.count(F.lit(1)).alias("match_count"))
+    return matched(keyword_rows, words).join(index.where(filters(**where)).select("memory_id"), "memory_id")
 
 
 def hybrid(index: DataFrame, keyword_rows: DataFrame, queries: DataFrame, words: list[str], k: int, min_similarity: float = 0.0, **where) -> DataFrame:
@@ -108,17 +122,12 @@ def hybrid(index: DataFrame, keyword_rows: DataFrame, queries: DataFrame, words:
     keywords a threshold of 0 is none at all, so negative cosines stay.
 
     Rows without a match rank by their cosine alone, so each task keeps its best k of
-    them; only rows with a match are scored in full.  Together they hold the best k.
+    them; only rows with a match are scored in full.  Together they hold the best k.  The index and
+    the keywords are scanned once each.
     """
     words = [w for w in (x.strip() for x in words) if w]
-    if words:
-        matches = keyword_match(index, keyword_rows, words, **where)
-        plain = scored(index.join(matches, "memory_id", "left_anti"), queries, best=k, **where).withColumn("match_count", F.lit(0).cast("long"))
-        rows = plain.unionByName(scored(index.join(matches, "memory_id", "left_semi"), queries, **where).join(matches, "memory_id"))
-    else:
-        rows = scored(index, queries, best=k, **where)
-        rows = rows.withColumn("match_count", F.lit(0).cast("long"))
-    n = F.coalesce("match_count", F.lit(0))
+    rows = scored(index, queries, best=k, matches=matched(keyword_rows, words) if words else None, **where)
+    n = F.col("match_count")
     near = F.col("cosine") >= min_similarity
     if not words and min_similarity == 0:
         near = F.lit(True)

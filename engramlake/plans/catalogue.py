@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.functions import text, vector
-from engramlake.operators import browse, cluster, facts, index, log, registry, search
+from engramlake.operators import browse, cluster, facts, index, log, neighbours, registry, search
+from engramlake.sources.kept import Kept
 from engramlake.sources.tables import Views, sql_trim, with_views
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
@@ -64,6 +65,14 @@ def _(v):
     return search.knn(v.mem, v.qvec, 8, exclude=[1, 2, 3, 5, 8])
 
 
+@query("neighbour_search", "mem qvec", _knn_sql("m.preset_id = 'preset-1' AND m.status = 'active'", 10))
+def _(v):
+    """knn by the persisted cells: built and published, then searched with the exact certificate."""
+    kept = Kept(v.spark)
+    built = neighbours.build(v.mem.select("memory_id", "preset_id", "status", "type", "source_conversation_id", "embedding"), f"{kept.folder}/neighbours", kept.table, dimension=64, cell_rows=128)
+    return kept.result(neighbours.search(built, v.qvec, 10, stored=kept.table, preset="preset-1")[0], "neighbour-search")
+
+
 MATCH = f"""matched AS (SELECT k.memory_id, count(*) AS match_count FROM mem_kw k JOIN mem m ON m.memory_id = k.memory_id WHERE k.keyword IN {WORDS_SQL} AND m.status = 'active' GROUP BY k.memory_id)"""
 
 
@@ -947,6 +956,17 @@ def _(v):
     return cluster.validate(plan).select("preset_id", "groups", "members", "valid")
 
 
+@query("dream_large", "mem", "SELECT preset_id, CAST(ceil(count(*) / 30) AS BIGINT) AS groups, count(*) AS members, TRUE AS valid, TRUE AS risen FROM mem WHERE status = 'active' GROUP BY preset_id")
+def _(v):
+    """Presets larger than one task may hold (here 64 rows): cut by exact ranks, then traded over all their edges; the objective rises over that of the cuts."""
+    edges = cluster.edges(cluster.knn_graph(v.mem))
+    cut = cluster.groups(v.mem, single=64)
+    plan = cluster.refined(cut, edges, most=2)
+    worth = lambda labels, name: cluster.objective(edges, labels).withColumnRenamed("objective", name)
+    both = worth(cut, "_before").join(worth(plan, "_after"), "preset_id").select("preset_id", (F.col("_after") > F.col("_before")).alias("risen"))
+    return cluster.validate(plan).join(both, "preset_id").select("preset_id", "groups", "members", "valid", "risen")
+
+
 @query("log_stream", "msglog", "k AS (SELECT conversation_id, CASE WHEN message_id IS NOT NULL THEN 'id:' || message_id ELSE 'k:' || author || ':' || ts || ':' || content END AS message_key, ts, seq FROM msglog) SELECT conversation_id, message_key, ts, row_number() OVER (PARTITION BY conversation_id ORDER BY seq) AS seq FROM k")
 def _(v):
     from engramlake.streaming import log_stream

@@ -6,13 +6,16 @@ text in VIEW_SQL.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import text
 from engramlake.operators import index, log
+from engramlake.sources.kept import shared_dir
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,15 +39,37 @@ class Views:
         # times without a zone are UTC, as the session is
         return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})
 
+    #: What was written of a folder's views, by application, folder and the state of the files they come from.
+    _written: ClassVar[dict[tuple, str]] = {}
+
+    def once(self, name: str, df: DataFrame, *sources: str) -> DataFrame:
+        """df as a table of the shared folder, written once a run for the same source files."""
+        state = []
+        for source in sources:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{source}.parquet")
+            found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(p)
+            state.append((source, found.getLen(), found.getModificationTime()))
+        key = (self.spark.sparkContext.applicationId, self.folder, name, *state)
+        if key not in Views._written:
+            path = f"{shared_dir(self.spark)}/views-{uuid.uuid4().hex}/{name}"
+            df.write.option("compression", "zstd").parquet(path)
+            Views._written[key] = path
+        return self.spark.read.schema(df.schema).parquet(Views._written[key])
+
     @cached_property
     def mem(self) -> DataFrame:
+        """A memory a document; the vectors take turns."""
+        return self.once("mem", self._mem(), "documents", "embeddings")
+
+    def _mem(self) -> DataFrame:
         e, d = self.table("embeddings"), self.table("documents").select("doc_id", "text")
-        i = F.col("vec_id")
+        i = F.col("doc_id")
         kind = F.element_at(F.array(*map(F.lit, ("identity", "preference", "fact", "plan", "context", "other"))), (i % 6 + 1).cast("int"))
-        count = F.broadcast(d.agg((F.max("doc_id") + 1).alias("_docs")))  # one row
-        rows = e.crossJoin(count).join(d, F.col("doc_id") == i % F.col("_docs"))
+        count = F.broadcast(e.agg((F.max("vec_id") + 1).alias("_vectors")))  # one row
+        rows = d.crossJoin(count).join(e, F.col("vec_id") == i % F.col("_vectors"))
         # the shortest words of the whole text stand for its keywords
-        words = F.transform(F.array_sort(F.array_distinct(F.transform(F.split("text", " "), lambda w: F.struct(F.length(text.trim(w)).alias("n"), text.trim(w).alias("w"))))), lambda x: x["w"])
+        trimmed = F.array_distinct(F.transform(F.split("text", " "), text.trim))
+        words = F.transform(F.array_sort(F.transform(trimmed, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), lambda x: x["w"])
         return rows.select(
             i.alias("memory_id"), F.concat(F.lit("preset-"), (i % 4).cast("string")).alias("preset_id"),
             F.when(i % 5 != 0, F.concat(F.lit("conv-"), (i % 20).cast("string"))).alias("source_conversation_id"),
@@ -126,17 +151,17 @@ def sql_trim(x: str) -> str:
 
 VIEW_SQL = {
     "mem": f"""mem0 AS (
-  SELECT e.*, d.text, list_filter(list_transform(list_sort(list_distinct(list_transform(list_transform(string_split(d.text, ' '), lambda x: {sql_trim('x')}), lambda t: {{'n': length(t), 'w': t}}))), lambda s: s.w), lambda x: x <> '') AS kw0
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % (SELECT max(doc_id) + 1 FROM documents)),
+  SELECT e.embedding, d.doc_id, d.text, list_filter(list_transform(list_sort(list_distinct(list_transform(list_transform(string_split(d.text, ' '), lambda x: {sql_trim('x')}), lambda t: {{'n': length(t), 'w': t}}))), lambda s: s.w), lambda x: x <> '') AS kw0
+  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT max(vec_id) + 1 FROM embeddings)),
 mem AS (
-  SELECT vec_id AS memory_id, 'preset-' || (vec_id % 4) AS preset_id, CASE WHEN vec_id % 5 <> 0 THEN 'conv-' || (vec_id % 20) END AS source_conversation_id,
-    CASE WHEN vec_id % 7 = 0 THEN 'archived' ELSE 'active' END AS status,
-    CASE vec_id % 6 WHEN 0 THEN 'identity' WHEN 1 THEN 'preference' WHEN 2 THEN 'fact' WHEN 3 THEN 'plan' WHEN 4 THEN 'context' ELSE 'other' END AS type,
-    CASE WHEN vec_id % 11 <> 0 THEN CAST(vec_id % 10 AS DOUBLE) / CAST(10 AS DOUBLE) END AS importance,
-    TIMESTAMP '2024-01-01' + to_hours(CAST(vec_id AS INTEGER)) AS updated_at, TIMESTAMP '2023-12-01' + to_hours(CAST(vec_id % 97 AS INTEGER)) AS created_at,
-    text AS content, CASE WHEN vec_id % 3 <> 0 THEN string_split(text, chr(10))[-1] END AS summary, CASE WHEN vec_id % 4 <> 0 THEN 'calm' ELSE 'glad' END AS sentiment,
-    CASE WHEN vec_id % 3 <> 1 THEN 'label-' || (vec_id % 2) END AS source_label,
-    list_sort(list_distinct(['u' || (vec_id % 15), 'u' || (vec_id % 23)])) AS speaker_keys,
+  SELECT doc_id AS memory_id, 'preset-' || (doc_id % 4) AS preset_id, CASE WHEN doc_id % 5 <> 0 THEN 'conv-' || (doc_id % 20) END AS source_conversation_id,
+    CASE WHEN doc_id % 7 = 0 THEN 'archived' ELSE 'active' END AS status,
+    CASE doc_id % 6 WHEN 0 THEN 'identity' WHEN 1 THEN 'preference' WHEN 2 THEN 'fact' WHEN 3 THEN 'plan' WHEN 4 THEN 'context' ELSE 'other' END AS type,
+    CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id % 10 AS DOUBLE) / CAST(10 AS DOUBLE) END AS importance,
+    TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) AS updated_at, TIMESTAMP '2023-12-01' + to_hours(CAST(doc_id % 97 AS INTEGER)) AS created_at,
+    text AS content, CASE WHEN doc_id % 3 <> 0 THEN string_split(text, chr(10))[-1] END AS summary, CASE WHEN doc_id % 4 <> 0 THEN 'calm' ELSE 'glad' END AS sentiment,
+    CASE WHEN doc_id % 3 <> 1 THEN 'label-' || (doc_id % 2) END AS source_label,
+    list_sort(list_distinct(['u' || (doc_id % 15), 'u' || (doc_id % 23)])) AS speaker_keys,
     kw0[1:12] AS keywords, embedding
   FROM mem0)""",
     "mem_kw": f"mem_kw AS (SELECT DISTINCT memory_id, lower({sql_trim('k.w')}) AS keyword FROM mem, unnest(keywords) AS k(w))",
