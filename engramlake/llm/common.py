@@ -1,4 +1,4 @@
-"""What several operators need: Arrow passes, materialised tables, running totals, components."""
+"""What several operators need: Arrow passes, materialised tables, components."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,13 +58,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def names(spark: SparkSession, folder: str) -> list[str]:
-    """What lies in a folder; nothing if there is none."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
-
-
 def text_batches(df: DataFrame, id_col: str, text_col: str, one: Callable, schema: str, *more: str) -> DataFrame:
     """Apply one(text, *more) -> tuple to each row, in Arrow batches, next to id_col."""
     by_bytes(df.sparkSession)
@@ -82,22 +75,6 @@ def text_batches(df: DataFrame, id_col: str, text_col: str, one: Callable, schem
     return df.select(F.col(id_col), F.col(text_col), *more).mapInArrow(run, kind)
 
 
-def running_total(df: DataFrame, tables: Tables, order: str, value: str, out: str, parts: int | None = None, segment: str | None = None) -> DataFrame:
-    """Add out = the sum of value over all rows with a smaller order key, without one global task.
-
-    Rows are dealt by range and stored with their range's number; the totals of
-    the ranges, one row each, are summed first and joined back.  segment: a
-    column to keep the range's number in.
-    """
-    spark = df.sparkSession
-    n = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = tables.stored(df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = totals.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("_in", inside - F.col(value)).join(F.broadcast(before), "_range").withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).withColumnsRenamed({"_range": segment} if segment else {}).drop("_range", "_in", "_before")
-
-
 def connected_components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
     """(node, root): root is the least node of the component; nodes without an edge do not appear.
 

@@ -63,7 +63,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each folder of tables has a map of its own, so another run over it takes up the map's newest version."""
+    """Each folder of tables, by its path, has a map of its own, so another run over it takes up the map's newest version; what shard a row is in thus depends on earlier runs under the same path."""
     folder = f"{shared_dir(spark)}/slot-maps-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     return sharding.assign(table(spark, sf_dir, "documents"), folder)
 

@@ -4,10 +4,12 @@ A record's slot is the hash of its id modulo ``SLOTS``; it never changes.  Bytes
 and rows are summed by slot, and a small versioned map sends slots to shards.  The
 map is a table of its own, one folder a version: version 1 deals slots out largest
 first to the emptiest shard and evens them out; each later version is the newest
-one edited by moving slots from the fullest shards to the emptiest until the sizes
-are near equal.  While the records stay as they are, the newest version is used as
-it is.  The map has SLOTS rows whatever the input, so it is worked out on the
-driver and broadcast.
+one edited: slots of shards that are gone go to the emptiest ones, then slots move from the
+fullest shards to the emptiest until the sizes are near equal.  While the records stay as they
+are, the newest version is used as it is.  A version is written under a name of its own and
+published by a rename, so a lost writer leaves the last version readable and the next run
+working; of two runs at once the later one goes on from the other's version.  The map has SLOTS
+rows whatever the input, so it is worked out on the driver and broadcast.
 
 Equal texts are not kept together: their ids spread them over the slots, so that a
 text with very many copies fills no slot.  Null ids share one slot; null texts have
@@ -19,10 +21,10 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import names
+from engramlake.sources.versions import Conflict, Version, Versions
 
 SLOTS = 4096
 SHARDS = 24
@@ -47,13 +49,21 @@ def rebalance(sizes: dict[int, int], before: dict[int, int], shards: int) -> dic
     """An edited map: slots move from the fullest shard to the emptiest while that narrows the gap."""
     after = dict(before)
     load, held = [0] * shards, [[] for _ in range(shards)]
+    for slot, shard in before.items():
+        if shard < shards:
+            load[shard] += sizes.get(slot, 0)
+    # shards that are gone: their slots, largest first, to the emptiest shards
+    for slot in sorted((s for s, shard in before.items() if shard >= shards), key=lambda s: (-sizes.get(s, 0), s)):
+        after[slot] = min(range(shards), key=lambda s: (load[s], s))
+        load[after[slot]] += sizes.get(slot, 0)
+    load = [0] * shards
     for slot, shard in after.items():
         load[shard] += sizes.get(slot, 0)
         if sizes.get(slot, 0):
             held[shard].append(slot)
     for own in held:
         own.sort(key=lambda s: (sizes[s], s))
-    for _ in range(4 * SLOTS):
+    while True:  # each move lowers the sum of the squared loads
         full, least = max(range(shards), key=lambda s: (load[s], s)), min(range(shards), key=lambda s: (load[s], s))
         gap = load[full] - load[least]
         # the largest slot that still narrows the gap, best near half of it
@@ -101,27 +111,27 @@ def slot_map(sizes: DataFrame, shards: int = SHARDS, previous: DataFrame | None
     return spark.createDataFrame(out, "version int, vslot int, shard int, bytes long, rows long, first_row long")
 
 
-def newest(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The newest complete version of the map in the folder."""
-    versions = [int(name.removeprefix("version-")) for name in names(spark, folder) if name.startswith("version-") and "_SUCCESS" in names(spark, f"{folder}/{name}")]
-    return spark.read.parquet(f"{folder}/version-{max(versions)}") if versions else None
-
-
-def kept_map(sizes: DataFrame, folder: str, shards: int = SHARDS) -> DataFrame:
-    """The newest version of the folder's map if it fits these sizes, else the version after it, written and read back."""
-    spark = sizes.sparkSession
-    before = newest(spark, folder)
-    after = slot_map(sizes, shards, before)
+def kept_map(sizes: DataFrame, folder: str, shards: int = SHARDS, tries: int = 20) -> Version:
+    """The newest version of the folder's map if it fits these sizes, else the version after it, published and read back."""
+    versions = Versions(sizes.sparkSession, folder)
     facts = lambda df: sorted(tuple(r) for r in df.drop("version").collect())  # noqa: E731  SLOTS rows
-    if before is None or facts(before) != facts(after):
-        after.coalesce(1).write.parquet(f"{folder}/version-{after.first()['version']}")
-    return newest(spark, folder)
+    for _ in range(tries):
+        base = versions.newest()
+        before = base.table("map") if base else None
+        after = slot_map(sizes, shards, before)
+        if base and facts(before) == facts(after):
+            return base
+        try:
+            return versions.publish({"map": after.coalesce(1)}, base=base, expected={"map": SLOTS})
+        except Conflict:
+            continue  # another run published first; its version is the next base
+    raise Conflict(f"the map in {folder} changed {tries} times while it was edited")
 
 
 def assign(docs: DataFrame, folder: str, shards: int = SHARDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, size, text_crc32, law, shard, slot (place in the shard, from 0), grown_shard, vslot, map_version; folder: where the map's versions are kept."""
     records = sized(docs, id_col=id_col, text_col=text_col)
-    plan = kept_map(slot_sizes(records), folder, shards)
+    plan = kept_map(slot_sizes(records), folder, shards).table("map")
     place = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col(id_col), "size", "text_crc32"))
     return (
         records.withColumn("_n", place)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engramlake.llm import linededup, queries, sharding
+from engramlake.sources.versions import Versions
 from cases import empty, odd, odd_rows
 from compare import connect, same
 
@@ -77,9 +78,38 @@ def test_the_map_is_kept_and_edited(spark, tmp_path):
     assert {v for _, v in second.values()} == {2} and sum(second[i][0] == s for i, (s, _) in first.items()) > 0.8 * len(first)
     sizes = [r["n"] for r in grown.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
     assert len(sizes) == 24 and max(sizes) - min(sizes) < 0.1 * max(sizes)
-    assert sorted(sharding.names(spark, folder)) == ["version-1", "version-2"]
-    (tmp_path / "map" / "version-2" / "_SUCCESS").unlink()  # a version that was not finished is no version
-    assert sharding.newest(spark, folder).first().version == 1
+    assert Versions(spark, folder).numbers() == [1, 2]
+
+
+def test_lost_and_rival_writers(spark, tmp_path, monkeypatch):
+    """A writer lost before its rename does not hinder the next run; of two runs at once the later one goes on from the other's version."""
+    d, folder = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), str(tmp_path / "map")
+    sharding.assign(d.where("doc_id < 400"), folder)
+    (tmp_path / "map" / "data-lost" / "map").mkdir(parents=True)
+    (tmp_path / "map" / "unpublished-lost").write_text("{")
+    assert {r.map_version for r in sharding.assign(d.where("doc_id < 600"), folder).collect()} == {2}
+    publish, once = Versions.publish, []
+
+    def late(self, tables, *, base, **more):
+        if not once:
+            once.append(1)
+            publish(self, {"map": sharding.slot_map(sharding.slot_sizes(sharding.sized(d.where("doc_id < 700"))), previous=base.table("map"))}, base=base)
+        return publish(self, tables, base=base, **more)
+
+    monkeypatch.setattr(Versions, "publish", late)
+    assert {r.map_version for r in sharding.assign(d, folder).collect()} == {4}
+
+
+def test_fewer_shards(spark, tmp_path):
+    """25 shards, then 24: the last one's slots go to the others, few of the rest move."""
+    d, folder = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), str(tmp_path / "map")
+    many = {r.doc_id: r.shard for r in sharding.assign(d, folder, 25).collect()}
+    got = sharding.assign(d, folder, 24)
+    fewer = {r.doc_id: r.shard for r in got.collect()}
+    assert set(many.values()) == set(range(25)) and set(fewer.values()) == set(range(24))
+    assert sum(fewer[i] == s for i, s in many.items() if s < 24) > 0.5 * len(many)
+    sizes = [r["n"] for r in got.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert max(sizes) - min(sizes) < 0.1 * max(sizes)
 
 
 def test_odd_shards(spark, tmp_path):
