@@ -153,17 +153,23 @@ def plan_chunks(log: DataFrame, window: int, overheard: bool = False) -> DataFra
     return rows.select(KEY, "seq", "unit").join(pack(sizes, window).select(KEY, "unit", "chunk"), [KEY, "unit"]).select(KEY, "seq", "chunk")
 
 
-def throttle(log: DataFrame, interval: int) -> DataFrame:
-    """(conversation_id, seq, runs): whether a recall at each user message runs, at least interval messages after the last that did."""
-    asks = log.where("role = 'user'").groupBy(KEY).agg(F.array_sort(F.collect_list("seq")).alias("s"))
-    empty = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(None).cast("bigint").alias("anchor"))
+def throttle(log: DataFrame, interval: int, failed: DataFrame | None = None) -> DataFrame:
+    """(conversation_id, seq, runs): whether a recall at each user message runs, at least interval messages after the last that did.
 
-    def step(acc, seq):
-        runs = acc["anchor"].isNull() | (seq - acc["anchor"] >= interval)
-        return F.struct(F.when(runs, F.concat(acc["out"], F.array(seq))).otherwise(acc["out"]).alias("out"), F.when(runs, seq).otherwise(acc["anchor"]).alias("anchor"))
-
-    done = asks.select(KEY, F.aggregate(F.transform("s", lambda x: x.cast("bigint")), empty, step)["out"].alias("r"), "s")
-    return done.select(KEY, F.explode("s").alias("seq"), "r").select(KEY, "seq", F.array_contains("r", F.col("seq").cast("bigint")).alias("runs"))
+    failed (conversation_id, seq): recalls that failed; the next message runs, as if there had been none before.
+    """
+    asks = log.where("role = 'user'").select(KEY, "seq")
+    asks = asks.withColumn("bad", F.lit(False)) if failed is None else asks.join(failed.select(KEY, "seq", F.lit(True).alias("bad")).distinct(), [KEY, "seq"], "left").fillna(False, ["bad"])
+    lists = asks.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), "bad"))).alias("s"))
+    empty = F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(None).cast("bigint").alias("anchor"))
+
+    def step(acc, x):
+        runs = acc["anchor"].isNull() | (x["seq"] - acc["anchor"] >= interval)
+        after = F.when(runs & x["bad"], F.lit(None).cast("bigint")).when(runs, x["seq"]).otherwise(acc["anchor"])
+        return F.struct(F.concat(acc["out"], F.array(runs)).alias("out"), after.alias("anchor"))
+
+    done = lists.select(KEY, F.explode(F.arrays_zip("s", F.aggregate("s", empty, step)["out"].alias("r"))).alias("x"))
+    return done.select(KEY, F.col("x.s.seq").cast(log.schema["seq"].dataType).alias("seq"), F.col("x.r").alias("runs"))
 
 
 def bot_run(log: DataFrame, focus: DataFrame) -> DataFrame:

@@ -139,3 +139,32 @@ def speakers_of_window(messages: DataFrame) -> DataFrame:
 def payload_speakers(messages: DataFrame) -> DataFrame:
     """label -> key of each conversation; the last message wins."""
     return messages.where("speaker_key is not null").groupBy("conversation_id", "name").agg(F.max_by("speaker_key", "seq").alias("speaker_key"))
+
+
+def set_personas(cards: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cards, refused): cards after changes (preset_id, card, raw_hash, source, epoch), as compare and set.
+
+    cards have an epoch that counts their writings.  A generated card is written only if its epoch is
+    that of the stored one (0: there is none) and what is stored was not written by hand; a manual card always
+    is.  Of several changes of a preset a manual one goes first, then the one with the greatest raw_hash, so that the
+    outcome does not depend on order.  refused has the changes that lost, with a reason: stale or manual.
+    """
+    old = cards.select("preset_id", F.col("source").alias("_source"), F.col("epoch").alias("_epoch"))
+    asked = changes.join(old, "preset_id", "left").withColumn("_at", F.coalesce("_epoch", F.lit(0)).cast("long"))
+    manual = F.col("source") == "manual"
+    first = Window.partitionBy("preset_id").orderBy((F.col("reason").isNull()).desc(), manual.desc(), F.desc("raw_hash"), "card")
+    reason = F.when(manual, F.lit(None).cast("string")).when(F.coalesce(F.col("_source") == "manual", F.lit(False)), "manual").when(F.col("epoch") != F.col("_at"), "stale")
+    ranked = asked.withColumn("reason", reason).withColumn("_n", F.row_number().over(first))
+    won = ranked.where("reason is null and _n = 1").select("preset_id", "card", "raw_hash", "source", (F.col("_at") + 1).alias("epoch"))
+    lost = ranked.where("reason is not null or _n > 1").select("preset_id", "card", "source", F.coalesce("reason", F.lit("stale")).alias("reason"))
+    kept = cards.join(won.select("preset_id"), "preset_id", "left_anti").select("preset_id", "card", "raw_hash", "source", F.col("epoch").cast("long").alias("epoch"))
+    return kept.unionByName(won), lost
+
+
+def delete_personas(cards: DataFrame, presets: DataFrame) -> DataFrame:
+    return cards.join(presets.select("preset_id"), "preset_id", "left_anti")
+
+
+def list_personas(cards: DataFrame, source: str | None = None) -> DataFrame:
+    """By preset; of one source only if it is named."""
+    return (cards if source is None else cards.where(F.col("source") == source)).orderBy("preset_id")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from engramlake.functions.text import index_keywords
-from engramlake.schema import KEYWORD_BONUS, KEYWORD_ONLY
+from engramlake.schema import KEYWORD_BONUS, KEYWORD_ONLY, RERANK_WIDENING
 
 QUERY_LIMIT = 10_000
 #: Digits that scores are rounded to before they are compared, so that ties do not depend on the order of additions.
@@ -157,6 +157,37 @@ def rerank(hits: DataFrame, rankings: DataFrame, k: int) -> DataFrame:
     return hits.select("memory_id", "rank").join(best, "memory_id").orderBy(F.col("relevance").desc(), "rank").limit(max(k, 0))
 
 
+def reranked_search(index: DataFrame, keyword_rows: DataFrame, queries: DataFrame, words: list[str], k: int, min_similarity: float, reranker, *, content: DataFrame, batch: int = 64, **where) -> DataFrame:
+    """(memory_id, relevance, rank, failed): the k best of RERANK_WIDENING * k hybrid candidates by reranker(list of texts) -> list of scores or None.
+
+    The candidates go to the reranker in batches, one call each, in the tasks; a candidate without a
+    score drops out.  If a call raises or gives another number of scores, all k rows are those of the hybrid order, with no
+    relevance and failed set: a failing model costs the order, not the job.
+    """
+    wide = multi_search(index, keyword_rows, queries, words, RERANK_WIDENING * k, min_similarity, **where).select("memory_id", F.col("rank").alias("place"))
+    texts = wide.join(content.select("memory_id", F.col("content").alias("_text")), "memory_id")
+    kind = index.schema["memory_id"].dataType.simpleString()
+
+    def scores(batches):
+        for part in batches:
+            for at in range(0, len(part), batch):
+                own = part.iloc[at : at + batch]
+                try:
+                    got = list(reranker(own["_text"].tolist()))
+                    if len(got) != len(own):
+                        raise ValueError(f"{len(got)} scores for {len(own)} texts")
+                    out = own[["memory_id", "place"]].assign(relevance=[None if x is None else float(x) for x in got], error=None)
+                except Exception as e:  # whatever the model raises is a row
+                    out = own[["memory_id", "place"]].assign(relevance=None, error=f"{type(e).__name__}: {e}")
+                yield out
+
+    got = texts.mapInPandas(scores, f"memory_id {kind}, place int, relevance double, error string")
+    got = got.withColumn("failed", F.max(F.col("error").isNotNull()).over(Window.partitionBy(F.lit(0))))  # RERANK_WIDENING * k rows
+    rows = got.where("failed or relevance is not null").select("memory_id", F.when(~F.col("failed"), F.col("relevance")).alias("relevance"), "place", "failed")
+    order = Window.orderBy(F.col("relevance").desc_nulls_last(), "place")  # RERANK_WIDENING * k rows
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("memory_id", "relevance", "rank", "failed")
+
+
 def candidate_stats(index: DataFrame, keyword_rows: DataFrame, queries: DataFrame, words: list[str], k: int, **where) -> DataFrame:
     """One row: filtered, keyword, semantic and overlapping candidates of a query."""
     semantic = knn(index, queries, k, **where).select("memory_id")

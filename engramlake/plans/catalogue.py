@@ -126,6 +126,37 @@ def _(v):
     return search.rerank(hits, rankings, 6)
 
 
+@query("rerank_widened", "mem mem_kw qvec", f"""{HYBRID},
+best AS (SELECT memory_id, cosine, match_count, boosted FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY boosted DESC, cosine DESC, text_no) AS b FROM hits) WHERE b = 1),
+wide AS (SELECT *, row_number() OVER (ORDER BY boosted DESC, memory_id) AS place FROM best QUALIFY place <= 15),
+given AS (SELECT memory_id, place, CASE WHEN length(content) % 4 <> 0 THEN CAST(length(content) % 7 AS DOUBLE) END AS relevance FROM wide JOIN mem USING (memory_id))
+SELECT memory_id, relevance, CAST(row_number() OVER (ORDER BY relevance DESC, place) AS INTEGER) AS rank, FALSE AS failed FROM given WHERE relevance IS NOT NULL QUALIFY rank <= 5""")
+def _(v):
+    score = lambda texts: [None if len(t) % 4 == 0 else len(t) % 7 for t in texts]
+    return search.reranked_search(v.mem, v.mem_kw, v.qvec, WORDS, 5, 0.1, score, content=v.mem)
+
+
+@query("recall_after_failure", "chat", """q AS (SELECT conversation_id, seq FROM chat WHERE role = 'user')
+SELECT conversation_id, seq, TRUE AS runs FROM q""")
+def _(v):
+    """Every recall fails, so every message may run."""
+    asks = v.chat.where("role = 'user'").select("conversation_id", "seq")
+    return log.throttle(v.chat, 6, failed=asks)
+
+
+@query("persona_epochs", "mem", """SELECT DISTINCT preset_id, CASE WHEN preset_id = 'preset-1' THEN 'by hand' ELSE 'new' END AS card, CAST(CASE WHEN preset_id = 'preset-1' THEN 1 ELSE 2 END AS BIGINT) AS epoch,
+CASE WHEN preset_id = 'preset-1' THEN 'manual,manual' ELSE 'stale' END AS refused FROM mem""")
+def _(v):
+    """One stored card a preset, one of them by hand; of two generated cards each the one with the stale epoch loses."""
+    preset = v.mem.select("preset_id").distinct()
+    hand = F.col("preset_id") == "preset-1"
+    cards = preset.select("preset_id", F.when(hand, "by hand").otherwise("old").alias("card"), F.lit("h0").alias("raw_hash"), F.when(hand, "manual").otherwise("generated").alias("source"), F.lit(1).cast("long").alias("epoch"))
+    change = lambda card, epoch: preset.select("preset_id", F.lit(card).alias("card"), F.lit("h" + card).alias("raw_hash"), F.lit("generated").alias("source"), F.lit(epoch).cast("long").alias("epoch"))
+    after, lost = registry.set_personas(cards, change("new", 1).unionByName(change("late", 0)))
+    why = lost.groupBy("preset_id").agg(F.array_join(F.array_sort(F.collect_list("reason")), ",").alias("refused"))
+    return after.join(why, "preset_id", "left").select("preset_id", "card", "epoch", "refused")
+
+
 @query("candidate_stats", "mem mem_kw qvec", f"""matched AS (SELECT DISTINCT k.memory_id FROM mem_kw k JOIN mem m USING (memory_id) WHERE k.keyword IN {WORDS_SQL} AND m.status = 'active'),
 near AS (SELECT memory_id FROM (SELECT m.memory_id, row_number() OVER (ORDER BY {COS} DESC, m.memory_id) AS n FROM mem m, qvec q WHERE q.text_no = 0 AND m.status = 'active') WHERE n <= 30)
 SELECT (SELECT count(*) FROM mem WHERE status = 'active') AS filtered, (SELECT count(*) FROM matched) AS keyword, (SELECT count(*) FROM near) AS semantic, (SELECT count(*) FROM near JOIN matched USING (memory_id)) AS overlap""")

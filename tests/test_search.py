@@ -98,3 +98,26 @@ def test_preserve_needs_a_stored_vector(spark):
     assert index.apply_mutation(idx, ups, none).first().embedding == [1.0]
     with pytest.raises(Exception, match="no vector"):
         index.apply_mutation(idx.where("false"), ups, none).collect()
+
+
+def test_a_failing_reranker_costs_the_order_only(spark):
+    """Three times as many candidates are asked for; rows without a score drop out; a raising model gives the hybrid rows."""
+    mem, kw, q = make(spark, [(f"m{i:02d}", i / 20) for i in range(20)], {})
+    content = mem.select("memory_id", F.col("memory_id").alias("content"))
+    ask = lambda model: [(r.memory_id, r.relevance, r.failed) for r in search.reranked_search(mem, kw, q, [], 3, 0.0, model, content=content).orderBy("rank").collect()]
+    assert ask(lambda texts: [None if t == "m12" else -int(t[1:]) for t in texts]) == [("m11", -11.0, False), ("m13", -13.0, False), ("m14", -14.0, False)]
+    plain = [("m19", None, True), ("m18", None, True), ("m17", None, True)]
+
+    def broken(texts):
+        raise OSError("model is gone")
+
+    assert ask(broken) == plain and ask(lambda texts: [1.0]) == plain
+
+
+def test_hybrid_scans_each_table_once(spark, tmp_path):
+    mem, kw, q = make(spark, [("a", 0.2), ("b", 0.9)], {"a": ["x"]})
+    mem.write.parquet(str(tmp_path / "mem"))
+    kw.write.parquet(str(tmp_path / "kw"))
+    stored = [spark.read.parquet(str(tmp_path / n)) for n in ("mem", "kw")]
+    plan = search.hybrid(*stored, q, ["x"], 5, 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2
