@@ -96,6 +96,19 @@ def merge_origins(origins: DataFrame) -> DataFrame:
     return origins.withColumn("_print", F.sha2(F.to_json(parts), 256)).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_print")
 
 
+def merge_with_origins(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """:func:`merge`, each child with source_origins: its parents', by parent id and their own order, equal ones once (the first)."""
+    merged = merge(entries, groups)
+    key = F.struct("group_id", "preset_id").alias("group_id")
+    parents = merged.select(key, F.explode("parents").alias("memory_id"))
+    each = parents.join(entries.select("memory_id", "source_origins"), "memory_id").select("group_id", "memory_id", F.posexplode("source_origins").alias("_at", "_o"))
+    each = each.select("group_id", F.struct("memory_id", "_at").alias("place"), F.col("_o.messages").alias("messages"))
+    union = merge_origins(each).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("place", "messages"))).alias("_all"))
+    union = union.select("group_id.*", F.transform("_all", lambda x: F.struct(x["messages"].alias("messages"))).alias("_all"))
+    none = F.array().cast(entries.schema["source_origins"].dataType)
+    return merged.join(union, ["group_id", "preset_id"], "left").withColumn("source_origins", F.coalesce(F.col("_all").cast(entries.schema["source_origins"].dataType), none)).drop("_all")
+
+
 def delete(entries: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, links) without ids."""
     return entries.join(ids.select("memory_id"), "memory_id", "left_anti"), links.join(ids.select("memory_id"), "memory_id", "left_anti")

@@ -321,21 +321,34 @@ def _(v):
     return index.snapshot(index.build(v.mem, v.mem.select("memory_id", "embedding"), 64), ids)
 
 
-STATES = [("a", "ready", None), ("b", "dirty", "late"), ("c", "ready", None)]
+STATES_SQL = """s AS (SELECT preset_id, CASE WHEN min(memory_id) % 2 = 1 THEN 'dirty' ELSE 'ready' END AS state, CASE WHEN min(memory_id) % 2 = 1 THEN 'late ' || preset_id END AS last_error FROM mem GROUP BY preset_id)"""
 
 
-@query("state_rollup", "", "SELECT 'dirty' AS state, CAST(3 AS BIGINT) AS presets, 'late' AS last_error UNION ALL SELECT 'building', 3, 'late' UNION ALL SELECT 'unavailable', 3, 'late' UNION ALL SELECT 'ready', 0, NULL")
+def _states(v):
+    """A state a preset of the memories; every second one lags behind."""
+    odd = F.col("m") % 2 == 1
+    rows = v.mem.groupBy("preset_id").agg(F.min("memory_id").alias("m"))
+    return rows.select("preset_id", F.when(odd, "dirty").otherwise("ready").alias("state"), F.when(odd, F.concat(F.lit("late "), "preset_id")).alias("last_error"))
+
+
+@query("state_rollup", "mem", f"""{STATES_SQL},
+e AS (SELECT count(*) AS presets, bool_or(state = 'dirty') AS dirty, min_by(last_error, preset_id) FILTER (WHERE last_error IS NOT NULL) AS last_error FROM s)
+SELECT CASE WHEN dirty THEN 'dirty' ELSE 'ready' END AS state, presets, last_error FROM e UNION ALL SELECT 'building', presets, last_error FROM e UNION ALL SELECT 'unavailable', presets, last_error FROM e UNION ALL SELECT 'ready', 0, NULL""")
 def _(v):
-    rows = v.spark.createDataFrame(STATES, "preset_id string, state string, last_error string")
+    rows = _states(v)
     return index.roll_up(rows).unionByName(index.roll_up(rows, manifest_missing=True)).unionByName(index.roll_up(rows, unavailable=True, building=True)).unionByName(index.roll_up(rows.where("false")))
 
 
-@query("rebuild_reason", "", "SELECT * FROM (VALUES (1, 'missing'), (2, 'engine'), (3, 'extension'), (4, 'schema'), (5, 'model'), (6, 'dimension'), (7, NULL)) AS t(case_no, reason)")
+@query("rebuild_reason", "mem", "SELECT memory_id, ['missing', 'engine', 'extension', 'schema', 'model', 'dimension', NULL][memory_id % 7 + 1] AS reason FROM mem")
 def _(v):
-    good = (5, "pg", "0.8", "m1", 64)
-    rows = [(1, None, None, None, None, None), (2, 5, "x", "0.8", "m1", 64), (3, 5, "pg", "0.7", "m1", 64), (4, 4, "pg", "0.8", "m1", 64), (5, 5, "pg", "0.8", "m0", 64), (6, 5, "pg", "0.8", "m1", 32), (7, *good)]
-    df = v.spark.createDataFrame(rows, "case_no int, schema_version int, storage_engine string, vector_extension_version string, embedding_model_id string, dimension int")
-    return index.rebuild_reason(df, engine="pg", extension="0.8", model="m1", dimension=64).select("case_no", "reason")
+    """A manifest a memory, each with another fault, the last one with none."""
+    case = F.col("memory_id") % 7
+    some = lambda right, wrong, at: F.when(case == 0, None).when(case == at, wrong).otherwise(right)
+    manifests = v.mem.select(
+        "memory_id", some(5, 4, 3).alias("schema_version"), some("pg", "x", 1).alias("storage_engine"), some("0.8", "0.7", 2).alias("vector_extension_version"),
+        some("m1", "m0", 4).alias("embedding_model_id"), some(64, 32, 5).alias("dimension"),
+    )
+    return index.rebuild_reason(manifests, engine="pg", extension="0.8", model="m1", dimension=64).select("memory_id", "reason")
 
 
 @query("migrate_index", "mem", "SELECT memory_id, CAST(NULL AS VARCHAR) AS source_conversation_id, status FROM mem")
@@ -531,10 +544,10 @@ def _(v):
     return facts.archive_merged(v.mem, groups, now()).select("memory_id", "status")
 
 
-@query("snapshot_delete", "", "SELECT * FROM (VALUES ('id', 's2'), ('id', 's3'), ('conversation', 's3'), ('preset', 's1')) AS t(way, id)")
+@query("snapshot_delete", "job", "SELECT 'id' AS way, job_id AS id FROM job WHERE job_id <> 7 UNION ALL SELECT 'conversation', job_id FROM job WHERE conversation_id IS DISTINCT FROM '7' UNION ALL SELECT 'preset', job_id FROM job WHERE preset_id <> 'preset-2'")
 def _(v):
-    rows = v.spark.createDataFrame([("s1", "p1", "c1"), ("s2", "p2", "c1"), ("s3", "p2", None)], "id string, preset_id string, conversation_id string")
-    left = [("id", facts.delete_snapshots(rows, id="s1")), ("conversation", facts.delete_snapshots(rows, conversation="c1")), ("preset", facts.delete_snapshots(rows, preset="p2"))]
+    rows = v.job.select(F.col("job_id").alias("id"), "preset_id", "conversation_id")
+    left = [("id", facts.delete_snapshots(rows, id=7)), ("conversation", facts.delete_snapshots(rows, conversation="7")), ("preset", facts.delete_snapshots(rows, preset="preset-2"))]
     return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(way).alias("way"), "id") for way, df in left])
 
 
@@ -575,6 +588,19 @@ def _(v):
     return facts.merge_origins(rows.select("group_id", "place", F.array(message).alias("messages"))).select("group_id", "place", F.col("messages")[0]["content"].alias("content"))
 
 
+@query("merge_union", "mem", """o AS (SELECT memory_id // 8 AS group_id, preset_id, memory_id, t.i AS place, CASE t.i WHEN 0 THEN 'c' || (memory_id % 3) ELSE 'x' || (memory_id % 4) END AS content FROM mem, (SELECT unnest([0, 1]) AS i) t WHERE status = 'active'),
+g AS (SELECT group_id, preset_id FROM o GROUP BY ALL HAVING count(DISTINCT memory_id) >= 2), f AS (SELECT group_id, preset_id, content, min(memory_id * 10 + place) AS p FROM o GROUP BY ALL)
+SELECT group_id, preset_id, string_agg(content, ',' ORDER BY p) AS origins FROM f JOIN g USING (group_id, preset_id) GROUP BY ALL""")
+def _(v):
+    """Two origins a memory; the transcript lines differ everywhere and do not count."""
+    i = F.col("memory_id")
+    none = F.lit(None).cast("string")
+    origin = lambda content: F.struct(F.array(F.struct(F.lit("user").alias("role"), none.alias("speaker_label"), F.lit("2024").alias("created_at"), F.array(content).alias("content_lines"), content.alias("content"), F.array(i.cast("string")).alias("transcript_lines"))).alias("messages"))
+    entries = v.mem.withColumn("source_origins", F.array(origin(F.concat(F.lit("c"), (i % 3).cast("string"))), origin(F.concat(F.lit("x"), (i % 4).cast("string")))))
+    merged = facts.merge_with_origins(entries, v.mem.select(F.expr("memory_id div 8").alias("group_id"), "memory_id"))
+    return merged.select("group_id", "preset_id", F.array_join(F.transform("source_origins", lambda o: o["messages"][0]["content"]), ",").alias("origins"))
+
+
 @query("delete_cascade", "mem mem_speaker", "SELECT 'entry' AS kind, memory_id FROM mem WHERE memory_id % 9 <> 0 UNION ALL SELECT 'link', memory_id FROM mem_speaker WHERE memory_id % 9 <> 0")
 def _(v):
     entries, links = facts.delete(v.mem, v.mem_speaker, v.mem.where("memory_id % 9 = 0"))
@@ -616,11 +642,13 @@ def _(v):
     return facts.advance_jobs(jobs, running.unionByName(done)).select("job_id", "status", F.col("started_at").isNotNull().alias("started"), F.col("finished_at").isNotNull().alias("finished"))
 
 
-@query("state_upsert", "", "SELECT * FROM (VALUES ('a', 'ready'), ('b', 'building'), ('c', 'ready'), ('d', 'dirty')) AS t(preset_id, state)")
+@query("state_upsert", "mem", f"""{STATES_SQL} SELECT preset_id, CASE WHEN preset_id IN ('preset-1', 'preset-2') THEN 'building' ELSE state END AS state FROM s UNION ALL SELECT DISTINCT 'new-' || preset_id, 'dirty' FROM mem""")
 def _(v):
-    rows = v.spark.createDataFrame(STATES, "preset_id string, state string, last_error string")
-    changes = v.spark.createDataFrame([("b", "building", None), ("d", "dirty", None)], rows.schema)
-    return index.upsert_states(rows, changes).select("preset_id", "state")
+    rows = _states(v)
+    none = F.lit(None).cast("string").alias("last_error")
+    changes = rows.where("preset_id in ('preset-1', 'preset-2')").select("preset_id", F.lit("building").alias("state"), none)
+    new = v.mem.select(F.concat(F.lit("new-"), "preset_id").alias("preset_id")).distinct().select("preset_id", F.lit("dirty").alias("state"), none)
+    return index.upsert_states(rows, changes.unionByName(new)).select("preset_id", "state")
 
 
 @query("migrate_embeddings", "mem", "SELECT memory_id, TRUE AS cleared FROM mem")
@@ -950,11 +978,13 @@ def _(v):
     return cluster.run_coverage(targets, targets.where("memory_id % 3 = 0 or preset_id = 'preset-2'").select("memory_id"))
 
 
-@query("dream_status", "", "SELECT * FROM (VALUES (1, 'failed'), (2, 'failed'), (3, 'failed'), (4, 'partial'), (5, 'completed'), (6, 'completed')) AS t(case_no, status)")
+@query("dream_status", "mem", """c AS (SELECT memory_id, memory_id % 7 = 0 AS error, memory_id % 5 = 0 AS full_run, memory_id % 4 AS target, least(memory_id % 4, memory_id % 3) AS processed FROM mem)
+SELECT memory_id, CASE WHEN error OR (processed = 0 AND (full_run OR target > 0)) THEN 'failed' WHEN target > processed THEN 'partial' ELSE 'completed' END AS status FROM c""")
 def _(v):
-    rows = [(1, True, False, 5, 5, 0), (2, False, True, 0, 0, 0), (3, False, False, 4, 0, 4), (4, False, False, 4, 2, 2), (5, False, False, 4, 4, 0), (6, False, False, 0, 0, 0)]
-    df = v.spark.createDataFrame(rows, "case_no int, error boolean, full boolean, target long, processed long, unprocessed long")
-    return df.select("case_no", cluster.run_status(F.col("error"), F.col("full")).alias("status"))
+    i = F.col("memory_id")
+    runs = v.mem.select("memory_id", (i % 7 == 0).alias("error"), (i % 5 == 0).alias("full"), (i % 4).alias("target"), F.least(i % 4, i % 3).alias("processed"))
+    runs = runs.withColumn("unprocessed", F.col("target") - F.col("processed"))
+    return runs.select("memory_id", cluster.run_status(F.col("error"), F.col("full")).alias("status"))
 
 
 @query("dream_ops", "mem", "SELECT memory_id % 9 AS batch, count(*) FILTER (WHERE memory_id % 4 = 0) AS created, count(*) FILTER (WHERE memory_id % 4 = 1) AS updated, count(*) FILTER (WHERE memory_id % 4 = 2) AS merged, count(*) FILTER (WHERE memory_id % 4 = 3) AS split, CAST(sum(CASE memory_id % 4 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END) AS BIGINT) AS archived FROM mem GROUP BY 1")
