@@ -103,7 +103,7 @@ class Versions:
             raise
 
     def retire(self, keep: int = 2) -> None:
-        """Remove all but the newest versions, and data folders that no version names and no writer can still publish after them."""
+        """Remove all but the newest versions and their data; what lost writers left is not touched."""
         numbers = self.numbers()
         for n in numbers[:-keep]:
             old = self.open(n)
