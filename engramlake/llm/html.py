@@ -18,8 +18,17 @@ joined by one blank in page order; nothing else is dropped.  Null, empty and
 text-free pages give the empty string.  Unclosed tags end with their parent.  Quotes
 count in an attribute's value only where they begin it.  Each row has its own text,
 repeated rows the same; of equal runs the first is taken, of articles with equally
-many words the first.  Inside an article or main some words of a class or id are
-noise only in plain company (``related-posts``, not ``related-work``).
+many words the first.  Articles that hold less than a ``TEASER`` of the words of the
+best run beside them bound nothing (a teaser next to the text).
+
+Inside an article or main a class or id is noise only if each of its words is a word
+of noise or a plain word (``related-posts``, ``commentlist``; not ``related-work`` or
+``share-price``).  An id there is often an anchor: on headings, paragraphs, list items
+and tables it tells nothing, on sections and lists only for readers' comments and
+adverts.
+
+Weights are learned from all pages of a small table, and from about ``SAMPLE_PAGES``
+rows, chosen by hash, of a larger one.
 """
 
 from __future__ import annotations
@@ -28,6 +37,7 @@ import html as entities
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,33 +59,57 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that close their siblings when left open.
 LOOSE = frozenset("p li dt dd tr td th option b i em strong a span font u small".split())
 BODY = ("article", "main")
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|side|widgets?"
-    r"|related|recommend\w*|share|sharing|social|comments?|disqus|respond|replies|reply|discussion|newsletter|subscri\w*|signup|login|footer|foot|header|masthead|topbar|toolbar|pagination|pager|toc|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
-    re.I,
+#: Words of classes and ids that name a box of the frame.
+NOISE_WORD = (
+    r"(?:ads?|advert\w*|adsense|adsbygoogle|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|side|widgets?"
+    r"|related|recommend\w*|share|sharing|social|comments?|disqus|respond|replies|reply|discussion|newsletter|subscri\w*|signup|login|footer|foot|header|masthead|topbar|toolbar|pagination|pager|toc|copyright|legal|disclaimer|skip)"
+)
+NOISE = re.compile(rf"(?:^|[\s_-]){NOISE_WORD}(?:$|[\s_-])", re.I)
+WHOLE = re.compile(NOISE_WORD, re.I)
+#: Words that may stand beside those of noise; they say where or how a box is, not what it is about.
+PLAIN_WORDS = frozenset(
+    "box boxes list lists section block area wrapper wrap container inner outer content contents item items link links bar buttons button form text top bottom left right main post posts page pages site article articles"
+    " fixed sticky thread holder group panel row col slot unit card body title heading cta icon icons count zone module placeholder reader readers user users in on this us mobile desktop inline google fb facebook twitter".split()
 )
-#: Inside an article or main these words name noise only in a name that has no word but PLAIN_WORDS beside them, or never; ids of sections, headings and paragraphs are anchors there.
-PLAIN_WORDS = frozenset("box boxes list lists section block area wrapper wrap container inner outer content contents item items link links bar buttons button form text top bottom left right main post posts page pages site article articles fixed sticky thread holder group panel row col".split())
-WEAK = re.compile(r"related|recommend\w*|notices?|alerts?|reply|replies|skip|foot|overlay|consent", re.I)
-FRAME_ONLY = frozenset("side legal discussion disclaimer header".split())
-ANCHORED = frozenset("section h1 h2 h3 h4 h5 h6 p figure table dl ul ol li dt dd blockquote".split())
+FRAME_ONLY = frozenset("side legal disclaimer header".split())
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p figure table dl li dt dd blockquote".split())
+PARTS = frozenset("section ul ol".split())
+PART_IDS = re.compile(r"comments?|disqus|respond|replies|ads?|advert\w*|adsense|adsbygoogle", re.I)
+CODE_TAGS = frozenset("span code pre i em b".split())
 #: Elements whose words are those of the container around them.
 FLOW = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot caption tr td th figure".split())
 KNOWN = FLOW | SKIPPED | VOID | RAW | frozenset("html body div section article main hgroup address details summary fieldset legend figcaption picture center dir search slot".split())
 MOST = 0.75
+#: An article with less than this share of the words of the best run beside it is a teaser.
+TEASER = 0.25
+#: Rows that the weights are learned from, about, where a table has more.
+SAMPLE_PAGES = 20_000
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 
+def tells(word: str) -> bool:
+    """Whether a word names noise, alone or written together with a plain word."""
+    return WHOLE.fullmatch(word) is not None or any(word[k:] in PLAIN_WORDS and WHOLE.fullmatch(word[:k]) for k in range(2, len(word) - 1))
+
+
+@lru_cache(maxsize=4096)
 def named_noise(name: str, value: str, tag: str, inside: bool) -> bool:
     """Whether a class or id names noise."""
     if not inside:
-        return NOISE.search(value) is not None
+        return NOISE.search(value) is not None or any(tells(w) for w in re.split(r"[\s_-]+", value.lower()) if w)
     if name == "id" and tag in ANCHORED:
         return False
-    words = ([w for w in re.split(r"[-_]|(?<=[a-z])(?=[A-Z])", token) if w] for token in value.split())
-    tells = lambda w: w.lower() not in FRAME_ONLY and NOISE.search(w) is not None
-    plain = lambda w: tells(w) or w.isdigit() or w.lower() in PLAIN_WORDS
-    return any(any(tells(w) and (WEAK.fullmatch(w) is None or all(map(plain, own))) for w in own) for own in words)
+
+    def counts(w):
+        if w in FRAME_ONLY or name == "id" and (w == "discussion" or tag in PARTS and PART_IDS.match(w) is None) or tag in CODE_TAGS and w in ("comment", "comments"):
+            return False
+        return tells(w)
+
+    for token in value.split():
+        own = [w.lower() for w in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", token) if w]
+        if any(map(counts, own)) and all(tells(w) or w in PLAIN_WORDS or w[0].isdigit() or w.startswith("advert") for w in own):
+            return True
+    return False
 
 
 def noisy(attrs: str, tag: str, inside: bool) -> str:
@@ -99,47 +133,67 @@ def tokens(page: str):
     for its end with a tag.  body: number of the outermost article or main around,
     or 0.  home: number of the container around.
     """
-    return [t[:4] for t in parsed(page, spared(page)) if t[0] != "inner"]
+    return [t for t in parsed(page) if t[0] != "inner"]
+
+
+def parsed(page: str) -> list[tuple[str, str, int, int]]:
+    """Tokens as above, and as 'inner' those in skipped boxes."""
+    found, boxes = scanned(page)
+    # a box that class or id alone would skip stays if it holds most of the page's words
+    gone, outer = [False], [0]
+    for box in boxes[1:]:
+        up = box["up"]
+        gone.append(gone[up] or not (box["words"] >= MOST * boxes[0]["words"] > 0 and box["bodied"] == boxes[0]["bodied"]))
+        outer.append(outer[up] if gone[up] else box["body"])
+    out = []
+    for kind, value, body, home, box, after in found:
+        if kind == "named":
+            if gone[box]:
+                kind, value, body = "inner", "", outer[box]
+            elif after is None or gone[after]:
+                kind, body = "noise", body if after is None else outer[after]
+            else:
+                kind = "open"
+        elif kind in ("close", "gap"):
+            if gone[after]:
+                kind, body = "inner", outer[after]
+            elif gone[box]:
+                kind, body = "gap", outer[box]
+        elif gone[box]:
+            kind, value, body = "inner", "", outer[box]
+        out.append((kind, value, body, home))
+    return out
 
 
-def spared(page: str) -> frozenset[int]:
-    """Where the boxes start that class or id alone would skip, but that hold most of the page's words."""
-    total, loose, open_boxes, words, bodies = 0, 0, [], {}, {}
-    for kind, value, body, _, at in parsed(page, None):
-        if kind == "box":
-            if value:
-                open_boxes.append((at, total, loose))
-            else:
-                start, before, outside = open_boxes.pop()
-                words[start], bodies[start] = total - before, loose - outside
-        elif kind == "word":
-            n = len(value.split())
-            total += n
-            loose += n if body else 0
-    for start, before, outside in open_boxes:
-        words[start], bodies[start] = total - before, loose - outside
-    return frozenset(s for s, n in words.items() if n >= MOST * total > 0 and bodies[s] == loose)
-
-
-def parsed(page: str, spare: frozenset[int] | None):
-    """Tokens as above and their place, and as 'inner' those in skipped boxes; spare: boxes not to skip, None: skip none by name but report ('box', 1 at its start and 0 at its end)."""
-    stack: list[tuple[str, bool, int, int, bool]] = []  # tag, skipped, body, home, reported box
+def scanned(page: str):
+    """One pass: (kind, value, body, home, named box around, box after it) of each token, and the named boxes with their words; box 0 is the page."""
+    stack: list[tuple[str, bool, int, int, int]] = []  # tag, skipped, body, home, named box
     at, bodies, homes, size = 0, 0, 0, len(page)
+    total = bodied = 0
+    boxes = [{"up": 0, "body": 0, "words": 0, "bodied": 0}]  # words before a box until it ends, then those in it
+    found = []
 
     def cut(k):
-        boxes = sum(e[4] for e in stack[k:])
+        for box in {e[4] for e in stack[k:]} - {stack[k - 1][4] if k else 0}:
+            boxes[box]["words"], boxes[box]["bodied"] = total - boxes[box]["words"], bodied - boxes[box]["bodied"]
         del stack[k:]
-        return [("box", 0, 0, 0, at)] * boxes
 
+    top = ("", False, 0, 0, 0)
     while at < size:
-        start = at
         m = TOKEN.match(page, at)
         if m is None:
             break
         at = m.end()
-        _, skipped, body, home, _ = stack[-1] if stack else ("", False, 0, 0, False)
+        _, skipped, body, home, box = stack[-1] if stack else top
         if (text := m["text"] or m["cdata"]) is not None:
-            yield ("inner", "", body, home, start) if skipped else ("word", text if m["cdata"] else entities.unescape(text), body, home, start)
+            if skipped:
+                found.append(("inner", "", body, home, box, box))
+            else:
+                value = text if m["cdata"] else entities.unescape(text)
+                n = len(value.split())
+                total += n
+                bodied += n if body else 0
+                found.append(("word", value, body, home, box, box))
             continue
         if (tag := m["tag"]) is None:
             continue
@@ -147,39 +201,49 @@ def parsed(page: str, spare: frozenset[int] | None):
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    yield from cut(k)
+                    cut(k)
                     break
                 if tag in LOOSE and stack[k][0] not in LOOSE:
                     break
-            yield ("inner" if stack and stack[-1][1] else "gap" if skipped else "close", tag, body, home, start)
+            _, within, _, _, after = stack[-1] if stack else top
+            found.append(("inner" if within else "gap" if skipped else "close", tag, body, home, box, after))
             continue
         if tag in LOOSE and tag not in INLINE:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    yield from cut(k)
+                    cut(k)
                     break
                 if stack[k][0] not in LOOSE:
                     break
-            _, skipped, body, home, _ = stack[-1] if stack else ("", False, 0, 0, False)
+            _, skipped, body, home, box = stack[-1] if stack else top
         why = "sure" if tag in SKIPPED else noisy(m["attrs"], tag, body > 0) if tag not in ("html", "body") else ""
         named = why == "name" and not skipped
-        skip = skipped or why == "sure" or named and spare is not None and start not in spare
+        skip = skipped or why == "sure"
         stays = tag not in RAW and tag not in VOID and not m["attrs"].endswith("/")
+        around, outside = box, body
         if tag in BODY and not skip and not body:
             bodies += 1
             body = bodies
-        yield ("inner", "", body, home, start) if skipped else ("noise" if skip else "open", tag, body, home, start)
+        if named and stays:
+            boxes.append({"up": around, "body": outside, "words": total, "bodied": bodied})
+            box = len(boxes) - 1
+        if skipped:
+            found.append(("inner", "", body, home, around, around))
+        elif named:
+            found.append(("named", tag, body, home, around, box if stays else None))
+        else:
+            found.append(("noise" if skip else "open", tag, body, home, around, around))
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else size
         elif stays:
-            box = named and spare is None
-            if box:
-                yield ("box", 1, body, home, start)
             if tag not in FLOW:
                 homes += 1
                 home = homes
             stack.append((tag, skip, body, home, box))
+    cut(0)
+    boxes[0]["words"], boxes[0]["bodied"] = total, bodied
+    return found, boxes
 
 
 def kind_of(tag: str) -> str:
@@ -191,7 +255,7 @@ def label_counts(page: str | None) -> Counter:
     """(kind, inside) of the tokens of a page whose markup names one article; else nothing."""
     seen, out = [], Counter()
     page = page or ""
-    for kind, value, body, _, _ in parsed(page, spared(page)):
+    for kind, value, body, _ in parsed(page):
         seen.append(("word" if kind == "word" else kind_of(value) if kind != "noise" and value else "noise", body, len(value.split()) if kind == "word" else 1))
     bodies = {b for _, b, _ in seen if b}
     if len(bodies) == 1:
@@ -201,8 +265,11 @@ def label_counts(page: str | None) -> Counter:
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Weight of each token kind, from all labelled pages."""
+    """Weight of each token kind, from the labelled pages among all rows, or among about SAMPLE_PAGES rows of a larger table."""
     by_bytes(pages.sparkSession)
+    rows, parts = pages.count(), 1 << 20
+    if rows > SAMPLE_PAGES:
+        pages = pages.where(F.pmod(F.xxhash64(*[c for c in (html_col, "page_id", "url") if c in pages.columns]), F.lit(parts)) < SAMPLE_PAGES * parts // rows)
 
     def count(batches):
         total: Counter = Counter()
@@ -253,7 +320,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     for kind, value, body, _ in kept:
         if body and kind == "word":
             bodies[body] = bodies.get(body, 0.0) + len(value.split())
-    if bodies and max(bodies.values()) > 0:
+    bounded = sum(bodies.values()) > 0
+    if bounded:  # what stands beside the articles, each of which ends a run
+        a, b = best_run([-math.inf if t[2] else s for t, s in zip(kept, scores)])
+        bounded = sum(bodies.values()) >= TEASER * sum(len(t[1].split()) for t in kept[a:b] if t[0] == "word")
+    if bounded:
         most = max(bodies, key=lambda b: (bodies[b], -b))
         a, b = best_run([max(s, 0.0) if t[2] == most else s if t[2] else min(s, 0.0) for t, s in zip(kept, scores)])
         reached = {t[2] for t in kept[a:b]} - {0}

@@ -123,6 +123,41 @@ def test_unknown_tags_are_one_kind(spark):
     assert "other" in weights and len(weights) <= len(html.KNOWN) + 3 and not any(k.startswith("x-") for k in weights)
 
 
+BODY = "<p>Body words here.</p>"
+
+
+@pytest.mark.parametrize("box", [
+    "<section id='comments'><h2>Comments</h2><p>x</p></section>", "<ul id='comments'><li>x</li></ul>", "<div class='commentlist'><p>x</p></div>", "<div class='discussion'><p>x</p></div>",
+    "<ol class='comment-list'><li class='comment'>x</li></ol>", "<div class='adsbygoogle'>x</div>", "<div class='ad-slot ad-300x250'>x</div>", "<div class='share-buttons'>x</div>", "<p class='advert-text'>x</p>",
+    "<div id='disqus_thread'>x</div>", "<div class='article-comments'>x</div>", "<div class='newsletter-signup'>x</div>", "<div class='relatedposts'>x</div>",
+])
+def test_boxes_inside_an_article_go(box):
+    assert html.main_text(f"<article>{BODY}{box}</article>", W) == "Body words here."
+
+
+@pytest.mark.parametrize("box", [
+    "<p class='share-price'>kept</p>", "<div class='social-policy'><p>kept</p></div>", "<section id='discussion'><p>kept</p></section>", "<section id='alerts'><p>kept</p></section>", "<h2 id='comments'>kept</h2>",
+    "<pre><code><span class='comment'>kept</span></code></pre>", "<div class='commentary'>kept</div>", "<div class='content with-sidebar'>kept</div>", "<div class='cookie-recipe'>kept</div>", "<p class='address'>kept</p>",
+])
+def test_real_text_inside_an_article_stays(box):
+    assert html.main_text(f"<article>{BODY}{box}</article>", W) == "Body words here. kept"
+
+
+def test_a_teaser_bounds_nothing():
+    assert html.main_text(f"<div><p>{article(40)}</p></div><article><a href='x'>Other thing</a></article>", W) == article(40)
+    assert html.main_text(f"<article>{article(12)}</article><div><p>{article(40, 50)}</p></div>", W) == article(12)
+
+
+def test_weights_from_a_sample_of_a_large_table(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    whole = html.learn_weights(pages)
+    monkeypatch.setattr(html, "SAMPLE_PAGES", pages.count() // 2)
+    part = html.learn_weights(pages)
+    assert part.keys() == whole.keys() and html.learn_weights(pages.repartition(5)) == part
+    monkeypatch.setattr(html, "SAMPLE_PAGES", 40)
+    assert [html.main_text(r.html, part) for r in pages.limit(50).collect()] == [html.main_text(r.html, whole) for r in pages.limit(50).collect()]
+
+
 def brute(page_tokens, score):
     """The greatest sum over all contiguous runs, by trying each."""
     best = (0.0, 0, 0)
