@@ -461,10 +461,11 @@ def _(v):
     return registry.render_profiles(asked, facts.latest(v.profile, ["preset_id", "speaker_key"], "created_at", "profile_id"))
 
 
-@query("injection", "", "SELECT * FROM (VALUES (1, '## 用户画像' || chr(10) || 'p' || chr(10) || chr(10) || '## 短期记忆' || chr(10) || 's'), (2, '## 短期记忆' || chr(10) || 's'), (3, '')) AS t(case_no, section)")
+@query("injection", "profile", f"""SELECT profile_id, concat_ws(chr(10) || chr(10), CASE WHEN {sql_trim('content')} <> '' THEN '## 用户画像' || chr(10) || {sql_trim('content')} END,
+ CASE WHEN profile_id % 4 <> 0 THEN '## 短期记忆' || chr(10) || speaker_label END) AS section FROM profile""")
 def _(v):
-    rows = v.spark.createDataFrame([(1, " p", "s "), (2, " ", "s"), (3, "", "")], "case_no int, p string, s string")
-    return rows.select("case_no", registry.injection(F.col("p"), F.col("s")).alias("section"))
+    label = F.when(F.col("profile_id") % 4 != 0, F.concat(F.lit(" "), "speaker_label", F.lit("\t"))).otherwise(F.lit(" \n"))
+    return v.profile.select("profile_id", registry.injection(F.concat(F.lit("\n"), "content"), label).alias("section"))
 
 
 def _personas(v):
@@ -500,11 +501,17 @@ def _(v):
 # ---- entries and jobs ----
 
 
-@query("normalize_entry", "", """SELECT * FROM (VALUES (1, 'x', CAST(NULL AS VARCHAR), 'A,b,a', 'u1,u2', CAST(1 AS DOUBLE)), (2, 'y z', 's', '', '', CAST(0 AS DOUBLE)), (3, 'k', NULL, 'a1,a2,a3,a4,a5,a6,a7,a8,a9,a10,a11,a12', '', NULL)) AS t(case_no, content, summary, keywords, speaker_keys, importance)""")
+@query("normalize_entry", "mem", f"""SELECT memory_id, {sql_trim('content')} AS content, CASE WHEN memory_id % 4 <> 0 THEN nullif({sql_trim('summary')}, '') END AS summary,
+ array_to_string((list_concat(['dup'], list_filter(keywords, lambda x: x <> 'dup')))[1:12], ',') AS keywords, array_to_string(list_sort(list_distinct(['u9', 'u' || (memory_id % 15)])), ',') AS speaker_keys,
+ CASE WHEN memory_id % 9 <> 0 THEN greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST(memory_id % 30 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(1 AS DOUBLE))) END AS importance FROM mem""")
 def _(v):
-    rows = [(1, "\t x　", " \n", [" A", "b", "a", "A ", " "], ["u2", " u1 ", "u2", ""], 1.5), (2, " y z", "s ", None, None, -0.5), (3, "k", "", [f"a{i}" for i in range(1, 20)], [], None)]
-    df = v.spark.createDataFrame(rows, "case_no int, content string, summary string, keywords array<string>, speaker_keys array<string>, importance double").withColumns({"sentiment": F.lit(" "), "source_conversation_id": F.lit("")})
-    return facts.normalized(df).select("case_no", "content", "summary", F.array_join("keywords", ",").alias("keywords"), F.array_join("speaker_keys", ",").alias("speaker_keys"), "importance")
+    i = F.col("memory_id")
+    raw = v.mem.withColumns({
+        "content": F.concat(F.lit("\t "), "content", F.lit("　")), "summary": F.when(i % 4 == 0, " \n").otherwise(F.concat(F.lit(" "), "summary")), "sentiment": F.lit(" "), "source_conversation_id": F.lit(""),
+        "keywords": F.concat(F.array(F.lit(" dup "), F.lit("dup"), F.lit(" ")), F.transform("keywords", lambda k: F.concat(F.lit(" "), k))),
+        "speaker_keys": F.array(F.lit(" u9"), F.concat(F.lit("u"), (i % 15).cast("string")), F.lit("u9 "), F.lit("")), "importance": F.when(i % 9 != 0, (i % 30).cast("double") / F.lit(10.0) - F.lit(1.0)),
+    })
+    return facts.normalized(raw).select("memory_id", "content", "summary", F.array_join("keywords", ",").alias("keywords"), F.array_join("speaker_keys", ",").alias("speaker_keys"), "importance")
 
 
 @query("append_extracted", "mem", f"SELECT memory_id, status, content, epoch_ms(created_at) AS created_ms FROM mem WHERE memory_id >= 10 UNION ALL SELECT memory_id, 'active', 'new', epoch_ms({NOW_SQL}) FROM mem WHERE memory_id < 10")
@@ -578,14 +585,13 @@ def _(v):
     return facts.merge(v.mem, groups).withColumn("parents", F.array_join("parents", ","))
 
 
-ORIGIN_ROWS = [(1, 0, "a", "t1"), (1, 1, "a", "t2"), (1, 2, "b", "t1"), (2, 0, "a", "t1"), (2, 1, "c", "t9"), (2, 2, "c", "t8")]
-
-
-@query("merge_origins", "", "SELECT * FROM (VALUES (1, 0, 'a'), (1, 2, 'b'), (2, 0, 'a'), (2, 1, 'c')) AS t(group_id, place, content)")
+@query("merge_origins", "chat", "SELECT conversation_id AS group_id, min(seq) AS place, role || (length(content) % 3) AS content FROM chat GROUP BY ALL")
 def _(v):
-    rows = v.spark.createDataFrame(ORIGIN_ROWS, "group_id int, place int, content string, line string")
-    message = F.struct(F.lit("user").alias("role"), F.lit(None).cast("string").alias("speaker_label"), F.lit("2024").alias("created_at"), F.array("content").alias("content_lines"), "content", F.array("line").alias("transcript_lines"))
-    return facts.merge_origins(rows.select("group_id", "place", F.array(message).alias("messages"))).select("group_id", "place", F.col("messages")[0]["content"].alias("content"))
+    """One origin a turn; transcript lines differ everywhere and do not count."""
+    said = F.concat("role", (F.length("content") % 3).cast("string"))
+    message = F.struct("role", F.lit(None).cast("string").alias("speaker_label"), F.lit("2024").alias("created_at"), F.array(said).alias("content_lines"), said.alias("content"), F.array(F.col("seq").cast("string")).alias("transcript_lines"))
+    origins = v.chat.select(F.col("conversation_id").alias("group_id"), F.col("seq").alias("place"), F.array(message).alias("messages"))
+    return facts.merge_origins(origins).select("group_id", "place", F.col("messages")[0]["content"].alias("content"))
 
 
 @query("merge_union", "mem", """o AS (SELECT memory_id // 8 AS group_id, preset_id, memory_id, t.i AS place, CASE t.i WHEN 0 THEN 'c' || (memory_id % 3) ELSE 'x' || (memory_id % 4) END AS content FROM mem, (SELECT unnest([0, 1]) AS i) t WHERE status = 'active'),
@@ -682,14 +688,13 @@ def _(v):
     return facts.migrate_conversations(old).select("memory_id", "source_conversation_id")
 
 
-def _items(v):
-    rows = [(1, [("  a ",), ("",), ("b",)]), (2, [(None,)]), (3, []), (4, [(" ",)])]
-    return v.spark.createDataFrame(rows, "snapshot_id int, items array<struct<final_text:string>>")
-
-
-@query("snapshot_text", "", "SELECT * FROM (VALUES (1, 'a' || chr(10) || 'b'), (3, ''), (4, '')) AS t(snapshot_id, body)")
+@query("snapshot_text", "chat", f"""t AS (SELECT conversation_id, seq, CASE WHEN seq % 3 = 2 THEN ' ' WHEN length(content) % 50 <> 0 THEN {sql_trim('content')} END AS final_text FROM chat)
+SELECT conversation_id AS snapshot_id, coalesce(string_agg(final_text, chr(10) ORDER BY seq) FILTER (WHERE trim(final_text) <> ''), '') AS body FROM t GROUP BY conversation_id HAVING count(final_text) = count(*)""")
 def _(v):
-    return facts.migrate_snapshots(_items(v)).select("snapshot_id", facts.snapshot_text("items").alias("body"))
+    """A snapshot a conversation, an item a turn; some items are blank, some lack their text."""
+    final = F.when(F.col("seq") % 3 == 2, " ").when(F.length("content") % 50 != 0, F.concat(F.lit(" "), "content", F.lit("\n")))
+    items = v.chat.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("seq", final.alias("final_text")))).alias("items"))
+    return facts.migrate_snapshots(items).select(F.col("conversation_id").alias("snapshot_id"), facts.snapshot_text("items").alias("body"))
 
 
 @query("memory_render", "mem", "SELECT memory_id, concat_ws(chr(10), 'id=' || memory_id, 'type=' || type, 'importance=' || importance, 'keywords=' || array_to_string(keywords, '、'), 'source=' || source_label, 'content:' || chr(10) || content) AS view FROM mem")
@@ -854,13 +859,16 @@ def _(v):
 
 # ---- text functions ----
 
-LINES = [(1, "[1, Ann] 说：hi "), (2, "Bob说: x：y"), (3, "no speaker here"), (4, "[a，b ,] 说：t"), (5, "a b说：t"), (6, "Zoë 说：")]
-
-
-@query("speaker_line", "", "SELECT * FROM (VALUES (1, 'Ann', 'hi'), (2, 'Bob', 'x：y'), (3, NULL, NULL), (4, 'b', 't'), (5, NULL, NULL), (6, 'Zoë', '')) AS t(case_no, speaker, content)")
+@query("speaker_line", "chat", f"""l AS (SELECT *, length(content) % 5 AS k, string_split(content, chr(10))[1] AS line FROM chat)
+SELECT conversation_id, seq, CASE k WHEN 0 THEN role WHEN 1 THEN role WHEN 2 THEN 'b' END AS speaker, CASE WHEN k < 3 THEN {sql_trim('line')} END AS content FROM l""")
 def _(v):
-    rows = v.spark.createDataFrame(LINES, "case_no int, line string").withColumn("s", text.speaker_line("line"))
-    return rows.select("case_no", "s.speaker", "s.content")
+    """Bracketed, bare and listed speakers, a name with a blank, and lines of no speaker."""
+    kind, line = F.length("content") % 5, F.split("content", "\n")[0]
+    spoken = (
+        F.when(kind == 0, F.concat(F.lit("[1, "), "role", F.lit("] 说："), line)).when(kind == 1, F.concat("role", F.lit("说: "), line, F.lit(" ")))
+        .when(kind == 2, F.concat(F.lit("[a，b ,] 说："), line)).when(kind == 3, F.concat(F.lit("a b说："), line)).otherwise(line)
+    )
+    return v.chat.withColumn("s", text.speaker_line(spoken)).select("conversation_id", "seq", "s.speaker", "s.content")
 
 
 @query("content_lines", "", f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: {sql_trim('x')}), lambda x: x <> ''), '|') AS lines FROM documents")
@@ -873,16 +881,22 @@ def _(v):
     return v.table("pages").select("page_id", text.xml_escape("html").alias("escaped"))
 
 
-@query("parse_time", "", "SELECT * FROM (VALUES (1, '1700000000000'), (2, '1704164645000'), (3, NULL), (4, NULL), (5, '1704067200000')) AS t(case_no, ms)")
+@query("parse_time", "", """SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN epoch_us(ts) // 1000 WHEN 1 THEN epoch_ms(date_trunc('second', ts)) WHEN 4 THEN epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) END AS VARCHAR) AS ms FROM events""")
 def _(v):
-    rows = v.spark.createDataFrame([(1, " 1700000000000 "), (2, "2024-01-02T03:04:05Z"), (3, "soon"), (4, "  "), (5, "2024-01-01")], "case_no int, t string")
-    return rows.select("case_no", F.unix_millis(text.parse_time("t")).cast("string").alias("ms"))
+    """Milliseconds, ISO times, words, blanks and ISO dates."""
+    k = F.col("event_id") % 5
+    given = F.when(k == 0, F.concat(F.lit(" "), F.unix_millis("ts").cast("string"), F.lit(" "))).when(k == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.lit("soon")).when(k == 3, F.lit("  ")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    return v.table("events").select("event_id", F.unix_millis(text.parse_time(given)).cast("string").alias("ms"))
 
 
-@query("json_card", "", "SELECT * FROM (VALUES (1, '[卡片:App] see this（分享者：Ann）'), (2, '[卡片消息] text'), (3, '[卡片消息]'), (4, '[卡片消息]')) AS t(case_no, card)")
+@query("json_card", "chat", f"""SELECT conversation_id, seq, CASE WHEN seq % 5 = 4 THEN '[卡片消息]' ELSE CASE WHEN seq % 2 = 0 THEN '[卡片:' || role || ']' ELSE '[卡片消息]' END || coalesce(' ' || nullif(CASE WHEN seq % 3 = 0 THEN role ELSE {sql_trim('content')} END, ''), '')
+ || CASE WHEN seq % 5 < 3 THEN '（分享者：c' || conversation_id || '）' ELSE '' END END AS card FROM chat""")
 def _(v):
-    rows = [(1, '{"prompt":" see this ","meta":{"detail_1":{"title":"App","host":{"nick":"Ann"}}}}'), (2, '{"desc":"text"}'), (3, "{broken"), (4, None)]
-    return v.spark.createDataFrame(rows, "case_no int, payload string").select("case_no", text.json_card("payload").alias("card"))
+    """Cards with and without source, prompt and sharer; every fifth is damaged."""
+    n, none = F.col("seq"), F.lit(None).cast("string")
+    detail = F.struct(F.when(n % 2 == 0, F.col("role")).otherwise(none).alias("title"), F.when(n % 5 < 3, F.struct(F.concat(F.lit(" c"), "conversation_id").alias("nick"))).alias("host"))
+    whole = F.to_json(F.struct(F.when(n % 3 != 0, F.concat(F.lit(" "), "content")).otherwise(none).alias("prompt"), F.col("role").alias("desc"), F.struct(detail.alias("detail_1")).alias("meta")))
+    return v.chat.select("conversation_id", "seq", text.json_card(F.when(n % 5 == 4, "{broken").otherwise(whole)).alias("card"))
 
 
 @query("labels", "mem", "SELECT memory_id, 'user:' || substr(sha256(preset_id), 1, 8) AS synthetic, preset_id AS assistant FROM mem")
@@ -890,24 +904,34 @@ def _(v):
     return v.mem.select("memory_id", text.synthetic_label(text.sha256("preset_id")).alias("synthetic"), text.assistant_label(F.concat("preset_id", F.lit(" (role)")), " (role)").alias("assistant"))
 
 
-@query("persona_prune", "", "SELECT * FROM (VALUES (1, 'line one is long enough' || chr(10) || 'line three stays', 3, 1, FALSE), (2, 'a' || chr(10) || 'b', 2, 0, TRUE), (3, 'kept as it is', 1, 0, FALSE)) AS t(case_no, card, total_lines, deleted_lines, used_raw_fallback)")
+@query("persona_prune", "", f"""l AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN list_filter(a, lambda x, i: i % 3 <> 2) WHEN 1 THEN [] ELSE a END AS kept FROM l), c AS (SELECT *, array_to_string(kept, chr(10)) AS card0, len(a) AS n, len(a) - len(kept) AS gone FROM k),
+b AS (SELECT *, gone > 0 AND (CAST(gone AS DOUBLE) / n > CAST(0.8 AS DOUBLE) OR length({sql_trim('card0')}) < 20) AS back FROM c)
+SELECT doc_id, CASE WHEN gone = 0 OR back THEN text ELSE card0 END AS card, n AS total_lines, CASE WHEN back THEN 0 ELSE gone END AS deleted_lines, back AS used_raw_fallback FROM b""")
 def _(v):
-    rows = [(1, "line one is long enough\ndrop\nline three stays", [1]), (2, "a\nb", [0]), (3, "kept as it is", [7])]
-    df = v.spark.createDataFrame(rows, "case_no int, raw string, deleted array<int>")
-    return df.select("case_no", text.prune_lines("raw", "deleted", 0.8, 20).alias("p")).select("case_no", "p.*")
+    """Every third line goes, or all, or a number that no line has."""
+    count = F.size(F.split("text", "\n"))
+    every = F.sequence(F.lit(0), count - 1)
+    gone = F.when(F.col("doc_id") % 3 == 0, F.filter(every, lambda i: i % 3 == 1)).when(F.col("doc_id") % 3 == 1, every).otherwise(F.array(count))
+    docs = v.table("documents").where("text is not null").withColumn("gone", gone)
+    return docs.select("doc_id", text.prune_lines("text", "gone", 0.8, 20).alias("p")).select("doc_id", "p.*")
 
 
-@query("line_edit", "", "SELECT * FROM (VALUES (1, 'a|B|new'), (2, 'x|y')) AS t(case_no, lines)")
+@query("line_edit", "", f"""l AS (SELECT doc_id, source, list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: {sql_trim('x')}), lambda x: x <> '') AS a FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_concat(CASE WHEN doc_id % 2 = 0 THEN list_concat(list_transform(a[1:1], lambda x: 'B'), a[3:]) ELSE a END, ['new ' || coalesce(source, '')]), '|') AS lines FROM l""")
 def _(v):
-    rows = [(1, ["a", "b", "c"], {1: "B", 2: None}, ["new"]), (2, ["x", "y"], {}, [])]
-    df = v.spark.createDataFrame(rows, "case_no int, lines array<string>, changes map<int,string>, additions array<string>")
-    return df.select("case_no", F.array_join(text.edit_lines("lines", "changes", "additions"), "|").alias("lines"))
+    """The first line is replaced and the second deleted in every other text; one line is added."""
+    changes = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit(0), F.lit("B"), F.lit(1), F.lit(None).cast("string"))).otherwise(F.create_map().cast("map<int,string>"))
+    docs = v.table("documents").where("text is not null").select("doc_id", text.content_lines("text").alias("lines"), changes.alias("changes"), F.array(F.concat(F.lit("new "), F.coalesce("source", F.lit("")))).alias("additions"))
+    return docs.select("doc_id", F.array_join(text.edit_lines("lines", "changes", "additions"), "|").alias("lines"))
 
 
-@query("json_repair", "", "SELECT * FROM (VALUES (1, 'a,b'), (2, 'c'), (3, NULL), (4, NULL)) AS t(case_no, items)")
+@query("json_repair", "mem", "SELECT memory_id, CASE WHEN memory_id % 4 < 2 THEN array_to_string(keywords, ',') END AS items FROM mem")
 def _(v):
-    rows = [(1, '{"m":["a","b"]}'), (2, '{"m":"[\\"c\\"]"}'), (3, '{"m":"no list"}'), (4, "{broken")]
-    return v.spark.createDataFrame(rows, "case_no int, d string").select("case_no", F.array_join(text.repaired_array("d", "m"), ",").alias("items"))
+    """The list itself, the list as a string, a string that is no list, a damaged document."""
+    k = F.col("memory_id") % 4
+    document = F.when(k == 0, F.to_json(F.struct(F.col("keywords").alias("m")))).when(k == 1, F.to_json(F.struct(F.to_json("keywords").alias("m")))).when(k == 2, '{"m":"no list"}').otherwise("{broken")
+    return v.mem.select("memory_id", F.array_join(text.repaired_array(document, "m"), ",").alias("items"))
 
 
 @query("valid_extracted", "mem", "SELECT memory_id, summary IS NOT NULL AND trim(summary) <> '' AND importance IS NOT NULL AND len(keywords) BETWEEN 1 AND 12 AS valid FROM mem")
