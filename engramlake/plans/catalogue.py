@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.functions import text, vector
-from engramlake.operators import browse, cluster, facts, index, log, neighbours, registry, search
+from engramlake.operators import browse, cluster, facts, index, log, neighbours, registry, search, transfer
+from engramlake.schema import MEMORY, PROFILE, SPEAKER
 from engramlake.sources.kept import Kept
 from engramlake.sources.tables import Views, sql_trim, with_views
 
@@ -498,6 +499,41 @@ def _(v):
     return rows.select("preset_id", "memory_id", F.from_json("document", "id long, type string, status string, content string, keywords array<string>").alias("d")).select("preset_id", "memory_id", "d.*")
 
 
+def _documents(v):
+    """Every memory as a document of one of the five versions; some have an unknown type, some an origin of no known role."""
+    i, none = F.col("memory_id"), F.lit(None).cast("string")
+    message = F.struct(F.when(i % 10 == 4, "bot").otherwise("user").alias("role"), none.alias("speaker_label"), none.alias("created_at"), F.array("content").alias("content_lines"), F.col("content").alias("content"), F.array(F.lit("line")).alias("transcript_lines"))
+    entries = v.mem.where("content is not null").withColumns({
+        "source_origins": F.array(F.struct(F.array(message).alias("messages"))), "type": F.when(i % 10 == 3, "odd").otherwise(F.col("type")), "memory_id": i.cast("string")}).select(*MEMORY.names)
+    empty = [v.spark.createDataFrame([], layout) for layout in (PROFILE, SPEAKER)]
+    out = transfer.export_documents(entries, *empty, now())
+    number = F.regexp_extract("document", r'"id":"(\d+)"', 1).cast("long")
+    return out.select(F.regexp_replace("document", F.lit('^\\{"version":5'), F.concat(F.lit('{"version":'), (number % 5 + 1).cast("string"))).alias("document"))
+
+
+@query("import_documents", "mem", """SELECT sha256('import' || chr(0) || 'entry' || chr(0) || 'target' || chr(0) || memory_id) AS memory_id, CASE WHEN memory_id % 5 >= 2 THEN array_to_string(speaker_keys, ',') ELSE '' END AS speaker_keys, type, status, content,
+ array_to_string(keywords, ',') AS keywords, summary, sentiment, importance, source_conversation_id, CASE WHEN memory_id % 5 >= 3 THEN source_label END AS source_label, content AS origin, epoch_ms(created_at) AS created_ms, epoch_ms(updated_at) AS updated_ms
+FROM mem WHERE content IS NOT NULL AND memory_id % 10 NOT IN (3, 4)""")
+def _(v):
+    found = transfer.records(_documents(v)).where("fault is null")
+    rows = transfer.imported(found, "target", now(), v.speaker)["entries"]
+    return rows.select("memory_id", F.array_join("speaker_keys", ",").alias("speaker_keys"), "type", "status", "content", F.array_join("keywords", ",").alias("keywords"), "summary", "sentiment", "importance", "source_conversation_id", "source_label",
+        F.col("source_origins")[0]["messages"][0]["content"].alias("origin"), ms("created_at").alias("created_ms"), ms("updated_at").alias("updated_ms"))
+
+
+@query("import_faults", "mem", """SELECT memory_id % 5 + 1 AS version, preset_id AS source, CASE memory_id % 10 WHEN 3 THEN 'type' ELSE 'sourceOrigins[0].messages[0].role' END AS fault, count(*) AS records FROM mem WHERE content IS NOT NULL AND memory_id % 10 IN (3, 4) GROUP BY ALL""")
+def _(v):
+    return transfer.records(_documents(v)).where("fault is not null").groupBy(F.col("version").cast("long").alias("version"), "source", "fault").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("import_speakers", "mem", """SELECT DISTINCT k.w AS speaker_key, 'user:' || substr(k.w, 1, 8) AS speaker_label FROM mem, unnest(speaker_keys) AS k(w)
+WHERE content IS NOT NULL AND status = 'active' AND memory_id % 10 NOT IN (3, 4) AND memory_id % 5 >= 2 AND k.w NOT IN ('u1', 'u2')""")
+def _(v):
+    """Speakers made up for active entries; u1 and u2 are known."""
+    found = transfer.records(_documents(v)).where("fault is null")
+    return transfer.imported(found, "target", now(), v.speaker.where("speaker_key in ('u1', 'u2')"))["speakers"].select("speaker_key", "speaker_label")
+
+
 # ---- entries and jobs ----
 
 
@@ -907,7 +943,7 @@ def _(v):
 @query("persona_prune", "", f"""l AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
 k AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN list_filter(a, lambda x, i: i % 3 <> 2) WHEN 1 THEN [] ELSE a END AS kept FROM l), c AS (SELECT *, array_to_string(kept, chr(10)) AS card0, len(a) AS n, len(a) - len(kept) AS gone FROM k),
 b AS (SELECT *, gone > 0 AND (CAST(gone AS DOUBLE) / n > CAST(0.8 AS DOUBLE) OR length({sql_trim('card0')}) < 20) AS back FROM c)
-SELECT doc_id, CASE WHEN gone = 0 OR back THEN text ELSE card0 END AS card, n AS total_lines, CASE WHEN back THEN 0 ELSE gone END AS deleted_lines, back AS used_raw_fallback FROM b""")
+SELECT doc_id, CASE WHEN gone = 0 OR back THEN text ELSE card0 END AS card, CAST(n AS INTEGER) AS total_lines, CAST(CASE WHEN back THEN 0 ELSE gone END AS INTEGER) AS deleted_lines, back AS used_raw_fallback FROM b""")
 def _(v):
     """Every third line goes, or all, or a number that no line has."""
     count = F.size(F.split("text", "\n"))
