@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import text, vector
@@ -705,7 +705,21 @@ def _(v):
 
     v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     done = v.msglog.select("conversation_id", F.lit("message").alias("kind"), "seq", (2 * F.col("seq")).alias("order"))
-    return trigger.runs(done.unionByName(done.where("seq % 12 = 0").withColumns({"kind": F.lit("done"), "order": F.col("order") + 1})), window=12)
+    return trigger.runs(done.unionByName(done.where("seq % 12 = 0").withColumns({"kind": F.lit("done"), "order": F.col("order") + 1})), window=12).select("conversation_id", "up_to", "messages", "action")
+
+
+@query("extraction_failures", "msglog", """f AS (SELECT conversation_id, CAST(1 AS BIGINT) AS from_seq, least(count(*), 13) AS up_to FROM msglog WHERE CAST(conversation_id AS BIGINT) % 3 = 0 GROUP BY 1 HAVING count(*) >= 12)
+SELECT sha256(f.conversation_id || chr(0) || from_seq || chr(0) || up_to) AS job_id, f.conversation_id, 'extract' AS kind, 'failed' AS status, from_seq, up_to, up_to AS messages, string_agg(coalesce(content, ''), chr(10) ORDER BY seq) AS input, 'try 3' AS error
+FROM f JOIN msglog m ON m.conversation_id = f.conversation_id AND m.seq BETWEEN from_seq AND up_to GROUP BY f.conversation_id, from_seq, up_to""")
+def _(v):
+    """In every third conversation the first run fails after messages 12, 13 and 14, each time over what waits by then: one job, and the cursor moves on."""
+    from engramlake.streaming import trigger
+
+    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    said = v.msglog.select("conversation_id", F.lit("message").alias("kind"), "seq", F.lit(None).cast("string").alias("error"), (2 * F.col("seq")).alias("order"))
+    first = said.where("seq = 1 and cast(conversation_id as bigint) % 3 = 0")
+    tries = first.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumns({"kind": F.lit("failed"), "error": F.concat(F.lit("try "), F.col("n").cast("string")), "order": F.col("n").cast("long") * 2 + 23}).drop("n")
+    return trigger.failed_jobs(trigger.runs(said.unionByName(tries), window=12), v.msglog)
 
 
 @query("latest_snapshot", "job", "SELECT preset_id, conversation_id, job_id FROM (SELECT *, row_number() OVER (PARTITION BY preset_id, conversation_id ORDER BY created_at DESC, job_id DESC) AS n FROM job) WHERE n = 1")
@@ -1097,6 +1111,35 @@ def _(v):
     return log_stream.numbered(rows).select("conversation_id", "message_key", "ts", "seq")
 
 
+@query("backfill_stream", "msglog", """k AS (SELECT conversation_id, CASE WHEN message_id IS NOT NULL THEN 'id:' || message_id ELSE 'k:' || author || ':' || ts || ':' || content END AS message_key, ts, seq FROM msglog),
+b AS (SELECT conversation_id, count(*) AS n, count(*) // 2 AS h, count(*) // 2 + (count(*) - count(*) // 2) // 2 AS m FROM k GROUP BY 1),
+p AS (SELECT k.*, n, CASE WHEN seq > h THEN seq ELSE row_number() OVER (PARTITION BY conversation_id, seq > h ORDER BY ts, message_key) END AS num FROM k JOIN b USING (conversation_id))
+SELECT conversation_id, 'message' AS kind, message_key, ts, num AS seq FROM p
+UNION ALL SELECT conversation_id, 'message', message_key, ts, n + 1 FROM p WHERE seq = 1 AND n - num >= 20
+UNION ALL SELECT conversation_id, 'cursor', 'early', NULL, CASE WHEN h + 2 <= m THEN greatest(h + 2, m - 20) ELSE least(n, h + 2) END FROM b
+UNION ALL SELECT conversation_id, 'cursor', 'late', NULL, n FROM b
+UNION ALL SELECT conversation_id, 'fetch', NULL, NULL, NULL FROM b UNION ALL SELECT conversation_id, 'fetch', NULL, NULL, NULL FROM b WHERE m > h""")
+def _(v):
+    """A log of 20 keys.  The older half is history, with four messages that are live as well; its first fetch fails, the second ends when half of the live messages have come.  At the end the oldest message comes again."""
+    from engramlake.streaming import backfill
+
+    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    every = Window.partitionBy("conversation_id")
+    rows = v.msglog.select("conversation_id", log.message_key("message_id", "user_id", "timestamp", "content").alias("message_key"), F.col("timestamp").alias("ts"), "role", "seq", F.count(F.lit(1)).over(every).alias("n"))
+    rows = rows.withColumn("h", F.expr("n div 2")).withColumn("m", F.expr("h + (n - h) div 2"))
+
+    def sent(some, kind, order, **new):
+        new = {"kind": F.lit(kind), "order": F.expr(order).cast("long"), **new}
+        return some.withColumns(new).select("conversation_id", "kind", "message_key", "ts", "role", "order")
+
+    one, bare = rows.where("seq = 1"), {"message_key": F.lit(None).cast("string"), "ts": F.lit(None).cast("long")}
+    live = [sent(rows.where("seq > h"), "live", "10 * seq + 100"), sent(one, "live", "10 * n + 106"), sent(one, "open", "0", **bare)]
+    live += [sent(one, "cursor", order, **{**bare, "message_key": F.lit(name)}) for name, order in (("early", "10 * (h + 2) + 105"), ("late", "10 * n + 105"))]
+    past = [sent(rows.where("seq <= 3"), "history", "1"), sent(one, "failed", "2", **bare), sent(rows.where("seq <= h + least(4, m - h)"), "history", "10 * m + 101"), sent(one, "fetched", "10 * m + 102", **bare)]
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return backfill.backfilled(union(live), union(past), capacity=20).select("conversation_id", "kind", "message_key", "ts", "seq")
+
+
 @query("element_text")
 def _(v):
     from engramlake.functions import elements

@@ -91,3 +91,52 @@ def test_extraction_retries_then_skips(spark):
         rows.append(("c", k, seq, n))
     got = trigger.runs(spark.createDataFrame(rows, "conversation_id string, kind string, seq long, order int"), 3).collect()
     assert [(r.up_to, r.messages, r.action) for r in got] == [(3, 3, "run"), (3, 3, "run"), (3, 3, "run"), (3, 3, "skip"), (6, 3, "run")]
+
+
+def outcomes(kinds, conversation="c"):
+    rows, seq = [], 0
+    for n, k in enumerate(kinds):
+        seq += k == "message"
+        rows.append((conversation, k, seq, f"boom {n}" if k == "failed" else None, n))
+    return rows
+
+
+def test_a_skipped_run_leaves_one_failed_job_and_moves_the_cursor(spark):
+    from engramlake.streaming import trigger
+
+    events = spark.createDataFrame(outcomes(["message"] * 2 + ["failed"] * 3 + ["message"] * 2 + ["failed", "done"]), "conversation_id string, kind string, seq long, error string, order int")
+    decided = trigger.runs(events, 2)
+    said = spark.createDataFrame([("c", i, f"m{i}" if i != 2 else None) for i in range(1, 5)] + [("d", 1, "other")], "conversation_id string, seq long, content string")
+    assert [(r.from_seq, r.up_to, r.action, r.error) for r in decided.collect()] == [(1, 2, "run", None)] * 3 + [(1, 2, "skip", "boom 4"), (3, 4, "run", None), (3, 4, "run", None)]
+    job = trigger.failed_jobs(decided, said).collect()
+    assert [(j.conversation_id, j.kind, j.status, j.from_seq, j.up_to, j.messages, j.input, j.error) for j in job] == [("c", "extract", "failed", 1, 2, 2, "m1\n", "boom 4")]
+    assert trigger.failed_jobs(decided, said.limit(0)).first()["input"] == "" and trigger.failed_jobs(decided.where("action = 'run'"), said).count() == 0
+
+
+def test_a_batch_that_is_repeated_records_its_job_once(spark, tmp_path):
+    from engramlake.streaming import trigger
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    said = spark.createDataFrame([("c", 1, "a"), ("c", 2, "b")], "conversation_id string, seq long, content string")
+    names, src, jobs = "conversation_id string, kind string, seq long, error string, order int", tmp_path / "in", str(tmp_path / "jobs")
+    src.mkdir()
+    rows = outcomes(["message", "failed", "failed", "failed", "message"])
+    for n in range(0, len(rows), 2):
+        pd.DataFrame(rows[n : n + 2], columns=["conversation_id", "kind", "seq", "error", "order"]).astype({"order": "int32", "error": "string"}).to_parquet(src / f"{n}.parquet")
+    write, failed = trigger.recorder(jobs, said), []
+
+    def unsteady(batch, number):
+        write(batch, number)
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("lost after writing")
+
+    def go():
+        stream = spark.readStream.schema(names).option("maxFilesPerTrigger", 1).parquet(str(src))
+        q = trigger.runs(stream, 1).writeStream.foreachBatch(unsteady).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        return q.awaitTermination(120)
+
+    with pytest.raises(Exception, match="lost after writing"):
+        go()
+    assert go()
+    assert [(j.from_seq, j.up_to, j.input, j.error) for j in trigger.recorded(spark, jobs).collect()] == [(1, 1, "a", "boom 3")]
