@@ -53,7 +53,7 @@ def _best_pairs(blocks: DataFrame, keys: list[str], q: int, kind: str, both: boo
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = (rows[rows["side"] == side].sort_values("memory_id") for side in (0, 1))
         if x.empty or y.empty:
-            return pd.DataFrame({"preset_id": [], "memory_id": [], "neighbour": [], "score": []})
+            return pd.DataFrame(columns=["preset_id", "memory_id", "neighbour", "score"], dtype=object)
         preset, ids, other = rows["preset_id"].iloc[0], x["memory_id"].to_numpy(), y["memory_id"].to_numpy()
         s = np.round(np.clip(_unit(x["embedding"]) @ _unit(y["embedding"]).T, -1, 1), DIGITS)
         s[ids[:, None] == other[None, :]] = -np.inf
@@ -118,12 +118,46 @@ def near_graph(index: DataFrame, q: int = GRAPH_NEIGHBOURS, *, cells: int | None
 
     placed = rows.mapInPandas(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", cells array<int>")
     sides = placed.select("preset_id", "memory_id", "embedding", F.explode("cells").alias("cell"), F.lit(0).alias("side")).unionByName(placed.select("preset_id", "memory_id", "embedding", F.element_at("cells", 1).alias("cell"), F.lit(1).alias("side")))
+    return _ranked(_best_pairs(_dealt(sides, ["preset_id", "cell"], block), ["preset_id", "cell", "a", "b"], q, index.schema["memory_id"].dataType.simpleString(), both=False), q)
+
+
+def _dealt(sides: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """sides with a and b: in each group of keys, each block of side 0 meets each block of side 1."""
     parts = lambda side: F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == side) / block)).cast("int")
-    sides = sides.join(sides.groupBy("preset_id", "cell").agg(parts(0).alias("_l"), parts(1).alias("_r")), ["preset_id", "cell"])
+    sides = sides.join(sides.groupBy(*keys).agg(parts(0).alias("_l"), parts(1).alias("_r")), keys)
     own = lambda n: F.pmod(F.xxhash64("memory_id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     spread = sides.withColumn("a", F.explode(F.when(F.col("side") == 0, F.array(own("_l"))).otherwise(every("_l")))).withColumn("b", F.explode(F.when(F.col("side") == 1, F.array(own("_r"))).otherwise(every("_r"))))
-    return _ranked(_best_pairs(spread.select("preset_id", "cell", "a", "b", "side", "memory_id", "embedding"), ["preset_id", "cell", "a", "b"], q, index.schema["memory_id"].dataType.simpleString(), both=False), q)
+    return spread.select(*keys, "a", "b", "side", "memory_id", "embedding")
+
+
+def refreshed_graph(graph: DataFrame, taken: DataFrame, current: DataFrame, q: int = GRAPH_NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+    """The graph of the index as it is now, from one computed on a snapshot of it; equal to knn_graph(current).
+
+    graph: rows of :func:`knn_graph`.  taken (preset_id, memory_id, content_hash): the active
+    rows it was computed on.  current: the index with content_hash.  A link holds only
+    while both its ends are active with the hash they had; a row without a hash has changed.  Rows
+    that changed, came or lost a link are searched anew among all; the others keep
+    their links and look only at what changed or came, so no old vector and no missing
+    row is left, at the cost of the rows that have changed.
+    """
+    keys, kept = ["preset_id", "memory_id"], Kept(current.sparkSession)
+    known = taken.select(*keys, "content_hash").distinct().withColumn("_same", F.lit(True))
+    now = current.where("status = 'active'").join(known, [*keys, "content_hash"], "left").select(*keys, "embedding", F.coalesce("_same", F.lit(False)).alias("same"))
+    now = kept.table(now, "now")
+    same = now.where("same").select(*keys)
+    links = graph.select(*keys, "neighbour", "score").join(same, keys, "left_semi")
+    links = kept.table(links.join(same.select("preset_id", F.col("memory_id").alias("neighbour"), F.lit(True).alias("holds")), ["preset_id", "neighbour"], "left"), "links")
+    lost = links.where("holds is null").select(*keys).distinct().withColumn("_lost", F.lit(True))
+    now = kept.table(now.join(lost, keys, "left").withColumn("anew", ~F.col("same") | F.col("_lost").isNotNull()).drop("_lost"), "marked")
+
+    def found(rows, among):
+        side = lambda some, n: some.select(*keys, "embedding", F.lit(n).alias("side"))
+        return _best_pairs(_dealt(side(rows, 0).unionByName(side(among, 1)), ["preset_id"], block), ["preset_id", "a", "b"], q, current.schema["memory_id"].dataType.simpleString(), both=False)
+
+    old = links.join(lost, keys, "left_anti").select(*keys, "neighbour", "score")
+    every = old.unionByName(found(now.where("anew"), now)).unionByName(found(now.where("not anew"), now.where("not same")))
+    return kept.result(_ranked(every, q), "graph")
 
 
 def edges(graph: DataFrame) -> DataFrame:
@@ -436,6 +470,34 @@ def seed_neighbours(index: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select(F.col("text_no").alias("seed"), "memory_id", "cosine")
 
 
+def post_extraction_batches(index: DataFrame, seeds: DataFrame, k: int, min_similarity: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(seed, memory_id, place) and (seed): a batch for each new memory, itself first and then its neighbours, and the seeds that get none.
+
+    seeds (seed, preset_id, vector).  Neighbours are active, of the seed's preset, none of
+    the seeds, at or over the threshold (0: none).  A seed that is not active, or without a
+    neighbour, gets no batch.
+    """
+    active = index.where("status = 'active'").select(F.col("memory_id").alias("seed"))
+    hits = seed_neighbours(index, seeds, k)
+    if min_similarity != 0:
+        hits = hits.where(F.col("cosine") >= min_similarity)
+    hits = hits.join(active, "seed", "left_semi")
+    order = Window.partitionBy("seed").orderBy(F.col("cosine").desc(), "memory_id")
+    placed = hits.select("seed", "memory_id", F.row_number().over(order).alias("place"))
+    # the seed stands beside its first neighbour, so it needs no second search
+    both = placed.withColumn("_m", F.explode(F.when(F.col("place") == 1, F.array(F.struct(F.col("seed").alias("memory_id"), F.lit(0).alias("place")), F.struct("memory_id", "place"))).otherwise(F.array(F.struct("memory_id", "place")))))
+    batches = both.select("seed", "_m.memory_id", "_m.place")
+    return batches, seeds.select("seed").distinct().join(hits.select("seed"), "seed", "left_anti")
+
+
+def refreshed_batches(batches: DataFrame, entries: DataFrame) -> DataFrame:
+    """batches as they are now: members that are no longer active drop out, and batches without their seed or with nothing beside it."""
+    live = batches.join(entries.where("status = 'active'").select("memory_id"), "memory_id", "left_semi")
+    every = Window.partitionBy("seed")  # a batch has k + 1 members
+    live = live.withColumns({"_n": F.count(F.lit(1)).over(every), "_seed": F.max(F.col("memory_id") == F.col("seed")).over(every)})
+    return live.where("_n > 1 and _seed").select("seed", "memory_id", "place")
+
+
 def eligible(entries: DataFrame, least: int = GROUP_CAPACITY) -> DataFrame:
     return entries.where("status = 'active'").groupBy("preset_id").agg(F.count(F.lit(1)).alias("active")).where(F.col("active") >= least)
 

@@ -1075,6 +1075,33 @@ def _(v):
     return cluster.seed_neighbours(v.mem, seeds, 12)
 
 
+@query("post_extraction", "mem", """s AS (SELECT memory_id AS seed, preset_id, embedding AS vector FROM mem WHERE memory_id % 50 = 3 AND status = 'active'),
+hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY cosine DESC, memory_id) AS place FROM (SELECT q.seed, m.memory_id, round(list_cosine_similarity(CAST(m.embedding AS DOUBLE[]), CAST(q.vector AS DOUBLE[])), 6) AS cosine FROM mem m JOIN s q ON q.preset_id = m.preset_id WHERE m.status = 'active' AND m.memory_id % 50 <> 3)) WHERE place <= 12 AND cosine >= 0.2),
+b AS (SELECT DISTINCT seed, seed AS memory_id, 0 AS place FROM hit UNION ALL SELECT seed, memory_id, place FROM hit),
+live AS (SELECT * FROM b WHERE memory_id % 10 <> 7 AND memory_id % 150 <> 103)
+SELECT seed, memory_id, place FROM live WHERE seed IN (SELECT seed FROM live GROUP BY seed HAVING count(*) > 1 AND bool_or(memory_id = seed))""")
+def _(v):
+    """Every fiftieth memory is new; before the batches are worked on, some members and some seeds are archived."""
+    seeds = v.mem.where("memory_id % 50 = 3").select(F.col("memory_id").alias("seed"), "preset_id", F.col("embedding").alias("vector"))
+    batches, _left = cluster.post_extraction_batches(v.mem, seeds, 12, 0.2)
+    since = v.mem.withColumn("status", F.when(F.expr("memory_id % 10 = 7 or memory_id % 150 = 103"), "archived").otherwise(F.col("status")))
+    return cluster.refreshed_batches(batches, since)
+
+
+@query("graph_refresh", "mem", f"""now AS (SELECT memory_id, preset_id, CASE WHEN memory_id % 40 = 6 THEN 'archived' ELSE status END AS status, CASE WHEN memory_id % 20 = 3 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM mem),
+{GRAPH.replace('FROM mem a JOIN mem b', 'FROM now a JOIN now b')} SELECT * FROM graph""")
+def _(v):
+    """Since the graph was computed, one row in twenty came, one changed its text and vector, one in forty was archived."""
+    taken = index.build(v.mem, v.mem.select("memory_id", "embedding"), 64)
+    changed = F.expr("memory_id % 20 = 3")
+    now_ = taken.withColumns({
+        "content_hash": F.when(changed, F.lit("other")).otherwise(F.col("content_hash")), "embedding": F.when(changed, F.reverse("embedding")).otherwise(F.col("embedding")),
+        "status": F.when(F.expr("memory_id % 40 = 6"), "archived").otherwise(F.col("status")),
+    })
+    before = taken.where("memory_id % 20 <> 11")
+    return cluster.refreshed_graph(cluster.knn_graph(before), before.where("status = 'active'"), now_)
+
+
 @query("dream_bisect")
 def _(v):
     return cluster.groups(v.mem)
