@@ -76,10 +76,11 @@ def failed_jobs(decided: DataFrame, log: DataFrame) -> DataFrame:
 
     log (conversation_id, seq, content).  A run is a few windows long, so its messages fit in a row.
     """
-    skipped = decided.where("action = 'skip'").select("conversation_id", "from_seq", "up_to", "messages", "error")
-    lines = log.select(F.col("conversation_id").alias("_conversation"), F.col("seq").cast("long").alias("seq"), F.coalesce("content", F.lit("")).alias("content"))
-    held = skipped.join(lines, (F.col("_conversation") == F.col("conversation_id")) & F.col("seq").between(F.col("from_seq"), F.col("up_to")), "left")
-    rows = held.groupBy("conversation_id", "from_seq", "up_to", "messages", "error").agg(F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "content")))).alias("said"))
+    # a row a number, so that a conversation's runs meet its messages by key and not each run all of them
+    skipped = decided.where("action = 'skip'").select("conversation_id", "from_seq", "up_to", "messages", "error", F.explode(F.sequence("from_seq", "up_to")).alias("seq"))
+    lines = log.select("conversation_id", F.col("seq").cast("long").alias("seq"), F.coalesce("content", F.lit("")).alias("content"))
+    held = skipped.join(lines, ["conversation_id", "seq"], "left")
+    rows = held.groupBy("conversation_id", "from_seq", "up_to", "messages", "error").agg(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("seq", "content")))).alias("said"))
     return rows.select(
         text.derived_id("conversation_id", F.col("from_seq").cast("string"), F.col("up_to").cast("string")).alias("job_id"), "conversation_id", F.lit("extract").alias("kind"), F.lit("failed").alias("status"),
         "from_seq", "up_to", "messages", F.array_join(F.transform("said", lambda x: x["content"]), "\n").alias("input"), F.coalesce("error", F.lit("")).alias("error"),
