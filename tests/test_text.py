@@ -13,6 +13,11 @@ def test_trim_all_blanks(spark):
     assert one(spark, text.trim("s"), s="\t　﻿ a b \n") == "a b" and one(spark, text.or_null("s"), s=" \t") is None
 
 
+def test_trim_takes_both_ends_alone(spark):
+    """Blanks inside stay; before a control character that is no blank they are no end."""
+    assert one(spark, text.trim("s"), s="\u2003a \u3000 b\u2028\u00a0") == "a \u3000 b" and one(spark, text.trim("s"), s="a \u0085") == "a \u0085"
+
+
 def test_keywords(spark):
     assert one(spark, text.keywords("k"), k=[" a", "A", "a", ""]) == ["a", "A"]
     assert len(one(spark, text.keywords("k"), k=[str(i) for i in range(20)])) == 12
