@@ -2,15 +2,19 @@
 
 A segment ends with the last message of an assistant run.  All of it is windows
 over (conversation, seq); only packing and throttling depend on their own earlier
-decisions and fold over a conversation's segments or messages in order.  A log
-keeps LOG_CAPACITY messages, which bounds those folds for live conversations.
+decisions and fold over a conversation's segments or messages as they pass in
+order, whatever a conversation's length.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from engramlake.functions import text
 
@@ -96,46 +100,50 @@ def anchored_units(segmented: DataFrame, window: int) -> DataFrame:
     return s.withColumn("keep", F.least(F.col("length"), F.greatest(covered, F.col("exchange"))).cast("long")).select(KEY, "segment", "length", "keep")
 
 
-def _chunks(sizes: Column, limit: int) -> Column:
-    """Chunk of each unit, counted from the newest: units join backwards while they fit."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("chunk"), F.lit(0).cast("bigint").alias("held"))
+def _folded(rows: DataFrame, order: list[Column], values: list[str], start, step, out: str) -> DataFrame:
+    """rows with what step(state, *values) -> (state, value) gives for each, in the order of its conversation; a conversation begins at start.
+
+    Rows come sorted and are folded as they pass, so a long conversation takes a batch of memory and time in proportion.
+    """
+    kind = T.StructType([*rows.schema.fields, *T._parse_datatype_string(out).fields])
+    arrow = to_arrow_schema(kind)
 
-    def step(acc, size):
-        fits = (acc["chunk"] >= 0) & (acc["held"] + size <= limit)
-        chunk = F.when(fits, acc["chunk"]).otherwise(acc["chunk"] + 1)
-        return F.struct(F.concat(acc["out"], F.array(chunk)).alias("out"), chunk.alias("chunk"), F.when(fits, acc["held"] + size).otherwise(size).alias("held"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = object(), start
+        for x in batches:
+            found = []
+            for own, *v in zip(x.column(KEY).to_pylist(), *(x.column(c).to_pylist() for c in values)):
+                if own != key:
+                    key, state = own, start
+                state, value = step(state, *v)
+                found.append(value)
+            columns = [c.cast(f.type) for c, f in zip(x.columns, arrow)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, arrow.field(len(columns)).type)], schema=arrow)
 
-    return F.aggregate(sizes, start, step)["out"]
+    return rows.repartition(KEY).sortWithinPartitions(KEY, *order).mapInArrow(run, kind)
 
 
 def pack(units: DataFrame, window: int) -> DataFrame:
-    """units(conversation_id, unit, size) with chunk, from the newest (0): whole units up to a window and a half."""
-    lists = units.groupBy(KEY).agg(F.reverse(F.array_sort(F.collect_list(F.struct("unit", "size")))).alias("u"))
-    packed = lists.select(KEY, "u", _chunks(F.transform("u", lambda x: x["size"].cast("bigint")), window + window // 2).alias("c"))
-    return packed.select(KEY, F.explode(F.arrays_zip("u", "c")).alias("x")).select(KEY, "x.u.unit", "x.u.size", F.col("x.c").alias("chunk"))
+    """units(conversation_id, unit, size) with chunk, from the newest (0): units join backwards while they fit, whole ones up to a window and a half."""
+    limit = window + window // 2
+
+    def step(state, size):
+        chunk, held = state
+        if chunk >= 0 and held is not None and size is not None and held + size <= limit:
+            return (chunk, held + size), chunk
+        return (chunk + 1, size), chunk + 1
+
+    return _folded(units.select(KEY, "unit", F.col("size").cast("bigint").alias("size")), [F.col("unit").desc(), F.col("size").desc()], ["size"], (-1, 0), step, "chunk int").select(KEY, "unit", F.col("size").cast(units.schema["size"].dataType).alias("size"), "chunk")
 
 
 def split_overheard(log: DataFrame, window: int) -> DataFrame:
-    """log with unit: segments over a window and a half are cut after the last assistant message that fits, else at the limit."""
-    limit = window + window // 2
-    cols = [KEY, "seq", "role", "segment"]
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        roles, n, start, unit, out = rows["role"].tolist(), len(rows), 0, 0, []
-        while start < n:
-            if n - start <= limit:
-                end = n
-            else:
-                last = max((i for i in range(start, start + limit) if roles[i] == "assistant"), default=start + limit - 1)
-                end = last + 1
-            out += [unit] * (end - start)
-            start, unit = end, unit + 1
-        return rows.assign(part=out)
-
-    schema = ", ".join(f"{c} {log.schema[c].dataType.simpleString()}" for c in (KEY, "seq", "role")) + ", segment long, part int"
-    rows = segments(log).select(*cols).withColumn("segment", F.col("segment").cast("long"))
-    return rows.groupBy(KEY, "segment").applyInPandas(cut, schema)
+    """(conversation_id, seq, role, segment, part): segments over a window and a half are cut after the last assistant message that fits, else at the limit.
+
+    A segment's assistant messages are its last ones: if any fits, the one at the limit is of them, so both cuts are at the limit.
+    """
+    place = F.row_number().over(Window.partitionBy(KEY, "segment").orderBy("seq")) - 1
+    rows = segments(log).select(KEY, "seq", "role", F.col("segment").cast("long").alias("segment"))
+    return rows.withColumn("part", F.floor(place / (window + window // 2)).cast("int"))
 
 
 def plan_chunks(log: DataFrame, window: int, overheard: bool = False) -> DataFrame:
@@ -160,16 +168,12 @@ def throttle(log: DataFrame, interval: int, failed: DataFrame | None = None) ->
     """
     asks = log.where("role = 'user'").select(KEY, "seq")
     asks = asks.withColumn("bad", F.lit(False)) if failed is None else asks.join(failed.select(KEY, "seq", F.lit(True).alias("bad")).distinct(), [KEY, "seq"], "left").fillna(False, ["bad"])
-    lists = asks.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), "bad"))).alias("s"))
-    empty = F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(None).cast("bigint").alias("anchor"))
 
-    def step(acc, x):
-        runs = acc["anchor"].isNull() | (x["seq"] - acc["anchor"] >= interval)
-        after = F.when(runs & x["bad"], F.lit(None).cast("bigint")).when(runs, x["seq"]).otherwise(acc["anchor"])
-        return F.struct(F.concat(acc["out"], F.array(runs)).alias("out"), after.alias("anchor"))
+    def step(anchor, seq, bad):
+        runs = anchor is None or (None if seq is None else seq - anchor >= interval)
+        return (None if bad else seq) if runs else anchor, runs
 
-    done = lists.select(KEY, F.explode(F.arrays_zip("s", F.aggregate("s", empty, step)["out"].alias("r"))).alias("x"))
-    return done.select(KEY, F.col("x.s.seq").cast(log.schema["seq"].dataType).alias("seq"), F.col("x.r").alias("runs"))
+    return _folded(asks, [F.col("seq"), F.col("bad")], ["seq", "bad"], None, step, "runs boolean").select(KEY, "seq", "runs")
 
 
 def bot_run(log: DataFrame, focus: DataFrame) -> DataFrame:

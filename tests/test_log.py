@@ -39,6 +39,27 @@ def test_plans(spark, roles, window, overheard, want):
     assert got == want
 
 
+def test_long_conversations_are_cut_and_packed_without_groups_of_their_own(spark):
+    """Every part of 6 and every chunk, over more messages than a batch holds and beside a conversation without a name."""
+    roles = "uuuuuuua" * 2500 + "uaaaaaaaaaaaaa" * 10 + "u"
+    rows = chat(spark, roles).unionByName(chat(spark, "ua", None))
+    plan = rows.transform(lambda x: log.split_overheard(x, 4))
+    assert "InPandas" not in plan._jdf.queryExecution().toString()
+    parts = [r.part for r in plan.where("conversation_id = 'c'").orderBy("seq").collect()]
+    assert parts[:8] == [0] * 6 + [1] * 2 and parts[20000:20014] == [0] * 6 + [1] * 6 + [2] * 2 and len(parts) == len(roles)
+    sizes = ([6, 2] * 2500 + [6, 6, 2] * 10 + [1])[::-1]
+    want, held, chunk = [], 0, -1
+    for n in sizes:
+        held, chunk = (held + n, chunk) if chunk >= 0 and held + n <= 6 else (n, chunk + 1)
+        want.append(chunk)
+    units = spark.createDataFrame([(k, -i, n) for k in ("c", "d") for i, n in enumerate(sizes)], "conversation_id string, unit long, size long").repartition(7)
+    packed = log.pack(units, 4)
+    assert "aggregate(" not in packed._jdf.queryExecution().toString()  # a fold that copies its list at each unit
+    for k in ("c", "d"):
+        assert [r.chunk for r in packed.where(F.col("conversation_id") == k).orderBy(F.col("unit").desc()).collect()] == want
+    assert log.throttle(rows.where("conversation_id = 'c'"), 10).where("runs").count() > 1900
+
+
 def test_throttle(spark):
     rows = log.throttle(chat(spark, "uuuauuuau"), 3).orderBy("seq").collect()
     assert [(r.seq, r.runs) for r in rows] == [(1, True), (2, False), (3, False), (5, True), (6, False), (7, False), (9, True)]
