@@ -1,6 +1,7 @@
 import pytest
 
 from engramlake.plans import catalogue
+from engramlake.sources.tables import Views
 
 from compare import connect, same
 from conftest import SMALL
@@ -22,3 +23,10 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["text_no", "memory_id", "cosine", "match_count", "boosted"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize(("name", "written"), [("speaker_links", set())])
+def test_memories_are_not_written_whole_for_a_few_columns(spark, monkeypatch, name, written):
+    monkeypatch.setattr(Views, "_written", {})
+    assert catalogue.queries()[name](spark, SMALL).count() > 0
+    assert {key[2] for key in Views._written} == written
