@@ -25,7 +25,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize(("name", "written"), [("speaker_links", set()), ("knn_exact", set()), ("hybrid_search", {"mem_kw"})])
+@pytest.mark.parametrize(("name", "written"), [("speaker_links", set()), ("knn_exact", set()), ("neighbour_search", set()), ("hybrid_search", {"mem_kw"})])
 def test_memories_are_not_written_whole_for_a_few_columns(spark, monkeypatch, name, written):
     monkeypatch.setattr(Views, "_written", {})
     assert catalogue.queries()[name](spark, SMALL).count() > 0
