@@ -23,6 +23,10 @@ Memory: a block of ``BLOCK_BYTES`` of texts, or strings of about ``ORDER_BYTES``
 is all a task holds at a time; keys and strings are plain rows that Spark sorts
 and spills, so nothing depends on the number of partitions.
 
+Disk: each step is written as a table, so that what it shuffled goes before the next
+one shuffles; keys and strings are removed once they are used.  Texts and strings
+are never shuffled at the same time.
+
 Hot content: exact copies of a text are found by SHA-256 before: all of a copy
 goes (if it has 50 bytes), so only the first of each takes part.  A block sends a
 string once, with the block's least document; its other documents lose the string
@@ -493,6 +497,7 @@ def removed_ranges(docs: DataFrame, tables: Tables, id_col: str, text_col: str)
     shared = tables.stored(shared_keys(known), "keys")
     taking = first.join(shared, "owner").select("doc_id", "owner", "shared")
     parts = tables.stored(texts.join(taking, ["doc_id", "owner"]).select("doc_id", "owner", "data", "shared").mapInArrow(block_strings, PARTS), "strings", partition_by="kind")
+    tables.drop("keys")
     strings = parts.where("kind = 'string'").select("key", "doc_id", "owner", "positions", "data")
     crowded = tables.stored(strings.groupBy("key").agg(F.sum(F.octet_length("data")).alias("bytes")).where(F.col("bytes") > CROWDED_BYTES).select("key"), "crowded")
     ranges = parts.where("kind = 'range'").select("doc_id", "owner", "start", "end")
@@ -500,7 +505,8 @@ def removed_ranges(docs: DataFrame, tables: Tables, id_col: str, text_col: str)
         ranges = ranges.unionByName(crowded_ranges(strings.join(crowded, "key", "left_semi")))
         strings = strings.join(crowded, "key", "left_anti")
     found = strings.repartition("key").sortWithinPartitions("key").mapInArrow(find_owners, FOUND)
-    ranges = ranges.unionByName(found).groupBy("doc_id", "owner").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = tables.stored(ranges.unionByName(found).groupBy("doc_id", "owner").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    tables.drop("strings")
     return texts, first.join(ranges, ["doc_id", "owner"], "left").withColumn("first", F.lit(True))
 
 

@@ -92,6 +92,42 @@ def test_no_table_but_the_result_stays(spark):
     assert out.count() == 20 and [n for n in {p.name for p in folder.iterdir()} - before if n.startswith("run-")] == []
 
 
+def test_what_a_step_shuffled_goes_before_the_next(spark, monkeypatch):
+    import gc
+    import time
+    from pathlib import Path
+
+    from engramlake.llm import common
+
+    folders = [Path(str(d)) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffled = lambda: {p.name for d in folders for p in d.glob("*/shuffle_*.data")}
+    before, left, tables, write = shuffled(), [], {}, common._written
+
+    def written(df, path, partition_by=None):
+        name = path.rsplit("/", 1)[-1].split("-")[0]
+        run = Path(path.removeprefix("file:")).parent if name != "kept" else tables["folder"]
+        tables.setdefault("folder", run)
+        tables[name] = {p.name.split("-")[0] for p in run.iterdir()} if run.exists() else set()
+        out = write(df, path, partition_by)
+        end = time.time() + 5  # files go in the background
+        while shuffled() - before and time.time() < end:
+            time.sleep(0.1)
+        left.append((name, len(shuffled() - before)))
+        return out
+
+    monkeypatch.setattr(common, "_written", written)
+    gc.disable()
+    try:
+        rows = passages(random.Random(12), 60)
+        got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        gc.enable()
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+    assert left == [(name, 0) for name in ("firsts", "keys", "strings", "crowded", "ranges", "kept")]
+    assert "keys" not in tables["ranges"] and not {"keys", "strings"} & tables["kept"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_long_texts_are_cut_without_loss(monkeypatch):
     monkeypatch.setattr(sd, "BLOCK_BYTES", 300)
     data = bytes(random.Random(1).choice(b"ab") for _ in range(2000))
