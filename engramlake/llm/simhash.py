@@ -81,18 +81,18 @@ def links(fps: DataFrame, tables: Tables) -> DataFrame:
     # both sides are dealt by key at every size: the shared variants grow with the fingerprints
     members = tables.stored(keys.join(shared.where("n > 2").select("key", "n").hint("merge"), "key"), "members")
     few = members.where(F.col("n") <= CROWD).select("key", "fp")
-    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").where(_near("a", "b")).select("a", "b").distinct()
+    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")).hint("merge"), "key").where("a < b").where(_near("a", "b")).select("a", "b").distinct()
     return twos.unionByName(pairs).unionByName(crowd_links(members.where(F.col("n") > CROWD).select("fp").distinct(), tables))
 
 
 def crowd_links(fps: DataFrame, tables: Tables) -> DataFrame:
-    """Edges among fingerprints of crowded variants, by the points between them."""
+    """Edges among fingerprints of crowded variants, by the points between them.  The points grow with the crowd, so they are dealt and never sent whole."""
     bit = F.explode(F.sequence(F.lit(0), F.lit(63)))
     one = fps.select("fp", bit.alias("i")).selectExpr("fp", "fp ^ shiftleft(1L, i) as p").unionByName(fps.selectExpr("fp", "fp as p"))
     least = tables.stored(one.groupBy("p").agg(F.min("fp").alias("m")), "points")
-    near = one.join(least, "p").where("fp <> m").selectExpr("m as a", "fp as b").distinct()
+    near = one.join(least.hint("merge"), "p").where("fp <> m").selectExpr("m as a", "fp as b").distinct()
     two = fps.select("fp", bit.alias("i")).select("fp", "i", bit.alias("j")).where("i < j").selectExpr("fp", "fp ^ shiftleft(1L, i) ^ shiftleft(1L, j) as p")
-    far = two.join(least, "p").where("fp <> m").selectExpr("least(m, fp) as a", "greatest(m, fp) as b").distinct()
+    far = two.join(least.hint("merge"), "p").where("fp <> m").selectExpr("least(m, fp) as a", "greatest(m, fp) as b").distinct()
     return near.unionByName(far)
 
 
@@ -102,10 +102,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = tables.stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     heads = tables.stored(rows.groupBy("fp").agg(F.min(id_col).alias("head")), "heads")
     roots = connected_components(links(heads.select("fp"), tables), tables)
-    joined = heads.join(roots, heads.fp == roots.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    joined = heads.join(roots.hint("merge"), heads.fp == roots.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("head").alias("component_id"))
-    named = joined.join(least, "root").select("fp", "component_id")
-    return tables.result(rows.join(named, "fp").select(id_col, "fp", "component_id"), "components")
+    named = joined.join(least.hint("merge"), "root").select("fp", "component_id")
+    return tables.result(rows.join(named.hint("merge"), "fp").select(id_col, "fp", "component_id"), "components")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -73,6 +73,25 @@ def test_crowded_variants_keep_every_link(spark, monkeypatch):
     check(spark, np.array(out, dtype=np.uint64))
 
 
+def test_nothing_that_grows_goes_through_the_driver(spark, monkeypatch):
+    """Small as these tables are, no join sends fingerprints, points or labels whole: at scale the driver has no room for them."""
+    from engramlake.llm import common
+
+    plans, written = [], common._written
+
+    def recorded(df, path, *more):
+        plans.append((path.rsplit("/", 1)[1], df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, path, *more)
+
+    monkeypatch.setattr(common, "_written", recorded)
+    monkeypatch.setattr(simhash, "CROWD", 2)
+    words = "one two three four five six seven eight nine ten".split()
+    docs = spark.createDataFrame([(i, " ".join(words * 40 + [words[i % 7]])) for i in range(30)], "doc_id long, text string")
+    assert simhash.near_duplicates(docs).count() == 30
+    assert {"points", "labels", "edges", "components"} <= {name.split("-")[0] for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+
+
 def test_odd_rows(spark):
     df = odd(spark).where("doc_id is not null")
     got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
