@@ -123,10 +123,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     texts = similar.different(rows, tables)
     fps = tables.stored(texts.groupBy("fp").agg(F.min("node").alias("first")), "heads")
     near = links(fps.select("fp"), tables)
-    ends = near.join(fps.selectExpr("fp as a", "first as x"), "a").join(fps.selectExpr("fp as b", "first as y"), "b").selectExpr("x as a", "y as b")
+    ends = near.join(fps.selectExpr("fp as a", "first as x").hint("merge"), "a").join(fps.selectExpr("fp as b", "first as y").hint("merge"), "b").selectExpr("x as a", "y as b")
     same = texts.join(fps.hint("merge"), "fp").where("node <> first").selectExpr("first as a", "node as b")
     roots = similar.links(texts, known.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), tables, more=ends.unionByName(same))
     joined = texts.select("node", "head").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = tables.stored(joined.groupBy("root").agg(F.min("head").alias("doc_id")).select("doc_id").distinct(), "kept")
-    out = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    out = docs.join(kept.hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
     return tables.result(out, "one-of-each")

@@ -222,8 +222,8 @@ class Sets:
         """(node, set) of at least the pairs' nodes."""
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if self.known is not None:
-            ids = ids.join(self.known.select("node"), "node", "left_anti")
-        wanted = self.texts.select("node", "head", "digest").join(ids, "node")
+            ids = ids.join(self.known.select("node").hint("merge"), "node", "left_anti")
+        wanted = self.texts.select("node", "head", "digest").join(ids.hint("merge"), "node")
         rows = self.docs.join(wanted, self.docs["_id"] == wanted["head"]).select("node", "_text", "digest")
         k = self.k
 

@@ -74,7 +74,7 @@ def test_crowded_variants_keep_every_link(spark, monkeypatch):
 
 
 def test_nothing_that_grows_goes_through_the_driver(spark, monkeypatch):
-    """Small as these tables are, no join sends fingerprints, points or labels whole: at scale the driver has no room for them."""
+    """Small as these tables are, no join sends fingerprints, points, labels or kept ids whole: at scale the driver has no room for them."""
     from engramlake.llm import common
 
     plans, written = [], common._written
@@ -87,9 +87,9 @@ def test_nothing_that_grows_goes_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 2)
     words = "one two three four five six seven eight nine ten".split()
     docs = spark.createDataFrame([(i, " ".join(words * 40 + [words[i % 7]])) for i in range(30)], "doc_id long, text string")
-    assert simhash.near_duplicates(docs).count() == 30
-    assert {"points", "labels", "edges", "components"} <= {name.split("-")[0] for name, _ in plans}
-    assert [name for name, plan in plans if "Broadcast" in plan] == []
+    assert simhash.near_duplicates(docs).count() == 30 and simhash.one_of_each(docs).count() == 1
+    assert {"points", "labels", "edges", "components", "kept", "one"} <= {name.split("-")[0] for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan and not name.startswith("sets")] == []
 
 
 def test_odd_rows(spark):
