@@ -30,3 +30,10 @@ def test_memories_are_not_written_whole_for_a_few_columns(spark, monkeypatch, na
     monkeypatch.setattr(Views, "_written", {})
     assert catalogue.queries()[name](spark, SMALL).count() > 0
     assert {key[2] for key in Views._written} == written
+
+
+@pytest.mark.parametrize("name", ["dream_bisect", "dream_clusters"])
+def test_groups_take_no_texts(spark, monkeypatch, name):
+    monkeypatch.setattr(Views, "_written", {})
+    assert catalogue.queries()[name](spark, SMALL).count() > 0
+    assert {key[2] for key in Views._written} == {"vectors"}
